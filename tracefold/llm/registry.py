@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from .exactdedup import OP3_SQL, op3_exact_dedup
+from .linededup import OP6_SQL, op6_line_dedup
+from .minhash import op2_minhash_near_dedup
 from .packing import op1_packing
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_line_dedup": op6_line_dedup,
 }
 SQL = {
     "op3_exact_dedup": OP3_SQL,
+    "op6_line_dedup": OP6_SQL,
 }
