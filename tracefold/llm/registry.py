@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from .exactdedup import OP3_SQL, op3_exact_dedup
+from .langid import op8_language_id
 from .linededup import OP6_SQL, op6_line_dedup
 from .minhash import op2_minhash_near_dedup
 from .packing import op1_packing
+from .quality import op5_quality
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
+    "op8_language_id": op8_language_id,
 }
 SQL = {
     "op3_exact_dedup": OP3_SQL,
