@@ -92,9 +92,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
 
 
-def words(column: pa.Array, limit: int = 2 << 20) -> Iterator[Words]:
+def words(column: pa.Array, limit: int = 2 << 20, ends: np.ndarray = IS_SPACE) -> Iterator[Words]:
     """The lower-cased words of a text column as 64-bit hashes, for runs of rows of about
-    `limit` bytes (a longer text is a run of its own), so that memory stays bounded."""
+    `limit` bytes (a longer text is a run of its own), so that memory stays bounded. `ends` marks
+    the bytes that are in no word."""
     offsets, data = utf8(column)
     low, n = 0, len(offsets) - 1
     while low < n:
@@ -103,7 +104,7 @@ def words(column: pa.Array, limit: int = 2 << 20) -> Iterator[Words]:
         a, b = int(offsets[low]), int(offsets[high])
         x = LOWER[data[a:b]]
         bounds = offsets[low : high + 1] - a
-        inside = ~IS_SPACE[x]
+        inside = ~ends[x]
         before = np.zeros(len(x) + 1, bool)
         before[1:] = inside
         cut = np.zeros(len(x) + 1, bool)

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import IS_SPACE, LOWER, is_held_out, utf8
 
@@ -223,30 +224,36 @@ def _label(chunk: Chunk, model: Model, penalty: float, texts: pa.Array):
 _SPAN = pa.list_(pa.struct([("first_word", pa.int32()), ("after_word", pa.int32()), ("lang", pa.string())]))
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
+_FOUND = "lang_pred string, score double, spans array<struct<first_word: int, after_word: int, lang: string>>"
+
+
+def identify(docs: DataFrame, model: Model, penalty: float = 12.0, keep: bool = False) -> DataFrame:
     """doc_id, lang_pred, score and spans (first_word, after_word, lang) of every row of `docs`
-    (doc_id, text; other columns are ignored).
+    (doc_id, text). With `keep`, the columns of `docs`, then `__found`, a struct of the others.
 
     Null texts and texts without a letter are `und` with score 0 and no spans; so is all where
-    nothing was learned. Letters of a script that no language uses give the first language with
-    score 0. Rows with a null or repeated doc_id stand for themselves; ties go to the language
-    first in the alphabet; an empty table gives an empty table.
+    nothing was learned. Letters of a script that no language uses give the first language. Rows
+    with a null or repeated doc_id stand for themselves; ties go to the language first in the
+    alphabet; an empty table gives an empty table.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = T.StructType([*rows.schema.fields, T.StructField("__found", T.StructType.fromDDL(_FOUND))])
+    at = rows.columns.index("text")
+    kinds = [pa.string(), pa.float64(), _SPAN]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            for c in chunks(batch.column(1)):
-                ids = batch.column(0).slice(c.low, c.high - c.low)
-                if model.languages:
-                    names, score, spans = _label(c, model, penalty, batch.column(1))
-                else:
-                    names, score, spans = [UNKNOWN] * len(ids), np.zeros(len(ids)), [[]] * len(ids)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(score), pa.array(spans, _SPAN)], names=["doc_id", "lang_pred", "score", "spans"])
-
-    kinds = "doc_id long, lang_pred string, score double, spans array<struct<first_word: int, after_word: int, lang: string>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kinds)
+            for c in chunks(batch.column(at)):
+                many = c.high - c.low
+                found = _label(c, model, penalty, batch.column(at)) if model.languages else ([UNKNOWN] * many, np.zeros(many), [[]] * many)
+                found = pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(found, kinds, strict=True)], names=["lang_pred", "score", "spans"])
+                own = batch.slice(c.low, many)
+                yield pa.RecordBatch.from_arrays([*own.columns, found], names=[*batch.schema.names, "__found"])
+
+    out = rows.mapInArrow(run, schema)
+    return out if keep else out.select("doc_id", "__found.*")
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -29,37 +29,34 @@ def template(line: Column) -> Column:
     return F.concat_ws("|", count.cast("string"), F.when(count.between(SHORTEST, LONGEST), fields).otherwise(masked))
 
 
-def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """One row for each row of `docs` (doc_id, text; other columns are ignored): doc_id, text
-    without the dropped lines, text_key (of the text before), n_lines, n_dropped.
+def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, keep: bool = False) -> DataFrame:
+    """One row for each row of `docs` (doc_id, text): doc_id, text without the dropped lines,
+    n_lines, n_dropped. With `keep`, the columns of `docs`, text changed, and `__n_dropped`.
 
     Lines are what "\\n" separates; blank lines are never dropped. Null text stays null and has 0
     lines. A row with a null doc_id counts as a document after all others; rows that repeat a
     doc_id and its text are one document and come out alike. An empty table gives an empty table.
     """
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
-    doc = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.col("text_key").alias("key"))
-    lines = named.select(doc.alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    named = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "__key": F.xxhash64(F.coalesce("text", F.lit("")))})
+    lines = named.select(F.struct(F.col("__id").alias("id"), F.col("__key").alias("key")).alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("line", F.trim("line")).filter("line <> ''")
     refs = materialize(lines.select("doc", "pos", F.xxhash64(template(F.col("line"))).alias("template")), "lines")
 
     often = refs.groupBy("template", "doc").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("keeper")).filter(F.col("n_docs") >= min_docs)
-    gone = refs.join(often.select("template", "keeper"), "template").filter("doc <> keeper").groupBy("doc").agg(F.collect_set("pos").alias("gone"))
-    gone = gone.select(F.col("doc.id").alias("id"), F.col("doc.key").alias("text_key"), "gone")
+    gone = refs.join(often.select("template", "keeper"), "template").filter("doc <> keeper").groupBy("doc").agg(F.collect_set("pos").alias("__gone"))
+    parts = named.join(gone.select(F.col("doc.id").alias("__id"), F.col("doc.key").alias("__key"), "__gone"), ["__id", "__key"], "left")
 
-    parts = named.withColumn("id", F.coalesce("doc_id", F.lit(_LAST))).join(gone, ["id", "text_key"], "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
-    return parts.select(
-        "doc_id",
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
-        "text_key",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
+    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
+    n_dropped = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
+    if keep:
+        return parts.select(*(text.alias("text") if c == "text" else F.col(c) for c in docs.columns), n_dropped.alias("__n_dropped"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    return parts.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key")
+    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def cleaned_sql(table: str, min_docs: int = MIN_DOCS) -> str:

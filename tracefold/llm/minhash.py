@@ -131,7 +131,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chun
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of `docs` (doc_id, text; other columns are ignored): doc_id,
-    n_shingles, component_id, kept.
+    n_shingles, component_id, kept, text_key (xxhash64 of the text, null as empty).
 
     Sets of `size`-word shingles of the lower-cased text are linked where
     `100 * intersection >= percent * union`. Documents without words (null, empty, white space)
@@ -151,7 +151,7 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     heads = classes.select("rep", "n", "s0", "s1", "s2")
 
     wanted = shared.select("rep").distinct().join(classes.select("rep", "text_key"), "rep")
-    source = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("text_key"), "text")
+    source = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), "text")
     texts = materialize(source.join(wanted, ["rep", "text_key"]).select("rep", "text"), "texts")
 
     stars = shared.filter("rep <> leader").groupBy("leader", "rep").agg(*(F.first(c).alias(c) for c in ("n", "s0", "s1", "s2")))
@@ -172,10 +172,10 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     joined = known if more.isEmpty() else components(links.unionByName(more))
 
     members = classes.select("d0", "d1", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("d0", "d1", F.coalesce("component", "rep").alias("component"))
-    linked = named.select("doc_id", "n", "d0", "d1").join(members, ["d0", "d1"]).select("doc_id", "n", F.col("component").alias("component_id"))
-    single = sk.filter("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(single).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    linked = named.select("doc_id", "text_key", "n", "d0", "d1").join(members, ["d0", "d1"]).select("doc_id", "text_key", "n", F.col("component").alias("component_id"))
+    single = sk.filter("n = 0 OR doc_id IS NULL").select("doc_id", "text_key", "n", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(single).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
 
 
 def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2)
+    return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2).drop("text_key")

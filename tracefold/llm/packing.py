@@ -194,6 +194,10 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
 
 
-def op1_packing(spark, sf_dir: str) -> DataFrame:
-    pieces = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def with_digest(pieces: DataFrame) -> DataFrame:
+    """The pieces with an unsigned crc32 of their ids in place of the ids."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op1_packing(spark, sf_dir: str) -> DataFrame:
+    return with_digest(pack(spark.read.parquet(f"{sf_dir}/documents.parquet")))
