@@ -7,7 +7,8 @@
    of at most `BITMAP` bits first, whatever the size of the benchmark; the exact match is a join
    of the passages' seeds with the items'.
 3. Each passage is aligned with each item it shares a seed with, along the diagonals of the
-   seeds. A score of `threshold` of the item's perfect one is a copy, edited or not.
+   seeds. A score of `threshold` of the item's perfect one is a copy, edited or not, if it is
+   that of `LEAST_WORDS` words at least or of the whole item.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SEED = 3
 BITMAP = 1 << 22
 LEAST_SEEDS = 8
 THRESHOLD = 0.5
+#: An alignment scores as many words at least, or all of a shorter item.
+LEAST_WORDS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words end at white space and at ASCII punctuation.
 _ENDS = IS_SPACE.copy()
@@ -143,16 +146,16 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pydict()
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         for tokens, words_, low, high in zip(rows["item_words"], rows["words"], rows["low"], rows["high"], strict=True):
             item, passage = np.frombuffer(tokens, np.uint32), np.frombuffer(words_, np.uint32)
             slack = len(item) // 2 + 8
             a, b = max(0, low - slack), min(len(passage), high + len(item) + slack)
             score, first, end = align(item, passage[a:b])
-            for column, value in zip(out, (score / (MATCH * len(item)), a + first, a + end), strict=True):
+            for column, value in zip(out, (score / (MATCH * len(item)), a + first, a + end, score >= MATCH * min(LEAST_WORDS, len(item))), strict=True):
                 column.append(value)
         start = np.array(rows["start"], np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(out[0], pa.float64()), pa.array(start + np.array(out[1], np.int64)), pa.array(start + np.array(out[2], np.int64))], names=["doc_id", "item_id", "score", "first_word", "after_word"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(out[0], pa.float64()), pa.array(start + np.array(out[1], np.int64)), pa.array(start + np.array(out[2], np.int64)), pa.array(out[3], pa.bool_())], names=["doc_id", "item_id", "score", "first_word", "after_word", "enough"])
 
 
 def _item_words(items: DataFrame) -> DataFrame:
@@ -193,9 +196,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SEED, thresh
     along = F.col("place") - F.col("at")
     met = hits.join(seeds, "run").groupBy("passage", "item", "item_id").agg(F.min(along).alias("low"), F.max(along).alias("high"))
     pairs = met.join(cut.select("passage", "doc_id", "start", "words"), "passage").join(_item_words(items.select("item", "text")), "item")
-    scored = pairs.select("doc_id", "item_id", "start", "words", "item_words", "low", "high").mapInArrow(_aligned, "doc_id long, item_id long, score double, first_word long, after_word long")
+    scored = pairs.select("doc_id", "item_id", "start", "words", "item_words", "low", "high").mapInArrow(_aligned, "doc_id long, item_id long, score double, first_word long, after_word long, enough boolean")
     best = F.struct("score", (-F.col("first_word")).alias("back"), "after_word")
-    found = scored.filter(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(F.max(best).alias("best"))
+    found = scored.filter((F.col("score") >= threshold) & F.col("enough")).groupBy("doc_id", "item_id").agg(F.max(best).alias("best"))
     return found.select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.back")).alias("first_word"), F.col("best.after_word").alias("after_word"))
 
 

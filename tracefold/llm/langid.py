@@ -207,7 +207,7 @@ def _label(chunk: Chunk, model: Model, penalty: float, texts: pa.Array):
     total = held.sum(axis=1)
     best = held.argmax(axis=1)
     change = np.flatnonzero(np.concatenate(([True], (label[1:] != label[:-1]) | (owner[1:] != owner[:-1])))) if len(label) else np.zeros(0, int)
-    stop = np.append(change[1:], len(label))
+    stop = np.append(change[1:], len(label)) if len(change) else change
     spans: list[list] = [[] for _ in range(many)]
     for a, b in zip(change, stop, strict=True):
         i = int(owner[a])
