@@ -3,16 +3,17 @@
 1. A document's distinct word shingles become `BANDS * ROWS` minima of universal hashes
    `a * x + b` modulo 2**32. Equal sets form one class; only its first document goes on.
 2. Classes that share a band are candidates. In a first round each band's classes are held
-   against its smallest one alone, so that a band of very many copies gives a row a class.
-   Bands whose classes are not in one component after that get a second round: every class
-   outside the band's largest component is held against all others of the band, unless both are
-   in one component already. So each pair of classes that meets in a band is either compared or
-   known to be connected, and no link that matters is lost.
+   against one of them, so that a band of very many copies gives a row a class. One of four
+   orders of the classes, by the band's number, says which one.
 3. One bit of each minimum gives an estimate that drops hopeless pairs; its margin is six
    standard deviations below the threshold. All others are confirmed on the full shingle sets,
    which are made again from the texts: a task gets a class's text and then, one at a time,
    those to hold against it. Classes with many partners are split over tasks.
-4. Confirmed links give components by alternating large-star and small-star.
+4. Confirmed links give components by alternating large-star and small-star. Where the classes
+   of a band are not in one component yet, those outside its largest one become queries: in
+   blocks they are held against all classes of that largest component and against each other,
+   until a link to a component is found or none is left to try. So each pair of classes that meets
+   in a band is either compared or known to be connected, and no link that matters is lost.
 """
 
 from __future__ import annotations
@@ -129,6 +130,50 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chun
     return met.mapInArrow(run, "a long, b long")
 
 
+def _searched(left_open: DataFrame, texts: DataFrame, size: int, percent: int, chunk: int = 256) -> DataFrame:
+    """Links (a, b) from each class outside its family's largest component to classes of other
+    components of the family, one for each component at least. `left_open`: (family, rep,
+    component), where `family` is that largest component."""
+    queries = left_open.filter("component <> family")
+    blocks = queries.groupBy("family").agg((F.floor(F.count(F.lit(1)) / chunk) + 1).alias("blocks"))
+    asked = queries.join(blocks, "family").select("family", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), F.lit(0).alias("turn"), "rep", "component")
+    held = left_open.join(blocks, "family").select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("turn"), "rep", "component")
+    met = asked.unionByName(held).join(texts, "rep").select("family", "block", "turn", "rep", "component", "text")
+    met = met.repartition("family", "block").sortWithinPartitions("family", "block", "turn", "rep")
+    hopeless = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, parts, sets, sketch, linked, grid = None, [], [], [], [], set(), None
+        for batch in batches:
+            family, block, turn, rep, part = (batch.column(k).to_pylist() for k in range(5))
+            found = []
+            for w in words(batch.column(5)):
+                for i, s in enumerate(shingle_sets(w, size), w.low):
+                    if (family[i], block[i]) != now:
+                        now, ids, parts, sets, sketch, linked, grid = (family[i], block[i]), [], [], [], [], set(), None
+                    m = minima(s)
+                    if turn[i] == 0:
+                        ids.append(rep[i])
+                        parts.append(part[i])
+                        sets.append(s)
+                        sketch.append(m)
+                        continue
+                    if grid is None:
+                        grid = np.stack(sketch)
+                    for q in np.flatnonzero((grid == m).mean(axis=1) >= hopeless):
+                        n, t = len(s), sets[q]
+                        if parts[q] == part[i] or (q, part[i]) in linked or 100 * min(n, len(t)) < percent * max(n, len(t)):
+                            continue
+                        both = len(np.intersect1d(t, s, assume_unique=True))
+                        if 100 * both >= percent * (len(t) + n - both):
+                            linked.add((q, part[i]))
+                            found.append((ids[q], rep[i]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of `docs` (doc_id, text; other columns are ignored): doc_id,
     n_shingles, component_id, kept, text_key (xxhash64 of the text, null as empty).
@@ -145,9 +190,10 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     classes = named.groupBy("d0", "d1").agg(F.min(first).alias("first"), *(F.first(c).alias(c) for c in ("n", "s0", "s1", "s2", "bands")))
     classes = materialize(classes.select("d0", "d1", F.col("first.doc_id").alias("rep"), F.col("first.text_key").alias("text_key"), "n", "s0", "s1", "s2", "bands"), "classes")
 
-    banded = classes.select("rep", "n", "s0", "s1", "s2", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    shared = materialize(banded.join(shared.select("key", "leader"), "key"), "bands")
+    banded = classes.select("rep", "n", "s0", "s1", "s2", F.posexplode("bands").alias("band", "key"))
+    order = F.struct(F.xxhash64("rep", F.col("band") % 4).alias("at"), "rep")
+    shared = banded.groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    shared = materialize(banded.drop("band").join(shared.select("key", F.col("first.rep").alias("leader")), "key"), "bands")
     heads = classes.select("rep", "n", "s0", "s1", "s2")
 
     wanted = shared.select("rep").distinct().join(classes.select("rep", "text_key"), "rep")
@@ -160,15 +206,12 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     links = materialize(_confirmed(stars, texts, size, percent), "links")
 
     known = components(links)
-    placed = shared.drop("leader").join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = shared.select("key", "rep").join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = materialize(placed, "placed")
-    open_keys = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("many")).groupBy("key").agg(F.max_by("component", F.struct("many", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
-    left_open = placed.join(open_keys, "key")
-    x, y = left_open.filter("component <> main").alias("x"), left_open.alias("y")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-    once = (F.col("x.rep") < F.col("y.rep")) | (F.col("y.component") == F.col("y.main"))
-    rest = x.join(y, meet & once & _near("x", "y", percent)).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    more = materialize(_confirmed(rest, texts, size, percent), "links")
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("many"))
+    open_keys = sizes.groupBy("key").agg(F.max(F.struct("many", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    left_open = placed.join(open_keys.select("key", F.col("most.component").alias("family")), "key").select("family", "rep", "component").distinct()
+    more = materialize(_searched(materialize(left_open, "open"), texts, size, percent), "links")
     joined = known if more.isEmpty() else components(links.unionByName(more))
 
     members = classes.select("d0", "d1", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("d0", "d1", F.coalesce("component", "rep").alias("component"))
