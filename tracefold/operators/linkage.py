@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import names
+from ..functions import names, scoring, urls
 
 # Kinds of anchors in the order they are tried, and the rule each fires.
 ANCHOR_RULES = {"profile_url": "context_profile_url_match", "orcid": "anchor_orcid_match", "github_username": "anchor_github_match", "username": "context_username_match", "website": "anchor_website_match", "affiliation": "context_affiliation_match", "occupation": "anchor_occupation_match", "location": "context_location_match"}
@@ -43,3 +43,22 @@ def organisations_matched(left: DataFrame, right: DataFrame) -> DataFrame:
     key = names.organisation_key(F.col("name"))
     classes = right.withColumn("key", key).filter("key <> ''").groupBy("key").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("members"))
     return left.withColumn("key", key).join(classes, "key").select("a", "b", "key", "members")
+
+
+def assessed(observed: DataFrame, anchors: DataFrame, name_rules: DataFrame, rules: DataFrame) -> DataFrame:
+    """(subject_id, record, score, band, rules, conflicts): each record's name rule and its anchors
+    combined under the rules' ceilings; conflicts are listed and change no score. `name_rules`:
+    (subject_id, record, rule_key)."""
+    keys = ["subject_id", "record"]
+    signals = name_rules.select(*keys, "rule_key").unionByName(anchor_matches(observed, anchors).select(*keys, "rule_key"))
+    against = conflicts(observed, anchors).groupBy(*keys).agg(F.array_sort(F.collect_set("kind")).alias("conflicts"))
+    out = scoring.score_groups(signals, keys, rules).join(against, keys, "left")
+    return out.withColumn("conflicts", F.coalesce("conflicts", F.array().cast("array<string>")))
+
+
+def owners(results: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Results with the candidate whose page they are, by the addresses' identity. `results`: (url,
+    ...), `candidates`: (candidate, page_url)."""
+    key = lambda c: urls.identity_key(F.col(c))
+    own = candidates.select(key("page_url").alias("url_key"), "candidate").groupBy("url_key").agg(F.min("candidate").alias("candidate"))
+    return results.withColumn("url_key", key("url")).join(own, "url_key", "left")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import names
+from ..functions import names, scoring, urls
 from ..operators import linkage as ops
+from .identifiers import KEY_SQL, PATH_SQL
 from .registry import query
 
 FORMS_SQL = "|".join(names.LEGAL_FORMS)
@@ -85,3 +86,59 @@ AND NOT EXISTS (SELECT 1 FROM {OBSERVED_SQL} p JOIN {ANCHORS_SQL} a ON p.subject
 def anchor_conflicts(spark, d):
     observed, anchors = stated(spark, d)
     return ops.conflicts(observed, anchors)
+
+
+_ANCHOR_RULES_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ops.ANCHOR_RULES.items())
+
+
+@query("record_assessment", f"""WITH o AS {OBSERVED_SQL}, a AS {ANCHORS_SQL}, m AS (SELECT DISTINCT o.subject_id, o.record, o.kind FROM o JOIN a ON o.subject_id = a.subject_id AND o.kind = a.kind AND o.value = a.value),
+k AS (SELECT * FROM m WHERE NOT (kind = 'website' AND EXISTS (SELECT 1 FROM m x WHERE x.subject_id = m.subject_id AND x.record = m.record AND x.kind = 'profile_url'))),
+s AS (SELECT subject_id, record, CASE kind {_ANCHOR_RULES_SQL} END AS rule_key FROM k UNION SELECT subject_id, record, CASE WHEN record % 3 = 0 THEN 'same_person_name' ELSE 'name_variant_partial' END FROM o),
+r(rule_key, score, ceiling) AS (VALUES {scoring.rules_sql()}), g AS (SELECT subject_id, record, round(least(greatest(1 - product(1 - score), max(score)), max(ceiling)), 4) AS score FROM s JOIN r USING (rule_key) GROUP BY 1, 2),
+c AS (SELECT DISTINCT subject_id, record, kind FROM o WHERE EXISTS (SELECT 1 FROM a WHERE a.subject_id = o.subject_id AND a.kind = o.kind) AND NOT EXISTS (SELECT 1 FROM m WHERE m.subject_id = o.subject_id AND m.record = o.record AND m.kind = o.kind)),
+l AS (SELECT subject_id, record, array_to_string(list_sort(list(kind)), ',') AS conflicts FROM c GROUP BY 1, 2)
+SELECT g.subject_id, g.record, score, coalesce(conflicts, '') AS conflicts FROM g LEFT JOIN l ON g.subject_id = l.subject_id AND g.record = l.record""")
+def record_assessment(spark, d):
+    observed, anchors = stated(spark, d)
+    rule = F.when(F.col("record") % 3 == 0, "same_person_name").otherwise("name_variant_partial")
+    out = ops.assessed(observed, anchors, observed.select("subject_id", "record", rule.alias("rule_key")), scoring.rules_table(spark))
+    return out.select("subject_id", "record", "score", F.array_join("conflicts", ",").alias("conflicts"))
+
+
+@query("result_owners", f"""WITH k AS (SELECT page_id, {KEY_SQL} AS url_key FROM pages), o AS (SELECT url_key, min(page_id) AS candidate FROM k WHERE page_id % 3 = 0 GROUP BY 1) SELECT page_id, candidate FROM k LEFT JOIN o USING (url_key)""")
+def result_owners(spark, d):
+    pages = table(spark, d, "pages")
+    own = pages.filter("page_id % 3 = 0").select(F.col("page_id").alias("candidate"), F.upper("url").alias("page_url"))
+    return ops.owners(pages.select("page_id", "url"), own).select("page_id", "candidate")
+
+
+@query("declared_names", f"""SELECT c_custkey, p_partkey FROM customer JOIN part ON p_partkey = c_custkey WHERE len(list_filter({WORDS_SQL.format("split_part(p_name, ' ', 1)")}, lambda t: NOT list_contains({WORDS_SQL.format("p_name || ' ' || c_mktsegment")}, t))) = 0 AND lower(p_name) <> lower(split_part(p_name, ' ', 1))""")
+def declared_names(spark, d):
+    both = table(spark, d, "customer").join(table(spark, d, "part"), F.col("p_partkey") == F.col("c_custkey"))
+    searched, declared = F.split_part("p_name", F.lit(" "), F.lit(1)), F.concat_ws(" ", "p_name", "c_mktsegment")
+    other = F.lower("p_name") != F.lower(searched)
+    return both.filter(names.holds(names.words(declared), names.words(searched)) & other).select("c_custkey", "p_partkey")
+
+
+@query("supplied_value_in_text", "SELECT lang, count(*) FILTER (contains(lower(text), lower(source))) AS named, count(*) FILTER (contains(lower(text), 'license')) AS licensed, count(*) AS n FROM documents GROUP BY 1")
+def supplied_value_in_text(spark, d):
+    low = F.lower("text")
+    return table(spark, d, "documents").groupBy("lang").agg(F.count_if(F.contains(low, F.lower("source"))).alias("named"), F.count_if(F.contains(low, F.lit("license"))).alias("licensed"), F.count(F.lit(1)).alias("n"))
+
+
+@query("useful_results", f"""WITH k AS (SELECT *, {PATH_SQL} AS p FROM pages) SELECT CASE WHEN regexp_matches(lower(p), '\\.(pdf|docx?|xlsx?|pptx?|odt|csv)$') THEN 'DOCUMENT' WHEN regexp_matches(lower(p), '\\.(png|jpe?g|gif|webp|svg)$') THEN 'IMAGE' ELSE 'WEBSITE' END AS kind, count(*) AS n, count(*) FILTER (contains(url, '.html') OR contains(url, '#')) AS useful FROM k GROUP BY 1""")
+def useful_results(spark, d):
+    url = F.col("url")
+    return table(spark, d, "pages").groupBy(urls.finding_kind(url).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(url.contains(".html") | url.contains("#")).alias("useful"))
+
+
+@query("presence_caps", "SELECT user_id, round(max(least(value / 200, 0.6)), 6) AS confidence FROM events GROUP BY 1")
+def presence_caps(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.round(F.max(F.least(F.col("value") / 200, F.lit(0.6))), 6).alias("confidence"))
+
+
+@query("records_by_source", "SELECT coalesce(CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END, 'Unknown source') AS label, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1")
+def records_by_source(spark, d):
+    key = F.col("o_orderkey")
+    label = F.coalesce(F.when(key % 3 > 0, F.col("o_orderpriority")), F.when(key % 2 == 0, F.col("o_orderstatus")), F.lit("Unknown source"))
+    return table(spark, d, "orders").groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first"))
