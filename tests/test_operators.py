@@ -87,7 +87,8 @@ def test_extraction(spark):
 def test_merge_order(spark):
     rows = spark.createDataFrame([("k", 2, "Long name", ["b"], "second", 9), ("k", 1, "Name", ["a"], "first", 8), ("k", 3, "Long nam2", ["a"], "third", 8)], "k string, seq long, name string, aliases array<string>, attribute string, finding_id long")
     entity = merge.merge_entities(rows, ["k"]).first()
-    assert (entity.display_name, entity.aliases, entity.attribute, entity.finding_ids) == ("Long name", ["a", "b"], "first", [8, 9])
+    assert (entity.display_name, entity.aliases, entity.attribute, entity.n_findings) == ("Long name", ["a", "b"], "first", 2)
+    assert {r.finding_id for r in merge.finding_bridge(rows, ["k"]).collect()} == {8, 9}
     assert merge.merge_edges(rows, ["k"]).first().attribute == "third"
 
 
@@ -102,7 +103,8 @@ def test_upsert_keeps_opposite_sides(spark):
 def test_evidence_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("c", 1, "same"), ("c", 2, "same"), ("d", 3, "same"), ("c", 4, "token = 'abcdefgh1234'")], "case_id string, finding_id long, content string")
     kept = findings.store_evidence(rows)
-    assert {(r.case_id, tuple(r.finding_ids), r.redacted) for r in kept.collect()} == {("c", (1, 2), False), ("d", (3,), False), ("c", (4,), True)}
+    assert {(r.case_id, r.first_finding, r.n_artefacts, r.redacted) for r in kept.collect()} == {("c", 1, 2, False), ("d", 3, 1, False), ("c", 4, 1, True)}
+    assert findings.evidence_links(rows).count() == 4
     findings.write_evidence(kept, str(tmp_path / "e"))
     stored = spark.read.parquet(str(tmp_path / "e"))
     assert findings.verify_evidence(kept.select("case_id", "sha256"), stored).filter("NOT intact").count() == 0

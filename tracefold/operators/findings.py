@@ -37,13 +37,22 @@ def accounting(marked: DataFrame, keys: list[str]) -> DataFrame:
     return marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("disposition") == x).alias(x) for x in names))
 
 
-def store_evidence(artefacts: DataFrame, cap: int = EVIDENCE_CAP) -> DataFrame:
-    """One row for each case and content: secrets out, cut at `cap` characters, hashed, with the
-    findings it supports. `artefacts`: (case_id, finding_id, content)."""
+def _hashed(artefacts: DataFrame, cap: int) -> DataFrame:
     clean = F.substring(privacy.redact_secrets(F.col("content")), 1, cap)
     rows = artefacts.select("case_id", "finding_id", clean.alias("content"), (clean != F.col("content")).alias("redacted"))
-    rows = rows.withColumn("sha256", F.sha2("content", 256))
-    kept = rows.groupBy("case_id", "sha256").agg(F.min_by("content", "finding_id").alias("content"), F.bool_or("redacted").alias("redacted"), F.array_sort(F.collect_set("finding_id")).alias("finding_ids"))
+    return rows.withColumn("sha256", F.sha2("content", 256))
+
+
+def evidence_links(artefacts: DataFrame, cap: int = EVIDENCE_CAP) -> DataFrame:
+    """(case_id, sha256, finding_id): which findings a piece of evidence supports, a row each."""
+    return _hashed(artefacts, cap).select("case_id", "sha256", "finding_id").distinct()
+
+
+def store_evidence(artefacts: DataFrame, cap: int = EVIDENCE_CAP) -> DataFrame:
+    """One row for each case and content: secrets out, cut at `cap` characters, hashed.
+    `artefacts`: (case_id, finding_id, content). The findings it supports are `evidence_links`."""
+    rows = _hashed(artefacts, cap)
+    kept = rows.groupBy("case_id", "sha256").agg(F.min_by("content", "finding_id").alias("content"), F.bool_or("redacted").alias("redacted"), F.min("finding_id").alias("first_finding"), F.count(F.lit(1)).alias("n_artefacts"))
     return kept.withColumn("size_bytes", F.octet_length("content").cast("long")).withColumn("sha_prefix", F.substring("sha256", 1, 2))
 
 

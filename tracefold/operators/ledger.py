@@ -74,9 +74,12 @@ def latest_runs(runs: DataFrame, key: str, job: str, created: str) -> DataFrame:
 
 def budget(rows: DataFrame, keys: list[str], score: str, seq: str, most: int) -> DataFrame:
     """`rows` with `decision`: the best `most` of each group are selected, every other row says why
-    it isn't. No row is dropped."""
+    it isn't. No row is dropped. `seq` names a row of its group; only the best rows are ranked in one
+    place, and the join back is by the row."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), seq))
-    return rows.withColumn("decision", F.when(rank <= most, "selected").otherwise("skipped_budget"))
+    best = rows.select(*keys, seq, rank.alias("__rank")).filter(F.col("__rank") <= most)
+    marked = rows.join(best, [*keys, seq], "left")
+    return marked.withColumn("decision", F.when(F.col("__rank").isNotNull(), "selected").otherwise("skipped_budget")).drop("__rank")
 
 
 def effective_state(state: Column, available: Column) -> Column:

@@ -20,18 +20,24 @@ def union_of(column: str) -> Column:
 
 def merge_entities(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """Rows (keys, seq, name, aliases array, attribute, finding_id) merged: the first attribute, the
-    longest name (the first of those), all aliases and findings."""
+    longest name (the first of those), all aliases, the number of findings. A thing may have any
+    number of findings, so their ids stay rows: see `finding_bridge`."""
     return rows.groupBy(*keys).agg(
         F.max_by("name", F.struct(F.length("name"), -F.col(seq))).alias("display_name"),
         union_of("aliases").alias("aliases"),
         F.min_by("attribute", seq).alias("attribute"),
-        F.array_sort(F.collect_set("finding_id")).alias("finding_ids"),
+        F.count_distinct("finding_id").alias("n_findings"),
     )
 
 
 def merge_edges(rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
-    """Rows (keys, seq, attribute, finding_id) merged: the last attribute, all findings."""
-    return rows.groupBy(*keys).agg(F.max_by("attribute", seq).alias("attribute"), F.array_sort(F.collect_set("finding_id")).alias("finding_ids"))
+    """Rows (keys, seq, attribute, finding_id) merged: the last attribute, the number of findings."""
+    return rows.groupBy(*keys).agg(F.max_by("attribute", seq).alias("attribute"), F.count_distinct("finding_id").alias("n_findings"))
+
+
+def finding_bridge(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, finding_id): the findings of each merged thing."""
+    return rows.select(*keys, "finding_id").distinct()
 
 
 def upsert(stored: DataFrame, new: DataFrame, keys: list[str], keep_attribute: bool, most_reasons: int = 20) -> DataFrame:

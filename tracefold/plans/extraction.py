@@ -49,13 +49,13 @@ def merge_entities(spark, d):
     rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = rows.select(F.col("n_name").alias("value"), F.col("c_custkey").alias("seq"), F.col("c_name").alias("name"), F.array("c_mktsegment").alias("aliases"), F.col("c_mktsegment").alias("attribute"), F.col("c_custkey").alias("finding_id"))
     out = merge.merge_entities(rows, ["value"])
-    return out.select("value", "display_name", "attribute", F.array_join("aliases", ",").alias("aliases"), F.size("finding_ids").cast("long").alias("n_findings"))
+    return out.select("value", "display_name", "attribute", F.array_join("aliases", ",").alias("aliases"), "n_findings")
 
 
 @query("merge_edges", "SELECT l_suppkey, l_partkey, arg_max(l_returnflag, (l_orderkey, l_linenumber)) AS attribute, count(DISTINCT l_orderkey) AS n_findings FROM lineitem GROUP BY 1, 2")
 def merge_edges(spark, d):
     rows = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", F.struct("l_orderkey", "l_linenumber").alias("seq"), F.col("l_returnflag").alias("attribute"), F.col("l_orderkey").alias("finding_id"))
-    return merge.merge_edges(rows, ["l_suppkey", "l_partkey"]).select("l_suppkey", "l_partkey", "attribute", F.size("finding_ids").cast("long").alias("n_findings"))
+    return merge.merge_edges(rows, ["l_suppkey", "l_partkey"]).select("l_suppkey", "l_partkey", "attribute", "n_findings")
 
 
 @query("entity_upsert", """WITH o AS (SELECT l_partkey, max(l_discount) AS score, list_sort(list(DISTINCT l_returnflag)) AS reasons, min(l_linestatus) AS attribute FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), n AS (SELECT l_partkey, max(l_discount) AS score, list_sort(list(DISTINCT l_linestatus)) AS reasons, min(l_returnflag) AS attribute FROM lineitem WHERE l_linenumber = 2 GROUP BY 1)

@@ -67,21 +67,26 @@ def artefacts(spark, d):
 
 
 EVIDENCE_SQL = f"""(WITH r AS (SELECT source AS case_id, doc_id, text, substr({redact_sql('text')}, 1, {ops.EVIDENCE_CAP}) AS content FROM documents)
-SELECT case_id, sha256(content) AS sha256, arg_min(content, doc_id) AS content, bool_or(content <> text) AS redacted, list_sort(list(DISTINCT doc_id)) AS ids FROM r GROUP BY 1, 2)"""
+SELECT case_id, sha256(content) AS sha256, arg_min(content, doc_id) AS content, bool_or(content <> text) AS redacted, min(doc_id) AS first_finding, count(*) AS n_artefacts FROM r GROUP BY 1, 2)"""
 
 
-@query("evidence_store", f"""SELECT case_id, sha256, redacted, octet_length(encode(content)) AS size_bytes, substr(sha256, 1, 2) AS sha_prefix, array_to_string(ids, ',') AS finding_ids FROM {EVIDENCE_SQL}""")
+@query("evidence_store", f"""SELECT case_id, sha256, redacted, octet_length(encode(content)) AS size_bytes, substr(sha256, 1, 2) AS sha_prefix, first_finding, n_artefacts FROM {EVIDENCE_SQL}""")
 def evidence_store(spark, d):
-    return ops.store_evidence(artefacts(spark, d)).select("case_id", "sha256", "redacted", "size_bytes", "sha_prefix", F.array_join(F.col("finding_ids").cast("array<string>"), ",").alias("finding_ids"))
+    return ops.store_evidence(artefacts(spark, d)).select("case_id", "sha256", "redacted", "size_bytes", "sha_prefix", "first_finding", "n_artefacts")
+
+
+@query("evidence_links", f"""SELECT DISTINCT source AS case_id, sha256(substr({redact_sql('text')}, 1, {ops.EVIDENCE_CAP})) AS sha256, doc_id AS finding_id FROM documents""")
+def evidence_links(spark, d):
+    return ops.evidence_links(artefacts(spark, d))
 
 
 @query("evidence_verify", f"""
-WITH e AS {EVIDENCE_SQL}, s AS (SELECT case_id, sha256, CASE WHEN len(ids) > 1 THEN content || '!' ELSE content END AS content, octet_length(encode(content)) AS n FROM e),
+WITH e AS {EVIDENCE_SQL}, s AS (SELECT case_id, sha256, CASE WHEN n_artefacts > 1 THEN content || '!' ELSE content END AS content, octet_length(encode(content)) AS n FROM e),
 j AS (SELECT e.case_id, e.sha256, sha256(s.content) AS now FROM e LEFT JOIN s ON e.case_id = s.case_id AND e.sha256 = s.sha256 AND s.n < 9000)
 SELECT case_id, count(*) AS total, count(*) FILTER (now = sha256) AS verified, count(*) FILTER (now IS NULL) AS missing, count(*) FILTER (now <> sha256) AS mismatched, count(*) FILTER (now = sha256) = count(*) AS intact FROM j GROUP BY 1""")
 def evidence_verify(spark, d):
     kept = ops.store_evidence(artefacts(spark, d))
-    stored = kept.filter("size_bytes < 9000").withColumn("content", F.when(F.size("finding_ids") > 1, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    stored = kept.filter("size_bytes < 9000").withColumn("content", F.when(F.col("n_artefacts") > 1, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
     return ops.verify_evidence(kept.select("case_id", "sha256"), stored)
 
 

@@ -148,6 +148,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS a, row
 SELECT host, page_id, a = 1 AS is_first FROM r WHERE a = 1 OR z <= 5""")
 def first_last_pages(spark, d):
     seen = pages(spark, d).select("page_id", urls.host(F.col("url")).alias("host"))
-    own = Window.partitionBy("host")
-    ranked = seen.withColumn("a", F.row_number().over(own.orderBy("page_id"))).withColumn("z", F.row_number().over(own.orderBy(F.desc("page_id"))))
-    return ranked.filter("a = 1 OR z <= 5").select("host", "page_id", (F.col("a") == 1).alias("is_first"))
+    first = seen.groupBy("host").agg(F.min("page_id").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("page_id")))
+    last = seen.withColumn("z", rank).filter("z <= 5").select("host", "page_id")
+    both = last.unionByName(first.select("host", F.col("first").alias("page_id"))).distinct()
+    return both.join(first, "host").select("host", "page_id", (F.col("page_id") == F.col("first")).alias("is_first"))
