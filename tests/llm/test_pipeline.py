@@ -33,3 +33,29 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     assert not {200 + k for k in range(5)} & set(seen["benchmark"])
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(seen["benchmark"])
+
+
+def test_nulls_repeats_clashing_names_and_empty_tables(spark, tmp_path):
+    text = "some words of a page that are repeated here and there"
+    rows = [(1, text), (1, text), (2, None), (None, None), (3, ""), (None, text), (4, "x " * 30_000)]
+    docs = spark.createDataFrame([(i, t, None, None, None, "e", "f", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, line string, gone string, rep long")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for k, own in enumerate((docs, docs.limit(0))):
+        now = own
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, str(tmp_path))
+            assert now.columns == docs.columns
+            now.write.parquet(str(tmp_path / f"{k}{name}"))
+            now = spark.read.schema(docs.schema).parquet(str(tmp_path / f"{k}{name}"))
+        assert corpus_pipeline.pack(spark, now, str(tmp_path)).count() == 0  # no language is known, so all go
+
+
+def test_later_stages_keep_rows_with_nulls(spark, tmp_path):
+    text = "some words of a page that are repeated here and there"
+    rows = [(1, text), (1, text), (2, text), (3, None), (None, None), (None, text)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = sorted((r.doc_id or 0, r.text or "") for r in corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect())
+    assert kept == sorted([(1, text), (1, text), (3, ""), (0, ""), (0, text)])
+    assert corpus_pipeline.benchmark(spark, docs, str(tmp_path)).count() == len(rows)
+    assert {r.n_chars for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).filter("text IS NULL").collect()} == {None}
