@@ -67,8 +67,8 @@ def applicable_sources(spark, d):
 @query("advisory_triage", """SELECT s_name AS package, 'A' || p_partkey AS advisory, CASE WHEN p_size > 40 THEN 'critical' WHEN p_size > 30 THEN 'high' ELSE 'low' END AS severity, CASE WHEN p_partkey % 10 = 0 THEN 'waived' WHEN p_size > 30 THEN 'blocking' ELSE 'informational' END AS state FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier)""")
 def advisory_triage(spark, d):
     part, supplier = table(spark, d, "part"), table(spark, d, "supplier")
-    n = supplier.agg(F.count(F.lit(1)).alias("n"))
-    both = part.crossJoin(F.broadcast(n)).join(supplier, F.col("s_suppkey") == F.col("p_partkey") % F.col("n"))
+    n = supplier.agg(F.count(F.lit(1))).scalar()
+    both = part.withColumn("s_suppkey", F.col("p_partkey") % n).join(supplier, "s_suppkey")
     severity = F.when(F.col("p_size") > 40, "CRITICAL").when(F.col("p_size") > 30, "High").otherwise("low")
     rows = both.select("s_name", F.concat(F.lit("A"), "p_partkey").alias("id"), severity.alias("severity"), "p_partkey")
     one = rows.filter("p_partkey % 2 = 0").groupBy("s_name").agg(F.collect_list(F.struct("id", "severity")).alias("vulns")).select(F.to_json(F.struct(F.array(F.struct(F.col("s_name").alias("name"), "vulns")).alias("dependencies"))).alias("report"))

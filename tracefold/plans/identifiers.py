@@ -137,8 +137,8 @@ SELECT host, count(*) AS n FROM h WHERE host NOT IN (SELECT host FROM busy) GROU
 def noise_hosts_rejected(spark, d):
     seen = pages(spark, d).select(urls.host(F.col("url")).alias("host"))
     counts = seen.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    busy = counts.join(F.broadcast(total), F.col("n") > F.col("total") * 0.05).select("host")
+    total = seen.agg(F.count(F.lit(1))).scalar()
+    busy = counts.filter(F.col("n") > total * 0.05).select("host")
     return counts.join(busy, "host", "left_anti")
 
 
