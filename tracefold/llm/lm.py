@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import is_held_out, materialize, mix, words
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 ORDER = 2
 STRENGTH = 200.0
 ADDED = 0.1
