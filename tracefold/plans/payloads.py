@@ -65,7 +65,7 @@ def certificate_summary(spark, d):
 
 @query("latest_certificates", f"SELECT base, id, rank FROM (SELECT base, id, row_number() OVER (PARTITION BY base ORDER BY not_before DESC, id) AS rank FROM {_CERTS_SQL}) WHERE rank <= 50")
 def latest_certificates(spark, d):
-    return ops.certificates(_certificates(spark, d))[0].select("base", "id", "rank")
+    return ops.certificates(_certificates(spark, d))[0].select("base", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("archive_coverage", """WITH r AS (SELECT 'h' || (o_custkey % 50) AS host, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN date_trunc('day', o_orderdate) WHEN o_orderkey % 3 = 1 THEN date_trunc('month', o_orderdate) ELSE date_trunc('second', o_orderdate) END AS t, 'u' || (o_orderkey % 40) AS original FROM orders)
@@ -74,10 +74,10 @@ def archive_coverage(spark, d):
     o, key = table(spark, d, "orders"), F.col("o_orderkey")
     stamp = F.when(key % 3 == 0, F.date_format("o_orderdate", "yyyyMMdd")).when(key % 3 == 1, F.date_format("o_orderdate", "yyyyMM")).otherwise(F.date_format("o_orderdate", "yyyyMMddHHmmss"))
     rows = o.select(F.concat(F.lit("h"), F.col("o_custkey") % 50).alias("host"), stamp.alias("stamp"), F.concat(F.lit("u"), key % 40).alias("original"))
-    return ops.archive_index(rows).withColumn("years", F.array_join(F.col("years").cast("array<string>"), ","))
+    return ops.archive_index(rows).withColumns({"years": F.array_join(F.col("years").cast("array<string>"), ","), "first_at": F.col("first_at").cast("timestamp_ntz"), "last_at": F.col("last_at").cast("timestamp_ntz")})
 
 
-@query("security_headers", f"""SELECT url, {HOST_SQL} AS hostname, trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 's')) AS title, CASE WHEN page_id % 2 = 0 THEN 'content-security-policy' ELSE 'strict-transport-security,content-security-policy' END AS present, CASE WHEN page_id % 2 = 0 THEN 0.14 ELSE 0.29 END AS score FROM pages""")
+@query("security_headers", f"""SELECT url, {HOST_SQL} AS hostname, trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 's')) AS title, CASE WHEN page_id % 2 = 0 THEN 'content-security-policy' ELSE 'strict-transport-security,content-security-policy' END AS present, (CASE WHEN page_id % 2 = 0 THEN 0.14 ELSE 0.29 END)::DOUBLE AS score FROM pages""")
 def security_headers(spark, d):
     headers = F.when(F.col("page_id") % 2 == 0, F.create_map(F.lit("Content-Security-Policy"), F.lit("x"))).otherwise(F.create_map(F.lit("Content-Security-Policy"), F.lit("x"), F.lit("STRICT-Transport-Security"), F.lit("y")))
     out = ops.http_metadata(pages(spark, d).withColumn("headers", headers))
@@ -110,14 +110,14 @@ def breach_summary(spark, d):
 
 
 @query("search_results", """WITH r AS (SELECT o_custkey AS query, 'u' || o_orderkey AS url, o_orderpriority AS title, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS position FROM orders)
-SELECT query, position, title, url, CASE WHEN query % 3 = 0 AND position <= 3 THEN 0.5 ELSE 0.4 END AS confidence FROM r""")
+SELECT query, position, title, url, (CASE WHEN query % 3 = 0 AND position <= 3 THEN 0.5 ELSE 0.4 END)::DOUBLE AS confidence FROM r""")
 def search_results(spark, d):
     o = table(spark, d, "orders")
     lists = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.concat(F.lit("u"), "o_orderkey").alias("u"), F.col("o_orderpriority").alias("title")))).alias("all"))
     results = lambda name: F.transform("all", lambda x: F.struct(x["title"].alias("title"), x["u"].alias(name)))
     key = F.col("o_custkey") % 3
     shape = F.when(key == 0, F.to_json(F.struct(F.struct(results("url").alias("results")).alias("web"), F.lit(True).alias("ranked")))).when(key == 1, F.to_json(F.struct(results("link").alias("items")))).otherwise(F.to_json(F.struct(results("url").alias("results"))))
-    return ops.search_results(lists.select(F.col("o_custkey").alias("query"), shape.alias("payload"))).select("query", "position", "title", "url", "confidence")
+    return ops.search_results(lists.select(F.col("o_custkey").alias("query"), shape.alias("payload"))).select("query", F.col("position").cast("long").alias("position"), "title", "url", "confidence")
 
 
 @query("quarantined_payloads", "SELECT CASE WHEN conv_id % 3 = 0 THEN 'empty' ELSE 'malformed' END AS error_type, count(*) AS n FROM conversations WHERE conv_id % 3 < 2 GROUP BY 1")

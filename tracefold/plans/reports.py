@@ -33,7 +33,7 @@ def decision_overlay(spark, d):
 
 @query("key_findings", f"SELECT case_id, seq, confidence, rank FROM (SELECT case_id, seq, confidence, row_number() OVER (PARTITION BY case_id ORDER BY confidence DESC, observed_at DESC, seq) AS rank FROM {FINDINGS_SQL}) WHERE rank <= 25")
 def key_findings(spark, d):
-    return ops.key_items(case_findings(spark, d), ["case_id"], [F.desc("confidence"), F.desc("observed_at"), F.col("seq")]).select("case_id", "seq", "confidence", "rank")
+    return ops.key_items(case_findings(spark, d), ["case_id"], [F.desc("confidence"), F.desc("observed_at"), F.col("seq")]).select("case_id", "seq", "confidence", F.col("rank").cast("long").alias("rank"))
 
 
 @query("place_rollup", "SELECT min(n_name) AS n_name, count(DISTINCT c_name) AS names, bool_or(c_acctbal > 9900) AS corroborated FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY lower(trim(n_name)) HAVING count(DISTINCT c_name) >= 5")

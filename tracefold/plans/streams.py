@@ -21,7 +21,7 @@ def stream_new_findings(spark, d):
 @query("stream_case_counters", "SELECT user_id, count(*) AS n, max(ts) AS last_at FROM events GROUP BY 1")
 def stream_case_counters(spark, d):
     rows = ops.finished(ops.counters(events(spark, d), "user_id"), "counters", "update")
-    return rows.groupBy("user_id").agg(F.max_by("n", "__batch").alias("n"), F.max_by("last_at", "__batch").alias("last_at"))
+    return rows.groupBy("user_id").agg(F.max_by("n", "__batch").alias("n"), F.max_by("last_at", "__batch").cast("timestamp_ntz").alias("last_at"))
 
 
 @query("stream_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 120 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
@@ -29,13 +29,13 @@ SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 120 MINUTE AS ended, coun
 def stream_sessions(spark, d):
     rows = ops.finished(ops.sessions(events(spark, d), "user_id", "ts", "120 minutes", "60 days"), "sessions", "complete")
     last = rows.agg(F.max("__batch").alias("__batch"))
-    return rows.join(F.broadcast(last), "__batch").drop("__batch")
+    return rows.join(F.broadcast(last), "__batch").select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")
 
 
 @query("stream_rate_windows", "SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS opened, count(*) AS n, count(*) <= 1 AS allowed FROM events GROUP BY 1, 2")
 def stream_rate_windows(spark, d):
     rows = ops.finished(ops.tumbling(events(spark, d), "user_id", "ts", "1 hour", "60 days", 1), "rate", "update")
-    return rows.groupBy("user_id", "opened").agg(F.max_by("n", "__batch").alias("n"), F.max_by("allowed", "__batch").alias("allowed"))
+    return rows.groupBy("user_id", "opened").agg(F.max_by("n", "__batch").alias("n"), F.max_by("allowed", "__batch").alias("allowed")).withColumn("opened", F.col("opened").cast("timestamp_ntz"))
 
 
 @query("stream_throttle", """WITH RECURSIVE o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
