@@ -14,6 +14,7 @@ CASES = {
     "article": ('<article class="post-12"><h1>Head &amp; line</h1><p>One <b>bo</b>ld\n word.<p>Two<br>lines &#8212; <a href="#">linked</a>.<div class="ad">Buy!</div></article>', "Head & line One bold word. Two lines — linked."),
     "div": ('<div class="content main-3"><p>First long paragraph of the text, with commas, here.</p><ul><li>item one<li>item two</ul></div>', "First long paragraph of the text, with commas, here. item one item two"),
     "nested": ("<main><article><header><h1>Title</h1></header><section><p>Part one is here now.</p></section><section><p>Part two is there too.</p></section></article></main>", "Title Part one is here now. Part two is there too."),
+    "replies": ('<article class="post has-sidebar"><p>The story itself is told here, in a few words.</p></article><article class="comment c-2"><p>I think that this reply is longer than the story was, and by far.</p></article><ul class="breadcrumb"><li>Home<li>News</ul><div id="related-posts"><p>Another story that is related to it.</p></div><div role="alert"><p>Accept it all.</p></div><p hidden>Unseen</p>', "The story itself is told here, in a few words."),
     "open tags": ("<article><p><b>never closed<p>next & last", "never closed next & last"),
 }
 

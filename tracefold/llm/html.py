@@ -29,6 +29,7 @@ CONTAINERS = {"article", "main", "section", "div", "td", "body", "center", "bloc
 WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "adsense", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disclaimer", "disqus", "footer", "foot", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets",
 }
+NO_ARTICLE = {"ad", "ads", "advert", "advertisement", "comment", "comments", "commentlist", "promo", "recommended", "related", "replies", "sponsor", "sponsored", "widget"}
 HEADER_WORDS = {"header", "site-header", "head"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -36,6 +37,9 @@ ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dir
 ENDED_BY = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPES = {"article", "main", "section", "div", "td", "th", "table", "body", "html", "nav", "aside", "footer", "header", "form", "blockquote"}
 
+#: Tasks over which the pages of one host are spread.
+SPREAD = 32
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][-a-zA-Z0-9_:.@]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _DIGITS = re.compile(r"[0-9]+")
@@ -61,11 +65,13 @@ def _attributes(text: str) -> dict[str, str]:
 def _is_furniture(tag: str, attributes: dict[str, str], article: bool) -> bool:
     if tag in FURNITURE or (tag == "header" and not article):
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
     if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
     words = set(_NOT_WORD.split(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
+    if tag == "article":  # a page's article may be named after its theme; replies and adverts are not articles
+        return bool(words & NO_ARTICLE)
     return bool(words & WORDS) or (not article and bool(words & HEADER_WORDS))
 
 
@@ -219,7 +225,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    chosen = rows.join(host_paths(rows), "host", "left").select("page_id", "url", "html", "paths")
+    # A host may have any share of the pages: its rows go to `SPREAD` tasks, its paths to each of them.
+    paths = host_paths(rows).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(SPREAD)).cast("int"))
+    chosen = dealt.join(paths, ["host", "part"], "left").select("page_id", "url", "html", "paths")
     return chosen.mapInArrow(_extract, "page_id long, url string, text string")
 
 
