@@ -105,7 +105,8 @@ def _near(a: str, b: str, percent: int):
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chunk: int = 500) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold. `texts`: (rep, text)."""
-    share = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / chunk) + 1).alias("parts"))
+    pairs = materialize(pairs, "pairs")
+    share = materialize(pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / chunk) + 1).alias("parts")), "parts")
     dealt = pairs.join(share, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
     firsts = dealt.select("a", "part").distinct().join(texts, F.col("a") == F.col("rep")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     others = dealt.join(texts, F.col("b") == F.col("rep")).select("a", "part", "b", "text")
@@ -135,7 +136,7 @@ def _searched(left_open: DataFrame, texts: DataFrame, size: int, percent: int, c
     components of the family, one for each component at least. `left_open`: (family, rep,
     component), where `family` is that largest component."""
     queries = left_open.filter("component <> family")
-    blocks = queries.groupBy("family").agg((F.floor(F.count(F.lit(1)) / chunk) + 1).alias("blocks"))
+    blocks = materialize(queries.groupBy("family").agg((F.floor(F.count(F.lit(1)) / chunk) + 1).alias("blocks")), "blocks")
     asked = queries.join(blocks, "family").select("family", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), F.lit(0).alias("turn"), "rep", "component")
     held = left_open.join(blocks, "family").select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("turn"), "rep", "component")
     met = asked.unionByName(held).join(texts, "rep").select("family", "block", "turn", "rep", "component", "text")
@@ -193,7 +194,9 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     banded = classes.select("rep", "n", "s0", "s1", "s2", F.posexplode("bands").alias("band", "key"))
     order = F.struct(F.xxhash64("rep", F.col("band") % 4).alias("at"), "rep")
     shared = banded.groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    shared = materialize(banded.drop("band").join(shared.select("key", F.col("first.rep").alias("leader")), "key"), "bands")
+    # Tables of their own, here and below, so that Spark may split a key of very many rows in a join.
+    shared = materialize(shared.select("key", F.col("first.rep").alias("leader")), "leaders")
+    shared = materialize(banded.drop("band").join(shared, "key"), "bands")
     heads = classes.select("rep", "n", "s0", "s1", "s2")
 
     wanted = shared.select("rep").distinct().join(classes.select("rep", "text_key"), "rep")
@@ -210,7 +213,8 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     placed = materialize(placed, "placed")
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("many"))
     open_keys = sizes.groupBy("key").agg(F.max(F.struct("many", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    left_open = placed.join(open_keys.select("key", F.col("most.component").alias("family")), "key").select("family", "rep", "component").distinct()
+    open_keys = materialize(open_keys.select("key", F.col("most.component").alias("family")), "open-keys")
+    left_open = placed.join(open_keys, "key").select("family", "rep", "component").distinct()
     more = materialize(_searched(materialize(left_open, "open"), texts, size, percent), "links")
     joined = known if more.isEmpty() else components(links.unionByName(more))
 
