@@ -43,7 +43,9 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, keep: bool = False) ->
     refs = materialize(lines.select("doc", "pos", F.xxhash64(template(F.col("line"))).alias("template")), "lines")
 
     often = refs.groupBy("template", "doc").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("keeper")).filter(F.col("n_docs") >= min_docs)
-    gone = refs.join(often.select("template", "keeper"), "template").filter("doc <> keeper").groupBy("doc").agg(F.collect_set("pos").alias("__gone"))
+    # A table of its own, so that Spark may split a template of very many lines when it joins them.
+    often = materialize(often.select("template", "keeper"), "templates")
+    gone = refs.join(often, "template").filter("doc <> keeper").groupBy("doc").agg(F.collect_set("pos").alias("__gone"))
     parts = named.join(gone.select(F.col("doc.id").alias("__id"), F.col("doc.key").alias("__key"), "__gone"), ["__id", "__key"], "left")
 
     left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
