@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from .common import shared_dir
+from .common import materialize, shared_dir
 
 COLUMNS = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, content_length long, payload binary"
 #: Header names of the columns. Fixed values of the format.
@@ -271,7 +271,8 @@ def archive(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") ->
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     long = rows.filter(F.octet_length("payload") >= SHORTEST)
     firsts = long.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("many")).filter("many > 1").drop("many")
-    placed = rows.join(firsts, "digest", "left")
+    # A table of its own, so that Spark may split a payload of very many pages when it joins them.
+    placed = rows.join(materialize(firsts, "firsts"), "digest", "left")
     revisits = F.coalesce(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.lit(False))
     placed.select(
         F.concat(F.lit(f"<{_ID}"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")).alias("record_id"),
