@@ -36,6 +36,42 @@ def test_copies_are_found_and_clean_documents_left_alone(spark):
     assert (whole.score, whole.first_word, whole.after_word) == (1.0, 40_000, 40_040)
 
 
+def test_only_copies_are_edited_or_lie_in_a_common_half(spark):
+    rng = random.Random(5)
+    items = [[word(rng) for _ in range(40)] for _ in range(6)] + [[word(rng) for _ in range(20)] for _ in range(6)] + [[word(rng) for _ in range(300)]]
+    fill = lambda n: [word(rng) for _ in range(n)]
+    docs, want = [], set()
+    for i, item in enumerate(items[:12]):
+        copy = [word(rng) if at % 7 == 3 else w for at, w in enumerate(item)]
+        docs.append((i, fill(60) + copy + fill(60)))
+        want.add((i, i))
+    hot = [word(rng) for _ in range(40)]
+    items.append(hot)
+    docs += [(100 + k, fill(20) + hot[:24] + fill(20)) for k in range(40)] + [(200, fill(20) + hot + fill(20))]
+    want |= {(100 + k, 13) for k in range(40)} | {(200, 13)}
+    docs += [(300, fill(30) + items[12][100:180] + fill(30)), (301, fill(30) + items[12][100:120] + fill(30))]
+    want.add((300, 12))
+    # The hot item's words in another order share no alignment.
+    docs.append((400, fill(9) + [w for k in range(0, 40, 3) for w in hot[k : k + 3][::-1]] + fill(9)))
+    found = decontam.contaminated(spark.createDataFrame([(k, " ".join(x)) for k, x in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
+def test_part_of_a_passage_that_is_aligned():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(3, 20))
+        item, passage = rng.integers(0, 12, n).astype(np.uint32), rng.integers(0, 12, int(rng.integers(3, 120))).astype(np.uint32)
+        at = int(rng.integers(0, len(passage)))
+        passage[at : at + n] = item[: len(passage) - at]
+        need = decontam._needed(n, 0.5)
+        want = decontam.align(item, passage)
+        a, b = decontam._within(item, passage, need)
+        if want[0] >= need:
+            got = decontam.align(item, passage[a:b])
+            assert (got[0], got[1] + a, got[2] + a) == want
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")

@@ -1,14 +1,15 @@
 """Training passages that copy test items: rare seeds, then Smith-Waterman alignment.
 
 1. Runs of `SEED` words of the items are looked up in all documents; each task sends one count
-   of documents for each run it met. Of each item the rarest third of its runs, eight at least,
-   are its seeds, so that an item copied into very many documents still has seeds.
+   of documents for each run it met. Every run of an item that occurs is a seed, rare or not: an
+   edited copy may hold none of the rarest, and a copied half may be the one that many documents have.
 2. A second pass cuts a passage around the seeds that a document holds. Both passes ask a bitmap
    of at most `BITMAP` bits first, whatever the size of the benchmark; the exact match is a join
    of the passages' seeds with the items'.
 3. Each passage is aligned with each item it shares a seed with, along the diagonals of the
-   seeds. A score of `threshold` of the item's perfect one is a copy, edited or not, if it is
-   that of `LEAST_WORDS` words at least or of the whole item.
+   seeds, unless it has too few of the item's words for the score. A score of `threshold` of the
+   item's perfect one is a copy, edited or not, if it is that of `LEAST_WORDS` words at least or of
+   the whole item. The score of `LONG_WORDS` words is a copy of any longer item.
 """
 
 from __future__ import annotations
@@ -17,17 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import IS_SPACE, materialize, mix, words
 
 SEED = 3
 BITMAP = 1 << 22
-LEAST_SEEDS = 8
 THRESHOLD = 0.5
 #: An alignment scores as many words at least, or all of a shorter item.
 LEAST_WORDS = 8
+#: As many words, copied, are a copy of an item of any length.
+LONG_WORDS = 50
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words end at white space and at ASCII punctuation.
 _ENDS = IS_SPACE.copy()
@@ -143,19 +145,45 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best >> 20, best & (_START - 1), end
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = batch.to_pydict()
-        out: list[list] = [[], [], [], []]
-        for tokens, words_, low, high in zip(rows["item_words"], rows["words"], rows["low"], rows["high"], strict=True):
-            item, passage = np.frombuffer(tokens, np.uint32), np.frombuffer(words_, np.uint32)
-            slack = len(item) // 2 + 8
-            a, b = max(0, low - slack), min(len(passage), high + len(item) + slack)
-            score, first, end = align(item, passage[a:b])
-            for column, value in zip(out, (score / (MATCH * len(item)), a + first, a + end, score >= MATCH * min(LEAST_WORDS, len(item))), strict=True):
-                column.append(value)
-        start = np.array(rows["start"], np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(out[0], pa.float64()), pa.array(start + np.array(out[1], np.int64)), pa.array(start + np.array(out[2], np.int64)), pa.array(out[3], pa.bool_())], names=["doc_id", "item_id", "score", "first_word", "after_word", "enough"])
+def _needed(n: int, threshold: float) -> float:
+    """The least score that makes an alignment with an item of `n` words a copy."""
+    return MATCH * max(min(LEAST_WORDS, n), min(threshold * n, LONG_WORDS)) - 1e-9
+
+
+def _within(item: np.ndarray, passage: np.ndarray, need: float) -> tuple[int, int]:
+    """The part of `passage` outside which no alignment has the score `need`; empty if none has.
+    Such an alignment has `need / MATCH` words of the item or more, and at most
+    `MATCH * len(item) - need` other words, as each costs a point."""
+    width = int((MATCH + 1) * len(item) - need) + 1
+    total = np.concatenate([[0], np.cumsum(np.isin(passage, item))])
+    start = np.arange(len(passage))
+    good = np.flatnonzero(total[np.minimum(start + width, len(passage))] - total[start] >= need / MATCH)
+    return (int(good[0]), min(int(good[-1]) + width, len(passage))) if len(good) else (0, 0)
+
+
+def _aligned(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pydict()
+            out: list[list] = [[], [], [], []]
+            for k, (tokens, words_, low, high) in enumerate(zip(rows["item_words"], rows["words"], rows["low"], rows["high"], strict=True)):
+                item, passage = np.frombuffer(tokens, np.uint32), np.frombuffer(words_, np.uint32)
+                slack = len(item) // 2 + 8
+                a, b = max(0, low - slack), min(len(passage), high + len(item) + slack)
+                need = _needed(len(item), threshold)
+                first, end = _within(item, passage[a:b], need)
+                a, b = a + first, a + end
+                if a == b:
+                    continue
+                score, first, end = align(item, passage[a:b])
+                if score >= need:
+                    for column, value in zip(out, (k, score / (MATCH * len(item)), a + first, a + end), strict=True):
+                        column.append(value)
+            own = pa.array(out[0], pa.int64())
+            start = np.array(rows["start"], np.int64)[out[0]] if out[0] else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), batch.column("item_id").take(own), pa.array(out[1], pa.float64()), pa.array(start + np.array(out[2], np.int64)), pa.array(start + np.array(out[3], np.int64))], names=["doc_id", "item_id", "score", "first_word", "after_word"])
+
+    return run
 
 
 def _item_words(items: DataFrame) -> DataFrame:
@@ -185,20 +213,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SEED, thresh
     reach = int((runs.agg(F.max("words")).first()[0] or 0) * 3 // 2 + 8)
     seen = _frequencies(docs, spark.sparkContext.broadcast(_bitmap(runs).tobytes()), size)
 
-    own = Window.partitionBy("item")
-    ranked = runs.groupBy("item", "item_id", "run").agg(F.min("at").alias("at")).join(seen, "run", "left")
-    ranked = ranked.withColumn("rank", F.row_number().over(own.orderBy(F.coalesce("n_docs", F.lit(0)), "run"))).withColumn("many", F.count(F.lit(1)).over(own))
-    seeds = materialize(ranked.filter(F.col("rank") <= F.greatest(F.lit(LEAST_SEEDS), F.ceil(F.col("many") / 3))).select("run", "item", "item_id", "at"), "seeds")
+    places = runs.groupBy("item", "item_id", "run").agg(F.min("at").alias("at"), F.max("at").alias("last"))
+    seeds = materialize(places.join(seen, "run").select("run", "item", "item_id", "at", "last"), "seeds")
 
     cut = _passages(docs, spark.sparkContext.broadcast(_bitmap(seeds).tobytes()), size, reach)
     cut = materialize(cut.withColumn("passage", F.xxhash64("doc_id", "text_key", "start")), "passages")
     hits = cut.select("passage", F.explode("hits").alias("hit")).select("passage", F.col("hit.at").alias("place"), F.col("hit.run").alias("run"))
-    along = F.col("place") - F.col("at")
-    met = hits.join(seeds, "run").groupBy("passage", "item", "item_id").agg(F.min(along).alias("low"), F.max(along).alias("high"))
+    low, high = F.min(F.col("place") - F.col("last")), F.max(F.col("place") - F.col("at"))
+    met = hits.join(seeds, "run").groupBy("passage", "item", "item_id").agg(low.alias("low"), high.alias("high"))
     pairs = met.join(cut.select("passage", "doc_id", "start", "words"), "passage").join(_item_words(items.select("item", "text")), "item")
-    scored = pairs.select("doc_id", "item_id", "start", "words", "item_words", "low", "high").mapInArrow(_aligned, "doc_id long, item_id long, score double, first_word long, after_word long, enough boolean")
+    scored = pairs.select("doc_id", "item_id", "start", "words", "item_words", "low", "high").mapInArrow(_aligned(threshold), "doc_id long, item_id long, score double, first_word long, after_word long")
     best = F.struct("score", (-F.col("first_word")).alias("back"), "after_word")
-    found = scored.filter((F.col("score") >= threshold) & F.col("enough")).groupBy("doc_id", "item_id").agg(F.max(best).alias("best"))
+    found = scored.groupBy("doc_id", "item_id").agg(F.max(best).alias("best"))
     return found.select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.back")).alias("first_word"), F.col("best.after_word").alias("after_word"))
 
 
