@@ -26,6 +26,21 @@ def test_main_text(name):
     assert html.text_at(text, []) == want
 
 
+LONG = "The body of the story goes on for very much longer than what stands above it. " * 12
+WHOLE = {
+    "lead and body": (f'<article><h1>Title</h1><p class="lead">A short lead.</p><div class="body"><p>{LONG}</p></div></article>', f"Title A short lead. {LONG.strip()}"),
+    "two parts": (f'<main><div class="intro"><p>What it is about.</p></div><div class="content"><p>{LONG}</p></div></main>', f"What it is about. {LONG.strip()}"),
+    "plain parts": (f'<div id="content"><div class="one"><p>What it is about.</p></div><div class="two"><p>{LONG}</p></div></div>', f"What it is about. {LONG.strip()}"),
+    "list of links": (f'<div id="all"><div class="left"><ul><li><a href="/a">First</a><li><a href="/b">Second</a></ul></div><div class="text"><p>{LONG}</p></div></div>', LONG.strip()),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_all_parts_of_an_article_are_kept(name):
+    body, want = WHOLE[name]
+    assert html.text_at(page(body), []) == want
+
+
 def test_hosts_agree_on_paths(spark):
     good = '<div class="body-{}"><p>The story of page {} goes on for a while, and then it ends.</p></div>'
     odd = '<div class="body-9"><p>Tiny.</p></div><div class="promo2x"><p>A much longer text, that only this page of the host has, and no other one, here.</p></div>'

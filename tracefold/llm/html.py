@@ -1,10 +1,11 @@
 """Main text of web pages by paths that the pages of a host agree on.
 
-1. In each page the containers are scored by the prose below them, links apart; the best one's
-   path of tags and classes, with digits generalised, is the page's vote.
+1. In each page the containers are scored by the prose below them, links apart. From the best one
+   the page climbs to the article or main part that holds it, else as far as what is added is not
+   mostly links; the path of tags and classes there, with digits generalised, is the page's vote.
 2. Spark adds up the votes of each host; paths with a tenth of the best one's votes win too.
 3. Each page is read again with the winning paths of its host, most votes first; the first that
-   the page has gives its text. A page that has none of them keeps its own best container.
+   the page has gives its text. A page that has none of them keeps its own choice.
 
 What is in menus, footers, side bars, notices, adverts, forms, scripts or comments never counts,
 by its tag, role or the words of its class and id.
@@ -48,11 +49,11 @@ _NOT_WORD = re.compile(r"[^a-z]+")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "out", "link", "article", "score", "texts", "parent")
+    __slots__ = ("tag", "path", "out", "link", "article", "score", "texts", "parent", "size", "prose")
 
     def __init__(self, tag: str, parent, path: str, out: bool, link: bool, article: bool):
         self.tag, self.parent, self.path, self.out, self.link, self.article = tag, parent, path, out, link, article
-        self.score, self.texts = 0.0, None
+        self.score, self.texts, self.size, self.prose = 0.0, None, 0, 0
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -145,6 +146,7 @@ def read(html: str) -> list[_Element]:
         text = " ".join("".join(t for t, _ in held).split())
         if text:
             prose = sum(len(t.strip()) for t, link in held if not link)
+            links = sum(len(t.strip()) for t, link in held if link)
             own = block_of
             while own is not None and own.tag not in CONTAINERS and own.tag:
                 own = own.parent
@@ -156,6 +158,8 @@ def read(html: str) -> list[_Element]:
                         own.texts = []
                         containers[id(own)] = own
                     own.texts.append((order, text))
+                    own.size += prose + links
+                    own.prose += prose
                     own.score += share * prose * (1.5 if own.tag in ("article", "main") else 1.0)
                     share /= 2
                 own = own.parent
@@ -172,9 +176,29 @@ def read(html: str) -> list[_Element]:
     return list(containers.values())
 
 
+def main_part(found: list[_Element]) -> _Element:
+    """The whole text that the best-scored container belongs to: the nearest article or main, then
+    outer ones, or without any the containers around it below the body, while less than half of
+    the text that they add is links."""
+    own = max(found, key=lambda e: (e.score, e.path))
+    up = own
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    kinds = CONTAINERS - {"body"} if up is None else {"article", "main"}
+    own = up or own
+    up = own.parent
+    while up is not None:
+        if up.tag in kinds and up.size > own.size:
+            if 2 * (up.prose - own.prose) <= up.size - own.size:
+                break
+            own = up
+        up = up.parent
+    return own
+
+
 def best_path(html: str) -> str | None:
     found = read(html)
-    return max(found, key=lambda e: (e.score, e.path)).path if found else None
+    return main_part(found).path if found else None
 
 
 def text_at(html: str, paths: list[str]) -> str:
@@ -187,7 +211,7 @@ def text_at(html: str, paths: list[str]) -> str:
     if not found:
         plain = "".join(" " if t is None else t for _, t in walk(html))
         return " ".join(plain.split())
-    return " ".join(t for _, t in max(found, key=lambda e: (e.score, e.path)).texts)
+    return " ".join(t for _, t in main_part(found).texts)
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
