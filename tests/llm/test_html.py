@@ -41,6 +41,16 @@ def test_all_parts_of_an_article_are_kept(name):
     assert html.text_at(page(body), []) == want
 
 
+def test_a_path_that_one_page_votes_for_does_not_count(spark):
+    names = ["".join("abcdefghij"[int(c)] for c in str(k)) for k in range(300)]
+    rows = [(k, f"https://h.example/{k}", page(f'<div class="x{n}"><p>The story of page {k} is told here.</p></div>')) for k, n in enumerate(names)]
+    rows += [(1000, "https://h.example/b", page(f'<div class="xa"><p>Short.</p></div><div class="y"><p>{LONG}</p></div>'))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert all(got[k] == f"The story of page {k} is told here." for k in range(300))
+    assert got[1000] == LONG.strip()
+
+
 def test_hosts_agree_on_paths(spark):
     good = '<div class="body-{}"><p>The story of page {} goes on for a while, and then it ends.</p></div>'
     odd = '<div class="body-9"><p>Tiny.</p></div><div class="promo2x"><p>A much longer text, that only this page of the host has, and no other one, here.</p></div>'

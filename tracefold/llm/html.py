@@ -3,9 +3,9 @@
 1. In each page the containers are scored by the prose below them, links apart. From the best one
    the page climbs to the article or main part that holds it, else as far as what is added is not
    mostly links; the path of tags and classes there, with digits generalised, is the page's vote.
-2. Spark adds up the votes of each host; paths with a tenth of the best one's votes win too.
-3. Each page is read again with the winning paths of its host, most votes first; the first that
-   the page has gives its text. A page that has none of them keeps its own choice.
+2. Spark adds up the votes of each host; paths of two pages and a tenth of the best one's votes win.
+3. Of the winning paths that a page has, the one with most votes on its host gives its text. A page
+   that has none of them keeps its own choice.
 
 What is in menus, footers, side bars, notices, adverts, forms, scripts or comments never counts,
 by its tag, role or the words of its class and id.
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 # Names of HTML's tags and of usual page furniture.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
@@ -38,8 +40,8 @@ ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dir
 ENDED_BY = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 SCOPES = {"article", "main", "section", "div", "td", "th", "table", "body", "html", "nav", "aside", "footer", "header", "form", "blockquote"}
 
-#: Tasks over which the pages of one host are spread.
-SPREAD = 32
+#: Pages whose votes make a path count.
+LEAST_VOTES = 2
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][-a-zA-Z0-9_:.@]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -196,11 +198,6 @@ def main_part(found: list[_Element]) -> _Element:
     return own
 
 
-def best_path(html: str) -> str | None:
-    found = read(html)
-    return main_part(found).path if found else None
-
-
 def text_at(html: str, paths: list[str]) -> str:
     found = read(html)
     for path in paths:
@@ -214,29 +211,37 @@ def text_at(html: str, paths: list[str]) -> str:
     return " ".join(t for _, t in main_part(found).texts)
 
 
-def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        votes: dict[tuple[str, str], int] = {}
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            path = best_path(page.as_py())
-            if path is not None:
-                votes[host, path] = votes.get((host, path), 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.string()), pa.array(list(votes.values()), pa.int64())], names=["host", "path", "votes"])
+        out: list[list] = [[], [], []]
+        for k, page in enumerate(batch.column(2)):
+            found = read(page.as_py())
+            vote = main_part(found).path if found else None
+            for path in {e.path for e in found}:
+                for column, value in zip(out, (k, path, path == vote), strict=True):
+                    column.append(value)
+        own = pa.array(out[0], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(out[1], pa.string()), pa.array(out[2], pa.bool_())], names=["page", "host", "path", "vote"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [text_at(page.as_py(), paths or []) for page, paths in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
+        texts = [text_at(page.as_py(), [] if path is None else [path]) for page, path in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def host_paths(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
-    """(host, paths): the winning paths of each host, most votes first."""
-    votes = pages.select("host", "html").mapInArrow(_vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+def page_paths(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
+    """(page, path) for each page that has a winning path of its host. `pages`: (page, host, html).
+    No row holds more than one path."""
+    found = pages.select("page", "host", "html").mapInArrow(_candidates, "page long, host string, path string, vote boolean")
+    # The names of paths are kept where they are votes; elsewhere a hash stands for host and path.
+    found = materialize(found.select("page", F.xxhash64("host", "path").alias("place"), F.when(F.col("vote"), F.struct("host", "path")).alias("vote")), "paths")
+    votes = found.filter("vote IS NOT NULL").groupBy("place", F.col("vote.host").alias("host"), F.col("vote.path").alias("path")).agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= LEAST_VOTES)
     most = votes.groupBy("host").agg(F.max("votes").alias("most"))
-    won = votes.join(most, "host").filter(F.col("votes") >= F.col("most") * least_share)
-    ranked = won.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("less"), "path"))).alias("won"))
-    return ranked.select("host", F.col("won.path").alias("paths"))
+    # A table of its own, so that Spark may split a path of very many pages when it joins them.
+    won = materialize(votes.join(most, "host").filter(F.col("votes") >= F.col("most") * least_share).select("place", "votes", "path"), "votes")
+    first = F.min(F.struct((-F.col("votes")).alias("less"), "path"))
+    return found.select("page", "place").join(won, "place").groupBy("page").agg(first.alias("first")).select("page", F.col("first.path").alias("path"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -249,10 +254,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    # A host may have any share of the pages: its rows go to `SPREAD` tasks, its paths to each of them.
-    paths = host_paths(rows).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(SPREAD)).cast("int"))
-    chosen = dealt.join(paths, ["host", "part"], "left").select("page_id", "url", "html", "paths")
+    # Rows that repeat a page have its path.
+    rows = rows.withColumn("page", F.xxhash64("page_id", "url", "html"))
+    chosen = rows.join(page_paths(rows), "page", "left").select("page_id", "url", "html", "path")
     return chosen.mapInArrow(_extract, "page_id long, url string, text string")
 
 
