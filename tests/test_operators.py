@@ -188,3 +188,23 @@ def test_purge_refuses_active(spark):
 def test_withdrawn_decisions_leave_none(spark):
     rows = spark.createDataFrame([(1, 1, 1, "CONFIRMED"), (1, 2, 2, None), (2, 1, 3, "REJECTED"), (2, 1, 4, "CONFIRMED")], "subject int, decided_at int, seq int, decision string")
     assert [(r.subject, r.decision) for r in report.latest_decisions(rows, ["subject"]).collect()] == [(2, "CONFIRMED")]
+
+
+def test_documents_of_a_case_are_a_row_for_each_item(spark):
+    rows = spark.createDataFrame([("c", k, None if k == 3 else "n") for k in range(50)] + [(None, 1, "n")], "case_id string, id long, name string")
+    out = report.documents({"a": rows, "b": rows.limit(0)}, "case_id")
+    assert out.columns == ["case_id", "section", "item"]
+    got = {(r.case_id, r.section, r.item) for r in out.collect()}
+    assert len(got) == 51 and ("c", "a", '{"id":3}') in got and (None, "a", '{"id":1,"name":"n"}') in got
+
+
+def test_payloads_of_repositories_are_pages_of_bounded_size(spark, tmp_path, monkeypatch):
+    from tracefold.plans import payloads as plan
+
+    spark.range(4000).select(F.col("id").alias("p_partkey"), F.lit("t").alias("p_type")).write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(1, 21).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    seen, own = [], plan.ops.repositories
+    monkeypatch.setattr(plan.ops, "repositories", lambda lists, most: seen.append(lists) or own(lists, most))
+    plan.public_repositories(spark, str(tmp_path))
+    sizes = [r.n for r in seen[0].select(F.json_array_length("payload").alias("n")).collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 50

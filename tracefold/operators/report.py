@@ -62,12 +62,12 @@ def costs(calls: DataFrame, keys: list[str], budget: float) -> DataFrame:
 
 
 def documents(sections: dict[str, DataFrame], key: str) -> DataFrame:
-    """(key, section, items): each section's rows of a case as an array of structs in JSON. Sections
-    stay tables of their own; this is for cases whose report one reader opens."""
+    """(key, section, item): each row of a section as a struct in JSON, a row each, so that a case of
+    any size fits. Writers partition them by case and section."""
     out = None
     for name, rows in sections.items():
         columns = [c for c in rows.columns if c != key]
-        part = rows.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*columns)))).alias("items")).withColumn("section", F.lit(name))
+        part = rows.select(key, F.lit(name).alias("section"), F.to_json(F.struct(*columns)).alias("item"))
         out = part if out is None else out.unionByName(part)
     return out
 

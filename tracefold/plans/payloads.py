@@ -88,7 +88,8 @@ def security_headers(spark, d):
 def public_repositories(spark, d):
     rows = table(spark, d, "part").join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("p_partkey") % 20 + 1)
     one = F.struct(F.concat(F.lit("r"), "p_partkey").alias("full_name"), (F.col("p_partkey") % 4 == 0).alias("private"), F.struct(F.concat(F.lit("s"), "s_suppkey").alias("login")).alias("owner"), F.col("p_type").alias("pushed_at"))
-    lists = rows.groupBy("s_suppkey", F.col("p_partkey") % 10).agg(F.to_json(F.collect_list(one)).alias("payload"))
+    # An owner has every 20th part: pages of 50 repositories at most.
+    lists = rows.groupBy("s_suppkey", F.floor(F.col("p_partkey") / 1000)).agg(F.to_json(F.collect_list(one)).alias("payload"))
     return ops.repositories(lists, most=30).select("owner", "full_name")
 
 
