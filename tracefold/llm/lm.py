@@ -1,15 +1,16 @@
-"""Log-probabilities of documents by a weighted backoff automaton learned from all rows.
+"""Log-probabilities of documents by the weights of a backoff automaton learned from all rows.
 
-States are contexts of up to `order - 1` tokens. A state has an arc for each token that followed
+The automaton itself is not built: a lookup of n-gram counts and one vectorised formula replace it
+and give the same figures. In its terms: states are contexts of up to `order - 1` tokens. A state has an arc for each token that followed
 its context in training, weighing `(c(context token) + strength * p(token | shorter context)) /
 (c(context) + strength)`, and a failure arc to the state of the shorter context, weighing
 `strength / (c(context) + strength)`; the root's arcs are the additively smoothed token shares.
 So the weights of a state's tokens sum to one. A document is read from left to right, once, and
 the logarithms of the weights on its way are summed.
 
-The automaton is never in one place. Documents are dealt into blocks of about `BLOCK_BYTES` of
+The counts are never in one place. Documents are dealt into blocks of about `BLOCK_BYTES` of
 text; a block sends its distinct n-grams, with their training counts, as sorted hashes to shards
-of the automaton, one small binary for each shard. A shard sums the counts over blocks and
+of the counts, one small binary for each shard. A shard sums the counts over blocks and
 answers each block with the counts of the n-grams it asked for. Both a block and a shard fit in
 memory at any size of the input, since their number grows with it; a frequent word is one entry
 of a block, however often it occurs there.
