@@ -1,40 +1,54 @@
-"""Log-probabilities of documents by the weights of a backoff automaton learned from all rows.
-
-The automaton itself is not built: a lookup of n-gram counts and one vectorised formula replace it
-and give the same figures. In its terms: states are contexts of up to `order - 1` tokens. A state has an arc for each token that followed
-its context in training, weighing `(c(context token) + strength * p(token | shorter context)) /
-(c(context) + strength)`, and a failure arc to the state of the shorter context, weighing
-`strength / (c(context) + strength)`; the root's arcs are the additively smoothed token shares.
-So the weights of a state's tokens sum to one. A document is read from left to right, once, and
-the logarithms of the weights on its way are summed.
-
-The counts are never in one place. Documents are dealt into blocks of about `BLOCK_BYTES` of
-text; a block sends its distinct n-grams, with their training counts, as sorted hashes to shards
-of the counts, one small binary for each shard. A shard sums the counts over blocks and
-answers each block with the counts of the n-grams it asked for. Both a block and a shard fit in
-memory at any size of the input, since their number grows with it; a frequent word is one entry
-of a block, however often it occurs there.
+"""Log-probabilities of documents by a weighted backoff automaton learned from all rows.
+
+States are the contexts of up to `order - 1` tokens that occur in training. A state has an arc for
+each token that followed its context there, weighing `(c(context token) + s * p(token | shorter
+context)) / (c(context) + s)`, and a failure arc to the state of the shorter context, weighing
+`s / (c(context) + s)`; the root has an arc for every token, weighing its additively smoothed
+share. So the weights of what can follow a state sum to one. A text is read once from left to
+right: the state is carried along, failure arcs are taken until an arc fits, and the logarithms of
+the weights on the way are summed.
+
+The automaton is never in one place; each block of texts gets the part that its texts can reach.
+
+1. Texts are dealt into blocks of about `BLOCK_BYTES` and written once. A longer text goes on in
+   the next block, with the words that its state depends on repeated ahead of it.
+2. A block asks for the counts of its distinct n-grams: sorted hashes, cut into `FAN` ranges, with
+   its own training counts. That is `FAN` rows a block at any size of the input.
+3. A range sums the counts over blocks and answers each. Where a range would have more than
+   `MOST_KEYS` keys, teams of about `FAN` blocks first merge their keys of the range and ask as one
+   block would, in `FAN` finer ranges; their answers are then spread over the team. Rows stay `FAN`
+   for each block and level, and levels grow with the logarithm of the input.
+4. A block builds states, arcs and failure arcs from the counts, and its texts traverse them, in
+   lanes of `LANE` tokens that advance together. A lane inside a text first reads the `order - 1`
+   tokens before it, after which its state is the one that the whole text would have led to.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, materialize, mix, words
+from .common import IS_SPACE, is_held_out, materialize, mix, words
 
 BLOCK_BYTES = 6 << 20
-ORDER = 2
-STRENGTH = 200.0
+ORDER = 3
+#: Weight of the shorter context, for contexts of one token, two and so on; the last one goes on.
+STRENGTHS = (300.0, 5.0)
 ADDED = 0.1
+FAN_BITS = 6
+FAN = 1 << FAN_BITS
+MOST_KEYS = 6 << 20
+LANE = 512
 _END = np.uint64(0xE0D0E0D0E0D0E0D1)
-_BEGIN = np.array([0xB0A0B0A0B0A0B0A1], np.uint64)
+_BEGIN = np.uint64(0xB0A0B0A0B0A0B0A1)
 _STEP = np.uint64(0x9FB21C651E98DF25)
-_PACKED = pa.schema([("doc_id", pa.int64()), ("learn", pa.bool_()), ("text", pa.string())])
+#: The lowest bits of a key are the length of its n-gram; 0 is the begin of a text.
+_LENGTH_BITS = np.uint64(7)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -47,169 +61,365 @@ def _from_planes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch as one compressed Arrow stream for each block."""
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
-    for batch in batches:
-        block = batch.column(3).to_numpy(zero_copy_only=False)
-        order = np.argsort(block, kind="stable")
-        ids, first = np.unique(block[order], return_index=True)
-        sent = []
-        for low, high in zip(first, [*first[1:], len(order)], strict=True):
-            own = pa.RecordBatch.from_arrays(batch.columns[:3], schema=_PACKED).take(pa.array(order[low:high]))
+# --- blocks of texts ----------------------------------------------------------------------
+
+_PART = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("learn", pa.bool_()), ("lead", pa.int32()), ("begin", pa.bool_()), ("last", pa.bool_()), ("text", pa.binary())])
+
+
+def _parts(text: bytes, most: int, order: int) -> Iterator[tuple[int, bool, bool, bytes]]:
+    """(words that only lead in, whether the begin does too, whether the end follows, bytes)."""
+    at, lead, begin = 0, b"", True
+    while True:
+        cut = at + most
+        while cut < len(text) and not IS_SPACE[text[cut]]:
+            cut += 1
+        part = lead + text[at:cut]
+        yield len(lead.split()), begin, cut >= len(text), part
+        if cut >= len(text):
+            return
+        kept = part.rsplit(None, order - 1)[-(order - 1) :] if order > 1 else []
+        kept = [w for w in kept if w.strip()]
+        begin = begin and len(part.split(None, order - 1)) < order - 1 if order > 1 else False
+        lead = b"".join(w + b" " for w in kept)
+        at = cut
+
+
+def _n_words(data: bytes) -> int:
+    inside = ~IS_SPACE[np.frombuffer(data, np.uint8)]
+    return int(inside[:1].sum() + (inside[1:] & ~inside[:-1]).sum())
+
+
+def _deal(order: int, most: int):
+    """Blocks of consecutive rows as compressed Arrow streams: block, tokens, payload."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        part = TaskContext.get().partitionId()
+        row, block, size, held = part << 40, part << 32, 0, []
+
+        def packed() -> pa.RecordBatch:
+            own = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _PART, strict=True)], schema=_PART)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, _PACKED, options=options) as out:
+            with pa.ipc.new_stream(sink, _PART, options=options) as out:
                 out.write_batch(own)
-            sent.append(sink.getvalue().to_pybytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sent, pa.binary())], names=["block", "payload"])
+            tokens = sum(_n_words(x[6]) + 2 for x in held)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([tokens], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "tokens", "payload"])
 
+        for batch in batches:
+            for doc_id, learn, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                data = text.cast(pa.binary()).as_py()
+                for lead, begin, last, own in _parts(data, most, order):
+                    held.append((row, doc_id, learn, lead, begin, last, own))
+                    size += len(own)
+                    if size >= most:
+                        yield packed()
+                        block, size, held = block + 1, 0, []
+                row += 1
+        if held:
+            yield packed()
+
+    return run
 
-class _Block:
-    """Tokens of a block's documents and their n-grams."""
 
-    def __init__(self, payloads: list[bytes], order: int):
-        batches = [b for p in payloads for b in pa.ipc.open_stream(p)]
-        self.doc_ids = [i for b in batches for i in b.column(0).to_pylist()]
-        self.learn = np.array([x for b in batches for x in b.column(1).to_pylist()], bool)
+class _Block:
+    """Tokens of a block's texts and the distinct keys of their n-grams."""
+
+    def __init__(self, payload: bytes, order: int):
+        batch = next(iter(pa.ipc.open_stream(payload)))
+        self.row, self.doc_id = batch.column(0), batch.column(1)
+        self.learn = np.array(batch.column(2).to_pylist(), bool)
+        lead = batch.column(3).to_numpy().astype(np.int64)
+        begin, last = (np.array(batch.column(k).to_pylist(), bool) for k in (4, 5))
         tokens, sizes = [], []
-        for batch in batches:
-            for w in words(batch.column(2)):
-                n = np.diff(w.first)
-                at = np.arange(len(w.hash)) + np.repeat(np.arange(len(n)), n)
-                with_end = np.full(len(w.hash) + len(n), _END, np.uint64)
-                with_end[at] = w.hash
-                tokens.append(with_end)
-                sizes.append(n + 1)
-        sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-        self.first = np.concatenate(([0], np.cumsum(sizes)))
-        tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-        self.n_tokens = sizes
-        self.starts = np.zeros(len(tokens), bool)
-        self.starts[self.first[:-1]] = True
-        self.learned = np.repeat(self.learn, sizes)
-        #: For each order the distinct n-grams in ascending order, and each token's place there.
-        self.grams: list[np.ndarray] = []
-        self.place: list[np.ndarray] = []
-        context, history = tokens, _BEGIN
+        for w in words(batch.column(6)):
+            n, b, e = np.diff(w.first), begin[w.low : w.high].astype(np.int64), last[w.low : w.high].astype(np.int64)
+            size = n + b + e
+            first = np.concatenate(([0], np.cumsum(size)))
+            own = np.empty(first[-1], np.uint64)
+            own[np.arange(len(w.hash)) + np.repeat(first[:-1] + b - w.first[:-1], n)] = w.hash
+            own[first[:-1][b > 0]] = _BEGIN
+            own[first[1:][e > 0] - 1] = _END
+            tokens.append(own)
+            sizes.append(size)
+        self.sizes = np.concatenate(sizes)
+        self.first = np.concatenate(([0], np.cumsum(self.sizes)))
+        tokens = np.concatenate(tokens)
+        part = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        within = np.arange(len(tokens)) - self.first[part]
+        #: Positions that are this block's own to count and score; others lead in.
+        self.own = within >= (begin + lead)[part]
+        counted = (self.own | ((within == 0) & (begin & (lead == 0))[part])) & self.learn[part]
+        keys, at, gram = [], [], tokens
         for k in range(order):
             if k:
-                before = np.empty_like(context)
-                before[1:] = context[:-1]
-                before[self.starts] = history[0]
-                context = mix(before * _STEP + tokens)
-                history = mix(history * _STEP + _BEGIN)
-            distinct, place = np.unique(context, return_inverse=True)
-            self.grams.append(distinct)
-            self.place.append(place.astype(np.uint32))
+                longer = np.zeros_like(gram)
+                longer[1:] = mix(gram[:-1] * _STEP + tokens[1:])
+                gram = longer
+            here = np.flatnonzero(within >= k)
+            key = (gram[here] & ~_LENGTH_BITS) | np.uint64(k + 1)
+            if not k:
+                key[begin[part] & (within == 0)] = _BEGIN & ~_LENGTH_BITS
+            keys.append(key)
+            at.append(here)
+        self.keys, place = np.unique(np.concatenate(keys), return_inverse=True)
+        self.counts = np.bincount(place, weights=counted[np.concatenate(at)], minlength=len(self.keys)).astype(np.uint64)
+        #: For each length the place of the n-gram that ends at a position; -1 where there is none.
+        self.place, low = [], 0
+        for here in at:
+            own = np.full(len(tokens), -1, np.int64)
+            own[here] = place[low : low + len(here)]
+            self.place.append(own)
+            low += len(here)
+
+
+# --- counts over all blocks ---------------------------------------------------------------
+
+_ASK = "source long, range long, keys binary, counts binary"
+_ANSWER = "source long, range long, counts binary, tokens long, kinds long"
+
+
+def _pages(source: int, above: int, depth: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+    """One row for each finer range of `above`, empty ones too."""
+    shift = 64 - FAN_BITS * (depth + 1)
+    edges = np.array([((above << FAN_BITS | k) << shift) & ((1 << 64) - 1) for k in range(1, FAN)], np.uint64)
+    cuts = [0, *np.searchsorted(keys, edges), len(keys)]
+    return [(source, above << FAN_BITS | k, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(counts[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+
+
+def _page_table(rows: list[tuple]) -> dict:
+    return {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("source", pa.int64()), ("range", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())))}
+
+
+def _asks(order: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = _Block(payload.as_py(), order)
+                yield pa.RecordBatch.from_pydict(_page_table(_pages(block, 0, 0, own.keys, own.counts)))
+
+    return run
+
 
+def _merged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Each page's keys, all distinct ones, the place of each page's keys there, and their sums."""
+    lists = [np.cumsum(_from_planes(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("keys")]
+    distinct, place = np.unique(np.concatenate(lists), return_inverse=True)
+    weights = np.concatenate([_from_planes(x.as_py(), np.uint64) for x in table.column("counts")])
+    total = np.zeros(len(distinct), np.uint64)
+    np.add.at(total, place, weights)
+    return lists, distinct, place, total
 
-_ASK = "shard long, gram int, block long, keys binary, counts binary"
-_ANSWER = "shard long, gram int, block long, counts binary, tokens long, kinds long"
 
+def _answer_table(table: pa.Table, lists: list[np.ndarray], place: np.ndarray, total: np.ndarray, tokens: int, kinds: int) -> pa.Table:
+    cuts = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+    answers = [_planes(total[place[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    n = len(answers)
+    return pa.table([table.column("source"), table.column("range"), pa.array(answers, pa.binary()), pa.array([tokens] * n, pa.int64()), pa.array([kinds] * n, pa.int64())], names=["source", "range", "counts", "tokens", "kinds"])
 
-def _asks(order: int, shards: int):
+
+def _summed(table: pa.Table) -> pa.Table:
+    lists, distinct, place, total = _merged(table)
+    single = (distinct & _LENGTH_BITS) == 1
+    return _answer_table(table, lists, place, total, int(total[single].sum()), int((total[single] > 0).sum()))
+
+
+def _team_asks(depth: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        block = _Block(table.column("payload").to_pylist(), order)
-        out: list[list] = [[] for _ in range(5)]
-        edges = np.array([(k << 64) // shards for k in range(shards)], np.uint64)
-        for gram, (distinct, place) in enumerate(zip(block.grams, block.place, strict=True)):
-            counts = np.bincount(place[block.learned], minlength=len(distinct)).astype(np.uint32)
-            cuts = [*np.searchsorted(distinct, edges), len(distinct)]
-            for shard in range(shards):
-                low, high = cuts[shard], cuts[shard + 1]
-                if low < high:
-                    gaps = np.diff(distinct[low:high], prepend=np.uint64(0))
-                    for column, value in zip(out, (shard, gram, key[0].as_py(), _planes(gaps), _planes(counts[low:high])), strict=True):
-                        column.append(value)
-        return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "gram", "block", "keys", "counts"])
+        _, distinct, _, total = _merged(table)
+        return pa.table(_page_table(_pages(key[1].as_py(), key[0].as_py(), depth, distinct, total)))
 
     return run
 
 
-def _answers(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    grams, blocks = table.column("gram").to_numpy(), table.column("block").to_pylist()
-    keys, counts = table.column("keys"), table.column("counts")
-    out: list[list] = [[] for _ in range(6)]
-    for gram in np.unique(grams):
-        own = np.flatnonzero(grams == gram)
-        lists = [np.cumsum(_from_planes(keys[int(i)].as_py(), np.uint64), dtype=np.uint64) for i in own]
-        distinct, place = np.unique(np.concatenate(lists), return_inverse=True)
-        weights = np.concatenate([_from_planes(counts[int(i)].as_py(), np.uint32) for i in own])
-        total = np.bincount(place, weights=weights, minlength=len(distinct)).astype(np.uint64)
-        low = 0
-        for i, asked in zip(own, lists, strict=True):
-            high = low + len(asked)
-            answer = total[place[low:high]].astype(np.uint64)
-            low = high
-            for column, value in zip(out, (key[0].as_py(), int(gram), blocks[i], _planes(answer), 0, 0), strict=True):
-                column.append(value)
-        if gram == 0:
-            for column, value in zip(out, (key[0].as_py(), 0, -1, None, int(total.sum()), int((total > 0).sum())), strict=True):
-                column.append(value)
-    return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["shard", "gram", "block", "counts", "tokens", "kinds"])
-
-
-_SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-
-def _scores(order: int, strength: float, tokens: int, kinds: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        block = _Block(docs.column("payload").to_pylist(), order)
-        if not block.doc_ids:
-            return _SCORE.empty_table()
-        gram, shard, counts = answers.column("gram").to_numpy(), answers.column("shard").to_numpy(), answers.column("counts")
-        known = []
+def _spread(table: pa.Table, answers: pa.Table) -> pa.Table:
+    lists, distinct, place, _ = _merged(table)
+    order = np.argsort(answers.column("range").to_numpy(), kind="stable")
+    total = np.concatenate([_from_planes(answers.column("counts")[int(k)].as_py(), np.uint64) for k in order])
+    if len(total) != len(distinct):
+        raise RuntimeError("the answers are not those to this team's questions")
+    return _answer_table(table, lists, place, total, int(sum(answers.column("tokens").to_pylist())), int(sum(answers.column("kinds").to_pylist())))
+
+
+def levels_of(keys: int, most_keys: int) -> int:
+    """How often ranges are made finer until none has more than about `most_keys` keys."""
+    levels = 0
+    while keys > most_keys * FAN ** (levels + 1):
+        levels += 1
+    return levels
+
+
+def totals(asks: DataFrame, sources: int, levels: int, depth: int = 0) -> DataFrame:
+    """Answers (source, range, counts, tokens, kinds) to `asks`: for each page the counts of its
+    keys over all sources, with the number of all tokens and of distinct ones in the range."""
+    if not levels:
+        return asks.groupBy("range").applyInArrow(_summed, _ANSWER)
+    asks = materialize(asks, "asks")
+    teams = sources // FAN + 1
+    teamed = asks.withColumn("team", F.pmod(F.xxhash64("source", F.lit(depth)), F.lit(teams)))
+    finer = teamed.groupBy("range", "team").applyInArrow(_team_asks(depth + 1), _ASK)
+    answers = totals(finer, teams, levels - 1, depth + 1)
+    answers = answers.withColumn("above", F.shiftright("range", FAN_BITS)).withColumnRenamed("source", "team")
+    return teamed.groupBy("range", "team").cogroup(answers.groupBy("above", "team")).applyInArrow(_spread, _ANSWER)
+
+
+# --- automaton ----------------------------------------------------------------------------
+
+
+class Automaton:
+    """States, arcs and failure arcs for the n-grams of a block. A state's number is one more than
+    the place of its context among the block's keys; the root is 0."""
+
+    def __init__(self, block: _Block, counts: np.ndarray, tokens: int, kinds: int, strengths: Sequence[float]):
+        n, order = len(block.keys), len(block.place)
+        begin = (block.keys & _LENGTH_BITS) == 0
+        counts = counts.astype(np.float64)
+        self.root = np.where(begin, 1.0, (counts + ADDED) / (tokens + ADDED * (kinds + 1)))
+        weight, self.fail, self.fail_weight = self.root.copy(), np.zeros(n + 1, np.int64), np.zeros(n + 1)
+        arcs, sources, targets = [], [], []
         for k in range(order):
-            own = [i for i in np.argsort(shard, kind="stable") if gram[i] == k]
-            total = np.concatenate([_from_planes(counts[int(i)].as_py(), np.uint64) for i in own])
-            if len(total) != len(block.grams[k]):
+            at = np.flatnonzero(block.place[k] >= 0)
+            some = np.full(n, -1, np.int64)
+            some[block.place[k][at]] = at
+            gram = np.flatnonzero(some >= 0)
+            at = some[gram]  # one position where each n-gram of k + 1 tokens ends
+            shorter = block.place[k - 1][at] if k else None
+            if k:
+                context = block.place[k - 1][at - 1]
+                s = strengths[min(k, len(strengths)) - 1]
+                weight[gram] = (counts[gram] + s * weight[shorter]) / (counts[context] + s)
+                seen = counts[gram] > 0
+                arcs.append((context[seen] + 1) * n + block.place[0][at[seen]])
+                sources.append(gram[seen])
+                targets.append(gram[seen] + 1 if k + 1 < order else shorter[seen] + 1)
+            if k + 1 < order:
+                s = strengths[min(k + 1, len(strengths)) - 1]
+                self.fail[gram + 1] = shorter + 1 if k else 0
+                self.fail_weight[gram + 1] = np.log10(s / (counts[gram] + s))
+        self.n, self.order = n, order
+        self.root_target = np.where((counts > 0) & (order > 1), np.arange(n) + 1, 0)
+        self.root_weight = np.log10(self.root)
+        arcs = np.concatenate(arcs) if arcs else np.zeros(0, np.int64)
+        by = np.argsort(arcs)
+        self.arcs = arcs[by]
+        self.target = np.concatenate(targets)[by] if targets else arcs
+        self.weight = np.log10(weight[np.concatenate(sources)[by]]) if sources else np.zeros(0)
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and logarithms of the weights on the way, failure arcs included."""
+        weight, now, after = np.zeros(len(state)), state.copy(), np.zeros(len(state), np.int64)
+        open_ = np.flatnonzero(now)
+        for _ in range(self.order - 1):
+            if not len(open_):
+                break
+            want = now[open_] * self.n + token[open_]
+            at = np.searchsorted(self.arcs, want)
+            found = at < len(self.arcs)
+            found[found] = self.arcs[at[found]] == want[found]
+            done = open_[found]
+            weight[done] += self.weight[at[found]]
+            after[done] = self.target[at[found]]
+            now[done] = -1
+            open_ = open_[~found]
+            weight[open_] += self.fail_weight[now[open_]]
+            now[open_] = self.fail[now[open_]]
+            open_ = open_[now[open_] > 0]
+        root = np.flatnonzero(now == 0)
+        weight[root] += self.root_weight[token[root]]
+        after[root] = self.root_target[token[root]]
+        return after, weight
+
+    def traverse(self, block: _Block, lane: int = LANE) -> np.ndarray:
+        """The logarithm of each own token's weight; 0 for others."""
+        out = np.zeros(len(block.own))
+        token = block.place[0]
+        first, after = block.first[:-1], block.first[1:]
+        lead = np.add.reduceat(~block.own, first) if len(first) else first
+        begin = first + lead
+        many = np.maximum(1, -((begin - after) // lane))
+        part = np.repeat(np.arange(len(first)), many)
+        turn = np.arange(len(part)) - np.repeat(np.cumsum(many) - many, many)
+        start = begin[part] + turn * lane
+        end = np.minimum(start + lane, after[part])
+        low = np.where(turn == 0, first[part], np.maximum(first[part], start - (self.order - 1)))
+        by = np.argsort(low - end, kind="stable")
+        low, start, end = low[by], start[by], end[by]
+        length = end - low
+        state = np.zeros(len(low), np.int64)
+        for t in range(int(length[0]) if len(length) else 0):
+            k = int(np.searchsorted(-length, -t, "left"))
+            at = low[:k] + t
+            state[:k], weight = self.step(state[:k], token[at])
+            scored = at >= start[:k]
+            out[at[scored]] = weight[scored]
+        return out
+
+
+_SCORE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _scores(order: int, strengths: Sequence[float]):
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        for payload in blocks.column("payload"):
+            block = _Block(payload.as_py(), order)
+            by = np.argsort(answers.column("range").to_numpy(), kind="stable")
+            counts = np.concatenate([_from_planes(answers.column("counts")[int(k)].as_py(), np.uint64) for k in by])
+            if len(counts) != len(block.keys):
                 raise RuntimeError("the answers are not those to this block's questions")
-            known.append(total[block.place[k]].astype(np.float64))
-        sums = lambda x: np.add.reduceat(x, block.first[:-1])
-        root = (known[0] + ADDED) / (tokens + ADDED * (kinds + 1))
-        ends = known[0][block.first[1:] - 1]
-        weight = root
-        for k in range(1, order):
-            context = np.empty_like(root)
-            context[1:] = known[k - 1][:-1]
-            context[block.first[:-1]] = ends
-            # The arc where the context was followed by the token, else the failure arc and the shorter context's way.
-            weight = (known[k] + strength * weight) / (context + strength)
-        columns = {
-            "doc_id": pa.array(block.doc_ids, pa.int64()),
-            "held_out": pa.array(~block.learn),
-            "n_tokens": block.n_tokens,
-            "n_known": sums((known[0] > 0).astype(np.int64)),
-            "train_tokens": np.full(len(block.doc_ids), tokens),
-            "base_score": sums(np.log10(root)),
-            "score": sums(np.log10(weight)),
-        }
-        return pa.table([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in ((f, columns[f.name]) for f in _SCORE)], schema=_SCORE)
+            tokens, kinds = (int(sum(answers.column(c).to_pylist())) for c in ("tokens", "kinds"))
+            automaton = Automaton(block, counts, tokens, kinds, strengths)
+            own, token = block.own, block.place[0]
+            sums = lambda x: np.add.reduceat(x, block.first[:-1])
+            columns = {
+                "row": block.row,
+                "doc_id": block.doc_id,
+                "held_out": ~block.learn,
+                "n_tokens": sums(own.astype(np.int64)),
+                "n_known": sums((own & (counts[token] > 0)).astype(np.int64)),
+                "train_tokens": np.full(len(block.sizes), tokens),
+                "base_score": sums(np.where(own, automaton.root_weight[token], 0.0)),
+                "score": sums(automaton.traverse(block)),
+            }
+            out.append(pa.table([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in ((f, columns[f.name]) for f in _SCORE)], schema=_SCORE))
+        return pa.concat_tables(out) if out else _SCORE.empty_table()
 
     return run
 
 
-def score(docs: DataFrame, learn, order: int = ORDER, strength: float = STRENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def dealt(docs: DataFrame, learn, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The texts in blocks: block, tokens (at least as many as it has), payload."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), text.alias("text"))
+    return materialize(rows.mapInArrow(_deal(order, block_bytes), "block long, tokens long, payload binary"), "blocks")
+
+
+def score(docs: DataFrame, learn, order: int = ORDER, strengths: Sequence[float] = STRENGTHS, block_bytes: int = BLOCK_BYTES, most_keys: int = MOST_KEYS) -> DataFrame:
     """One row for each row of `docs` (doc_id, text; other columns are ignored). `learn` is a
     Column that is true where a row may be learned from.
 
     Tokens are the lower-cased words and one end; null is an empty text, whose only token is the
     end. Repeated rows count as often as they occur; a null doc_id is carried along. Where nothing
-    was learned, every token has the probability of an unknown one. An empty table gives an empty
-    table.
+    was learned, every token has the probability of an unknown one. Texts of any length are read
+    whole. An empty table gives an empty table. `order` is 1 to 6.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), text.alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = int(size // block_bytes) + 1
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).mapInArrow(_pack, "block long, payload binary")
-    asked = dealt.groupBy("block").applyInArrow(_asks(order, blocks), _ASK)
-    answered = materialize(asked.groupBy("shard").applyInArrow(_answers, _ANSWER), "counts")
-    totals = answered.filter("block < 0").agg(F.sum("tokens"), F.sum("kinds")).first()
-    tokens, kinds = (int(x or 0) for x in totals)
-    replies = answered.filter("block >= 0").select("block", "shard", "gram", "counts")
-    kinds_of = ", ".join(f"{f.name} {t}" for f, t in zip(_SCORE, ("long", "boolean", "long", "long", "long", "double", "double"), strict=True))
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scores(order, strength, tokens, kinds), kinds_of)
+    if not 1 <= order <= 6:
+        raise ValueError("order is 1 to 6")
+    blocks = dealt(docs, learn, order, block_bytes)
+    size = blocks.agg(F.sum("tokens"), F.count(F.lit(1))).first()
+    keys, many = order * int(size[0] or 0), int(size[1])
+    asks = blocks.select("block", "payload").mapInArrow(_asks(order), _ASK)
+    answers = totals(asks, many, levels_of(keys, most_keys))
+    kinds = ", ".join(f"{f.name} {t}" for f, t in zip(_SCORE, ("long", "long", "boolean", "long", "long", "long", "double", "double"), strict=True))
+    parts = blocks.select("block", "payload").groupBy("block").cogroup(answers.groupBy("source")).applyInArrow(_scores(order, tuple(strengths)), kinds)
+    # A text that goes on in further blocks has a row in each.
+    whole = parts.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("held_out").alias("held_out"),
+        *(F.sum(c).alias(c) for c in ("n_tokens", "n_known")),
+        F.first("train_tokens").alias("train_tokens"),
+        *(F.sum(c).alias(c) for c in ("base_score", "score")),
+    )
+    return whole.drop("row")
 
 
 def op9_lm_scoring(spark, sf_dir: str) -> DataFrame:
