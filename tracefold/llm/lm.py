@@ -10,13 +10,13 @@ the weights on the way are summed.
 
 The automaton is never in one place; each block of texts gets the part that its texts can reach.
 
-1. Texts are dealt into blocks of about `BLOCK_BYTES` and written once. A longer text goes on in
-   the next block, with the words that its state depends on repeated ahead of it.
-2. A block asks for the counts of its distinct n-grams: sorted hashes, cut into `FAN` ranges, with
-   its own training counts. That is `FAN` rows a block at any size of the input.
+1. Texts are dealt into blocks of about `BLOCK_BYTES`. A longer text goes on in the next block,
+   with the words that its state depends on repeated ahead of it.
+2. A block asks for the counts of its distinct n-grams: sorted hashes, cut into `fan` ranges, with
+   its own training counts. That is `fan` rows a block at any size of the input.
 3. A range sums the counts over blocks and answers each. Where a range would have more than
-   `MOST_KEYS` keys, teams of about `FAN` blocks first merge their keys of the range and ask as one
-   block would, in `FAN` finer ranges; their answers are then spread over the team. Rows stay `FAN`
+   `MOST_KEYS` keys, teams of about `fan` blocks first merge their keys of the range and ask as one
+   block would, in `fan` finer ranges; their answers are then spread over the team. Rows stay `fan`
    for each block and level, and levels grow with the logarithm of the input.
 4. A block builds states, arcs and failure arcs from the counts, and its texts traverse them, in
    lanes of `LANE` tokens that advance together. A lane inside a text first reads the `order - 1`
@@ -29,36 +29,44 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import IS_SPACE, is_held_out, materialize, mix, words
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 ORDER = 3
 #: Weight of the shorter context, for contexts of one token, two and so on; the last one goes on.
 STRENGTHS = (300.0, 5.0)
 ADDED = 0.1
-FAN_BITS = 6
-FAN = 1 << FAN_BITS
+#: A block's keys are cut into `1 << FAN_BITS` ranges.
+FAN_BITS = 7
 MOST_KEYS = 6 << 20
+#: Bytes of text for which a range expects one key of each length.
+KEY_BYTES = 8
 LANE = 512
 _END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _BEGIN = np.uint64(0xB0A0B0A0B0A0B0A1)
 _STEP = np.uint64(0x9FB21C651E98DF25)
-#: The lowest bits of a key are the length of its n-gram; 0 is the begin of a text.
-_LENGTH_BITS = np.uint64(7)
+#: The lowest bits of a key are the length of its n-gram; 0 is the begin of a text. The highest of
+#: them is set while counting, for what is learned.
+_LOW_BITS, _LENGTH_BITS, _LEARNED = np.uint64(15), np.uint64(7), np.uint64(8)
+_ZIP, _UNZIP = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of integers, all first bytes first: what is mostly zero then compresses well."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
+def _packed(x: np.ndarray) -> bytes:
+    """Unsigned 64-bit integers, all first bytes first and compressed."""
+    return _ZIP.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), 8).T).tobytes())
 
 
-def _from_planes(data: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).reshape(-1).view(kind)
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_UNZIP.decompress(data), np.uint8).reshape(8, -1).T).reshape(-1).view(np.uint64)
+
+
+def _gaps(keys: np.ndarray) -> bytes:
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
 
 
 # --- blocks of texts ----------------------------------------------------------------------
@@ -84,13 +92,8 @@ def _parts(text: bytes, most: int, order: int) -> Iterator[tuple[int, bool, bool
         at = cut
 
 
-def _n_words(data: bytes) -> int:
-    inside = ~IS_SPACE[np.frombuffer(data, np.uint8)]
-    return int(inside[:1].sum() + (inside[1:] & ~inside[:-1]).sum())
-
-
 def _deal(order: int, most: int):
-    """Blocks of consecutive rows as compressed Arrow streams: block, tokens, payload."""
+    """Blocks of consecutive rows as compressed Arrow streams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -102,8 +105,7 @@ def _deal(order: int, most: int):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, _PART, options=options) as out:
                 out.write_batch(own)
-            tokens = sum(_n_words(x[6]) + 2 for x in held)
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([tokens], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "tokens", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
 
         for batch in batches:
             for doc_id, learn, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -122,7 +124,7 @@ def _deal(order: int, most: int):
 
 
 class _Block:
-    """Tokens of a block's texts and the distinct keys of their n-grams."""
+    """Tokens of a block's texts and the keys of their n-grams."""
 
     def __init__(self, payload: bytes, order: int):
         batch = next(iter(pa.ipc.open_stream(payload)))
@@ -148,28 +150,39 @@ class _Block:
         within = np.arange(len(tokens)) - self.first[part]
         #: Positions that are this block's own to count and score; others lead in.
         self.own = within >= (begin + lead)[part]
-        counted = (self.own | ((within == 0) & (begin & (lead == 0))[part])) & self.learn[part]
-        keys, at, gram = [], [], tokens
+        self._counted = (self.own | ((within == 0) & (begin & (lead == 0))[part])) & self.learn[part]
+        #: For each length the positions where an n-gram ends, and its key.
+        self._at, self._keys, gram = [], [], tokens
         for k in range(order):
             if k:
                 longer = np.zeros_like(gram)
                 longer[1:] = mix(gram[:-1] * _STEP + tokens[1:])
                 gram = longer
             here = np.flatnonzero(within >= k)
-            key = (gram[here] & ~_LENGTH_BITS) | np.uint64(k + 1)
+            key = (gram[here] & ~_LOW_BITS) | np.uint64(k + 1)
             if not k:
-                key[begin[part] & (within == 0)] = _BEGIN & ~_LENGTH_BITS
-            keys.append(key)
-            at.append(here)
-        self.keys, place = np.unique(np.concatenate(keys), return_inverse=True)
-        self.counts = np.bincount(place, weights=counted[np.concatenate(at)], minlength=len(self.keys)).astype(np.uint64)
-        #: For each length the place of the n-gram that ends at a position; -1 where there is none.
-        self.place, low = [], 0
-        for here in at:
-            own = np.full(len(tokens), -1, np.int64)
-            own[here] = place[low : low + len(here)]
-            self.place.append(own)
-            low += len(here)
+                key[begin[part] & (within == 0)] = _BEGIN & ~_LOW_BITS
+            self._at.append(here)
+            self._keys.append(key)
+
+    def questions(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys in ascending order and how often this block learns each."""
+        keys = np.concatenate([k | self._counted[at] * _LEARNED for k, at in zip(self._keys, self._at, strict=True)])
+        keys.sort()
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] & ~_LEARNED != keys[:-1] & ~_LEARNED)))
+        return keys[first] & ~_LEARNED, np.add.reduceat((keys & _LEARNED) // _LEARNED, first)
+
+    def places(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The distinct keys, and for each length the place among them of the n-gram that ends at
+        a position; -1 where there is none."""
+        keys, place = np.unique(np.concatenate(self._keys), return_inverse=True)
+        out, low = [], 0
+        for at in self._at:
+            own = np.full(len(self.own), -1, np.int32)
+            own[at] = place[low : low + len(at)]
+            out.append(own)
+            low += len(at)
+        return keys, out
 
 
 # --- counts over all blocks ---------------------------------------------------------------
@@ -178,87 +191,94 @@ _ASK = "source long, range long, keys binary, counts binary"
 _ANSWER = "source long, range long, counts binary, tokens long, kinds long"
 
 
-def _pages(source: int, above: int, depth: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+def _pages(source: int, above: int, depth: int, keys: np.ndarray, counts: np.ndarray, fan_bits: int) -> list[tuple]:
     """One row for each finer range of `above`, empty ones too."""
-    shift = 64 - FAN_BITS * (depth + 1)
-    edges = np.array([((above << FAN_BITS | k) << shift) & ((1 << 64) - 1) for k in range(1, FAN)], np.uint64)
+    shift = 64 - fan_bits * (depth + 1)
+    edges = np.array([(above << fan_bits | k) << shift for k in range(1, 1 << fan_bits)], np.uint64)
     cuts = [0, *np.searchsorted(keys, edges), len(keys)]
-    return [(source, above << FAN_BITS | k, _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(counts[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    return [(source, above << fan_bits | k, _gaps(keys[a:b]), _packed(counts[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
 
 def _page_table(rows: list[tuple]) -> dict:
     return {n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate((("source", pa.int64()), ("range", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())))}
 
 
-def _asks(order: int):
+def _asks(order: int, fan_bits: int = FAN_BITS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = _Block(payload.as_py(), order)
-                yield pa.RecordBatch.from_pydict(_page_table(_pages(block, 0, 0, own.keys, own.counts)))
+                yield pa.RecordBatch.from_pydict(_page_table(_pages(block, 0, 0, *own.questions(), fan_bits)))
 
     return run
 
 
-def _merged(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Each page's keys, all distinct ones, the place of each page's keys there, and their sums."""
-    lists = [np.cumsum(_from_planes(x.as_py(), np.uint64), dtype=np.uint64) for x in table.column("keys")]
-    distinct, place = np.unique(np.concatenate(lists), return_inverse=True)
-    weights = np.concatenate([_from_planes(x.as_py(), np.uint64) for x in table.column("counts")])
-    total = np.zeros(len(distinct), np.uint64)
-    np.add.at(total, place, weights)
-    return lists, distinct, place, total
+def _merged(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """All distinct keys, the places of each page's keys there, and their sums."""
+    lists = [np.cumsum(_unpacked(x.as_py()), dtype=np.uint64) for x in table.column("keys")]
+    distinct = np.sort(np.concatenate(lists))
+    if len(distinct):
+        distinct = distinct[np.concatenate(([True], distinct[1:] != distinct[:-1]))]
+    total, places = np.zeros(len(distinct), np.uint64), []
+    for k, keys in enumerate(lists):
+        places.append(np.searchsorted(distinct, keys).astype(np.int32))
+        lists[k] = None
+        total[places[-1]] += _unpacked(table.column("counts")[k].as_py())
+    return distinct, places, total
 
 
-def _answer_table(table: pa.Table, lists: list[np.ndarray], place: np.ndarray, total: np.ndarray, tokens: int, kinds: int) -> pa.Table:
-    cuts = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
-    answers = [_planes(total[place[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
-    n = len(answers)
+def _answer_table(table: pa.Table, places: list[np.ndarray], total: np.ndarray, tokens: int, kinds: int) -> pa.Table:
+    answers, n = [_packed(total[p]) for p in places], len(places)
     return pa.table([table.column("source"), table.column("range"), pa.array(answers, pa.binary()), pa.array([tokens] * n, pa.int64()), pa.array([kinds] * n, pa.int64())], names=["source", "range", "counts", "tokens", "kinds"])
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    lists, distinct, place, total = _merged(table)
+    distinct, places, total = _merged(table)
     single = (distinct & _LENGTH_BITS) == 1
-    return _answer_table(table, lists, place, total, int(total[single].sum()), int((total[single] > 0).sum()))
+    return _answer_table(table, places, total, int(total[single].sum()), int((total[single] > 0).sum()))
 
 
-def _team_asks(depth: int):
+def _team_asks(depth: int, fan_bits: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, distinct, _, total = _merged(table)
-        return pa.table(_page_table(_pages(key[1].as_py(), key[0].as_py(), depth, distinct, total)))
+        distinct, _, total = _merged(table)
+        return pa.table(_page_table(_pages(key[1].as_py(), key[0].as_py(), depth, distinct, total, fan_bits)))
 
     return run
 
 
+def _counts_of(answers: pa.Table, keys: int) -> tuple[np.ndarray, int, int]:
+    """The counts of a source's keys in ascending order, all tokens and all distinct ones."""
+    by = np.argsort(answers.column("range").to_numpy(), kind="stable")
+    total = np.concatenate([_unpacked(answers.column("counts")[int(k)].as_py()) for k in by])
+    if len(total) != keys:
+        raise RuntimeError("the answers are not those to this source's questions")
+    return total, int(sum(answers.column("tokens").to_pylist())), int(sum(answers.column("kinds").to_pylist()))
+
+
 def _spread(table: pa.Table, answers: pa.Table) -> pa.Table:
-    lists, distinct, place, _ = _merged(table)
-    order = np.argsort(answers.column("range").to_numpy(), kind="stable")
-    total = np.concatenate([_from_planes(answers.column("counts")[int(k)].as_py(), np.uint64) for k in order])
-    if len(total) != len(distinct):
-        raise RuntimeError("the answers are not those to this team's questions")
-    return _answer_table(table, lists, place, total, int(sum(answers.column("tokens").to_pylist())), int(sum(answers.column("kinds").to_pylist())))
+    distinct, places, _ = _merged(table)
+    return _answer_table(table, places, *_counts_of(answers, len(distinct)))
 
 
-def levels_of(keys: int, most_keys: int) -> int:
+def levels_of(keys: int, most_keys: int, fan_bits: int = FAN_BITS) -> int:
     """How often ranges are made finer until none has more than about `most_keys` keys."""
     levels = 0
-    while keys > most_keys * FAN ** (levels + 1):
+    while keys > most_keys << fan_bits * (levels + 1):
         levels += 1
     return levels
 
 
-def totals(asks: DataFrame, sources: int, levels: int, depth: int = 0) -> DataFrame:
+def totals(asks: DataFrame, sources: int, levels: int, fan_bits: int, depth: int = 0) -> DataFrame:
     """Answers (source, range, counts, tokens, kinds) to `asks`: for each page the counts of its
     keys over all sources, with the number of all tokens and of distinct ones in the range."""
     if not levels:
         return asks.groupBy("range").applyInArrow(_summed, _ANSWER)
     asks = materialize(asks, "asks")
-    teams = sources // FAN + 1
+    teams = (sources >> fan_bits) + 1
     teamed = asks.withColumn("team", F.pmod(F.xxhash64("source", F.lit(depth)), F.lit(teams)))
-    finer = teamed.groupBy("range", "team").applyInArrow(_team_asks(depth + 1), _ASK)
-    answers = totals(finer, teams, levels - 1, depth + 1)
-    answers = answers.withColumn("above", F.shiftright("range", FAN_BITS)).withColumnRenamed("source", "team")
+    finer = teamed.groupBy("range", "team").applyInArrow(_team_asks(depth + 1, fan_bits), _ASK)
+    answers = totals(finer, teams, levels - 1, fan_bits, depth + 1)
+    answers = answers.withColumn("above", F.shiftright("range", fan_bits)).withColumnRenamed("source", "team")
     return teamed.groupBy("range", "team").cogroup(answers.groupBy("above", "team")).applyInArrow(_spread, _ANSWER)
 
 
@@ -269,35 +289,37 @@ class Automaton:
     """States, arcs and failure arcs for the n-grams of a block. A state's number is one more than
     the place of its context among the block's keys; the root is 0."""
 
-    def __init__(self, block: _Block, counts: np.ndarray, tokens: int, kinds: int, strengths: Sequence[float]):
-        n, order = len(block.keys), len(block.place)
-        begin = (block.keys & _LENGTH_BITS) == 0
-        counts = counts.astype(np.float64)
-        self.root = np.where(begin, 1.0, (counts + ADDED) / (tokens + ADDED * (kinds + 1)))
-        weight, self.fail, self.fail_weight = self.root.copy(), np.zeros(n + 1, np.int64), np.zeros(n + 1)
+    def __init__(self, block: _Block, answers: pa.Table, strengths: Sequence[float]):
+        keys, place = block.places()
+        n, order = len(keys), len(place)
+        begin = (keys & _LENGTH_BITS) == 0
+        self.counts, self.tokens, kinds = _counts_of(answers, n)
+        counts, tokens = self.counts.astype(np.float64), self.tokens
+        root = np.where(begin, 1.0, (counts + ADDED) / (tokens + ADDED * (kinds + 1)))
+        weight, self.fail, self.fail_weight = root.copy(), np.zeros(n + 1, np.int64), np.zeros(n + 1)
         arcs, sources, targets = [], [], []
         for k in range(order):
-            at = np.flatnonzero(block.place[k] >= 0)
+            at = np.flatnonzero(place[k] >= 0)
             some = np.full(n, -1, np.int64)
-            some[block.place[k][at]] = at
+            some[place[k][at]] = at
             gram = np.flatnonzero(some >= 0)
             at = some[gram]  # one position where each n-gram of k + 1 tokens ends
-            shorter = block.place[k - 1][at] if k else None
+            shorter = place[k - 1][at] if k else None
             if k:
-                context = block.place[k - 1][at - 1]
+                context = place[k - 1][at - 1]
                 s = strengths[min(k, len(strengths)) - 1]
                 weight[gram] = (counts[gram] + s * weight[shorter]) / (counts[context] + s)
                 seen = counts[gram] > 0
-                arcs.append((context[seen] + 1) * n + block.place[0][at[seen]])
+                arcs.append((context[seen].astype(np.int64) + 1) * n + place[0][at[seen]])
                 sources.append(gram[seen])
                 targets.append(gram[seen] + 1 if k + 1 < order else shorter[seen] + 1)
             if k + 1 < order:
                 s = strengths[min(k + 1, len(strengths)) - 1]
                 self.fail[gram + 1] = shorter + 1 if k else 0
                 self.fail_weight[gram + 1] = np.log10(s / (counts[gram] + s))
-        self.n, self.order = n, order
+        self.n, self.order, self.token = n, order, place[0].astype(np.int64)
         self.root_target = np.where((counts > 0) & (order > 1), np.arange(n) + 1, 0)
-        self.root_weight = np.log10(self.root)
+        self.root_weight = np.log10(root)
         arcs = np.concatenate(arcs) if arcs else np.zeros(0, np.int64)
         by = np.argsort(arcs)
         self.arcs = arcs[by]
@@ -331,7 +353,7 @@ class Automaton:
     def traverse(self, block: _Block, lane: int = LANE) -> np.ndarray:
         """The logarithm of each own token's weight; 0 for others."""
         out = np.zeros(len(block.own))
-        token = block.place[0]
+        token = self.token
         first, after = block.first[:-1], block.first[1:]
         lead = np.add.reduceat(~block.own, first) if len(first) else first
         begin = first + lead
@@ -362,20 +384,15 @@ def _scores(order: int, strengths: Sequence[float]):
         out = []
         for payload in blocks.column("payload"):
             block = _Block(payload.as_py(), order)
-            by = np.argsort(answers.column("range").to_numpy(), kind="stable")
-            counts = np.concatenate([_from_planes(answers.column("counts")[int(k)].as_py(), np.uint64) for k in by])
-            if len(counts) != len(block.keys):
-                raise RuntimeError("the answers are not those to this block's questions")
-            tokens, kinds = (int(sum(answers.column(c).to_pylist())) for c in ("tokens", "kinds"))
-            automaton = Automaton(block, counts, tokens, kinds, strengths)
-            own, token = block.own, block.place[0]
+            automaton = Automaton(block, answers, strengths)
+            own, token, tokens = block.own, automaton.token, automaton.tokens
             sums = lambda x: np.add.reduceat(x, block.first[:-1])
             columns = {
                 "row": block.row,
                 "doc_id": block.doc_id,
                 "held_out": ~block.learn,
                 "n_tokens": sums(own.astype(np.int64)),
-                "n_known": sums((own & (counts[token] > 0)).astype(np.int64)),
+                "n_known": sums((own & (automaton.counts[token] > 0)).astype(np.int64)),
                 "train_tokens": np.full(len(block.sizes), tokens),
                 "base_score": sums(np.where(own, automaton.root_weight[token], 0.0)),
                 "score": sums(automaton.traverse(block)),
@@ -387,13 +404,12 @@ def _scores(order: int, strengths: Sequence[float]):
 
 
 def dealt(docs: DataFrame, learn, order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The texts in blocks: block, tokens (at least as many as it has), payload."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), text.alias("text"))
-    return materialize(rows.mapInArrow(_deal(order, block_bytes), "block long, tokens long, payload binary"), "blocks")
+    """The texts in blocks: block, payload. `docs`: (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(_deal(order, block_bytes), "block long, payload binary")
 
 
-def score(docs: DataFrame, learn, order: int = ORDER, strengths: Sequence[float] = STRENGTHS, block_bytes: int = BLOCK_BYTES, most_keys: int = MOST_KEYS) -> DataFrame:
+def score(docs: DataFrame, learn, order: int = ORDER, strengths: Sequence[float] = STRENGTHS, block_bytes: int = BLOCK_BYTES, most_keys: int = MOST_KEYS, fan_bits: int = FAN_BITS) -> DataFrame:
     """One row for each row of `docs` (doc_id, text; other columns are ignored). `learn` is a
     Column that is true where a row may be learned from.
 
@@ -404,13 +420,16 @@ def score(docs: DataFrame, learn, order: int = ORDER, strengths: Sequence[float]
     """
     if not 1 <= order <= 6:
         raise ValueError("order is 1 to 6")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    levels = levels_of(order * size // KEY_BYTES, most_keys, fan_bits)
     blocks = dealt(docs, learn, order, block_bytes)
-    size = blocks.agg(F.sum("tokens"), F.count(F.lit(1))).first()
-    keys, many = order * int(size[0] or 0), int(size[1])
-    asks = blocks.select("block", "payload").mapInArrow(_asks(order), _ASK)
-    answers = totals(asks, many, levels_of(keys, most_keys))
+    if levels:  # several jobs then read the blocks
+        blocks = materialize(blocks, "blocks")
+    # Both the questions and the traversal start from this one exchange.
+    blocks = blocks.repartition("block")
+    answers = totals(blocks.mapInArrow(_asks(order, fan_bits), _ASK), size // block_bytes + 1, levels, fan_bits)
     kinds = ", ".join(f"{f.name} {t}" for f, t in zip(_SCORE, ("long", "long", "boolean", "long", "long", "long", "double", "double"), strict=True))
-    parts = blocks.select("block", "payload").groupBy("block").cogroup(answers.groupBy("source")).applyInArrow(_scores(order, tuple(strengths)), kinds)
+    parts = blocks.groupBy("block").cogroup(answers.groupBy("source")).applyInArrow(_scores(order, tuple(strengths)), kinds)
     # A text that goes on in further blocks has a row in each.
     whole = parts.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
