@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import IS_SPACE, is_held_out, materialize, mix, words
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 5 << 20
 ORDER = 3
 #: Weight of the shorter context, for contexts of one token, two and so on; the last one goes on.
 STRENGTHS = (300.0, 5.0)
@@ -93,19 +93,19 @@ def _parts(text: bytes, most: int, order: int) -> Iterator[tuple[int, bool, bool
 
 
 def _deal(order: int, most: int):
-    """Blocks of consecutive rows as compressed Arrow streams."""
+    """Blocks of consecutive rows as Arrow streams, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
         part = TaskContext.get().partitionId()
         row, block, size, held = part << 40, part << 32, 0, []
 
         def packed() -> pa.RecordBatch:
             own = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _PART, strict=True)], schema=_PART)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, _PART, options=options) as out:
+            with pa.ipc.new_stream(sink, _PART) as out:
                 out.write_batch(own)
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "payload"])
+            payload = zstandard.ZstdCompressor(level=6).compress(sink.getvalue())
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([payload], pa.binary())], names=["block", "payload"])
 
         for batch in batches:
             for doc_id, learn, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -127,7 +127,7 @@ class _Block:
     """Tokens of a block's texts and the keys of their n-grams."""
 
     def __init__(self, payload: bytes, order: int):
-        batch = next(iter(pa.ipc.open_stream(payload)))
+        batch = next(iter(pa.ipc.open_stream(_UNZIP.decompress(payload))))
         self.row, self.doc_id = batch.column(0), batch.column(1)
         self.learn = np.array(batch.column(2).to_pylist(), bool)
         lead = batch.column(3).to_numpy().astype(np.int64)
@@ -172,17 +172,18 @@ class _Block:
         first = np.flatnonzero(np.concatenate(([True], keys[1:] & ~_LEARNED != keys[:-1] & ~_LEARNED)))
         return keys[first] & ~_LEARNED, np.add.reduceat((keys & _LEARNED) // _LEARNED, first)
 
-    def places(self) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The distinct keys, and for each length the place among them of the n-gram that ends at
-        a position; -1 where there is none."""
+    def places(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The distinct keys, how often this block learns each, and for each length the place
+        among them of the n-gram that ends at a position; -1 where there is none."""
         keys, place = np.unique(np.concatenate(self._keys), return_inverse=True)
+        learned = np.bincount(place, weights=np.concatenate([self._counted[at] for at in self._at]), minlength=len(keys)).astype(np.uint64)
         out, low = [], 0
         for at in self._at:
             own = np.full(len(self.own), -1, np.int32)
             own[at] = place[low : low + len(at)]
             out.append(own)
             low += len(at)
-        return keys, out
+        return keys, learned, out
 
 
 # --- counts over all blocks ---------------------------------------------------------------
@@ -213,41 +214,42 @@ def _asks(order: int, fan_bits: int = FAN_BITS):
     return run
 
 
-def _merged(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """All distinct keys, the places of each page's keys there, and their sums."""
+def _merged(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[bytes], np.ndarray]:
+    """All distinct keys, the places of each page's keys there, each page's counts, and the sums."""
     lists = [np.cumsum(_unpacked(x.as_py()), dtype=np.uint64) for x in table.column("keys")]
     distinct = np.sort(np.concatenate(lists))
     if len(distinct):
         distinct = distinct[np.concatenate(([True], distinct[1:] != distinct[:-1]))]
-    total, places = np.zeros(len(distinct), np.uint64), []
+    total, places, counts = np.zeros(len(distinct), np.uint64), [], table.column("counts").to_pylist()
     for k, keys in enumerate(lists):
         places.append(np.searchsorted(distinct, keys).astype(np.int32))
         lists[k] = None
-        total[places[-1]] += _unpacked(table.column("counts")[k].as_py())
-    return distinct, places, total
+        total[places[-1]] += _unpacked(counts[k])
+    return distinct, places, counts, total
 
 
-def _answer_table(table: pa.Table, places: list[np.ndarray], total: np.ndarray, tokens: int, kinds: int) -> pa.Table:
-    answers, n = [_packed(total[p]) for p in places], len(places)
+def _answer_table(table: pa.Table, places: list[np.ndarray], counts: list[bytes], total: np.ndarray, tokens: int, kinds: int) -> pa.Table:
+    """What a page's keys count elsewhere, which is less to send than their sums."""
+    answers, n = [_packed(total[p] - _unpacked(c)) for p, c in zip(places, counts, strict=True)], len(places)
     return pa.table([table.column("source"), table.column("range"), pa.array(answers, pa.binary()), pa.array([tokens] * n, pa.int64()), pa.array([kinds] * n, pa.int64())], names=["source", "range", "counts", "tokens", "kinds"])
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    distinct, places, total = _merged(table)
+    distinct, places, counts, total = _merged(table)
     single = (distinct & _LENGTH_BITS) == 1
-    return _answer_table(table, places, total, int(total[single].sum()), int((total[single] > 0).sum()))
+    return _answer_table(table, places, counts, total, int(total[single].sum()), int((total[single] > 0).sum()))
 
 
 def _team_asks(depth: int, fan_bits: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        distinct, _, total = _merged(table)
+        distinct, _, _, total = _merged(table)
         return pa.table(_page_table(_pages(key[1].as_py(), key[0].as_py(), depth, distinct, total, fan_bits)))
 
     return run
 
 
 def _counts_of(answers: pa.Table, keys: int) -> tuple[np.ndarray, int, int]:
-    """The counts of a source's keys in ascending order, all tokens and all distinct ones."""
+    """What a source's keys, in ascending order, count elsewhere; all tokens and all distinct ones."""
     by = np.argsort(answers.column("range").to_numpy(), kind="stable")
     total = np.concatenate([_unpacked(answers.column("counts")[int(k)].as_py()) for k in by])
     if len(total) != keys:
@@ -256,8 +258,9 @@ def _counts_of(answers: pa.Table, keys: int) -> tuple[np.ndarray, int, int]:
 
 
 def _spread(table: pa.Table, answers: pa.Table) -> pa.Table:
-    distinct, places, _ = _merged(table)
-    return _answer_table(table, places, *_counts_of(answers, len(distinct)))
+    distinct, places, counts, total = _merged(table)
+    others, tokens, kinds = _counts_of(answers, len(distinct))
+    return _answer_table(table, places, counts, total + others, tokens, kinds)
 
 
 def levels_of(keys: int, most_keys: int, fan_bits: int = FAN_BITS) -> int:
@@ -270,7 +273,7 @@ def levels_of(keys: int, most_keys: int, fan_bits: int = FAN_BITS) -> int:
 
 def totals(asks: DataFrame, sources: int, levels: int, fan_bits: int, depth: int = 0) -> DataFrame:
     """Answers (source, range, counts, tokens, kinds) to `asks`: for each page the counts of its
-    keys over all sources, with the number of all tokens and of distinct ones in the range."""
+    keys in all other sources, with the number of all tokens and of distinct ones in the range."""
     if not levels:
         return asks.groupBy("range").applyInArrow(_summed, _ANSWER)
     asks = materialize(asks, "asks")
@@ -290,10 +293,11 @@ class Automaton:
     the place of its context among the block's keys; the root is 0."""
 
     def __init__(self, block: _Block, answers: pa.Table, strengths: Sequence[float]):
-        keys, place = block.places()
+        keys, learned, place = block.places()
         n, order = len(keys), len(place)
         begin = (keys & _LENGTH_BITS) == 0
-        self.counts, self.tokens, kinds = _counts_of(answers, n)
+        others, self.tokens, kinds = _counts_of(answers, n)
+        self.counts = learned + others
         counts, tokens = self.counts.astype(np.float64), self.tokens
         root = np.where(begin, 1.0, (counts + ADDED) / (tokens + ADDED * (kinds + 1)))
         weight, self.fail, self.fail_weight = root.copy(), np.zeros(n + 1, np.int64), np.zeros(n + 1)
