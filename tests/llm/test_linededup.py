@@ -29,6 +29,41 @@ def test_nulls_repeats_clashing_names_and_long_texts(spark):
     assert linededup.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(k, "same line", 7, 8, 9) for k in range(4)], "doc_id long, text string, __gone long, __id long, __n_dropped long")
+    out = linededup.line_dedup(docs, keep=True)
+    assert out.columns == [*docs.columns, "___n_dropped"]
+    assert rows(out) == sorted([(0, "same line", 7, 8, 9, 0)] + [(k, "", 7, 8, 9, 1) for k in (1, 2, 3)], key=str)
+
+
+def test_sentences_of_one_frame_are_no_template(spark):
+    said = ["The committee said that wages rose in its report", "The committee said no such thing in its report", "The committee said prices had fallen in its report"]
+    short = ["I love my dog", "I love my cat", "I love my car", "I love my new dog", "I love my old dog", "I love my red dog"]
+    docs = spark.createDataFrame(list(enumerate(said + short)), "doc_id long, text string")
+    assert {r.n_dropped for r in linededup.line_dedup(docs).collect()} == {0}
+
+
+def test_lines_of_any_length_generalise(spark):
+    """One word in a template differs; from 6 tokens on, and far above 12."""
+    frames = {n: [f"w{chr(97 + k % 26)}{'x' * (k // 26)}" for k in range(n)] for n in (6, 7, 13, 20, 64, 300)}
+    texts = []
+    for k in range(4):
+        lines = []
+        for frame in frames.values():
+            line = list(frame)
+            line[len(line) // 2 + 1] = f"name{'abcd'[k]}"
+            lines.append(" ".join(line))
+        texts.append((k, "\n".join(lines)))
+    got = {r.doc_id: r.n_dropped for r in linededup.line_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 6, 2: 6, 3: 6}
+
+
+def test_long_lines_need_two_documents(spark):
+    long, short = " ".join(f"w{'abc'[k % 3]}" for k in range(60)), "a short line of two documents"
+    docs = spark.createDataFrame([(1, f"{long}\n{short}"), (2, f"{short}\n{long}")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in linededup.line_dedup(docs).collect()} == {1: f"{long}\n{short}", 2: short}
+
+
 def test_two_documents_do_not_make_a_template(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")
     assert {r.n_dropped for r in linededup.line_dedup(docs).collect()} == {0}
@@ -41,7 +76,7 @@ def test_plan_is_native(spark):
 
 
 def test_sql_gives_the_same(spark, tmp_path):
-    docs = spark.createDataFrame([(k, f"a {k} b c d e f g h\nLicensed under X {k}.0\nü {'z' * k}") for k in range(12)], "doc_id long, text string")
+    docs = spark.createDataFrame([(k, f"a {k} b c d e f g h\nLicensed under X {k}.0\nü {'z' * k}\nseen by {'pqrs'[k % 4]} in our daily news\n{'long line ' * 30}{'pq'[k % 2]}") for k in range(12)], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "d"))
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/d/*.parquet'")

@@ -122,6 +122,14 @@ def rows(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in ((f, columns[f.name]) for f in schema)], schema=schema)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """`name`, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def is_held_out(mod: int, remainder: int, id_column: str = "doc_id"):
     """crc32 of the id as text, modulo `mod`, is `remainder`; false for a null id."""
     from pyspark.sql import functions as F
