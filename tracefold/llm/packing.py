@@ -56,12 +56,14 @@ def _encoder(path: str):
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocabulary = json.load(f)["model"]["vocab"]
+        stored = json.load(f)
+    vocabulary = stored["model"]["vocab"]
+    added = {x["content"]: x["id"] for x in stored.get("added_tokens", [])}
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(printable)]
     byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
-    ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if all(c in byte for c in token) and token != "<|endoftext|>"}
-    return tiktoken.Encoding("byte-bpe", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if all(c in byte for c in token) and token not in added}
+    return tiktoken.Encoding("byte-bpe", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 class TextEncoder:
@@ -69,13 +71,16 @@ class TextEncoder:
 
     A space and the word after it never merge with what surrounds them, so the ids of such a
     unit are looked up in a table of bounded size before the encoder is asked. Where white space
-    follows white space that isn't so, and the encoder gets the whole text.
+    follows white space that isn't so, and the encoder gets the whole text, as it does where the text
+    holds a token that the vocabulary's file adds, such as its end of text: that is one id.
     """
 
     def __init__(self, path: str, table: int = 400_000, longest: int = 40):
         import re
 
-        self._encode = _encoder(path).encode_ordinary
+        encoder = _encoder(path)
+        self._encode = functools.partial(encoder.encode, allowed_special="all")
+        self._added = sorted(encoder.special_tokens_set)
         self._seen: dict[str, bytes] = {}
         self._table, self._longest = table, longest
         self._double = re.compile(f"[{_SPACE}][{_SPACE}]").search
@@ -86,7 +91,7 @@ class TextEncoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if self._double(text):
+        if self._double(text) or any(x in text for x in self._added):
             return self._ids(text)
         seen, out = self._seen, []
         first, *rest = text.split(" ")
