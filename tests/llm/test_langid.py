@@ -33,6 +33,25 @@ def test_spans_of_mixed_text(spark):
     assert kept.columns == ["doc_id", "text", "score", "__found"]
 
 
+def test_texts_without_a_letter_are_unknown(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["×××", "÷", "١٢٣", "٪", "  \n", "½ ² €", "ª", "12 é"])], "doc_id long, text string")
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model(spark)).collect()}
+    assert all(found[k] == ("und", 0.0) for k in range(6)) and all(found[k][0] != "und" for k in (6, 7))
+
+
+def test_three_hundred_languages_and_clashing_names(spark):
+    rng = random.Random(4)
+    names = [f"l{k:03d}" for k in range(300)]
+    own = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(6)] for n in names}
+    docs = [(n, " ".join(own[n] * 3)) for n in names]
+    m = langid.train(spark.createDataFrame(docs, "lang string, text string"))
+    assert m.languages == names
+    data = spark.createDataFrame([(k, " ".join(own[n]), "x") for k, n in enumerate(names)], "doc_id long, text string, __found string")
+    found = langid.identify(data, m, keep=True)
+    assert found.columns == ["doc_id", "text", "__found", "___found"]
+    assert [r[0] for r in found.orderBy("doc_id").select("___found.lang_pred").collect()] == names
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
     first = np.array([0, 5, 5, 6, 14])

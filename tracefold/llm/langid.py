@@ -2,7 +2,7 @@
 
 Training counts hashed 4-byte windows and scripts per language over all rows that may be learned
 from; each task sends one count a language and window. The model is `WINDOWS` floats a language,
-so its size is bounded by the number of languages, of which there may be `MOST_LANGUAGES`.
+so its size is that of the languages' number; each language sends one row to the driver.
 
 A word's scripts leave the languages that use them; its score for each is the sum of its windows'
 log-odds. Viterbi over the words of a document, all documents of a chunk in step, charges
@@ -21,10 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import IS_SPACE, LOWER, is_held_out, utf8
+from .common import IS_SPACE, LOWER, fresh, is_held_out, utf8
 
 WINDOWS = 1 << 16
-MOST_LANGUAGES = 256
 UNKNOWN = "und"
 #: Code points of scripts, first to last. Fixed values.
 SCRIPTS = {
@@ -46,11 +45,11 @@ SCRIPTS = {
 
 
 def _script_bits() -> np.ndarray:
-    """Bit of the script by the first two bytes of a character."""
+    """Bit of the script by the first two bytes of a letter."""
     bits = np.zeros((256, 256), np.uint16)
     for k, ranges in enumerate(SCRIPTS.values()):
         for first, last in ranges:
-            for c in range(first, last + 1):
+            for c in filter(lambda c: chr(c).isalpha(), range(first, last + 1)):
                 b = chr(c).encode()
                 if len(b) == 1:
                     bits[b[0], :] |= np.uint16(1 << k)
@@ -130,24 +129,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(np.full(len(at), kind, np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "kind", "bucket", "n"])
 
 
+def _dense(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The counts of one language, of which there are `WINDOWS` and one a script at most."""
+    kind, bucket, n = (table.column(c).to_numpy() for c in ("kind", "bucket", "n"))
+    arrays = [np.zeros(WINDOWS, np.int64), np.zeros(len(SCRIPTS), np.int64)]
+    for k, own in enumerate(arrays):
+        own[bucket[kind == k]] = n[kind == k]
+    return pa.table({"lang": [key[0].as_py()], "windows": [arrays[0].tobytes()], "scripts": [arrays[1].tobytes()]})
+
+
 def train(docs: DataFrame, least_script_share: float = 0.01) -> Model:
     """A model of all rows of `docs` (text, lang) in which neither is null. Only its table reaches
-    the driver: at most `WINDOWS + scripts` counts for each of `MOST_LANGUAGES` languages."""
+    the driver: a row of `WINDOWS + scripts` counts for each language."""
     rows = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text").mapInArrow(_count, _COUNTS)
     counted = rows.groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n"))
-    got = counted.toArrow().to_pandas()
-    languages = sorted(got["lang"].unique())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    table = np.zeros((WINDOWS, len(languages)))
+    got = sorted((r.lang, r.windows, r.scripts) for r in counted.groupBy("lang").applyInArrow(_dense, "lang string, windows binary, scripts binary").collect())
+    languages = [name for name, _, _ in got]
+    table = np.zeros((WINDOWS, len(languages)), np.float32)
     scripts = np.zeros(len(languages), np.uint16)
-    for k, name in enumerate(languages):
-        own = got[got["lang"] == name]
-        w, s = own[own["kind"] == 0], own[own["kind"] == 1]
-        table[w["bucket"].to_numpy(), k] = w["n"].to_numpy()
-        used = s[s["n"] >= least_script_share * max(1, s["n"].sum())]["bucket"]
-        scripts[k] = sum(1 << int(b) for b in used)
-    table = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * WINDOWS)) if languages else table
+    for k, (_, w, sc) in enumerate(got):
+        table[:, k] = np.frombuffer(w, np.int64)
+        n = np.frombuffer(sc, np.int64)
+        scripts[k] = sum(1 << int(b) for b in np.flatnonzero((n > 0) & (n >= least_script_share * max(1, n.sum()))))
+    table = np.log((table + 0.5) / (table.sum(axis=0, dtype=np.float64) + 0.5 * WINDOWS)) if languages else table
     table = table - table.mean(axis=1, keepdims=True) if languages else table
     return Model(languages, table.astype(np.float32), scripts)
 
@@ -159,7 +163,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     at, sizes = first[:-1][order], lengths[order]
     most = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(1, most + 1), "right")
-    came = np.zeros(len(scores), np.uint8)
+    came = np.zeros(len(scores), np.uint16)
     switched = np.zeros(scores.shape, bool)
     value = np.zeros((len(order), scores.shape[1]), np.float32)
     for t in range(most):
@@ -173,7 +177,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
             came[word], switched[word] = best, change
             np.maximum(v, by_change[:, None], out=v)
         v += scores[word]
-    label = np.zeros(len(scores), np.uint8)
+    label = np.zeros(len(scores), np.uint16)
     now = value.argmax(axis=1)
     for t in range(most - 1, -1, -1):
         k = active[t]
@@ -200,7 +204,7 @@ def _label(chunk: Chunk, model: Model, penalty: float, texts: pa.Array):
         scores[bits == 0] = 0
         label = viterbi(scores, first, penalty)
     else:
-        bits, label = np.zeros(0, np.uint16), np.zeros(0, np.uint8)
+        bits, label = np.zeros(0, np.uint16), np.zeros(0, np.uint16)
     size = (end - start) * (bits > 0)
     owner = np.repeat(np.arange(many), np.diff(first))
     held = np.bincount(owner * n_lang + label, weights=size, minlength=many * n_lang).reshape(many, n_lang)
@@ -214,7 +218,7 @@ def _label(chunk: Chunk, model: Model, penalty: float, texts: pa.Array):
         spans[i].append({"first_word": int(a - first[i]), "after_word": int(b - first[i]), "lang": model.languages[label[a]]})
     names, score = [], np.divide(held[np.arange(many), best], total, out=np.zeros(many), where=total > 0)
     for i in range(many):
-        known = total[i] > 0 or any(c.isalpha() for c in texts[chunk.low + i].as_py() or "")
+        known = any(c.isalpha() for c in texts[chunk.low + i].as_py() or "")
         names.append(model.languages[best[i]] if known else UNKNOWN)
         if not known:
             spans[i] = []
@@ -229,7 +233,8 @@ _FOUND = "lang_pred string, score double, spans array<struct<first_word: int, af
 
 def identify(docs: DataFrame, model: Model, penalty: float = 12.0, keep: bool = False) -> DataFrame:
     """doc_id, lang_pred, score and spans (first_word, after_word, lang) of every row of `docs`
-    (doc_id, text). With `keep`, the columns of `docs`, then `__found`, a struct of the others.
+    (doc_id, text). With `keep`, the columns of `docs`, then a struct of the others, under the
+    first free name of `__found`, `___found` and so on.
 
     Null texts and texts without a letter are `und` with score 0 and no spans; so is all where
     nothing was learned. Letters of a script that no language uses give the first language. Rows
@@ -238,7 +243,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, keep: bool =
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = T.StructType([*rows.schema.fields, T.StructField("__found", T.StructType.fromDDL(_FOUND))])
+    name = fresh("__found", rows.columns)
+    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.StructType.fromDDL(_FOUND))])
     at = rows.columns.index("text")
     kinds = [pa.string(), pa.float64(), _SPAN]
 
@@ -250,10 +256,10 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0, keep: bool =
                 found = _label(c, model, penalty, batch.column(at)) if model.languages else ([UNKNOWN] * many, np.zeros(many), [[]] * many)
                 found = pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(found, kinds, strict=True)], names=["lang_pred", "score", "spans"])
                 own = batch.slice(c.low, many)
-                yield pa.RecordBatch.from_arrays([*own.columns, found], names=[*batch.schema.names, "__found"])
+                yield pa.RecordBatch.from_arrays([*own.columns, found], names=[*batch.schema.names, name])
 
     out = rows.mapInArrow(run, schema)
-    return out if keep else out.select("doc_id", "__found.*")
+    return out if keep else out.select("doc_id", f"{name}.*")
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
