@@ -29,7 +29,7 @@ def test_copies_are_found_and_clean_documents_left_alone(spark):
         docs.append((k, " ".join(text)))
     docs += [(500, None), (501, ""), (502, "to be"), (502, "to be"), (None, " ".join(items[3])), (503, " ".join(fill(40_000) + items[4]))]
     want |= {(None, 3), (503, 4)}
-    bench = [(i, " ".join(x)) for i, x in enumerate(items)] + [(100, None), (101, ""), (102, "of the"), (103, "of the and to of the and")]
+    bench = [(i, " ".join(x)) for i, x in enumerate(items)] + [(100, None), (101, ""), (103, "of the and to of the and")]
     found = decontam.contaminated(spark.createDataFrame([(*d, 0) for d in docs], "doc_id long, text string, words int"), spark.createDataFrame(bench, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in found} == want
     whole = next(r for r in found if r.doc_id == 503)
@@ -57,6 +57,19 @@ def test_only_copies_are_edited_or_lie_in_a_common_half(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want
 
 
+def test_items_of_one_and_two_words(spark):
+    docs = [(1, "say Open Sesame now"), (2, "open the sesame"), (3, "xyzzy"), (4, "a b xyzzy, open"), (5, None)]
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, "open sesame"), (2, "xyzzy"), (3, "!"), (4, "of three words")], "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, r.score, r.first_word) for r in found.collect()) == [(1, 1, 1.0, 1), (3, 2, 1.0, 0), (4, 2, 1.0, 2)]
+
+
+def test_a_passage_of_more_than_a_million_words():
+    rng = np.random.default_rng(8)
+    passage, item = rng.integers(100, 1 << 31, 1_200_000).astype(np.uint32), np.arange(40, dtype=np.uint32)
+    passage[1_150_000:1_150_040] = item
+    assert decontam.align(item, passage) == (80, 1_150_000, 1_150_040)
+
+
 def test_part_of_a_passage_that_is_aligned():
     rng = np.random.default_rng(6)
     for _ in range(300):

@@ -38,7 +38,7 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
 def test_nulls_repeats_clashing_names_and_empty_tables(spark, tmp_path):
     text = "some words of a page that are repeated here and there"
     rows = [(1, text), (1, text), (2, None), (None, None), (3, ""), (None, text), (4, "x " * 30_000)]
-    docs = spark.createDataFrame([(i, t, None, None, None, "e", "f", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, line string, gone string, rep long")
+    docs = spark.createDataFrame([(i, t, None, None, None, "e", "f", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, line string, __gone string, __id long")
     spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for k, own in enumerate((docs, docs.limit(0))):
         now = own
@@ -59,3 +59,14 @@ def test_later_stages_keep_rows_with_nulls(spark, tmp_path):
     assert kept == sorted([(1, text), (1, text), (3, ""), (0, ""), (0, text)])
     assert corpus_pipeline.benchmark(spark, docs, str(tmp_path)).count() == len(rows)
     assert {r.n_chars for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).filter("text IS NULL").collect()} == {None}
+
+
+def test_benchmark_stage_takes_rows_by_id_and_text(spark, tmp_path):
+    item = "these are the words of an item of the benchmark that was copied here"
+    rows = [(None, item), (None, "clean words"), (1, item), (1, "clean words"), (2, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, text_key string, id long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.benchmark(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, ""), (0, "clean words"), (1, "clean words"), (2, "")]
+    assert corpus_pipeline.near_copies(spark, docs, str(tmp_path)).count() == len(rows)

@@ -1,6 +1,7 @@
 """Training passages that copy test items: rare seeds, then Smith-Waterman alignment.
 
-1. Runs of `SEED` words of the items are looked up in all documents; each task sends one count
+1. Runs of `SEED` words of the items, or all words of a shorter item, are looked up in all
+   documents; each task sends one count
    of documents for each run it met. Every run of an item that occurs is a seed, rare or not: an
    edited copy may hold none of the rarest, and a copied half may be the one that many documents have.
 2. A second pass cuts a passage around the seeds that a document holds. Both passes ask a bitmap
@@ -34,7 +35,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words end at white space and at ASCII punctuation.
 _ENDS = IS_SPACE.copy()
 _ENDS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
-_START = 1 << 20
+_PLACE_BITS = 32
+_START = 1 << _PLACE_BITS
 
 
 def _runs(w, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,16 +50,28 @@ def _runs(w, size: int) -> tuple[np.ndarray, np.ndarray]:
     return run[at], at
 
 
+def _runs_of(w, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of each of the sizes in the order of their places, the places and the sizes."""
+    met = [(*_runs(w, k), k) for k in sizes]
+    runs, at = (np.concatenate([m[k] for m in met]) for k in (0, 1))
+    length = np.repeat([m[2] for m in met], [len(m[1]) for m in met])
+    by = np.argsort(at, kind="stable")
+    return runs[by], at[by], length[by]
+
+
 def _item_runs(items: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words(batch.column(2), ends=_ENDS):
-                runs, at = _runs(w, size)
+                runs, at, length = _runs_of(w, list(range(1, size + 1)))
                 row = np.searchsorted(w.first, at, "right") - 1
+                keep = length == np.minimum(np.diff(w.first)[row], size)
+                runs, at, length, row = runs[keep], at[keep], length[keep], row[keep]
                 own = pa.array(row + w.low)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(at - w.first[row]), pa.array(np.diff(w.first)[row]), pa.array(runs.view(np.int64))], names=["item_id", "item", "at", "words", "run"])
+                columns = [at - w.first[row], np.diff(w.first)[row], length, runs.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *(pa.array(c, pa.int64()) for c in columns)], names=["item_id", "item", "at", "words", "size", "run"])
 
-    return items.mapInArrow(run, "item_id long, item long, at long, words long, run long")
+    return items.mapInArrow(run, "item_id long, item long, at long, words long, size long, run long")
 
 
 def _bitmap(runs: DataFrame) -> np.ndarray:
@@ -73,12 +87,12 @@ def _in(bitmap: np.ndarray, runs: np.ndarray) -> np.ndarray:
     return (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _frequencies(docs: DataFrame, sent, size: int) -> DataFrame:
+def _frequencies(docs: DataFrame, sent, sizes: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, met, counts = np.frombuffer(sent.value, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for w in words(batch.column(2), ends=_ENDS):
-                runs, at = _runs(w, size)
+                runs, at, _ = _runs_of(w, sizes)
                 hit = np.flatnonzero(_in(bitmap, runs))
                 row = np.searchsorted(w.first, at[hit], "right") - 1
                 once = np.unique(np.stack([row.astype(np.uint64), runs[hit]], 1), axis=0)[:, 1] if len(hit) else runs[:0]
@@ -96,7 +110,7 @@ def _frequencies(docs: DataFrame, sent, size: int) -> DataFrame:
 _PASSAGE = "doc_id long, text_key long, start long, words binary, hits array<struct<at: long, run: long>>"
 
 
-def _passages(docs: DataFrame, sent, size: int, reach: int) -> DataFrame:
+def _passages(docs: DataFrame, sent, sizes: list[int], reach: int) -> DataFrame:
     """Words around the seeds of each document; seeds at most `2 * reach` apart share a passage."""
     hits_type = pa.list_(pa.struct([("at", pa.int64()), ("run", pa.int64())]))
 
@@ -104,7 +118,7 @@ def _passages(docs: DataFrame, sent, size: int, reach: int) -> DataFrame:
         bitmap = np.frombuffer(sent.value, np.uint8)
         for batch in batches:
             for w in words(batch.column(2), ends=_ENDS):
-                runs, at = _runs(w, size)
+                runs, at, _ = _runs_of(w, sizes)
                 hit = np.flatnonzero(_in(bitmap, runs))
                 if not len(hit):
                     continue
@@ -113,7 +127,7 @@ def _passages(docs: DataFrame, sent, size: int, reach: int) -> DataFrame:
                 out: list[list] = [[], [], [], []]
                 for low, high in zip([0, *cuts], [*cuts, len(hit)], strict=True):
                     own = row[low]
-                    a, b = max(w.first[own], place[low] - reach), min(w.first[own + 1], place[high - 1] + size + reach)
+                    a, b = max(w.first[own], place[low] - reach), min(w.first[own + 1], place[high - 1] + max(sizes) + reach)
                     hits = [{"at": int(p - a), "run": int(r)} for p, r in zip(place[low:high], runs[hit[low:high]].view(np.int64), strict=True)]
                     for column, value in zip(out, (w.low + int(own), int(a - w.first[own]), w.hash[a:b].astype(np.uint32).tobytes(), hits), strict=True):
                         column.append(value)
@@ -140,9 +154,9 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
         now = np.maximum.accumulate(now + slope) - slope
         row = np.maximum(now, fresh)
         at = int(row.argmax())
-        if row[at] >> 20 > best >> 20:
+        if row[at] >> _PLACE_BITS > best >> _PLACE_BITS:
             best, end = int(row[at]), at + 1
-    return best >> 20, best & (_START - 1), end
+    return best >> _PLACE_BITS, best & (_START - 1), end
 
 
 def _needed(n: int, threshold: float) -> float:
@@ -181,7 +195,7 @@ def _aligned(threshold: float):
                         column.append(value)
             own = pa.array(out[0], pa.int64())
             start = np.array(rows["start"], np.int64)[out[0]] if out[0] else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), batch.column("item_id").take(own), pa.array(out[1], pa.float64()), pa.array(start + np.array(out[2], np.int64)), pa.array(start + np.array(out[3], np.int64))], names=["doc_id", "item_id", "score", "first_word", "after_word"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), batch.column("text_key").take(own), batch.column("item_id").take(own), pa.array(out[1], pa.float64()), pa.array(start + np.array(out[2], np.int64)), pa.array(start + np.array(out[3], np.int64))], names=["doc_id", "text_key", "item_id", "score", "first_word", "after_word"])
 
     return run
 
@@ -197,35 +211,38 @@ def _item_words(items: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each document and item of which it holds a copy: doc_id, item_id, score (share
-    of the perfect score), first_word and after_word (words of the document, punctuation apart).
+    """One row for each document (doc_id and text) and item of which it holds a copy: doc_id,
+    item_id, score (share of the perfect score), first_word and after_word (words of the document,
+    punctuation apart), text_key (xxhash64 of the text, null as empty).
 
     `docs`: (doc_id, text), `benchmark`: (item_id, text); other columns are ignored. Null and
-    empty texts hold nothing. Items of fewer than `size` words match nothing. Repeated rows give
-    one row a pair of ids; a null id is kept as null. Of equal scores the first place counts.
-    Empty tables give an empty table.
+    empty texts hold nothing. An item of fewer than `size` words is held by every document that has
+    its words in a row; an item without words by none. Repeated rows give one row; a null id is
+    kept as null. Of equal scores the first place counts. Documents and passages may have up to
+    2**31 words. Empty tables give an empty table.
     """
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.lower(text).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("item_id", text).alias("item"), F.lower(text).alias("text")).distinct()
     spark = docs.sparkSession
     runs = materialize(_item_runs(items, size), "runs")
-    reach = int((runs.agg(F.max("words")).first()[0] or 0) * 3 // 2 + 8)
-    seen = _frequencies(docs, spark.sparkContext.broadcast(_bitmap(runs).tobytes()), size)
+    lengths = runs.groupBy("size").agg(F.max("words").alias("words")).collect()
+    sizes, reach = sorted(r["size"] for r in lengths) or [size], max((r["words"] for r in lengths), default=0) * 3 // 2 + 8
+    seen = _frequencies(docs, spark.sparkContext.broadcast(_bitmap(runs).tobytes()), sizes)
 
     places = runs.groupBy("item", "item_id", "run").agg(F.min("at").alias("at"), F.max("at").alias("last"))
     seeds = materialize(places.join(seen, "run").select("run", "item", "item_id", "at", "last"), "seeds")
 
-    cut = _passages(docs, spark.sparkContext.broadcast(_bitmap(seeds).tobytes()), size, reach)
+    cut = _passages(docs, spark.sparkContext.broadcast(_bitmap(seeds).tobytes()), sizes, reach)
     cut = materialize(cut.withColumn("passage", F.xxhash64("doc_id", "text_key", "start")), "passages")
     hits = cut.select("passage", F.explode("hits").alias("hit")).select("passage", F.col("hit.at").alias("place"), F.col("hit.run").alias("run"))
     low, high = F.min(F.col("place") - F.col("last")), F.max(F.col("place") - F.col("at"))
     met = hits.join(seeds, "run").groupBy("passage", "item", "item_id").agg(low.alias("low"), high.alias("high"))
-    pairs = met.join(cut.select("passage", "doc_id", "start", "words"), "passage").join(_item_words(items.select("item", "text")), "item")
-    scored = pairs.select("doc_id", "item_id", "start", "words", "item_words", "low", "high").mapInArrow(_aligned(threshold), "doc_id long, item_id long, score double, first_word long, after_word long")
+    pairs = met.join(cut.select("passage", "doc_id", "text_key", "start", "words"), "passage").join(_item_words(items.select("item", "text")), "item")
+    scored = pairs.select("doc_id", "text_key", "item_id", "start", "words", "item_words", "low", "high").mapInArrow(_aligned(threshold), "doc_id long, text_key long, item_id long, score double, first_word long, after_word long")
     best = F.struct("score", (-F.col("first_word")).alias("back"), "after_word")
-    found = scored.groupBy("doc_id", "item_id").agg(F.max(best).alias("best"))
-    return found.select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.back")).alias("first_word"), F.col("best.after_word").alias("after_word"))
+    found = scored.groupBy("doc_id", "text_key", "item_id").agg(F.max(best).alias("best"))
+    return found.select("doc_id", "item_id", F.col("best.score").alias("score"), (-F.col("best.back")).alias("first_word"), F.col("best.after_word").alias("after_word"), "text_key")
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
