@@ -1,3 +1,7 @@
+import random
+import time
+from collections import Counter
+
 import pytest
 
 from tracefold.llm import html
@@ -23,7 +27,7 @@ CASES = {
 def test_main_text(name):
     body, want = CASES[name]
     text = page(body) if name != "open tags" else f"<body>{FURNITURE}{body}"
-    assert html.text_at(text, []) == want
+    assert html.Page(text).text_at(None) == want
 
 
 LONG = "The body of the story goes on for very much longer than what stands above it. " * 12
@@ -38,7 +42,100 @@ WHOLE = {
 @pytest.mark.parametrize("name", WHOLE)
 def test_all_parts_of_an_article_are_kept(name):
     body, want = WHOLE[name]
-    assert html.text_at(page(body), []) == want
+    assert html.Page(page(body)).text_at(None) == want
+
+
+OPENED = {
+    "widget": (f'<div class="widget-text"><article><p>{LONG}</p></article></div>', LONG.strip()),
+    "search page": (f'<div class="search-results-page article-body"><p>{LONG}</p></div>', LONG.strip()),
+    "form": (f'<form action="/"><input name="state"><article class="post"><h1>Head</h1><p>{LONG}</p><div class="ad">Buy!</div></article></form>', f"Head {LONG.strip()}"),
+    "remarks longer than the article": (f'<article><p>The story.</p></article><div class="comments"><p>{LONG}</p></div>', "The story."),
+    "remarks in the article": (f'<article><p>The story.</p><div id="disqus"><p>{LONG}</p></div></article>', "The story."),
+}
+
+
+@pytest.mark.parametrize("name", OPENED)
+def test_one_word_does_not_empty_a_page(name):
+    body, want = OPENED[name]
+    assert html.Page(page(body)).text_at(None) == want
+
+
+def test_long_pages_take_time_in_proportion():
+    began = time.time()
+    deep = html.Page("<body>" + "<div class='a'>" * 100_000 + "<p>Deep text of the page.</p>")
+    assert deep.text_at(None) == "Deep text of the page." and len(deep.elements) <= html.DEEPEST + 2
+    deep = html.Page("<body>" + "<div>word " * 50_000 + "</div>" * 50_000 + "<p>After it all.")
+    assert deep.text_at(None).startswith("word word") and deep.text_at(None).count("word") == 50_000
+    assert html.Page("<p>Text " + "<a href=x " * 100_000).text_at(None).startswith("Text <a")
+    assert html.Page("<body><p>Text</p>" + '<a href="x ' * 100_000 + "<i>").text_at(None).startswith("Text")
+    assert html.Page("<p>Text</p>" + "<li><ul><b>" * 20_000 + "</i></dd>" * 20_000).text_at(None) == "Text"
+    assert html.Page("<p>Text</p>" + "<!--" * 100_000).text_at(None) == "Text"
+    assert html.Page("<p>Text</p>" + "<script>" * 100_000).text_at(None) == "Text"
+    assert html.Page("<p>2 < 3 and a<b").text_at(None) == "2 < 3 and a<b"
+    assert time.time() - began < 20
+
+
+def test_against_a_plain_reading_of_the_tree():
+    """Random trees of containers: scores, sizes and texts as a quadratic walk over all ancestors has them."""
+    rng = random.Random(12)
+    for _ in range(60):
+        text, parents, open_, blocks = "<body>", {0: None}, [0], []
+        tags = {0: "body"}
+        for k in range(1, rng.randrange(3, 40)):
+            if rng.random() < 0.4 and len(open_) > 1:
+                text += f"</{tags[open_.pop()]}>"
+            tag = rng.choice(["div", "section", "article", "main", "blockquote"])
+            parents[k], tags[k] = open_[-1], tag
+            open_.append(k)
+            own = f"w{k} " * rng.randrange(6)
+            text += f"<{tag}>{own}"
+            if own:
+                blocks.append((k, own.strip()))
+        score, held = dict.fromkeys(tags, 0.0), {k: [] for k in tags}
+        for k, own in blocks:
+            up, share = k, 1.0
+            while up is not None:
+                score[up] += share * len(own) * (1.5 if tags[up] in ("article", "main") else 1)
+                held[up].append(own)
+                up, share = parents[up], share / 2
+        found = html.Page(text)
+        assert [(e.tag, pytest.approx(e.score), found.text_of([e])) for e in found.containers] == [(tags[k], score[k], " ".join(held[k])) for k in sorted(tags) if held[k]]
+
+
+def test_sent_and_joined_paths_give_the_same(spark):
+    rng = random.Random(2)
+    rows = [(k % 50, f"https://h{k % 4}.example/{k}", page("".join(f'<div class="{rng.choice("abcd")}"><p>{"word " * rng.randrange(1, 30)}</p></div>' for _ in range(3)))) for k in range(60)]
+    pages = spark.createDataFrame([*rows, (None, None, None)], "page_id long, url string, html string")
+    sent, joined = (sorted(map(str, html.extract(pages, n).collect())) for n in (html.MOST_SENT, 0))
+    assert sent == joined and len(sent) == 61
+
+
+def brute_force(rows):
+    """Votes counted in plain dictionaries."""
+    hosts = [(u or "").split("://")[-1].split("/")[0].lower() if "://" in (u or "") else "" for _, u, _ in rows]
+    read = [html.Page(h or "") for _, _, h in rows]
+    votes = Counter((host, p.main_part().path) for host, p in zip(hosts, read, strict=True) if p.containers)
+    most = {}
+    for (host, _), n in votes.items():
+        most[host] = max(most.get(host, 0), n)
+    out = []
+    for (i, _, _), host, p in zip(rows, hosts, read, strict=True):
+        won = [(votes[host, e.path], -html._place(host, e.path), e.path) for e in p.containers if votes[host, e.path] >= max(html.LEAST_VOTES, most.get(host, 0) * 0.1)]
+        out.append((i, p.text_at(max(won)[2] if won else None)))
+    return out
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(7)
+    rows = []
+    for k in range(120):
+        parts = "".join(f'<{t} class="{rng.choice("abc")}{rng.randrange(9)}"><p>{"word " * rng.randrange(1, 40)}{k}</p></{t}>' for t in rng.choices(["div", "section", "article"], k=rng.randrange(1, 5)))
+        rows.append((k, f"https://h{k % 3}.example/{k}", page(parts)))
+    rows += [(200, None, None), (201, "x", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = html.op4_html_extraction(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.text) for r in got) == sorted(brute_force(rows))
+    assert all(r.n_chars == len(r.text) for r in got)
 
 
 def test_a_path_that_one_page_votes_for_does_not_count(spark):
