@@ -131,15 +131,20 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int, chun
     return met.mapInArrow(run, "a long, b long")
 
 
-def _searched(left_open: DataFrame, texts: DataFrame, size: int, percent: int, chunk: int = 256) -> DataFrame:
+def _searched(left_open: DataFrame, texts: DataFrame, size: int, percent: int, chunk: int = 256, slice_: int = 2048) -> DataFrame:
     """Links (a, b) from each class outside its family's largest component to classes of other
     components of the family, one for each component at least. `left_open`: (family, rep,
-    component), where `family` is that largest component."""
+    component), where `family` is that largest component. A task gets a block of about `chunk`
+    queries and a slice of about `slice_` classes of the family, however large that is."""
     queries = left_open.filter("component <> family")
-    blocks = materialize(queries.groupBy("family").agg((F.floor(F.count(F.lit(1)) / chunk) + 1).alias("blocks")), "blocks")
-    asked = queries.join(blocks, "family").select("family", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), F.lit(0).alias("turn"), "rep", "component")
-    held = left_open.join(blocks, "family").select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("turn"), "rep", "component")
-    met = asked.unionByName(held).join(texts, "rep").select("family", "block", "turn", "rep", "component", "text")
+    is_query = F.sum(F.when(F.col("component") != F.col("family"), 1).otherwise(0))
+    dealt = left_open.groupBy("family").agg((F.floor(is_query / chunk) + 1).alias("blocks"), (F.floor(F.count(F.lit(1)) / slice_) + 1).alias("slices"))
+    dealt = materialize(dealt, "blocks")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one_of = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n)
+    asked = queries.join(dealt, "family").select("family", one_of("blocks", 0).alias("block"), all_of("slices").alias("slice"), F.lit(0).alias("turn"), "rep", "component")
+    held = left_open.join(dealt, "family").select("family", all_of("blocks").alias("block"), one_of("slices", 1).alias("slice"), F.lit(1).alias("turn"), "rep", "component")
+    met = asked.unionByName(held).join(texts, "rep").withColumn("block", F.xxhash64("block", "slice")).select("family", "block", "turn", "rep", "component", "text")
     met = met.repartition("family", "block").sortWithinPartitions("family", "block", "turn", "rep")
     hopeless = percent / 100 - 6 * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
 
