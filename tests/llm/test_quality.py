@@ -41,3 +41,16 @@ def test_neighbours_are_exact():
         near = np.argsort(-like[i])[: quality.NEIGHBOURS]
         w = np.maximum(like[i, near], 1e-6)
         assert abs(model.scores(terms[i : i + 1])[0] - (w * model.labels[near]).sum() / w.sum()) < 1e-4
+
+
+def test_words_alone_tell_labels_apart(spark):
+    """Both labels have words of one shape and length, so that only the words differ."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    own = [[word() for _ in range(60)] for _ in range(2)]
+    text = lambda k: " ".join(rng.choice(own[k]) for _ in range(60))
+    rows = [(k, text(k % 2)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    found = quality.classify(docs, quality.train(docs, labels)).filter("doc_id >= 200").collect()
+    assert sum((r.score >= 0.5) == r.doc_id % 2 for r in found) >= 195

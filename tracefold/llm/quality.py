@@ -1,7 +1,7 @@
 """Quality by nearest labelled neighbours in a latent-semantic space.
 
-Terms are runs of three character classes, words that repeat the word before them and words seen
-before. A bounded sample of labelled rows (`PER_LABEL` of each label, by a hash of the id) gives
+Terms are the words, lower-cased and hashed into `_WORDS` places, runs of three character classes,
+words that repeat the word before them and words seen before. A bounded sample of labelled rows (`PER_LABEL` of each label, by a hash of the id) gives
 the weights of the terms and, by a singular value decomposition, the latent space. Its vectors,
 `2 * PER_LABEL * DIMENSIONS` floats, are broadcast; every document's vector is held against all of
 them in blocks, exactly, and the `NEIGHBOURS` most alike vote with their similarity as weight.
@@ -23,7 +23,9 @@ PER_LABEL = 1024
 DIMENSIONS = 32
 NEIGHBOURS = 15
 _CLASSES = 16
-_TERMS = _CLASSES**3 + 4
+_WORDS = 4096
+_SHAPES = _CLASSES**3
+_TERMS = _SHAPES + 4 + _WORDS
 
 
 def _class_table() -> np.ndarray:
@@ -51,8 +53,11 @@ def _terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         for i in range(many):
             a, b = bounds[i], bounds[i + 1]
             if b - a >= 3:
-                out[i, : _CLASSES**3] = np.bincount(code[a : b - 2], minlength=_CLASSES**3) / (b - a - 2)
-            out[i, _CLASSES**3 :] = _repeats(w, i)
+                out[i, :_SHAPES] = np.bincount(code[a : b - 2], minlength=_SHAPES) / (b - a - 2)
+            out[i, _SHAPES : _SHAPES + 4] = _repeats(w, i)
+            h = w.hash[w.first[i] : w.first[i + 1]]
+            if len(h):
+                out[i, _SHAPES + 4 :] = np.bincount((h >> np.uint64(52)).astype(np.int64), minlength=_WORDS) / len(h)
         yield w.low, np.sqrt(out)
 
 
