@@ -70,10 +70,9 @@ def relation(observed: Column, canonical: Column) -> Column:
 
 def stated_facts(text: Column, labels: list[str], most: int = 24) -> Column:
     """`label: value` lines of Markdown outside code fences, distinct, the first `most`."""
-    lines = F.split(text, "\n")
-    fence = F.transform(lines, lambda x: F.trim(x).startswith("```").cast("int"))
-    inside = F.transform(lines, lambda _, i: F.aggregate(F.slice(fence, 1, i + 1), F.lit(0), lambda a, b: a + b) % 2 == 1)
+    outside = F.filter(F.split(text, r"(?m)^[ \t]*```.*$"), lambda _, i: i % 2 == 0)
+    lines = F.flatten(F.transform(outside, lambda x: F.split(x, "\n")))
     plain = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[*_`>#]+|!\[[^\]]*\]\([^)]*\)", "")))
     pattern = rf"(?i)^({'|'.join(labels)})\s*:\s*(.+)$"
-    found = F.filter(F.zip_with(plain, inside, lambda p, i: F.when(~i & p.rlike(pattern), F.concat(F.lower(F.regexp_extract(p, pattern, 1)), F.lit("="), F.trim(F.regexp_extract(p, pattern, 2))))), lambda x: x.isNotNull())
+    found = F.transform(F.filter(plain, lambda p: p.rlike(pattern)), lambda p: F.concat(F.lower(F.regexp_extract(p, pattern, 1)), F.lit("="), F.trim(F.regexp_extract(p, pattern, 2))))
     return F.slice(F.array_distinct(found), 1, most)

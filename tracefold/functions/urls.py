@@ -34,9 +34,18 @@ PLATFORMS = {
     "reddit": (["reddit.com", "old.reddit.com"], ["u", "user"], ["r", "comments", "search", "submit"]),
     "youtube": (["youtube.com", "m.youtube.com", "youtu.be"], ["c", "channel", "user"], ["watch", "results", "feed", "playlist", "shorts", "embed"]),
 }
+#: The registry's format of an iD. A fixed value.
+ORCID = r"^[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]$"
+#: Beginnings of IPv6 addresses outside the public internet. Fixed values of the registries.
+NOT_PUBLIC_V6 = [(r"^(::|(0+:){7}0+)$", "unspecified"), (r"^(::|(0+:){7})0*1$", "loopback"), (r"^f[cd][0-9a-f]{2}:", "private"), (r"^fe[89ab][0-9a-f]:", "link-local"), (r"^ff[0-9a-f]{2}:", "multicast"), (r"^::ffff:", "mapped"), (r"^2001:0?db8:", "reserved")]
+IPV6 = r"^[0-9a-f]{0,4}(:[0-9a-f]{0,4}){2,7}$|^::(ffff:)?[0-9.]+$"
 PUBLICATION_HOSTS = ["doi.org", "dx.doi.org", "arxiv.org", "openalex.org", "api.crossref.org", "semanticscholar.org", "researchgate.net", "pubmed.ncbi.nlm.nih.gov"]
 
 
+#: Hosts whose two-part paths are an owner and a repository. Fixed values.
+FORGES = ["github.com", "gitlab.com", "bitbucket.org"]
+
+
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _SCHEME, 1))
 
@@ -82,12 +91,15 @@ def registrable_domain(name: Column) -> Column:
 
 def safety(url: Column) -> Column:
     """Why an address must not be fetched, judged by its text alone; `ok` otherwise."""
-    name, port = host(url), F.regexp_extract(authority(url), r":([0-9]+)$", 1)
+    six = F.lower(F.regexp_extract(authority(url), r"^(?:[^@]*@)?\[([^\]]*)\]", 1))
+    name, port = F.when(six.rlike(IPV6), six).otherwise(host(url)), F.regexp_extract(authority(url), r":([0-9]+)$", 1)
     ladder = F.when(url.isNull() | (url == "") | (F.length(url) > 2048), "length").when(~scheme(url).isin("http", "https"), "scheme")
     ladder = ladder.when(authority(url).contains("@"), "credentials").when(name == "", "no host").when(name.isin(LOOPBACK_NAMES), "loopback name").when(name.isin(METADATA_HOSTS), "metadata host")
     ladder = ladder.when((port != "") & ~F.coalesce(F.expr("1=1") & port.cast("int").between(1, 65535), F.lit(False)), "port")
     for pattern, reason in NOT_PUBLIC:
         ladder = ladder.when(name.rlike(IPV4) & name.rlike(pattern), reason)
+    for pattern, reason in NOT_PUBLIC_V6:
+        ladder = ladder.when((six != "") & name.rlike(pattern), reason)
     return ladder.otherwise("ok")
 
 
@@ -99,6 +111,8 @@ def handle(url: Column) -> Column:
         free = ~F.arrays_overlap(F.transform(parts, F.lower), F.array(*map(F.lit, reserved))) if reserved else F.lit(True)
         after = F.when(first.isin(prefixes), F.when(F.size(parts) == 2, F.try_element_at(parts, F.lit(2)))) if prefixes else None
         own = F.when(F.size(parts) == 1, F.try_element_at(parts, F.lit(1)))
+        if hosts == ["orcid.org"]:
+            own = F.when(F.upper(own).rlike(ORCID), own)
         found = after.otherwise(own) if after is not None else own
         out = F.when(bare_host(url).isin(hosts) & free, F.nullif(F.ltrim(found, F.lit("@")), F.lit(""))).otherwise(out)
     return out
@@ -128,7 +142,7 @@ def identifier_type(text: Column) -> Column:
     domain = r"^(?i)([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}\.?$"
     return (
         F.when(t.isNull() | (t == ""), F.lit(None))
-        .when(t.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), F.when(shape(t) == "social", "SOCIAL_PROFILE").otherwise("URL"))
+        .when(t.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), F.when(bare_host(t).isin(FORGES) & (F.size(segments(t)) >= 2), "REPOSITORY").when(shape(t) == "social", "SOCIAL_PROFILE").otherwise("URL"))
         .when(t.startswith("@"), "USERNAME")
         .when(t.rlike(r"^git@[A-Za-z0-9.-]+:[\w.-]+/[\w.-]+$"), "REPOSITORY")
         .when(t.rlike(r"^[\w.+-]+@[\w-]+(\.[\w-]+)+$"), "EMAIL")

@@ -12,6 +12,18 @@ KEY = ["case_id", "kind", "dedupe_key"]
 EVIDENCE_CAP = 2 << 20
 
 
+DECODED_CAP = 128 * 1024
+
+
+def decoded(coded: Column, cap: int = DECODED_CAP) -> Column:
+    """The text of base64 up to `cap` bytes, cut between characters; empty for what isn't base64."""
+    data = F.try_to_binary(coded, F.lit("base64"))
+    continues = lambda k: F.conv(F.hex(F.substring(data, k, 1)), 16, 10).cast("int").bitwiseAND(0xC0) == 0x80
+    end = F.when(~continues(cap + 1), cap).when(~continues(cap), cap - 1).when(~continues(cap - 1), cap - 2).otherwise(cap - 3)
+    kept = F.when(F.octet_length(data) <= cap, data).otherwise(F.substring(data, F.lit(1), end))
+    return F.coalesce(F.decode(kept, "utf-8"), F.lit(""))
+
+
 def stable_key(given: Column, payload: Column) -> Column:
     """The given key up to 128 characters, else the SHA-256 of the payload's canonical text."""
     return F.when(given.isNotNull() & (given != "") & (F.length(given) <= 128), given).otherwise(F.sha2(payload, 256))

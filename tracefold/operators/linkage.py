@@ -45,6 +45,15 @@ def organisations_matched(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.withColumn("key", key).join(classes, "key").select("a", "b", "key", "members")
 
 
+def places_matched(stated: DataFrame, places: DataFrame) -> DataFrame:
+    """Pairs (a, place) where the text states all words of the place. `stated`: (a, stated),
+    `places`: (place). Both sides meet on single words; a place is held where as many of its words
+    met as it has, so no pair without a common word is made."""
+    words = places.distinct().select("place", names.words(F.col("place")).alias("w")).select("place", F.size("w").alias("n"), F.explode("w").alias("word"))
+    said = stated.select("a", F.explode(names.words(F.col("stated"))).alias("word"))
+    return said.join(words, "word").groupBy("a", "place").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("met")).filter("met = n").select("a", "place")
+
+
 def assessed(observed: DataFrame, anchors: DataFrame, name_rules: DataFrame, rules: DataFrame) -> DataFrame:
     """(subject_id, record, score, band, rules, conflicts): each record's name rule and its anchors
     combined under the rules' ceilings; conflicts are listed and change no score. `name_rules`:

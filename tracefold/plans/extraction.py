@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import names, privacy, scoring
-from ..operators import extract, ledger, merge, report
+from ..operators import extract, findings, ledger, merge, report
 from ..sources import registry_records as records
 from .findings import FINDINGS_SQL, case_findings
 from .registry import query
@@ -58,12 +58,12 @@ def merge_edges(spark, d):
     return merge.merge_edges(rows, ["l_suppkey", "l_partkey"]).select("l_suppkey", "l_partkey", "attribute", "n_findings")
 
 
-@query("entity_upsert", """WITH o AS (SELECT l_partkey, max(l_discount) AS score, list_sort(list(DISTINCT l_returnflag)) AS reasons, min(l_linestatus) AS attribute FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), n AS (SELECT l_partkey, max(l_discount) AS score, list_sort(list(DISTINCT l_linestatus)) AS reasons, min(l_returnflag) AS attribute FROM lineitem WHERE l_linenumber = 2 GROUP BY 1)
+@query("entity_upsert", """WITH o AS (SELECT l_partkey, max(l_discount) AS score, list_sort(list(DISTINCT l_returnflag)) AS reasons, min(l_linestatus) AS attribute FROM lineitem WHERE l_quantity <= 25 GROUP BY 1), n AS (SELECT l_partkey, max(l_discount) AS score, list_sort(list(DISTINCT l_linestatus)) AS reasons, min(l_returnflag) AS attribute FROM lineitem WHERE l_quantity > 25 GROUP BY 1)
 SELECT coalesce(o.l_partkey, n.l_partkey) AS l_partkey, greatest(o.score, n.score) AS score, array_to_string(CASE WHEN o.l_partkey IS NULL OR n.score > o.score THEN n.reasons ELSE list_concat(o.reasons, list_filter(coalesce(n.reasons, []::VARCHAR[]), lambda x: NOT list_contains(o.reasons, x))) END, ',') AS reasons, coalesce(o.attribute, n.attribute) AS attribute FROM o FULL JOIN n ON o.l_partkey = n.l_partkey""")
 def entity_upsert(spark, d):
     lines = table(spark, d, "lineitem")
-    part = lambda k, reason, attribute: lines.filter(F.col("l_linenumber") == k).groupBy("l_partkey").agg(F.max("l_discount").alias("score"), F.array_sort(F.collect_set(reason)).alias("reasons"), F.min(attribute).alias("attribute"))
-    return merge.upsert(part(1, "l_returnflag", "l_linestatus"), part(2, "l_linestatus", "l_returnflag"), ["l_partkey"], keep_attribute=True).withColumn("reasons", F.array_join("reasons", ","))
+    part = lambda rows, reason, attribute: lines.filter(rows).groupBy("l_partkey").agg(F.max("l_discount").alias("score"), F.array_sort(F.collect_set(reason)).alias("reasons"), F.min(attribute).alias("attribute"))
+    return merge.upsert(part("l_quantity <= 25", "l_returnflag", "l_linestatus"), part("l_quantity > 25", "l_linestatus", "l_returnflag"), ["l_partkey"], keep_attribute=True).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("redacted_skips", f"""SELECT source, count(*) AS n, count(*) FILTER (contains(clean, '{privacy.SECRET}')) AS redacted, count(*) FILTER (NOT contains(clean, '{privacy.SECRET}') AND length(clean) < 20) AS malformed FROM (SELECT source, regexp_replace(text, '(?i)\\btoken = "[^"]+"', '{privacy.SECRET}', 'g') AS clean FROM documents) GROUP BY 1""")
@@ -113,9 +113,9 @@ def code_profiles(spark, d):
     return records.profiles(made)[1]
 
 
-@query("memberships", "SELECT DISTINCT l_suppkey AS login, 'o' || l_partkey AS organization FROM lineitem WHERE l_linenumber = 1")
+@query("memberships", "SELECT DISTINCT l_suppkey AS login, 'o' || l_partkey AS organization FROM lineitem")
 def memberships(spark, d):
-    lines = table(spark, d, "lineitem").filter("l_linenumber = 1").select("l_suppkey", "l_partkey").distinct()
+    lines = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
     lists = lines.groupBy(F.col("l_suppkey").alias("login")).agg(F.to_json(F.collect_list(F.struct(F.concat(F.lit("o"), "l_partkey").alias("login")))).alias("payload"))
     return records.memberships(lists).select("login", "organization")
 
@@ -133,12 +133,12 @@ def answered_queries(spark, d):
     return records.answered_queries(answers, planned).select("answer_id", "query", "outcome", "variant")
 
 
-@query("strongest_routes", """WITH r AS (SELECT DISTINCT user_id, event_type, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'view' THEN 3 WHEN 'click' THEN 4 ELSE 5 END AS rank FROM events WHERE value > 150) SELECT user_id, arg_min(event_type, rank) AS strongest, array_to_string(list(event_type ORDER BY rank), ',') AS routes FROM r GROUP BY 1""")
+@query("strongest_routes", """WITH r AS (SELECT DISTINCT user_id, event_type, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'view' THEN 3 WHEN 'click' THEN 4 ELSE 5 END AS rank FROM events) SELECT user_id, arg_min(event_type, rank) AS strongest, array_to_string(list(event_type ORDER BY rank), ',') AS routes FROM r GROUP BY 1""")
 def strongest_routes(spark, d):
     kind = F.col("event_type")
     rank = F.when(kind == "signup", 1).when(kind == "purchase", 2).when(kind == "view", 3).when(kind == "click", 4).otherwise(5)
     routes = F.array_sort(F.collect_set(F.struct(rank.alias("rank"), kind.alias("route"))))
-    out = table(spark, d, "events").filter("value > 150").groupBy("user_id").agg(routes.alias("r"))
+    out = table(spark, d, "events").groupBy("user_id").agg(routes.alias("r"))
     return out.select("user_id", F.element_at("r.route", 1).alias("strongest"), F.array_join("r.route", ",").alias("routes"))
 
 
@@ -162,10 +162,10 @@ def claim_pool(spark, d):
     return report.key_items(pool, ["p_brand"], [F.col("kind"), F.col("seq")], 4).select("p_brand", "kind", "value")
 
 
-@query("stated_facts", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS lines FROM l WHERE regexp_matches(line, '^(?i)(license|licensed under|released under)') GROUP BY 1""")
+@query("stated_facts", "SELECT p_partkey, 'brand=' || replace(p_brand, '#', '') || ';type=' || p_type AS facts FROM part")
 def stated_facts(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.filter(F.col("line").rlike("(?i)^(license|licensed under|released under)")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+    profile = F.concat(F.lit("# "), "p_name", F.lit("\nBrand: "), "p_brand", F.lit("\n```\nType: in a fence\n```\n* **Type**: "), "p_type", F.lit("\n> brand: "), "p_brand")
+    return table(spark, d, "part").select("p_partkey", F.array_join(names.stated_facts(profile, ["brand", "type"]), ";").alias("facts"))
 
 
 @query("published_address_domains", rf"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '{privacy.EMAIL}')) AS mail FROM documents) SELECT split_part(mail, '@', 2) AS domain, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM a GROUP BY 1""")
@@ -174,19 +174,19 @@ def published_address_domains(spark, d):
     return mails.groupBy(F.split_part("mail", F.lit("@"), F.lit(2)).alias("domain")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-@query("decoded_documents", "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE text END AS text FROM documents WHERE octet_length(encode(text)) <= 131072")
+@query("decoded_documents", """WITH c AS (SELECT doc_id, text, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE strlen(text) > 131072),
+k AS (SELECT doc_id, text, string_agg(c, '' ORDER BY i) AS kept FROM (SELECT *, sum(strlen(c)) OVER (PARTITION BY doc_id, text ORDER BY i) AS n FROM c) WHERE n <= 131072 GROUP BY 1, 2)
+SELECT d.doc_id, CASE WHEN d.doc_id % 9 = 0 THEN '' ELSE coalesce(kept, d.text, '') END AS text FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id AND k.text = d.text""")
 def decoded_documents(spark, d):
-    rows = table(spark, d, "documents").filter(F.octet_length("text") <= 128 * 1024)
     coded = F.when(F.col("doc_id") % 9 == 0, "*not base64*").otherwise(F.base64(F.col("text").cast("binary")))
-    back = F.decode(F.substring(F.try_to_binary(coded, F.lit("base64")), 1, 128 * 1024), "utf-8")
-    return rows.select("doc_id", F.coalesce(back, F.lit("")).alias("text"))
+    return table(spark, d, "documents").select("doc_id", findings.decoded(coded).alias("text"))
 
 
-@query("channel_coverage", """SELECT user_id, CASE WHEN count(*) FILTER (event_type <> 'error') = 0 THEN 'BLOCKED' WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'PARTIAL' WHEN count(*) FILTER (value > 20) > 0 THEN 'FOUND' ELSE 'NO_MATCH_RETURNED' END AS state FROM events WHERE event_id % 17 = 0 GROUP BY 1""")
+@query("channel_coverage", """SELECT user_id, dayofyear(ts) AS day, CASE WHEN count(*) FILTER (event_type <> 'error') = 0 THEN 'BLOCKED' WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'PARTIAL' WHEN count(*) FILTER (value > 20) > 0 THEN 'FOUND' ELSE 'NO_MATCH_RETURNED' END AS state FROM events GROUP BY 1, 2""")
 def channel_coverage(spark, d):
-    rows = table(spark, d, "events").filter("event_id % 17 = 0")
+    rows = table(spark, d, "events")
     bad = F.col("event_type") == "error"
-    return rows.groupBy("user_id").agg(F.when(F.count_if(~bad) == 0, "BLOCKED").when(F.count_if(bad) > 0, "PARTIAL").when(F.count_if(F.col("value") > 20) > 0, "FOUND").otherwise("NO_MATCH_RETURNED").alias("state"))
+    return rows.groupBy("user_id", F.dayofyear("ts").cast("long").alias("day")).agg(F.when(F.count_if(~bad) == 0, "BLOCKED").when(F.count_if(bad) > 0, "PARTIAL").when(F.count_if(F.col("value") > 20) > 0, "FOUND").otherwise("NO_MATCH_RETURNED").alias("state"))
 
 
 @query("capability_groups", "SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_type) FILTER (p_size > 40)), ',') AS large, array_to_string(list_sort(list(DISTINCT p_type) FILTER (p_retailprice > 1500)), ',') AS dear FROM part GROUP BY 1")

@@ -43,12 +43,12 @@ def shared_site_groups(spark, d):
 
 
 @query("unlinked_pairs", """
-WITH p AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b, 'T' AS type FROM lineitem WHERE l_linenumber = 1), e AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS x, greatest(l_suppkey, l_partkey) AS y FROM lineitem WHERE l_linenumber = 2)
+WITH p AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b, 'T' AS type FROM lineitem WHERE l_returnflag = 'N'), e AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS x, greatest(l_suppkey, l_partkey) AS y FROM lineitem WHERE l_returnflag <> 'N')
 SELECT a, b FROM p WHERE NOT EXISTS (SELECT 1 FROM e WHERE x = least(a, b) AND y = greatest(a, b))""")
 def unlinked_pairs(spark, d):
     lines = spark.read.parquet(f"{d}/lineitem.parquet")
-    pairs = lines.filter("l_linenumber = 1").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.lit("T").alias("type")).distinct()
-    edges = lines.filter("l_linenumber = 2").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.lit("T").alias("type"))
+    pairs = lines.filter("l_returnflag = 'N'").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"), F.lit("T").alias("type")).distinct()
+    edges = lines.filter("l_returnflag <> 'N'").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.lit("T").alias("type"))
     return ops.not_linked(pairs, edges).select("a", "b")
 
 
@@ -56,11 +56,11 @@ def unlinked_pairs(spark, d):
 SOURCES = {"click": "orcid", "view": "openalex", "purchase": "github", "signup": "wikidata", "error": "search"}
 KINDS = ["orcid", "doi", "github_login", "wikidata", "openalex"]
 CLAIMS_SQL = f"""(SELECT 'case-' || (user_id % 5) AS case_id, event_id AS record, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in SOURCES.items())} END AS source,
- CASE user_id % 5 {' '.join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS))} END AS identifier, 'v' || user_id || '-' || (day(ts) % 6) AS value, CASE WHEN value > 60 AND event_type = 'signup' THEN ['github'] ELSE []::VARCHAR[] END AS imported FROM events WHERE event_id % 3 = 0)"""
+ CASE user_id % 5 {' '.join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS))} END AS identifier, 'v' || user_id || '-' || (day(ts) % 6) AS value, CASE WHEN value > 60 AND event_type = 'signup' THEN ['github'] ELSE []::VARCHAR[] END AS imported FROM events)"""
 
 
 def claims(spark, d):
-    events = spark.read.parquet(f"{d}/events.parquet").filter("event_id % 3 = 0")
+    events = spark.read.parquet(f"{d}/events.parquet")
     source = F.create_map(*(F.lit(x) for kv in SOURCES.items() for x in kv))[F.col("event_type")]
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("user_id") % 5 + 1).cast("int"))
     imported = F.when((F.col("value") > 60) & (F.col("event_type") == "signup"), F.array(F.lit("github"))).otherwise(F.array().cast("array<string>"))

@@ -30,12 +30,11 @@ def coverage_states(spark, d):
     return ops.best_coverage(runs(spark, d), ["job", "source"])
 
 
-@query("gap_summary", f"""WITH r AS (SELECT *, {STATE_SQL} AS state FROM {RUNS_SQL} WHERE event_id % 40 = 3), b AS (SELECT job, source, arg_min(state, {RANK_SQL}) AS state FROM r GROUP BY 1, 2)
-SELECT job, state, array_to_string(list_sort(list(source)), ',') AS sources FROM b WHERE state NOT IN ('FOUND', 'NO_MATCH_RETURNED') GROUP BY 1, 2""")
+@query("gap_summary", f"""WITH r AS (SELECT *, {STATE_SQL} AS state FROM {RUNS_SQL}), b AS (SELECT job, case_id, source, arg_min(state, {RANK_SQL}) AS state FROM r GROUP BY 1, 2, 3)
+SELECT job, case_id, state, array_to_string(list_sort(list(source)), ',') AS sources FROM b WHERE state NOT IN ('FOUND', 'NO_MATCH_RETURNED') GROUP BY 1, 2, 3""")
 def gap_summary(spark, d):
-    # One run in forty: with all of them every source has an answer on every day.
-    covered = ops.best_coverage(runs(spark, d).filter("event_id % 40 = 3"), ["job", "source"])
-    return ops.gaps(covered, ["job"], "source")
+    covered = ops.best_coverage(runs(spark, d), ["job", "case_id", "source"])
+    return ops.gaps(covered, ["job", "case_id"], "source")
 
 
 @query("source_summary", f"""SELECT source, count(*) AS runs, count(*) FILTER (status IN ('SUCCESS', 'PARTIAL')) AS ok, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'SKIPPED') AS skipped, sum(findings)::BIGINT AS findings,

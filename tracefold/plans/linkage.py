@@ -40,12 +40,14 @@ def org_key_match(spark, d):
 WORDS_SQL = "list_distinct(list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda t: t <> ''))"
 
 
-@query("place_match", f"SELECT p_partkey, s_suppkey FROM part JOIN supplier ON s_suppkey % 10 = p_partkey % 10 WHERE len({WORDS_SQL.format('s_name')}) > 0 AND len(list_filter({WORDS_SQL.format('s_name')}, lambda t: NOT list_contains({WORDS_SQL.format('p_name || chr(32) || s_nationkey || chr(32) || s_name')}, t))) = 0 AND s_suppkey < 50")
+@query("place_match", f"""WITH s AS (SELECT c_custkey, {WORDS_SQL.format("n_name || ' ' || c_mktsegment || ' ' || c_name")} AS w FROM customer JOIN nation ON n_nationkey = c_nationkey),
+p AS (SELECT n_name AS place, {WORDS_SQL.format('n_name')} AS w FROM nation UNION ALL SELECT r_name, {WORDS_SQL.format('r_name')} FROM region)
+SELECT c_custkey, place FROM s JOIN p ON list_has_all(s.w, p.w) WHERE len(p.w) > 0""")
 def place_match(spark, d):
-    part, supplier = table(spark, d, "part"), table(spark, d, "supplier").filter("s_suppkey < 50")
-    both = part.join(supplier, F.col("s_suppkey") % 10 == F.col("p_partkey") % 10)
-    stated = names.words(F.concat_ws(" ", "p_name", "s_nationkey", "s_name"))
-    return both.filter(names.holds(stated, names.words(F.col("s_name")))).select("p_partkey", "s_suppkey")
+    customer = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    stated = customer.select(F.col("c_custkey").alias("a"), F.concat_ws(" ", "n_name", "c_mktsegment", "c_name").alias("stated"))
+    places = table(spark, d, "nation").select(F.col("n_name").alias("place")).unionByName(table(spark, d, "region").select(F.col("r_name").alias("place")))
+    return ops.places_matched(stated, places).select(F.col("a").alias("c_custkey"), "place")
 
 
 @query("name_relation", """WITH p AS (SELECT p_partkey, p_name AS c, string_split(p_name, ' ') AS t FROM part), o AS (SELECT p_partkey, c, t, CASE p_partkey % 6 WHEN 0 THEN upper(c) WHEN 1 THEN replace(c, ' ', '-') WHEN 2 THEN c || ' extra' WHEN 3 THEN t[1] WHEN 4 THEN 'zz ' || t[1] ELSE 'unrelated' END AS n FROM p)
@@ -57,21 +59,22 @@ def name_relation(spark, d):
     return table(spark, d, "part").groupBy(form.alias("form"), names.relation(observed, F.col("p_name")).alias("relation")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("folded_names", "SELECT trim(regexp_replace(lower(strip_accents(w)), '[^a-z0-9]+', ' ', 'g')) AS folded, count(*) AS n FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM documents WHERE lang IN ('es', 'fr')) GROUP BY 1")
+@query("folded_names", r"SELECT trim(regexp_replace(lower(strip_accents(w)), '[^\p{L}\p{N}]+', ' ', 'g')) AS folded, count(*) AS n FROM (SELECT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM documents) GROUP BY 1")
 def folded_names(spark, d):
-    words = table(spark, d, "documents").filter(F.col("lang").isin("es", "fr")).select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    words = table(spark, d, "documents").select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     distinct = words.groupBy("w").agg(F.count(F.lit(1)).alias("k"))
     return distinct.groupBy(names.fold(F.col("w")).alias("folded")).agg(F.sum("k").alias("n"))
 
 
-OBSERVED_SQL = "(SELECT user_id % 30 AS subject_id, user_id AS record, CASE event_type WHEN 'click' THEN 'profile_url' WHEN 'view' THEN 'website' WHEN 'purchase' THEN 'affiliation' WHEN 'signup' THEN 'orcid' ELSE 'location' END AS kind, 'v' || (event_id % 25) AS value FROM events WHERE event_id % 5 < 2)"
-ANCHORS_SQL = "(SELECT DISTINCT user_id % 30 AS subject_id, CASE event_type WHEN 'click' THEN 'profile_url' WHEN 'view' THEN 'website' WHEN 'purchase' THEN 'affiliation' WHEN 'signup' THEN 'orcid' ELSE 'location' END AS kind, 'v' || (event_id % 25) AS value FROM events WHERE event_id % 97 = 3)"
+OBSERVED_SQL = "(SELECT user_id % 30 AS subject_id, user_id AS record, CASE event_type WHEN 'click' THEN 'profile_url' WHEN 'view' THEN 'website' WHEN 'purchase' THEN 'affiliation' WHEN 'signup' THEN 'orcid' ELSE 'location' END AS kind, 'v' || (event_id % 25) AS value FROM events WHERE value <= 200)"
+ANCHORS_SQL = "(SELECT DISTINCT user_id % 30 AS subject_id, CASE event_type WHEN 'click' THEN 'profile_url' WHEN 'view' THEN 'website' WHEN 'purchase' THEN 'affiliation' WHEN 'signup' THEN 'orcid' ELSE 'location' END AS kind, 'v' || (event_id % 25) AS value FROM events WHERE value > 200)"
 
 
 def stated(spark, d):
     kind = F.create_map(*(F.lit(x) for kv in {"click": "profile_url", "view": "website", "purchase": "affiliation", "signup": "orcid", "error": "location"}.items() for x in kv))[F.col("event_type")]
-    rows = table(spark, d, "events").select("event_id", (F.col("user_id") % 30).alias("subject_id"), F.col("user_id").alias("record"), kind.alias("kind"), F.concat(F.lit("v"), F.col("event_id") % 25).alias("value"))
-    return rows.filter("event_id % 5 < 2").drop("event_id"), rows.filter("event_id % 97 = 3").drop("event_id", "record")
+    # What is stated as an anchor and what is observed is told by the event's own value.
+    rows = table(spark, d, "events").select(F.col("value").alias("weight"), (F.col("user_id") % 30).alias("subject_id"), F.col("user_id").alias("record"), kind.alias("kind"), F.concat(F.lit("v"), F.col("event_id") % 25).alias("value"))
+    return rows.filter("weight <= 200").drop("weight"), rows.filter("weight > 200").drop("weight", "record")
 
 
 @query("anchor_matches", f"""WITH m AS (SELECT DISTINCT o.subject_id, o.record, o.kind FROM {OBSERVED_SQL} o JOIN {ANCHORS_SQL} a ON o.subject_id = a.subject_id AND o.kind = a.kind AND o.value = a.value)
