@@ -9,6 +9,7 @@ them in blocks, exactly, and the `NEIGHBOURS` most alike vote with their similar
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ PER_LABEL = 1024
 DIMENSIONS = 32
 NEIGHBOURS = 15
 _CLASSES = 16
-_WORDS = 4096
+_WORDS = 2048
 _SHAPES = _CLASSES**3
 _TERMS = _SHAPES + 4 + _WORDS
 
@@ -57,7 +58,7 @@ def _terms(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             out[i, _SHAPES : _SHAPES + 4] = _repeats(w, i)
             h = w.hash[w.first[i] : w.first[i + 1]]
             if len(h):
-                out[i, _SHAPES + 4 :] = np.bincount((h >> np.uint64(52)).astype(np.int64), minlength=_WORDS) / len(h)
+                out[i, _SHAPES + 4 :] = np.bincount((h >> np.uint64(53)).astype(np.int64), minlength=_WORDS) / len(h)
         yield w.low, np.sqrt(out)
 
 
@@ -72,19 +73,26 @@ def _repeats(w: Words, i: int) -> tuple[float, float, float, float]:
 
 class Model:
     def __init__(self, terms: np.ndarray, labels: np.ndarray):
+        """`terms` is overwritten."""
         self.labels = labels.astype(np.float32)
         self.prior = float(labels.mean()) if len(labels) else 0.5
         n = len(terms)
-        seen = (terms > 0).sum(axis=0)
-        self.weight = np.log((1 + n) / (1 + seen)).astype(np.float32) + 1
-        self.mean = (terms * self.weight).mean(axis=0) if n else np.zeros(_TERMS, np.float32)
-        x = terms * self.weight - self.mean
-        self.axes = np.linalg.svd(x, full_matrices=False)[2][:DIMENSIONS].T.astype(np.float32) if n else np.zeros((_TERMS, DIMENSIONS), np.float32)
-        self.vectors = self.project(terms)
+        self.weight = np.log((1 + n) / (1 + np.count_nonzero(terms, axis=0))).astype(np.float32) + 1
+        terms *= self.weight
+        self.mean = terms.mean(axis=0) if n else np.zeros(_TERMS, np.float32)
+        terms -= self.mean
+        # The decomposition of the rows' products, which is the smaller side, has the same axes.
+        value, left = np.linalg.eigh(terms @ terms.T) if n else (np.zeros(0), np.zeros((0, 0), np.float32))
+        top = np.argsort(-value)[:DIMENSIONS]
+        self.axes = (terms.T @ (left[:, top] / np.sqrt(np.maximum(value[top], 1e-6)))).astype(np.float32)
+        self.vectors = self._unit(terms @ self.axes)
+
+    @staticmethod
+    def _unit(v: np.ndarray) -> np.ndarray:
+        return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
     def project(self, terms: np.ndarray) -> np.ndarray:
-        v = (terms * self.weight - self.mean) @ self.axes
-        return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        return self._unit((terms * self.weight - self.mean) @ self.axes)
 
     def scores(self, terms: np.ndarray, block: int = 512) -> np.ndarray:
         out = np.full(len(terms), self.prior)
@@ -113,9 +121,15 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
                 yield pa.RecordBatch.from_arrays([*own, pa.array([x.tobytes() for x in terms], pa.binary())], names=["doc_id", "quality", "terms"])
 
     rows = sample.select(F.col("doc_id").cast("long"), "quality", "text").mapInArrow(run, "doc_id long, quality int, terms binary").toArrow()
-    got = sorted(zip(rows.column("doc_id").to_pylist(), rows.column("quality").to_pylist(), rows.column("terms").to_pylist(), strict=True))
-    terms = np.stack([np.frombuffer(x[2], np.float32) for x in got]) if got else np.zeros((0, _TERMS), np.float32)
-    return Model(terms, np.array([x[1] for x in got]))
+    ids, values = rows.column("doc_id").to_pylist(), rows.column("quality").to_pylist()
+    many = Counter(ids)
+    # Rows in the order of their ids; of repeated ids, by what they hold.
+    by = sorted(range(len(ids)), key=lambda k: (ids[k], values[k], rows.column("terms")[k].as_py() if many[ids[k]] > 1 else b""))
+    terms = np.empty((len(by), _TERMS), np.float32)
+    for place, k in enumerate(by):
+        terms[place] = np.frombuffer(rows.column("terms")[k].as_buffer(), np.float32)
+    del rows
+    return Model(terms, np.array([values[k] for k in by]))
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
