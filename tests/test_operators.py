@@ -208,3 +208,67 @@ def test_payloads_of_repositories_are_pages_of_bounded_size(spark, tmp_path, mon
     plan.public_repositories(spark, str(tmp_path))
     sizes = [r.n for r in seen[0].select(F.json_array_length("payload").alias("n")).collect()]
     assert sum(sizes) == 4000 and max(sizes) <= 50
+
+
+def test_canonical_identifiers(spark):
+    from tracefold.functions import targets
+
+    f = {"domain": lambda c: targets.domain(c, True), "url": lambda c: targets.web_address(c, True), "ip": targets.ip_address, "email": targets.email, "repo": targets.repository, "profile": targets.profile, "orcid": targets.orcid, "user": targets.username}
+    cases = [
+        ("domain", "https://a@München.DE:81/x", "xn--mnchen-3ya.de"), ("domain", "localhost", None), ("domain", None, None),
+        ("url", "Example.com:80", "https://example.com/"), ("url", "ftp://example.com", None), ("url", "http://u:p@Example.com.:8080/A?b=C#d", "http://example.com:8080/A?b=C"),
+        ("ip", "[2001:0DB8:0:0::1]", "2001:db8::1"), ("ip", "10.0.0.256", None), ("email", "<A.b@Example.COM>", "a.b@example.com"), ("email", "a@b", None),
+        ("repo", "git@gitlab.com:Own/Name.git", "gitlab:own/name"), ("repo", "own/name", "github:own/name"), ("repo", "code.example.org/Own/Name/tree", "code.example.org:own/name"), ("repo", "own", None),
+        ("profile", "www.reddit.com/user/Abc/", "reddit:abc"), ("profile", "https://www.reddit.com/r/x", None), ("orcid", "https://orcid.org/0000-0002-1825-009x/", "0000-0002-1825-009X"), ("orcid", "about", None),
+        ("user", " @@Ab_c ", "ab_c"), ("user", "a b", None), ("user", "", None),
+    ]
+    for kind, text, want in cases:
+        assert spark.createDataFrame([(text,)], "t string").select(f[kind](F.col("t"))).first()[0] == want, (kind, text)
+
+
+def test_identifier_type_without_a_scheme(spark):
+    from tracefold.functions import urls
+
+    got = spark.createDataFrame([("github.com/o/r",), ("reddit.com/u/x",), ("example.com/a",), ("o/r",)], "t string").select(urls.identifier_type(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["REPOSITORY", "SOCIAL_PROFILE", "URL", "REPOSITORY"]
+
+
+def test_payloads_leaf_by_leaf(spark):
+    import json
+
+    from tracefold.operators import payloads
+
+    deep = "x"
+    for _ in range(13):
+        deep = {"a": deep}
+    rows = [(1, json.dumps({"dob": "2000-01-01", "n": 3, "e": None, "l": [{"note": "y" * 5000}], "b": []})), (2, json.dumps(deep)), (3, "no json"), (4, None), (5, "{}"), (6, json.dumps({"note": "z" * 3990 + " ghp_" + "aB1c" * 9}))]
+    got = {r.id: r for r in payloads.walked(payloads.leaves(spark.createDataFrame(rows, "id long, p string"), "id", "p"), "id").collect()}
+    assert sorted(got) == [1, 2, 3, 6]
+    assert got[1].level == 2 and got[1].changed == ["dob", "l[0].note"] and got[1].data["n"] == "3" and got[1].data["e"] is None and len(got[1].data["l[0].note"]) == 4000
+    assert list(got[2].data.values()) == [payloads.TOO_DEEP] and got[3].data == {"": "no json"}
+    assert got[6].level == 3 and got[6].changed == ["note"] and "ghp_" not in got[6].data["note"]
+
+
+def test_ledger_goes_on_after_a_start(spark, tmp_path):
+    from tracefold.streaming import incremental
+
+    path, base = str(tmp_path / "in"), f"file://{tmp_path}/ledger"
+    for k in (1, 2):
+        spark.createDataFrame([(1, k, f"v{k}"), (k + 1, k, "w")], "id long, seq long, v string").coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema("id long, seq long, v string").parquet(path)
+        rows = incremental.upserted(stream, ["id"], "seq", "t", base).collect()
+    assert sorted((r.id, r.seq, r.v) for r in rows) == [(1, 2, "v2"), (2, 1, "w"), (3, 2, "w")]
+
+
+def test_runs_and_groups_lose_nothing(spark):
+    from tracefold.operators import accounts
+
+    due = spark.createDataFrame([("t", "x"), ("u", "y")], "target string, type string")
+    sources = spark.createDataFrame([("s", ["x", "y"]), ("r", ["x"])], "source string, types array<string>")
+    runs = spark.createDataFrame([("t", "s", 2, "cut", False), ("t", "s", 1, None, False)], "target string, source string, findings long, error string, timed_out boolean")
+    got = {(r.target, r.source): (r.status, r.findings) for r in accounts.run_rows(due, sources, runs).collect()}
+    assert got == {("t", "s"): ("PARTIAL", 3), ("t", "r"): ("SKIPPED", 0), ("u", "s"): ("SKIPPED", 0)}
+    known = spark.createDataFrame([(1, 1), (1, 2)], "c long, k long")
+    kids = spark.createDataFrame([(1, 1, "a"), (1, None, "a"), (1, 9, "a"), (1, 1, None)], "c long, k long, label string")
+    got = {(r.group, r.label): r.n for r in accounts.candidate_groups(known, {"x": (kids, "label")}, "c", "k").collect()}
+    assert got == {("1", "a"): 1, ("1", None): 1, ("2", None): 0, ("unattributed", "a"): 2}

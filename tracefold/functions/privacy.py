@@ -85,11 +85,11 @@ def count_secrets(text: Column) -> dict[str, Column]:
 
 def filtered(key: Column, value: Column) -> Column:
     """The value as it may be stored: secrets first, then the key's and the value's rules, at most
-    4000 characters."""
+    4000 characters. Secrets go before the cut, which so leaves no part of one."""
     found, clean = classify(key, value), redact_secrets(value)
     kept = F.lower(key).isin(PRESERVED) & (found["level"] < 3)
     marker = F.when(found["level"] == 3, REDACTED).otherwise(SUPPRESSED)
-    return F.when(clean != value, clean).when(found["redact"] & ~kept, marker).otherwise(F.substring(value, 1, 4000))
+    return F.when(clean != value, F.substring(clean, 1, 4000)).when(found["redact"] & ~kept, marker).otherwise(F.substring(value, 1, 4000))
 
 
 def is_redacted(value: Column) -> Column:

@@ -42,6 +42,8 @@ IPV6 = r"^[0-9a-f]{0,4}(:[0-9a-f]{0,4}){2,7}$|^::(ffff:)?[0-9.]+$"
 PUBLICATION_HOSTS = ["doi.org", "dx.doi.org", "arxiv.org", "openalex.org", "api.crossref.org", "semanticscholar.org", "researchgate.net", "pubmed.ncbi.nlm.nih.gov"]
 
 
+# Hosts whose results are about a search, not about its subject.
+NOISE_HOSTS = ["google.com", "bing.com", "duckduckgo.com", "webcache.googleusercontent.com", "translate.google.com", "policies.google.com", "support.google.com"]
 #: Hosts whose two-part paths are an owner and a repository. Fixed values.
 FORGES = ["github.com", "gitlab.com", "bitbucket.org"]
 
@@ -103,6 +105,15 @@ def safety(url: Column) -> Column:
     return ladder.otherwise("ok")
 
 
+def is_noise(url: Column) -> Column:
+    return bare_host(url).isin(NOISE_HOSTS)
+
+
+def drawable(url: Column) -> Column:
+    """Whether a page may draw the image in place: https, and a safe public address by its text."""
+    return F.coalesce((scheme(F.trim(url)) == "https") & (safety(F.trim(url)) == "ok"), F.lit(False))
+
+
 def handle(url: Column) -> Column:
     """The account a profile-shaped address names, else null; deeper paths address content."""
     parts, out = segments(url), F.lit(None).cast("string")
@@ -139,16 +150,18 @@ def finding_kind(url: Column) -> Column:
 def identifier_type(text: Column) -> Column:
     """The type that an identifier's own shape tells; `ambiguous` for free text, null for none."""
     t = F.trim(text)
+    web = F.when(t.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), t).when(t.rlike(r"^(?i)([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}/"), F.concat(F.lit("https://"), t))
+    address = F.when(bare_host(web).isin(FORGES) & (F.size(segments(web)) >= 2), "REPOSITORY").when(shape(web) == "social", "SOCIAL_PROFILE").otherwise("URL")
     domain = r"^(?i)([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}\.?$"
     return (
         F.when(t.isNull() | (t == ""), F.lit(None))
-        .when(t.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), F.when(bare_host(t).isin(FORGES) & (F.size(segments(t)) >= 2), "REPOSITORY").when(shape(t) == "social", "SOCIAL_PROFILE").otherwise("URL"))
+        .when(t.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), address)
         .when(t.startswith("@"), "USERNAME")
         .when(t.rlike(r"^git@[A-Za-z0-9.-]+:[\w.-]+/[\w.-]+$"), "REPOSITORY")
         .when(t.rlike(r"^[\w.+-]+@[\w-]+(\.[\w-]+)+$"), "EMAIL")
         .when(t.rlike(IPV4) | t.rlike(r"^\[?[0-9a-fA-F]*:[0-9a-fA-F:]+\]?$"), "IP")
         .when(t.rlike(domain), "DOMAIN")
-        .when(t.rlike(r"^(?i)([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}/"), "URL")
+        .when(web.isNotNull(), address)
         .when(t.rlike(r"^[\w.-]+/[\w.-]+$"), "REPOSITORY")
         .when(t.rlike(r"^[A-Za-z0-9._-]{1,64}$"), "USERNAME")
         .otherwise("ambiguous")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scoring
 from ..streaming import incremental as ops
 from .registry import query
 
@@ -49,3 +50,13 @@ def stream_throttle(spark, d):
 @query("stream_ledger", "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
 def stream_ledger(spark, d):
     return ops.upserted(events(spark, d).select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id", "ledger")
+
+
+@query("stream_rescored", f"""WITH r(rule_key, score, ceiling) AS (VALUES {scoring.rules_sql()}), e AS (SELECT DISTINCT user_id, CASE event_type WHEN 'purchase' THEN 'commit_authorship' WHEN 'view' THEN 'search_reference' WHEN 'signup' THEN 'context_location_match' END AS rule_key FROM events)
+SELECT user_id, round(least(greatest(1 - product(1 - score), max(score)), max(ceiling)), 4) AS score FROM e JOIN r USING (rule_key) GROUP BY 1""")
+def stream_rescored(spark, d):
+    kind, rules = F.col("event_type"), scoring.rules_table(spark)
+    seen = events(spark, d).select("user_id", F.when(kind == "purchase", "commit_authorship").when(kind == "view", "search_reference").when(kind == "signup", "context_location_match").alias("rule_key"))
+    rows = ops.finished(ops.observed_rules(seen, ["user_id"], rules), "rescored", "update")
+    now = rows.groupBy("user_id").agg(F.max_by("rules", "__batch").alias("rules"))
+    return scoring.score_groups(now.select("user_id", F.explode("rules").alias("rule_key")), ["user_id"], rules).select("user_id", "score")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tables import materialize, shared_folder
+from ..operators.tables import shared_folder
 
 
 def stream_of(spark: SparkSession, path: str, files_a_batch: int = 4) -> DataFrame:
@@ -79,17 +79,25 @@ def throttled(stream: DataFrame, key: str, at: str, seconds: int, limit: int) ->
     return rows.groupBy(key).applyInPandasWithState(judge, "event_id long, allowed boolean, retry_after double", "opened double, n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def upserted(stream: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-    """A ledger that holds the last row of each key: batches are merged as they come, and the table
-    of the last batch is the ledger."""
-    held: dict[str, DataFrame] = {}
+def upserted(stream: DataFrame, keys: list[str], order: str, name: str, base: str | None = None) -> DataFrame:
+    """A ledger that holds the last row of each key. A batch writes its own last rows under its number,
+    so that one which runs again writes the same; reading merges them. With `base`, a shared folder of
+    the caller's, a later start goes on from what was read and kept before."""
+    base = base or f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
 
-    def merge(rows: DataFrame, batch: int) -> None:
-        columns = [c for c in rows.columns if c not in keys]
-        both = rows if "now" not in held else held["now"].unionByName(rows)
-        merged = both.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("r")).select(*keys, "r.*")
-        held["now"] = materialize(merged, f"{name}-{batch}")
+    def last(rows: DataFrame) -> DataFrame:
+        columns = [c for c in stream.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("r")).select(*keys, "r.*")
 
-    where = f"{shared_folder(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
-    return held["now"]
+    def keep(rows: DataFrame, batch: int) -> None:
+        last(rows).write.mode("overwrite").parquet(f"{base}/rows/part={batch}")
+
+    stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return last(stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows/part=*"))
+
+
+def observed_rules(stream: DataFrame, keys: list[str], rules: DataFrame) -> DataFrame:
+    """(keys, rules): what was observed of each subject up to now, in whatever order it came. State is
+    a set of known rules a subject, so late evidence adds to it and scores are made again from it."""
+    known = stream.join(F.broadcast(rules.select("rule_key")), "rule_key")
+    return known.groupBy(*keys).agg(F.collect_set("rule_key").alias("rules"))
