@@ -272,3 +272,17 @@ def test_runs_and_groups_lose_nothing(spark):
     kids = spark.createDataFrame([(1, 1, "a"), (1, None, "a"), (1, 9, "a"), (1, 1, None)], "c long, k long, label string")
     got = {(r.group, r.label): r.n for r in accounts.candidate_groups(known, {"x": (kids, "label")}, "c", "k").collect()}
     assert got == {("1", "a"): 1, ("1", None): 1, ("2", None): 0, ("unattributed", "a"): 2}
+
+
+def test_extraction_reads_findings_once(spark):
+    rows = [("c", "1", "REPOSITORY", {"owner": "o", "full_name": "o/r", "homepage": "https://h.org"}), ("c", "2", "COMMIT_ACTIVITY", {"repository": "o/r", "authors": '{"a":1,"b":2}'}), ("c", "3", "CODE_PROFILE", {"profile_url": "p", "login": "l", "website": "w"}), ("c", "4", "OTHER", {"x": "y"})]
+    nodes, lines = extract.extracted(spark.createDataFrame(rows, "case_id string, finding_id string, kind string, data map<string,string>"))
+    assert {(r.src, r.type, r.dst) for r in lines.collect()} == {("o", "CONTRIBUTED_TO", "o/r"), ("o/r", "LINKS_TO", "https://h.org"), ("a", "CONTRIBUTED_TO", "o/r"), ("b", "CONTRIBUTED_TO", "o/r"), ("p", "USES_USERNAME", "l"), ("p", "LINKS_TO", "w")}
+    assert {r.value for r in nodes.collect() if r.finding_id == "2"} == {"o/r", "a", "b"}
+    assert nodes._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+
+
+def test_visible_text_ends_at_its_own_tag(spark):
+    html = "<head><title>t</title></head><NAV><p>menu</p></footer> more</NAV><header>h</header><p>one <b>two</b></p><!-- <nav> --><footer>f</footer> three"
+    pages = spark.createDataFrame([(html,)], "html string")
+    assert extract.visible_text(pages).first().visible == "one two three"

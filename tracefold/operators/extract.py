@@ -14,9 +14,11 @@ DROPPED_TAGS = ["script", "style", "noscript", "template", "svg", "nav", "header
 
 
 def visible_text(pages: DataFrame) -> DataFrame:
-    """`pages` with `visible`: text outside markup, white space collapsed."""
-    tags = "|".join(DROPPED_TAGS)
-    text = F.regexp_replace("html", rf"(?s)<({tags})\b.*?</({tags})>|<!--.*?-->", " ")
+    """`pages` with `visible`: text outside markup, white space collapsed. A dropped element goes up to
+    its own closing tag, comments and scripts first, as they may hold others' tags."""
+    text = F.regexp_replace("html", "(?s)<!--.*?-->", " ")
+    for tag in DROPPED_TAGS:
+        text = F.regexp_replace(text, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", " ")
     return pages.withColumn("visible", F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), r"[ \t\n\r]+", " ")))
 
 
@@ -76,20 +78,43 @@ for _row in [
     _simple(*_row)
 
 
+def _also(kind: str, src: tuple[str, str], edge_type: str, dst: tuple[str, str], rule: str) -> None:
+    """One more edge, and the entity at its end, of a kind that has an extractor."""
+    before = EXTRACTORS[kind]
+
+    @extractor(kind)
+    def build(data: Column) -> tuple[Column, Column]:
+        nodes, lines = before(data)
+        return F.concat(nodes, F.array(entity(dst[0], data[dst[1]]))), F.concat(lines, F.array(edge(src[0], data[src[1]], edge_type, dst[0], data[dst[1]], rule)))
+
+
+_also("CODE_PROFILE", ("SOCIAL_ACCOUNT", "profile_url"), "LINKS_TO", ("WEBSITE", "website"), "site_links_profile")
+_also("REPOSITORY", ("REPOSITORY", "full_name"), "LINKS_TO", ("WEBSITE", "homepage"), "authoritative_record")
+_also("CANDIDATE_RECORD", ("WEBSITE", "url"), "REFERENCED_BY", ("WEBSITE", "found_on"), "search_reference")
+_one_author = EXTRACTORS["COMMIT_ACTIVITY"]
+
+
+@extractor("COMMIT_ACTIVITY")
+def _commits(data: Column) -> tuple[Column, Column]:
+    """The named author, and all of `authors`, a JSON map from author to commits."""
+    nodes, lines = _one_author(data)
+    authors = F.coalesce(F.map_keys(F.from_json(data["authors"], "map<string,string>")), F.array().cast("array<string>"))
+    more = F.transform(authors, lambda a: edge("USERNAME", a, "CONTRIBUTED_TO", "REPOSITORY", data["repository"], "commit_authorship"))
+    return F.concat(nodes, F.transform(authors, lambda a: entity("USERNAME", a))), F.concat(lines, more)
+
+
 def extracted(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entities (case_id, finding_id, type, value, name) and edges (case_id, finding_id, src_type,
     src, type, dst_type, dst, rule_key) of findings (case_id, finding_id, kind, data map).
 
     A kind without an extractor makes none. Empty values make no entity, and no edge where either
     end is empty or both ends are one."""
-    entities = edges = None
-    for kind, build in EXTRACTORS.items():
-        mine = findings.filter(F.col("kind") == kind)
-        nodes, lines = build(F.col("data"))
-        some = mine.select("case_id", "finding_id", F.inline(nodes))
-        more = mine.select("case_id", "finding_id", F.inline(lines))
-        entities = some if entities is None else entities.unionByName(some)
-        edges = more if edges is None else edges.unionByName(more)
+    kind, nodes, lines = F.col("kind"), F.lit(None), F.lit(None)
+    for name, build in EXTRACTORS.items():  # one expression each, so that findings are read once
+        some, more = build(F.col("data"))
+        nodes, lines = F.when(kind == name, some).otherwise(nodes), F.when(kind == name, more).otherwise(lines)
+    entities = findings.select("case_id", "finding_id", F.inline(nodes))
+    edges = findings.select("case_id", "finding_id", F.inline(lines))
     entities = entities.filter("value IS NOT NULL AND value <> ''")
     edges = edges.filter("src IS NOT NULL AND dst IS NOT NULL AND src <> '' AND dst <> '' AND NOT (src = dst AND src_type = dst_type)")
     return entities, edges

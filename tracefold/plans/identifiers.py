@@ -103,9 +103,12 @@ def page_metadata(spark, d):
     )
 
 
-@query("page_visible_text", r"""
-SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html,
-  '<(script|style|noscript|template|svg|nav|header|footer|head)\b.*?</(script|style|noscript|template|svg|nav|header|footer|head)>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS visible FROM pages""")
+VISIBLE_SQL = "regexp_replace(html, '<!--.*?-->', ' ', 'gs')"
+for _tag in extract.DROPPED_TAGS:
+    VISIBLE_SQL = rf"regexp_replace({VISIBLE_SQL}, '<{_tag}(\s[^>]*)?>.*?</{_tag}\s*>', ' ', 'gis')"
+
+
+@query("page_visible_text", rf"SELECT page_id, trim(regexp_replace(regexp_replace({VISIBLE_SQL}, '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS visible FROM pages")
 def page_visible_text(spark, d):
     return extract.visible_text(pages(spark, d)).select("page_id", "visible")
 
