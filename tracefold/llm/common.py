@@ -20,10 +20,13 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir`; a temporary one only where that is unset (tests)."""
+    """The folder in `spark.checkpoint.dir`; a temporary one only where that is unset and all runs on
+    one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _own_dir:
         _own_dir["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-ckpt-")
     return _own_dir["dir"]
