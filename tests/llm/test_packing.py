@@ -18,7 +18,7 @@ def ids():
 
 
 def test_encoder_agrees_with_the_vocabulary_file(ids):
-    encode = packing.TextEncoder(packing.default_vocabulary(), table=3)
+    encode = packing.TextEncoder(packing.default_vocabulary())
     for text in TEXTS:
         assert encode(text or "") == ids(text)[:-1].tobytes()
 

@@ -38,8 +38,6 @@ SCHEMA = T.StructType(
         T.StructField("ids", T.BinaryType()),
     ]
 )
-#: Unicode's White_Space, as the vocabulary's pattern reads it. Fixed values.
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: The vocabulary's pattern for splitting text. A fixed value.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -67,46 +65,18 @@ def _encoder(path: str):
 
 
 class TextEncoder:
-    """ids of texts as little-endian unsigned 32-bit bytes.
+    """ids of texts. A token that the vocabulary's file adds, such as its end of text, is one id."""
 
-    A space and the word after it never merge with what surrounds them, so the ids of such a
-    unit are looked up in a table of bounded size before the encoder is asked. Where white space
-    follows white space that isn't so, and the encoder gets the whole text, as it does where the text
-    holds a token that the vocabulary's file adds, such as its end of text: that is one id.
-    """
-
-    def __init__(self, path: str, table: int = 400_000, longest: int = 40):
-        import re
-
-        encoder = _encoder(path)
-        self._encode = functools.partial(encoder.encode, allowed_special="all")
-        self._added = sorted(encoder.special_tokens_set)
-        self._seen: dict[str, bytes] = {}
-        self._table, self._longest = table, longest
-        self._double = re.compile(f"[{_SPACE}][{_SPACE}]").search
+    def __init__(self, path: str):
+        self._encoder = _encoder(path)
+        self.size = self._encoder.n_vocab
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self._encode(text), "<u4").tobytes()
+    def ids(self, text: str) -> np.ndarray:
+        return self._encoder.encode_to_numpy(text, allowed_special="all")
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self._double(text) or any(x in text for x in self._added):
-            return self._ids(text)
-        seen, out = self._seen, []
-        first, *rest = text.split(" ")
-        if first:
-            out.append(self._ids(first))
-        for word in rest:
-            got = seen.get(word)
-            if got is None:
-                got = self._ids(" " + word)
-                if len(word) <= self._longest:
-                    if len(seen) >= self._table:
-                        seen.clear()
-                    seen[word] = got
-            out.append(got)
-        return b"".join(out)
+        """As little-endian unsigned 32-bit integers."""
+        return self.ids(text).astype("<u4").tobytes()
 
 
 def assign(lengths: np.ndarray, capacity: int, linear: float, quadratic: float) -> list[list[tuple[int, int, int]]]:
