@@ -11,6 +11,9 @@ from .lm import op9_lm_scoring
 from .minhash import op2_minhash_near_dedup
 from .packing import op1_packing
 from .quality import op5_quality
+from .runs import op11_periodic_runs
+from .spelling import op13_spelling_variants
+from .tokenfile import op12_token_files
 from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_files": op12_token_files,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 SQL = {
     "op3_exact_dedup": OP3_SQL,
