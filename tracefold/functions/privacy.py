@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bound import bound
+
 LEVELS = ["PUBLIC", "PERSONAL", "SENSITIVE", "RESTRICTED"]
 REDACTED, SUPPRESSED, SECRET = "[REDACTED]", "[SUPPRESSED: SENSITIVE PERSONAL DATA]", "[REDACTED SECRET]"
 # Patterns of card numbers, social security numbers and mail addresses.
@@ -83,13 +85,32 @@ def count_secrets(text: Column) -> dict[str, Column]:
     return {category: F.regexp_count(text, F.lit(pattern)) for category, pattern in SECRETS}
 
 
+LONGEST, CUT = 4000, "…[truncated]"
+
+
+def stored(key: Column, value: Column) -> Column:
+    """Struct of the value as it may be stored, its level (a secret has the highest) and whether
+    something was removed. Secrets go first, then the key's and the value's rules apply; of a longer
+    value 4000 characters and a mark are kept. Secrets go before the cut, which so leaves no part of
+    one."""
+
+    def cut(text: Column) -> Column:
+        return F.when(F.length(text) > LONGEST, F.concat(F.substring(text, 1, LONGEST), F.lit(CUT))).otherwise(text)
+
+    def judged(x: Column) -> Column:
+        found, clean = x["found"], x["clean"]
+        secret = F.coalesce(clean != value, F.lit(False))
+        removed = found["redact"] & ~(F.lower(key).isin(PRESERVED) & (found["level"] < 3))
+        marker = F.when(found["level"] == 3, REDACTED).otherwise(SUPPRESSED)
+        kept = F.when(value.isNull(), value).when(secret, cut(clean)).when(removed, marker).otherwise(cut(value))
+        return F.struct(kept.alias("value"), F.when(secret, len(LEVELS) - 1).otherwise(found["level"]).alias("level"), (value.isNotNull() & (secret | removed)).alias("redacted"))
+
+    return bound(F.struct(classify(key, value).alias("found"), redact_secrets(value).alias("clean")), judged)
+
+
 def filtered(key: Column, value: Column) -> Column:
-    """The value as it may be stored: secrets first, then the key's and the value's rules, at most
-    4000 characters. Secrets go before the cut, which so leaves no part of one."""
-    found, clean = classify(key, value), redact_secrets(value)
-    kept = F.lower(key).isin(PRESERVED) & (found["level"] < 3)
-    marker = F.when(found["level"] == 3, REDACTED).otherwise(SUPPRESSED)
-    return F.when(clean != value, F.substring(clean, 1, 4000)).when(found["redact"] & ~kept, marker).otherwise(F.substring(value, 1, 4000))
+    """The value as it may be stored."""
+    return stored(key, value)["value"]
 
 
 def is_redacted(value: Column) -> Column:

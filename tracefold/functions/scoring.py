@@ -39,7 +39,9 @@ RULES = [
     ("commit_authorship", 0.85, 1.0),
     ("archive_record", 0.80, 1.0),
 ]
-BANDS = [(0.90, "VERY_STRONG"), (0.70, "STRONG"), (0.50, "MODERATE")]
+#: Least score and name of the bands, then the name below them. Fixed values.
+BANDS = [(0.90, "LIKELY_MATCH"), (0.70, "PROBABLE_MATCH"), (0.50, "POSSIBLE_MATCH")]
+LOWEST_BAND = "WEAK_ASSOCIATION"
 MERGE_SUGGESTION = 0.95
 
 
@@ -55,7 +57,7 @@ def band(score: Column) -> Column:
     ladder = None
     for least, name in BANDS:
         ladder = F.when(score >= least, name) if ladder is None else ladder.when(score >= least, name)
-    return ladder.otherwise("WEAK")
+    return ladder.otherwise(LOWEST_BAND)
 
 
 def combined(score: Column, ceiling: Column) -> Column:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import ipaddress
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import urls
+from . import addresses, urls
 
 _HAS_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*://"
 _LABEL = r"[a-z0-9_]([a-z0-9_-]{0,61}[a-z0-9_])?"
@@ -29,17 +27,6 @@ def _encoded(hosts: pd.Series) -> pd.Series:
     return hosts.map(one)
 
 
-@F.pandas_udf(T.StringType())
-def _short_address(addresses: pd.Series) -> pd.Series:
-    def one(address: str | None) -> str | None:
-        try:
-            return str(ipaddress.ip_address(address)) if address else None
-        except ValueError:
-            return None
-
-    return addresses.map(one)
-
-
 def _with_scheme(text: Column) -> Column:
     return F.when(text.rlike(_HAS_SCHEME), text).otherwise(F.concat(F.lit("https://"), text))
 
@@ -74,11 +61,10 @@ def web_address(text: Column, international: bool = False) -> Column:
     return F.when(urls.scheme(t).isin("http", "https") & (place != ""), F.concat(urls.scheme(t), F.lit("://"), place, F.coalesce(F.nullif(urls.path(t), F.lit("")), F.lit("/")), query))
 
 
-def ip_address(text: Column, six: bool = True) -> Column:
-    """IPv4 as it stands; IPv6 in its short form, through Python, unless `six` is off."""
+def ip_address(text: Column) -> Column:
+    """IPv4 as it stands, IPv6 in its short form."""
     bare = F.trim(F.trim(text), F.lit("[]"))
-    four = F.when(bare.rlike(urls.IPV4), bare)
-    return F.coalesce(four, _short_address(F.when(bare.contains(":"), bare))) if six else four
+    return F.coalesce(F.when(bare.rlike(urls.IPV4), bare), addresses.short_ipv6(addresses.ipv6(F.when(bare.contains(":"), bare))))
 
 
 def _platform(host: Column) -> Column:
@@ -119,7 +105,7 @@ def canonical(kind: Column, text: Column, international: bool = False) -> Column
         .when(kind == "DOMAIN", domain(text, international))
         .when(kind == "EMAIL", email(text, international))
         .when(kind == "URL", web_address(text, international))
-        .when(kind == "IP", ip_address(text, international))
+        .when(kind == "IP", ip_address(text))
         .when(kind == "REPOSITORY", repository(text))
         .when(kind == "SOCIAL_PROFILE", profile(text))
     )

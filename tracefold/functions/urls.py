@@ -5,24 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import addresses
+from .bound import bound
+
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://"
 # Two-part public suffixes.
 TWO_PART_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "co.in", "co.za", "com.br", "com.mx", "com.cn"]
 # Hosts that name this machine or a cloud's metadata service.
 LOOPBACK_NAMES = ["localhost", "localhost.localdomain", "ip6-localhost"]
 METADATA_HOSTS = ["169.254.169.254", "metadata.google.internal", "metadata.goog", "instance-data", "100.100.100.100"]
-#: Address ranges outside the public internet: first octet pattern, reason. Fixed values of the registries.
-NOT_PUBLIC = [
-    (r"^127\.", "loopback"),
-    (r"^10\.", "private"),
-    (r"^172\.(1[6-9]|2[0-9]|3[01])\.", "private"),
-    (r"^192\.168\.", "private"),
-    (r"^169\.254\.", "link-local"),
-    (r"^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.", "shared"),
-    (r"^0\.", "unspecified"),
-    (r"^(22[4-9]|23[0-9])\.", "multicast"),
-    (r"^(24[0-9]|25[0-5])\.", "reserved"),
-]
 IPV4 = r"^(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 #: platform: hosts, path prefixes before a handle, path segments that are no handle. Fixed values.
 PLATFORMS = {
@@ -36,9 +27,6 @@ PLATFORMS = {
 }
 #: The registry's format of an iD. A fixed value.
 ORCID = r"^[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{3}[0-9X]$"
-#: Beginnings of IPv6 addresses outside the public internet. Fixed values of the registries.
-NOT_PUBLIC_V6 = [(r"^(::|(0+:){7}0+)$", "unspecified"), (r"^(::|(0+:){7})0*1$", "loopback"), (r"^f[cd][0-9a-f]{2}:", "private"), (r"^fe[89ab][0-9a-f]:", "link-local"), (r"^ff[0-9a-f]{2}:", "multicast"), (r"^::ffff:", "mapped"), (r"^2001:0?db8:", "reserved")]
-IPV6 = r"^[0-9a-f]{0,4}(:[0-9a-f]{0,4}){2,7}$|^::(ffff:)?[0-9.]+$"
 PUBLICATION_HOSTS = ["doi.org", "dx.doi.org", "arxiv.org", "openalex.org", "api.crossref.org", "semanticscholar.org", "researchgate.net", "pubmed.ncbi.nlm.nih.gov"]
 
 
@@ -57,8 +45,10 @@ def authority(url: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    """Lower-case host without credentials, port or final dot; empty where there is none."""
-    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*?)\.?(?::[0-9]*)?(?:[/?#].*)?$", 1))
+    """Lower-case host without credentials, port or final dot, an IPv6 literal without its brackets;
+    empty where there is none."""
+    found = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\[\]]*?|\[[^/?#\[\]]*\])\.?(?::[0-9]*)?(?:[/?#].*)?$", 1)
+    return F.lower(F.translate(found, "[]", ""))
 
 
 def path(url: Column) -> Column:
@@ -92,17 +82,13 @@ def registrable_domain(name: Column) -> Column:
 
 
 def safety(url: Column) -> Column:
-    """Why an address must not be fetched, judged by its text alone; `ok` otherwise."""
-    six = F.lower(F.regexp_extract(authority(url), r"^(?:[^@]*@)?\[([^\]]*)\]", 1))
-    name, port = F.when(six.rlike(IPV6), six).otherwise(host(url)), F.regexp_extract(authority(url), r":([0-9]+)$", 1)
+    """Why an address must not be fetched, judged by its text alone; `ok` otherwise. Literal addresses
+    count by their number, in whatever form they are written."""
+    name, port = host(url), F.regexp_extract(authority(url), r":([0-9]+)$", 1)
     ladder = F.when(url.isNull() | (url == "") | (F.length(url) > 2048), "length").when(~scheme(url).isin("http", "https"), "scheme")
     ladder = ladder.when(authority(url).contains("@"), "credentials").when(name == "", "no host").when(name.isin(LOOPBACK_NAMES), "loopback name").when(name.isin(METADATA_HOSTS), "metadata host")
-    ladder = ladder.when((port != "") & ~F.coalesce(F.expr("1=1") & port.cast("int").between(1, 65535), F.lit(False)), "port")
-    for pattern, reason in NOT_PUBLIC:
-        ladder = ladder.when(name.rlike(IPV4) & name.rlike(pattern), reason)
-    for pattern, reason in NOT_PUBLIC_V6:
-        ladder = ladder.when((six != "") & name.rlike(pattern), reason)
-    return ladder.otherwise("ok")
+    ladder = ladder.when((port != "") & ~F.coalesce(port.try_cast("int").between(1, 65535), F.lit(False)), "port")
+    return ladder.otherwise(F.coalesce(bound(name, addresses.not_public), F.lit("ok")))
 
 
 def is_noise(url: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scoring
+
 # Source, identifier, authoritative, what it ingests.
 LINEAGE = [
     ("orcid", "orcid", True, []),
@@ -44,13 +46,57 @@ def handle_groups(accounts: DataFrame, least: int = 4, distinctive: int = 6) ->
     return grouped.filter("platforms > 1").select("case_id", "handle", "accounts", "platforms", ((F.col("accounts") * F.col("accounts") - F.col("same")) / 2).cast("long").alias("pairs"), rule.alias("rule_key"))
 
 
-def handle_pairs(accounts: DataFrame, least: int = 4, distinctive: int = 6) -> DataFrame:
-    """The unordered pairs themselves, for handles that few accounts share."""
-    named = accounts.withColumn("handle", F.lower("handle")).filter(F.length("handle") >= least)
-    a, b = named.alias("a"), named.alias("b")
-    same = (F.col("a.case_id") == F.col("b.case_id")) & (F.col("a.handle") == F.col("b.handle")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.platform") != F.col("b.platform"))
-    rule = F.when(F.length("a.handle") >= distinctive, "same_unique_username").otherwise("same_common_username")
-    return a.join(b, same).select("a.case_id", "a.handle", F.col("a.key").alias("a"), F.col("b.key").alias("b"), rule.alias("rule_key"))
+def handle_links(accounts: DataFrame, least: int = 4, distinctive: int = 6) -> DataFrame:
+    """The links of `handle_groups`, one an account: (case_id, handle, a, b, rule_key), where `a` is
+    the first account of the handle, or for those of its platform the first one of another platform.
+    An account's other links follow from the handle that it shares with all of the group."""
+    named = accounts.withColumn("handle", F.lower("handle")).filter(F.length("handle") >= least).select("case_id", "handle", "key", "platform").distinct()
+    rule = F.when(F.length("handle") >= distinctive, "same_unique_username").otherwise("same_common_username")
+    per = named.groupBy("case_id", "handle", "platform").agg(F.min("key").alias("key"))
+    firsts = per.groupBy("case_id", "handle").agg(F.min(F.struct("key", "platform")).alias("first"))
+    other = per.join(firsts, ["case_id", "handle"]).filter("platform <> first.platform").groupBy("case_id", "handle", "first").agg(F.min("key").alias("other"))
+    both = named.join(other, ["case_id", "handle"])
+    own = F.when(F.col("platform") == F.col("first.platform"), F.col("other")).otherwise(F.col("first.key"))
+    # The first account of the other platforms is linked from the first one of all already.
+    return both.filter("key <> first.key").select("case_id", "handle", own.alias("a"), F.col("key").alias("b"), rule.alias("rule_key"))
+
+
+def site_members(links: DataFrame, accounts: DataFrame) -> DataFrame:
+    """(case_id, site, account, handle): each account that links a site, or that a site links, once,
+    with its handle in lower case. `links`: (case_id, src, dst) of accounts and sites; `accounts`:
+    (case_id, account, handle), where handles may be null."""
+    ends = links.select("case_id", F.explode(F.array(F.struct(F.col("src").alias("account"), F.col("dst").alias("site")), F.struct(F.col("dst").alias("account"), F.col("src").alias("site")))).alias("e")).select("case_id", "e.account", "e.site").distinct()
+    named = accounts.groupBy("case_id", "account").agg(F.min(F.nullif(F.lower(F.trim("handle")), F.lit(""))).alias("handle"))
+    return ends.join(named, ["case_id", "account"]).select("case_id", "site", "account", "handle")
+
+
+def _classes(members: DataFrame) -> DataFrame:
+    """Accounts of a site by handle; one without a handle is a class of its own."""
+    alone = F.when(F.col("handle").isNull(), F.col("account"))
+    return members.withColumn("alone", alone).groupBy("case_id", "site", "handle", "alone").agg(F.count(F.lit(1)).alias("n"), F.min("account").alias("first"))
+
+
+def site_groups(members: DataFrame) -> DataFrame:
+    """Sites of several accounts: (case_id, site, accounts, classes, same_pairs, other_pairs), the
+    pairs with one handle (rule `same_username_shared_website`) and with two (`shared_infrastructure`).
+    Linear in the members: pairs are counted from the classes' sizes."""
+    n = F.col("n")
+    by = _classes(members).groupBy("case_id", "site").agg(F.sum("n").alias("accounts"), F.count(F.lit(1)).alias("classes"), F.sum(n * n).alias("squares"))
+    pairs = lambda x: (x / 2).cast("long")
+    return by.filter("accounts > 1").select("case_id", "site", "accounts", "classes", pairs(F.col("squares") - F.col("accounts")).alias("same_pairs"), pairs(F.col("accounts") * F.col("accounts") - F.col("squares")).alias("other_pairs"))
+
+
+def site_links(members: DataFrame) -> DataFrame:
+    """Representative edges of those pairs: (case_id, site, a, b, rule_key). Each account is linked
+    to the first one of its class, each class's first to the first one of the site; with the
+    membership they tell all pairs, and there are no more of them than members."""
+    classes = _classes(members)
+    keys = ["case_id", "site"]
+    alike = members.filter("handle IS NOT NULL").join(classes.filter("n > 1").select(*keys, "handle", "first"), [*keys, "handle"]).filter("account <> first")
+    alike = alike.select(*keys, F.col("first").alias("a"), F.col("account").alias("b"), F.lit("same_username_shared_website").alias("rule_key"))
+    top = classes.groupBy(*keys).agg(F.min("first").alias("a"))
+    unlike = classes.join(top, keys).filter("first <> a").select(*keys, "a", F.col("first").alias("b"), F.lit("shared_infrastructure").alias("rule_key"))
+    return alike.unionByName(unlike)
 
 
 def shared_sites(edges: DataFrame, is_site: Column) -> DataFrame:
@@ -65,10 +111,23 @@ def not_linked(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.withColumns({"x": least, "y": most}).join(edges.select("type", least.alias("x"), most.alias("y")).distinct(), ["type", "x", "y"], "left_anti").drop("x", "y")
 
 
+# Kinds of identifiers whose agreement across sources says something.
+CORROBORATING = ["orcid", "doi", "github_login", "wikidata", "openalex"]
+
+
+def identifying(claims: DataFrame) -> DataFrame:
+    """Claims of the kinds that may corroborate, values without outer white space and in lower case;
+    null and blank ones are left out."""
+    value = F.lower(F.regexp_replace("value", r"^\s+|\s+$", ""))
+    return claims.filter(F.col("identifier").isin(CORROBORATING)).withColumn("value", value).filter("value <> ''")
+
+
 def agreements(claims: DataFrame) -> DataFrame:
     """Identifiers that several records of a case share: `claims` (case_id, record, source,
-    identifier, value, imported_from array) as (case_id, identifier, value, sources, records)."""
-    said = claims.withColumn("value", F.lower("value")).groupBy("case_id", "identifier", "value", "source").agg(F.count_distinct("record").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("imported_from")))).alias("imported_from"))
+    identifier, value, imported_from array) as (case_id, identifier, value, sources, records).
+    A source's imports are the union over its records."""
+    each = identifying(claims).withColumn("imported", F.explode_outer("imported_from"))
+    said = each.groupBy("case_id", "identifier", "value", "source").agg(F.count_distinct("record").alias("n"), F.array_sort(F.collect_set("imported")).alias("imported_from"))
     return said.groupBy("case_id", "identifier", "value").agg(F.sum("n").alias("records"), F.array_sort(F.collect_list(F.struct("source", "imported_from"))).alias("sources")).filter("records > 1")
 
 
@@ -100,8 +159,50 @@ def best_rulings(ruled: DataFrame) -> DataFrame:
     return ruled.groupBy("case_id", "identifier", "value").agg(F.min(F.struct(rank.alias("rank"), "ruling", "first", "second")).alias("b")).select("case_id", "identifier", "value", "b.ruling", "b.first", "b.second")
 
 
+def agreement_list(best: DataFrame) -> DataFrame:
+    """(case_id, identifier, value, status, sources): CORROBORATED where the best ruling is
+    independent, else SHARED, of the sources that it is about; corroborations first."""
+    status = F.when(F.col("ruling") == "INDEPENDENT", "CORROBORATED").otherwise("SHARED")
+    pair = F.when(F.col("first") == F.col("second"), F.array("first")).otherwise(F.array("first", "second"))
+    return best.select("case_id", "identifier", "value", status.alias("status"), pair.alias("sources")).orderBy("case_id", "status", "identifier", "value")
+
+
 def strengthened(signals: DataFrame, corroborated: DataFrame, keys: list[str]) -> DataFrame:
     """`signals` (keys, rule_key) with `independent_corroboration` for corroborated keys that have a
     signal; doing it again changes nothing."""
     more = signals.select(*keys).distinct().join(corroborated.select(*keys).distinct(), keys, "left_semi").withColumn("rule_key", F.lit("independent_corroboration"))
     return signals.select(*keys, "rule_key").unionByName(more).distinct()
+
+
+def written_back(records: DataFrame, edges: DataFrame, claims: DataFrame, lineage: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Records and edges after what their claims agree on.
+
+    `records`: (case_id, record, signal_keys array, score); `edges`: (case_id, src, dst, type, score);
+    `claims` as for `agreements`. A record with an independent agreement is scored anew from the keys
+    recorded on it, `same_person_name` where none is, and `independent_corroboration`; other records
+    keep their score. Edges of type POSSIBLY_SAME_ENTITY to such a record rise to its score, none
+    falls. Bands follow the scores. An agreement that isn't independent is listed and scores nothing.
+    Doing it again changes nothing: the recorded keys stay as they were.
+
+    Returns records with score, band, corroborating_sources and shared_identifiers (identifier,
+    value, sources, independence), and edges with score and band.
+    """
+    best = best_rulings(rulings(agreements(claims), lineage))
+    keys = ["case_id", "identifier", "value"]
+    pair = F.when(F.col("first") == F.col("second"), F.array("first")).otherwise(F.array("first", "second"))
+    held = identifying(claims).select(*keys, "record").distinct().join(best.withColumn("sources", pair), keys)
+    sure = F.col("ruling") == "INDEPENDENT"
+    entry = F.struct("identifier", "value", "sources", F.col("ruling").alias("independence"))
+    # A record's identifiers are few; a value that very many records share is one row of `best`.
+    of = held.groupBy("case_id", "record").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(sure, F.col("sources")))))).alias("corroborating_sources"), F.array_sort(F.collect_set(F.when(~sure, entry))).alias("shared_identifiers"))
+    known = F.coalesce(F.col("signal_keys"), F.array(F.lit("same_person_name")))
+    own = records.join(of.filter(F.size("corroborating_sources") > 0).select("case_id", "record"), ["case_id", "record"], "left_semi")
+    signals = own.select("case_id", "record", F.explode(F.concat(known, F.array(F.lit("independent_corroboration")))).alias("rule_key"))
+    lifted = scoring.score_groups(signals, ["case_id", "record"], rules).select("case_id", "record", F.col("score").alias("__new"))
+    marked = records.join(of, ["case_id", "record"], "left").join(lifted, ["case_id", "record"], "left")
+    marked = marked.withColumns({"score": F.coalesce("__new", "score"), "corroborating_sources": F.coalesce("corroborating_sources", F.array().cast("array<string>")), "shared_identifiers": F.coalesce("shared_identifiers", F.array().cast("array<struct<identifier:string,value:string,sources:array<string>,independence:string>>"))})
+    target = lifted.select("case_id", F.col("record").alias("dst"), "__new")
+    raised = F.when((F.col("type") == "POSSIBLY_SAME_ENTITY") & F.col("__new").isNotNull(), F.greatest("score", "__new")).otherwise(F.col("score"))
+    risen = edges.join(target, ["case_id", "dst"], "left").withColumn("score", raised)
+    band = scoring.band(F.col("score"))
+    return marked.withColumn("band", band).drop("__new"), risen.withColumn("band", band).drop("__new")

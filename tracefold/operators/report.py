@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # Ranks of outcomes, worst last.
 OUTCOMES = ["OK", "NO_RESULTS", "RATE_LIMITED", "BLOCKED", "ERROR"]
-BAND_NAMES = {"VERY_STRONG": "Very strong", "STRONG": "Strong", "MODERATE": "Moderate", "WEAK": "Weak"}
 
 
 def latest_decisions(events: DataFrame, keys: list[str]) -> DataFrame:

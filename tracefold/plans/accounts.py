@@ -26,14 +26,31 @@ def canonical_targets(spark, d):
     return rows.groupBy("c_custkey", "kind", targets.canonical(F.col("kind"), F.col("text")).alias("value")).agg(F.count(F.lit(1)).alias("spellings"))
 
 
-@query("payload_privacy", """SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 3 ELSE 2 END AS level, 'contact.phone[0],contact.phone[1]' || CASE WHEN c_acctbal < 0 THEN ',note' ELSE '' END AS changed,
-CASE WHEN c_acctbal < 0 THEN 'key [REDACTED SECRET]' ELSE c_mktsegment END AS note, c_custkey::VARCHAR AS size FROM customer""")
+def _payloads(spark, d):
+    """Customers as nested payloads: a list of objects three levels down, keys that would collide as
+    plain paths, a secret where the balance is below zero, a note too long where it is above 9000."""
+    balance = F.col("c_acctbal")
+    note = F.when(balance < 0, F.lit("key ghp_" + "a1B2" * 9)).when(balance > 9000, F.repeat("c_mktsegment", 600)).otherwise(F.col("c_mktsegment"))
+    phones = F.array(F.struct(F.lit("555 0100").alias("phone")), F.struct(F.lit("555 0101").alias("phone")))
+    contact = F.struct(F.struct(phones.alias("lines"), F.col("c_name").alias("label")).alias("work"))
+    size = F.struct(F.struct(F.struct(F.col("c_custkey").alias("size")).alias("c")).alias("b"))
+    return table(spark, d, "customer").select("c_custkey", F.to_json(F.struct(note.alias("note"), contact.alias("contact"), F.lit("flat").alias("a.b"), size.alias("a"))).alias("payload"))
+
+
+_NOTE_SQL = f"CASE WHEN c_acctbal < 0 THEN 'key ghp_{'a1B2' * 9}' WHEN c_acctbal > 9000 THEN repeat(c_mktsegment, 600) ELSE c_mktsegment END"
+
+
+@query("payload_privacy", f"""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 3 ELSE 2 END AS level, 'contact.work.lines[0].phone,contact.work.lines[1].phone' || CASE WHEN c_acctbal < 0 THEN ',note' ELSE '' END AS redacted,
+CASE WHEN c_acctbal < 0 THEN 'key [REDACTED SECRET]' WHEN length({_NOTE_SQL}) > 4000 THEN substr({_NOTE_SQL}, 1, 4000) || '…[truncated]' ELSE {_NOTE_SQL} END AS note, c_custkey::VARCHAR AS size, 'flat' AS flat, c_name AS label, 6 AS leaves FROM customer""")
 def payload_privacy(spark, d):
-    note = F.when(F.col("c_acctbal") < 0, F.lit("key ghp_" + "a1B2" * 9)).otherwise(F.col("c_mktsegment"))
-    contact = F.struct(F.array(F.lit("555 0100"), F.lit("555 0101")).alias("phone"), F.col("c_name").alias("label"))
-    rows = table(spark, d, "customer").select("c_custkey", F.to_json(F.struct(contact.alias("contact"), note.alias("note"), F.struct(F.struct(F.col("c_custkey").alias("size")).alias("b")).alias("a"))).alias("payload"))
-    found = payloads.walked(payloads.leaves(rows, "c_custkey", "payload"), "c_custkey")
-    return found.select("c_custkey", "level", F.array_join("changed", ",").alias("changed"), F.col("data")["note"].alias("note"), F.col("data")["a.b.size"].alias("size"))
+    found = payloads.walked(_payloads(spark, d), "payload")
+    leaf = lambda path: F.col("data")[path]
+    return found.select("c_custkey", "level", F.array_join("redacted", ",").alias("redacted"), leaf("note").alias("note"), leaf("a.b.c.size").alias("size"), leaf(r"a\.b").alias("flat"), leaf("contact.work.label").alias("label"), F.size("data").alias("leaves"))
+
+
+@query("payload_hashes", f"""SELECT c_custkey, sha256('{{"a":{{"b":{{"c":{{"size":' || c_custkey || '}}}}}},"a.b":"flat","contact":{{"work":{{"label":"' || c_name || '","lines":[{{"phone":"555 0100"}},{{"phone":"555 0101"}}]}}}},"note":"' || {_NOTE_SQL} || '"}}') AS sha256 FROM customer""")
+def payload_hashes(spark, d):
+    return _payloads(spark, d).select("c_custkey", payloads.payload_sha256(F.col("payload")).alias("sha256"))
 
 
 @query("run_accounts", """WITH s AS (SELECT DISTINCT o_orderpriority AS source, c_mktsegment AS type FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'),

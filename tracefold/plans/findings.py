@@ -93,7 +93,7 @@ def evidence_verify(spark, d):
 @query("noisy_or_scores", f"""
 WITH f AS (SELECT DISTINCT case_id, user_id, rule_key FROM {FINDINGS_SQL}), r(rule_key, score, ceiling) AS (VALUES {scoring.rules_sql()}),
 g AS (SELECT case_id, user_id, least(greatest(1 - product(1 - score), max(score)), max(ceiling)) AS raw, list_sort(list(rule_key)) AS rules FROM f JOIN r USING (rule_key) GROUP BY 1, 2)
-SELECT case_id, user_id, round(raw, 4) AS score, CASE WHEN raw >= 0.9 THEN 'VERY_STRONG' WHEN raw >= 0.7 THEN 'STRONG' WHEN raw >= 0.5 THEN 'MODERATE' ELSE 'WEAK' END AS band, array_to_string(rules, ',') AS rules FROM g""")
+SELECT case_id, user_id, round(raw, 4) AS score, CASE WHEN raw >= 0.9 THEN 'LIKELY_MATCH' WHEN raw >= 0.7 THEN 'PROBABLE_MATCH' WHEN raw >= 0.5 THEN 'POSSIBLE_MATCH' ELSE 'WEAK_ASSOCIATION' END AS band, array_to_string(rules, ',') AS rules FROM g""")
 def noisy_or_scores(spark, d):
     scored = scoring.score_groups(case_findings(spark, d), ["case_id", "user_id"], scoring.rules_table(spark))
     return scored.withColumn("rules", F.array_join("rules", ","))

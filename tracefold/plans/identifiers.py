@@ -29,10 +29,11 @@ def url_canonical_dedupe(spark, d):
 
 @query("registrable_domain_rollup", f"""
 WITH h AS (SELECT page_id, {HOST_SQL} AS host FROM pages), l AS (SELECT *, string_split(host, '.') AS l FROM h)
-SELECT {DOMAIN_SQL} AS domain, count(*) AS n_pages, count(DISTINCT host) AS n_hosts, array_to_string(list_sort(list(DISTINCT host)), ',') AS hosts FROM l GROUP BY 1""")
+SELECT {DOMAIN_SQL} AS domain, host, count(*) AS n_pages FROM l GROUP BY 1, 2""")
 def registrable_domain_rollup(spark, d):
-    found = pages(spark, d).select(urls.host(F.col("url")).alias("host")).withColumn("domain", urls.registrable_domain(F.col("host")))
-    return found.groupBy("domain").agg(F.count(F.lit(1)).alias("n_pages"), F.count_distinct("host").alias("n_hosts"), F.array_join(F.array_sort(F.collect_set("host")), ",").alias("hosts"))
+    """A row for each host of a domain: a hosting domain may have millions."""
+    found = pages(spark, d).select(urls.host(F.col("url")).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
+    return found.select(urls.registrable_domain(F.col("host")).alias("domain"), "host", "n_pages")
 
 
 @query("website_values", f"""
@@ -42,18 +43,25 @@ def website_values(spark, d):
     return pages(spark, d).groupBy(urls.website(F.col("url")).alias("website")).agg(F.count(F.lit(1)).alias("n_pages"), F.min("page_id").alias("first_page"))
 
 
-#: Addresses made from each page's, so that every verdict occurs.
+#: Addresses made from each page's, so that every verdict occurs: names, credentials, ports, numbers
+#: written as four, three and one, in octal and hexadecimal, IPv6 and mapped ones.
 _VARIANTS = ["url", "replace(url, 'http', 'ftp')", "regexp_replace(url, '://', '://user:pw@')", "'http://10.0.' || (page_id % 256) || '.7/x'", "'http://100.' || (page_id % 256) || '.1.1/'", "'https://localhost/' || page_id", "'http://169.254.169.254/' || page_id", "'https://h.example:' || (page_id * 977) || '/'", "'http://172.' || (page_id % 40) || '.0.1/'"]
+_VARIANTS += ["'http://' || (page_id % 256) || '.0.2.9/'", "'http://198.' || (page_id % 256) || '.100.1:80/'", "'http://203.0.' || (page_id % 256) || '.1/'", "'http://127.' || page_id || '/'", "'http://' || (page_id * 7919 % 4294967296) || '/'", "'http://0x7f.' || page_id || '/'", "'http://0300.0.02.1/' || page_id", "'http://[::ffff:127.0.0.' || (page_id % 256) || ']/'", "'http://[2606:4700::' || (page_id % 1000) || ']:8080/'", "'http://[fe80::' || (page_id % 1000) || ']/'"]
+#: First and last IPv4 address as numbers, and why they aren't public.
+_SPECIAL = [("169.254.169.254", 32, "metadata"), ("100.64.0.0", 10, "shared"), ("127.0.0.0", 8, "loopback"), ("0.0.0.0", 8, "unspecified"), ("169.254.0.0", 16, "link-local"), ("10.0.0.0", 8, "private"), ("172.16.0.0", 12, "private"), ("192.168.0.0", 16, "private"), ("192.0.2.0", 24, "private"), ("198.18.0.0", 15, "private"), ("198.51.100.0", 24, "private"), ("203.0.113.0", 24, "private"), ("224.0.0.0", 4, "multicast"), ("240.0.0.0", 4, "reserved")]
+_BITS = lambda q: sum(int(x) << 8 * (3 - k) for k, x in enumerate(q.split(".")))
+_RANGES_SQL = " ".join(f"WHEN num BETWEEN {_BITS(n)} AND {_BITS(n) + (1 << 32 - bits) - 1} THEN '{why}'" for n, bits, why in _SPECIAL)
 
 
-@query("url_safety_verdicts", f"""
+@query("url_safety_verdicts", rf"""
 WITH u AS ({' UNION ALL '.join(f"SELECT {v} AS url FROM pages" for v in _VARIANTS)}),
-p AS (SELECT url, {HOST_SQL} AS host, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1)) AS scheme, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS authority FROM u),
-q AS (SELECT *, try_cast(nullif(regexp_extract(authority, ':([0-9]+)$', 1), '') AS BIGINT) AS port, regexp_matches(host, '{urls.IPV4}') AS ip FROM p)
+p AS (SELECT url, CASE WHEN url LIKE '%//[%' THEN lower(regexp_extract(url, '\[(.*)\]', 1)) ELSE {HOST_SQL} END AS host, lower(regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*)://', 1)) AS scheme, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1) AS authority FROM u),
+n AS (SELECT *, try_cast(nullif(regexp_extract(authority, ':([0-9]+)$', 1), '') AS BIGINT) AS port, string_split(CASE WHEN host LIKE '0x7f.%' THEN replace(host, '0x7f', '127') WHEN host = '0300.0.02.1' THEN '192.0.2.1' ELSE replace(host, '::ffff:', '') END, '.') AS q FROM p),
+q AS (SELECT *, CASE WHEN list_bool_and([regexp_matches(x, '^[0-9]+$') FOR x IN q]) THEN CASE len(q) WHEN 4 THEN q[1]::BIGINT * 16777216 + q[2]::BIGINT * 65536 + q[3]::BIGINT * 256 + q[4]::BIGINT WHEN 2 THEN q[1]::BIGINT * 16777216 + q[2]::BIGINT ELSE q[1]::BIGINT END END AS num FROM n)
 SELECT CASE WHEN url IS NULL OR url = '' OR length(url) > 2048 THEN 'length' WHEN scheme NOT IN ('http', 'https') THEN 'scheme'
  WHEN contains(authority, '@') THEN 'credentials' WHEN host = '' THEN 'no host' WHEN host IN ({', '.join(f"'{h}'" for h in urls.LOOPBACK_NAMES)}) THEN 'loopback name'
  WHEN host IN ({', '.join(f"'{h}'" for h in urls.METADATA_HOSTS)}) THEN 'metadata host' WHEN port IS NOT NULL AND port NOT BETWEEN 1 AND 65535 THEN 'port'
- {' '.join(f"WHEN ip AND regexp_matches(host, '{p}') THEN '{r}'" for p, r in urls.NOT_PUBLIC)} ELSE 'ok' END AS verdict, count(*) AS n, min(url) AS example
+ WHEN host LIKE 'fe80:%' THEN 'link-local' {_RANGES_SQL} ELSE 'ok' END AS verdict, count(*) AS n, min(url) AS example
 FROM q GROUP BY 1""")
 def url_safety_verdicts(spark, d):
     made = pages(spark, d).select(F.explode(F.array(*map(F.expr, _VARIANTS))).alias("url"))

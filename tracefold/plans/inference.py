@@ -24,11 +24,11 @@ def shared_handle_groups(spark, d):
     return ops.handle_groups(accounts(spark, d))
 
 
-@query("shared_handle_pairs", f"""
-SELECT a.case_id, lower(a.handle) AS handle, a.key AS a, b.key AS b, CASE WHEN length(a.handle) >= 6 THEN 'same_unique_username' ELSE 'same_common_username' END AS rule_key
-FROM {ACCOUNTS_SQL} a JOIN {ACCOUNTS_SQL} b ON a.case_id = b.case_id AND lower(a.handle) = lower(b.handle) AND a.key < b.key AND a.platform <> b.platform""")
-def shared_handle_pairs(spark, d):
-    return ops.handle_pairs(accounts(spark, d))
+@query("shared_handle_links", f"""WITH a AS (SELECT case_id, lower(handle) AS handle, key, platform FROM {ACCOUNTS_SQL} WHERE length(handle) >= 4), f AS (SELECT case_id, handle, min(key) AS first, arg_min(platform, key) AS p FROM a GROUP BY 1, 2),
+o AS (SELECT case_id, handle, first, p, min(key) AS other FROM a JOIN f USING (case_id, handle) WHERE platform <> p GROUP BY ALL)
+SELECT case_id, handle, CASE WHEN platform = p THEN other ELSE first END AS a, key AS b, CASE WHEN length(handle) >= 6 THEN 'same_unique_username' ELSE 'same_common_username' END AS rule_key FROM a JOIN o USING (case_id, handle) WHERE key <> first""")
+def shared_handle_links(spark, d):
+    return ops.handle_links(accounts(spark, d))
 
 
 @query("shared_site_groups", """
@@ -42,6 +42,30 @@ def shared_site_groups(spark, d):
     return ops.shared_sites(edges, F.col("site").startswith("s"))
 
 
+_MEMBERS_SQL = """(SELECT DISTINCT 'c' || (l_partkey % 3) AS case_id, 's' || l_partkey AS site, 'a' || l_suppkey AS account, CASE WHEN l_suppkey % 7 > 0 THEN 'h' || (l_suppkey % 4) END AS handle FROM lineitem)"""
+_CLASSES_SQL = f"(SELECT case_id, site, handle, CASE WHEN handle IS NULL THEN account END AS alone, count(*) AS n, min(account) AS first FROM {_MEMBERS_SQL} GROUP BY ALL)"
+
+
+def site_members(spark, d):
+    """Suppliers link the parts they deliver, on odd lines from the part's side."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.concat(F.lit("c"), F.col("l_partkey") % 3).alias("case_id"), F.concat(F.lit("a"), "l_suppkey").alias("account"), F.concat(F.lit("s"), "l_partkey").alias("site"), (F.col("l_linenumber") % 2 == 1).alias("odd"), "l_suppkey")
+    links = lines.select("case_id", F.when(F.col("odd"), F.col("account")).otherwise(F.col("site")).alias("src"), F.when(F.col("odd"), F.col("site")).otherwise(F.col("account")).alias("dst"))
+    named = lines.select("case_id", "account", F.when(F.col("l_suppkey") % 7 > 0, F.concat(F.lit(" H"), F.col("l_suppkey") % 4)).alias("handle")).distinct()
+    return ops.site_members(links, named)
+
+
+@query("shared_site_classes", f"""SELECT case_id, site, sum(n)::BIGINT AS accounts, count(*) AS classes, ((sum(n * n) - sum(n)) // 2)::BIGINT AS same_pairs, ((sum(n) * sum(n) - sum(n * n)) // 2)::BIGINT AS other_pairs FROM {_CLASSES_SQL} GROUP BY 1, 2 HAVING sum(n) > 1""")
+def shared_site_classes(spark, d):
+    return ops.site_groups(site_members(spark, d))
+
+
+@query("shared_site_links", f"""WITH c AS {_CLASSES_SQL}, t AS (SELECT case_id, site, min(first) AS a FROM c GROUP BY 1, 2)
+SELECT case_id, site, first AS a, account AS b, 'same_username_shared_website' AS rule_key FROM {_MEMBERS_SQL} m JOIN c USING (case_id, site, handle) WHERE account <> first
+UNION ALL SELECT case_id, site, a, first, 'shared_infrastructure' FROM c JOIN t USING (case_id, site) WHERE first <> a""")
+def shared_site_links(spark, d):
+    return ops.site_links(site_members(spark, d))
+
+
 @query("unlinked_pairs", """
 WITH p AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b, 'T' AS type FROM lineitem WHERE l_returnflag = 'N'), e AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS x, greatest(l_suppkey, l_partkey) AS y FROM lineitem WHERE l_returnflag <> 'N')
 SELECT a, b FROM p WHERE NOT EXISTS (SELECT 1 FROM e WHERE x = least(a, b) AND y = greatest(a, b))""")
@@ -96,11 +120,48 @@ def best_rulings(spark, d):
     return ops.best_rulings(ops.rulings(ops.agreements(claims(spark, d)), ops.lineage_table(spark)))
 
 
-@query("agreement_list", f"""WITH {RULINGS_SQL}, k AS (SELECT identifier, max(CASE WHEN ruling = 'INDEPENDENT' THEN 1 ELSE 0 END) AS ok, case_id, value FROM r GROUP BY 1, 3, 4)
-SELECT identifier, CASE WHEN ok = 1 THEN 'CORROBORATED' ELSE 'SHARED' END AS status, count(*) AS n FROM k GROUP BY 1, 2""")
+_BEST_SQL = f"""{RULINGS_SQL}, k AS (SELECT *, CASE ruling WHEN 'INDEPENDENT' THEN 1 WHEN 'DEPENDENT' THEN 2 ELSE 3 END AS rank FROM r),
+b AS (SELECT case_id, identifier, value, arg_min(ruling, (rank, first, second)) AS ruling, arg_min(first, (rank, first, second)) AS first, arg_min(second, (rank, first, second)) AS second FROM k GROUP BY 1, 2, 3)"""
+
+
+@query("agreement_list", f"""WITH {_BEST_SQL} SELECT case_id, identifier, value, CASE WHEN ruling = 'INDEPENDENT' THEN 'CORROBORATED' ELSE 'SHARED' END AS status, CASE WHEN first = second THEN first ELSE first || ',' || second END AS sources FROM b""")
 def agreement_list(spark, d):
-    best = ops.best_rulings(ops.rulings(ops.agreements(claims(spark, d)), ops.lineage_table(spark)))
-    return best.groupBy("identifier", F.when(F.col("ruling") == "INDEPENDENT", "CORROBORATED").otherwise("SHARED").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    listed = ops.agreement_list(ops.best_rulings(ops.rulings(ops.agreements(claims(spark, d)), ops.lineage_table(spark))))
+    return listed.withColumn("sources", F.array_join("sources", ","))
+
+
+_SCORES = f"(SELECT * FROM (VALUES {scoring.rules_sql()}) AS t(rule_key, score, ceiling))"
+_KEYS = [["same_person_name"], ["search_reference", "same_person_name"], ["weak_name_similarity", "unknown_rule"], None]
+_KEYS_SQL = "CASE record % 4 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_KEYS) if x) + " END"
+
+
+def _records(spark, d):
+    key = F.pmod("record", F.lit(4))
+    kept = F.when(key == 0, F.array(F.lit(_KEYS[0][0]))).when(key == 1, F.array(*map(F.lit, _KEYS[1]))).when(key == 2, F.array(*map(F.lit, _KEYS[2])))
+    records = claims(spark, d).select("case_id", "record", kept.alias("signal_keys"), F.lit(0.15).alias("score"))
+    kind = F.when(F.col("record") % 5 == 0, "MENTIONS").otherwise("POSSIBLY_SAME_ENTITY")
+    edges = records.select("case_id", F.lit("subject").alias("src"), F.col("record").alias("dst"), kind.alias("type"), (F.pmod("record", F.lit(10)) / 10).alias("score"))
+    return ops.written_back(records, edges, claims(spark, d), ops.lineage_table(spark), scoring.rules_table(spark))
+
+
+_WRITTEN_SQL = f"""WITH {_BEST_SQL}, h AS (SELECT DISTINCT case_id, identifier, value, record FROM {CLAIMS_SQL}), m AS (SELECT h.*, ruling, CASE WHEN first = second THEN [first] ELSE [first, second] END AS pair FROM h JOIN b USING (case_id, identifier, value)),
+up AS (SELECT case_id, record, list_sort(list_distinct(flatten(list(pair)))) AS sources FROM m WHERE ruling = 'INDEPENDENT' GROUP BY 1, 2), shared AS (SELECT case_id, record, count(*) AS n FROM m WHERE ruling <> 'INDEPENDENT' GROUP BY 1, 2),
+s AS (SELECT DISTINCT case_id, record, unnest(list_append(coalesce({_KEYS_SQL}, ['same_person_name']), 'independent_corroboration')) AS rule_key FROM up),
+n AS (SELECT case_id, record, round(least(greatest(1 - product(1 - score), max(score)), max(ceiling)), 4) AS score FROM s JOIN {_SCORES} USING (rule_key) GROUP BY 1, 2)"""
+_BAND_SQL = "CASE WHEN score >= 0.9 THEN 'LIKELY_MATCH' WHEN score >= 0.7 THEN 'PROBABLE_MATCH' WHEN score >= 0.5 THEN 'POSSIBLE_MATCH' ELSE 'WEAK_ASSOCIATION' END"
+
+
+@query("corroborated_records", f"""{_WRITTEN_SQL}, x AS (SELECT c.case_id, c.record, coalesce(n.score, 0.15)::DOUBLE AS score, coalesce(array_to_string(sources, ','), '') AS corroborating_sources, coalesce(shared.n, 0) AS n_shared FROM {CLAIMS_SQL} c LEFT JOIN n USING (case_id, record) LEFT JOIN up USING (case_id, record) LEFT JOIN shared USING (case_id, record))
+SELECT *, {_BAND_SQL} AS band FROM x""")
+def corroborated_records(spark, d):
+    found = _records(spark, d)[0]
+    return found.select("case_id", "record", "score", F.array_join("corroborating_sources", ",").alias("corroborating_sources"), F.size("shared_identifiers").cast("long").alias("n_shared"), "band")
+
+
+@query("corroborated_edges", f"""{_WRITTEN_SQL}, x AS (SELECT c.case_id, c.record AS dst, CASE WHEN record % 5 = 0 THEN 'MENTIONS' ELSE 'POSSIBLY_SAME_ENTITY' END AS type, CASE WHEN record % 5 > 0 AND n.score IS NOT NULL THEN greatest(record % 10 / 10, n.score) ELSE record % 10 / 10 END AS score FROM {CLAIMS_SQL} c LEFT JOIN n USING (case_id, record))
+SELECT *, {_BAND_SQL} AS band FROM x""")
+def corroborated_edges(spark, d):
+    return _records(spark, d)[1].select("case_id", "dst", "type", "score", "band")
 
 
 @query("strengthened_scores", f"""

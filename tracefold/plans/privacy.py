@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import privacy
 from .registry import query
 
-CARD_SQL = r"\b(?:[0-9]{4}[ -]?){3}[0-9]{1,7}\b|\b[0-9]{13,19}\b"
+CARD_SQL = privacy.CARD
 LUHN_SQL = """(length(d) BETWEEN 13 AND 19 AND list_sum([CASE WHEN (length(d) - i) % 2 = 1 THEN CASE WHEN 2 * substr(d, i, 1)::INT > 9 THEN 2 * substr(d, i, 1)::INT - 9 ELSE 2 * substr(d, i, 1)::INT END ELSE substr(d, i, 1)::INT END FOR i IN range(1, length(d) + 1)]) % 10 = 0)"""
 SECRETS_SQL = [(c, p.replace("'", "''").replace("\\n", "\n")) for c, p in privacy.SECRETS]
 
