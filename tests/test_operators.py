@@ -348,9 +348,3 @@ def test_extraction_reads_findings_once(spark):
     assert {(r.src, r.type, r.dst) for r in lines.collect()} == {("o", "CONTRIBUTED_TO", "o/r"), ("o/r", "LINKS_TO", "https://h.org"), ("a", "CONTRIBUTED_TO", "o/r"), ("b", "CONTRIBUTED_TO", "o/r"), ("p", "USES_USERNAME", "l"), ("p", "LINKS_TO", "w")}
     assert {r.value for r in nodes.collect() if r.finding_id == "2"} == {"o/r", "a", "b"}
     assert nodes._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
-
-
-def test_visible_text_ends_at_its_own_tag(spark):
-    html = "<head><title>t</title></head><NAV><p>menu</p></footer> more</NAV><header>h</header><p>one <b>two</b></p><!-- <nav> --><footer>f</footer> three"
-    pages = spark.createDataFrame([(html,)], "html string")
-    assert extract.visible_text(pages).first().visible == "one two three"

@@ -7,27 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
-
-# Tags whose content is no visible text.
-DROPPED_TAGS = ["script", "style", "noscript", "template", "svg", "nav", "header", "footer", "head"]
-
-
-def visible_text(pages: DataFrame) -> DataFrame:
-    """`pages` with `visible`: text outside markup, white space collapsed. A dropped element goes up to
-    its own closing tag, comments and scripts first, as they may hold others' tags."""
-    text = F.regexp_replace("html", "(?s)<!--.*?-->", " ")
-    for tag in DROPPED_TAGS:
-        text = F.regexp_replace(text, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>", " ")
-    return pages.withColumn("visible", F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), r"[ \t\n\r]+", " ")))
-
-
-def links(pages: DataFrame) -> DataFrame:
-    """(page_id, src, dst_host, href): links of pages, relative ones on the page's own host."""
-    found = pages.select("page_id", urls.host(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("href"))
-    return found.withColumn("dst_host", F.when(F.col("href").startswith("/"), F.col("src")).otherwise(F.col("href")))
-
-
 def entity(kind: str, value: Column, name: Column | None = None) -> Column:
     return F.struct(F.lit(kind).alias("type"), value.alias("value"), F.coalesce(name, value).alias("name") if name is not None else value.alias("name"))
 

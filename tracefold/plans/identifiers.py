@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import scoring, urls
-from ..operators import extract, merge
+from ..functions import references, scoring, urls
+from ..operators import merge
+from ..operators import pages as page_ops
 from .registry import query
 
 HOST_SQL = r"lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*?)\.?(?::[0-9]*)?(?:[/?#].*)?$', 1))"
@@ -98,35 +99,75 @@ def identifier_types(spark, d):
     return words.groupBy(F.when(kind.isin("EMAIL", "IP"), kind).when(F.col("t").startswith("@"), "USERNAME").otherwise("other").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-@query("page_metadata", r"""
-SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS raw_title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
-  len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS n_links, length(html) AS n_chars FROM pages""")
-def page_metadata(spark, d):
-    return pages(spark, d).select(
-        "page_id",
-        F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("raw_title"),
-        F.regexp_extract("html", r'<html lang="([a-z]+)"', 1).alias("lang"),
-        F.size(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).cast("long").alias("n_links"),
-        F.length("html").cast("long").alias("n_chars"),
-    )
-
-
 VISIBLE_SQL = "regexp_replace(html, '<!--.*?-->', ' ', 'gs')"
-for _tag in extract.DROPPED_TAGS:
+for _tag in sorted(page_ops.DROPPED_TAGS, key=lambda t: (t not in page_ops.RAW_TAGS, t)):
     VISIBLE_SQL = rf"regexp_replace({VISIBLE_SQL}, '<{_tag}(\s[^>]*)?>.*?</{_tag}\s*>', ' ', 'gis')"
+DECODED_SQL = lambda x: f"replace(replace({x}, '&quot;', '\"'), '&amp;', '&')"
+_PAGE_SQL = rf"""(SELECT page_id, url, html, nullif(substr(trim(regexp_replace({DECODED_SQL("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")}, '\s+', ' ', 'g')), 1, 300), '') AS title, nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), '') AS lang,
+  regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS hrefs FROM pages)"""
+
+
+@query("page_metadata", f"SELECT page_id, title, lang, len(hrefs) AS n_links, NULL::VARCHAR AS canonical FROM {_PAGE_SQL}")
+def page_metadata(spark, d):
+    found = page_ops.scanned(pages(spark, d), ["page_id"])
+    return found.select("page_id", "title", "lang", F.size("links").cast("long").alias("n_links"), "canonical")
 
 
-@query("page_visible_text", rf"SELECT page_id, trim(regexp_replace(regexp_replace({VISIBLE_SQL}, '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS visible FROM pages")
+@query("page_visible_text", rf"SELECT page_id, trim(regexp_replace({DECODED_SQL(f"regexp_replace({VISIBLE_SQL}, '<[^>]*>', ' ', 'g')")}, '[ \t\n\r]+', ' ', 'g')) AS visible FROM pages")
 def page_visible_text(spark, d):
-    return extract.visible_text(pages(spark, d)).select("page_id", "visible")
+    return page_ops.scanned(pages(spark, d), ["page_id"]).select("page_id", "visible")
 
 
 @query("page_link_edges", f"""
-WITH l AS (SELECT {HOST_SQL} AS host, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
-SELECT host AS src, CASE WHEN href LIKE '/%' THEN host ELSE href END AS dst_host, href, count(*) AS n FROM l GROUP BY 1, 2, 3""")
+WITH l AS (SELECT {HOST_SQL} AS host, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS root, unnest(hrefs) AS href FROM {_PAGE_SQL})
+SELECT host AS src, host AS dst_host, root || href AS target, count(*) AS n FROM l GROUP BY 1, 2, 3""")
 def page_link_edges(spark, d):
-    links = extract.links(pages(spark, d))
-    return links.groupBy("src", "dst_host", "href").agg(F.count(F.lit(1)).alias("n"))
+    return page_ops.link_edges(pages(spark, d)).groupBy("src", "dst_host", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: What is put before each page's body: a head with all that metadata are read from, links of each form.
+_HEAD_SQL = """'<html lang="en"><head><meta name="generator" content="G' || (page_id % 7) || '"><meta property="og:site_name" content="Site &amp; ' || (page_id % 5) || '"><meta name="Description" content=" D' || page_id || ' "><link rel=canonical href="/c/' || page_id || '"></head>
+<a href="../up/' || page_id || '">x</a><a href=''//cdn' || (page_id % 3) || '.example/x?y#z''>x</a><a href="?q=' || page_id || '">x</a><a href="https://www.github.com/u' || (page_id % 50) || '?tab=x">x</a><a href="https://dev.to/u' || (page_id % 50) || '">x</a><a href="mailto:a@b.example">x</a>'"""
+
+
+@query("http_metadata", f"""
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 0 END AS redirect_count, 'G' || (page_id % 7) AS generator, 'Site & ' || (page_id % 5) AS site_name, 'D' || page_id AS description, '/c/' || page_id AS canonical,
+ 'https://dev.to/u' || (page_id % 50) || ',https://www.github.com/u' || (page_id % 50) AS profile_links, url LIKE 'https://%' AS https FROM pages""")
+def http_metadata(spark, d):
+    redirects = F.when(F.col("page_id") % 3 == 0, F.array(F.lit("a"), F.lit("b")))
+    rows = pages(spark, d).select(F.col("page_id").cast("string").alias("url"), F.col("url").alias("final_url"), F.lit(200).alias("status_code"), redirects.alias("redirects"), F.concat(F.expr(_HEAD_SQL), "html").alias("html"))
+    found = page_ops.http_metadata(rows)
+    return found.select(F.col("url").cast("long").alias("page_id"), "redirect_count", "generator", "site_name", "description", "canonical", F.array_join("profile_links", ",").alias("profile_links"), "https")
+
+
+@query("site_profile_edges", f"""
+SELECT DISTINCT {HOST_SQL} AS host, unnest(['https://dev.to/u' || (page_id % 50), 'https://www.github.com/u' || (page_id % 50)]) AS dst FROM pages""")
+def site_profile_edges(spark, d):
+    rows = pages(spark, d).select("url", F.col("url").alias("final_url"), F.lit(200).alias("status_code"), F.array().cast("array<string>").alias("redirects"), F.concat(F.expr(_HEAD_SQL), "html").alias("html"))
+    edges = page_ops.profile_edges(page_ops.http_metadata(rows))
+    return edges.select(urls.host(F.col("src")).alias("host"), "dst").distinct()
+
+
+_BASE_SQL = f"regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)"
+_FOLDER_SQL = f"regexp_extract({PATH_SQL}, '^(.*/)', 1)"
+#: A reference of each form, and its address on a page two folders down.
+_REFERENCES = [("'x/' || page_id", f"{_BASE_SQL} || {_FOLDER_SQL} || 'x/' || page_id"), ("'../up/' || page_id", f"{_BASE_SQL} || regexp_extract({PATH_SQL}, '^(.*/)[^/]*/[^/]*$', 1) || 'up/' || page_id"), ("'./' || page_id || '/../y?z'", f"{_BASE_SQL} || {_FOLDER_SQL} || 'y?z'"), ("'//cdn.example/' || page_id", "regexp_extract(url, '^([^:]*:)', 1) || '//cdn.example/' || page_id"), ("'?q=' || page_id", f"{_BASE_SQL} || {PATH_SQL} || '?q=' || page_id"), ("'#top'", "regexp_replace(url, '#.*', '') || '#top'"), ("'https://a.example/b/../c'", "'https://a.example/c'"), ("'mailto:a' || page_id || '@b.example'", "'mailto:a' || page_id || '@b.example'"), ("'/../' || page_id", f"{_BASE_SQL} || '/' || page_id")]
+
+
+@query("resolved_references", " UNION ALL ".join(f"SELECT page_id, {k} AS form, {want} AS target FROM pages" for k, (_, want) in enumerate(_REFERENCES)))
+def resolved_references(spark, d):
+    made = pages(spark, d).select("page_id", "url", F.posexplode(F.array(*(F.expr(made) for made, _ in _REFERENCES))).alias("form", "href"))
+    return made.select("page_id", "form", references.resolved(F.col("url"), F.col("href")).alias("target"))
+
+
+#: Each page's own address in a text as Markdown, HTML and bare, with a badge and an image.
+_TEXT_SQL = "'[Home](' || url || '), ![pic](https://img.example/' || page_id || '.png) [![b](https://img.shields.io/x.svg)](https://ci.example/' || (page_id % 9) || ') <a class=\"x\" href=\"https://h.example/' || page_id || '\">h</a> see https://bare.example/' || page_id || '.'"
+
+
+@query("published_links", "SELECT page_id, url || ',https://h.example/' || page_id || ',https://bare.example/' || page_id AS links FROM pages")
+def published_links(spark, d):
+    made = pages(spark, d).select("page_id", F.expr(_TEXT_SQL).alias("text"))
+    return made.select("page_id", F.array_join(references.published_links(F.col("text")), ",").alias("links"))
 
 
 @query("domain_site_edges", f"""
