@@ -173,10 +173,33 @@ def test_null_mx(spark):
 
 
 def test_imported_results(spark, tmp_path):
-    (tmp_path / "r.csv").write_text("target,url,title\nt,http://a,A\nt,http://a,B\nt,http://b,C\nt,,D\n")
-    stored = spark.createDataFrame([("manual:t:http://b",)], "dedupe_key string")
-    got = payloads.imported_results(spark, str(tmp_path / "r.csv"), stored).collect()
-    assert [(r.dedupe_key, r.confidence) for r in got] == [("manual:t:http://a", 0.2)]
+    lines = ["url,target,query,title", "e.example/a#x,T,q,B", "https://e.example/a,t,q,A", "https://e.example/b,t,q,C", ",t,q,D", "http://127.1/,t,q,E", "ftp://e.example/,t,q,F", "e.example/c,,q,G", "e.example/d,t,,H", f"e.example/e,t,q,{'x' * 501}", "u:p@e.example,t,q,I", "e.example/f,t", "https://github.com/alice,t,q,K,too,many"]
+    (tmp_path / "r.csv").write_text("\n".join(lines) + "\n")
+    stored = spark.createDataFrame([("manual:t:https://e.example/b",)], "dedupe_key string")
+    made, refused = payloads.imported_results(payloads.read_imports(spark, str(tmp_path / "r.csv")), stored)
+    assert [(r.dedupe_key, r.title, r.confidence, r.kind, r.url_kind, r.n_rows) for r in made.collect()] == [("manual:t:https://e.example/a", "A", 0.2, "MANUAL_SEARCH_RESULT", "web", 2)]
+    assert sorted(r.refused for r in refused.collect()) == ["address: credentials", "address: loopback", "address: scheme", "malformed", "malformed", "query missing", "target missing", "title too long", "url missing"]
+    (tmp_path / "r.json").write_text('{"target":"t","query":"q","url":"e.example/z"}\n{"target":\n[1]\n')
+    made, refused = payloads.imported_results(payloads.read_imports(spark, str(tmp_path / "r.json"), "json"), stored)
+    assert [r.url for r in made.collect()] == ["https://e.example/z"] and [r.refused for r in refused.collect()] == ["malformed", "malformed"]
+
+
+def test_registration_documents(spark):
+    import json
+
+    card = lambda **x: ["vcard", [["version", {}, "text", "4.0"], *([k, {}, "text", v] for k, v in x.items())]]
+    party = lambda role, card, **x: {"roles": [role], "vcardArray": card, **x}
+    open_ = {"ldhName": "Example.ORG", "status": ["Client Transfer Prohibited", None, "active"], "events": [{"eventAction": "Registration", "eventDate": "1995-08-14T04:00:00Z"}, {"eventAction": "expiration", "eventDate": "soon"}, 5], "nameservers": [{"ldhName": "B.example."}, {"ldhName": "a.example"}, "x"], "entities": [party("registrar", card(fn="Example Registrar LLC")), party("registrant", card(fn="A Person", org=["Example", "", "Trust"]))]}
+    nested = {"handle": "H-1", "entities": [{"roles": ["sponsor"], "entities": [party("Registrant", card(fn="Nested Org"))]}, {"roles": ["registrar"], "handle": "REG"}]}
+    rows = [open_, nested, {"name": "p", "entities": [party("registrant", card(org="Domains By Proxy, LLC"))]}, {"name": "r", "entities": [party("registrant", card(org="Open Org"), remarks=[{"title": "Redacted for privacy"}])]}, {"name": "odd", "status": "x", "entities": {"a": 1}, "events": 3}, [1], "text", 7]
+    table = spark.createDataFrame([(json.dumps(r),) for r in rows] + [("{bad",), (None,)], "payload string")
+    got = {r.domain: r for r in payloads.registration(table).collect()}
+    assert sorted(got) == ["example.org", "h-1", "odd", "p", "r"]
+    r = got["example.org"]
+    assert (str(r.registered), r.expires, r.statuses, r.notable_status, r.nameservers, r.registrar, r.registrant, r.privacy_service) == ("1995-08-14", None, ["client transfer prohibited", "active"], ["client transfer prohibited"], ["a.example", "b.example"], "Example Registrar LLC", "Example Trust", False)
+    assert (got["h-1"].registrar, got["h-1"].registrant) == ("REG", "Nested Org")
+    assert all((got[k].registrant, got[k].privacy_service) == (None, True) for k in "pr")
+    assert (got["odd"].statuses, got["odd"].nameservers, got["odd"].registrar, got["odd"].privacy_service) == ([], [], None, False)
 
 
 def test_purge_refuses_active(spark):

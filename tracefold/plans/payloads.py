@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..operators.tables import shared_folder
 from ..sources import payloads as ops
 from .identifiers import HOST_SQL
 from .registry import query
@@ -33,20 +36,42 @@ def dns_records(spark, d):
     return out.select("hostname", "record_type", text("records").alias("records"), F.nullif(text("mail_hosts"), F.lit("")).alias("mail_hosts"), "null_mx", "has_spf")
 
 
-@query("registrations", """SELECT lower('C' || c_custkey || '.example') AS domain, strftime(DATE '2000-01-01' + (c_custkey % 5000)::INT, '%Y-%m-%d') AS registered, CASE WHEN c_custkey % 2 = 0 THEN 'clienthold' ELSE '' END AS notable_status, CASE WHEN c_custkey % 7 > 0 THEN c_name END AS registrant, c_custkey % 7 = 0 AS privacy_service FROM customer""")
+@query("registrations", """SELECT lower('C' || c_custkey || '.example') AS domain, strftime(DATE '2000-01-01' + (c_custkey % 5000)::INT, '%Y-%m-%d') AS registered, CASE WHEN c_custkey % 2 = 0 THEN 'client hold' ELSE '' END AS notable_status, 'a.ns.example,b.ns.example' AS nameservers,
+CASE WHEN c_custkey % 5 = 0 THEN 'REG-' || c_custkey ELSE 'Registrar ' || c_mktsegment END AS registrar, CASE WHEN c_custkey % 7 > 0 AND c_custkey % 11 > 0 THEN CASE WHEN c_custkey % 3 = 0 THEN c_name || ' Ltd' ELSE c_name END END AS registrant, c_custkey % 7 = 0 OR c_custkey % 11 = 0 AS privacy_service FROM customer""")
 def registrations(spark, d):
+    """Documents whose registrant stands below another entity for every fourth customer, whose
+    organisation is a list of parts for every third, and whose remarks hide every eleventh."""
     c, key = table(spark, d, "customer"), F.col("c_custkey")
     date = F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), (key % 5000).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    name = F.when(key % 7 == 0, "Domains By Proxy").otherwise(F.col("c_name"))
-    made = F.struct(
-        F.concat(F.lit("C"), key, F.lit(".example")).alias("ldhName"),
-        F.when(key % 2 == 0, F.array(F.lit("client hold"), F.lit("active"))).otherwise(F.array(F.lit("active"))).alias("status"),
-        F.array(F.struct(F.lit("registration").alias("eventAction"), date.alias("eventDate"))).alias("events"),
-        F.array(F.struct(F.lit("NS1.EXAMPLE").alias("ldhName"))).alias("nameservers"),
-        F.array(F.struct(F.array(F.lit("registrant")).alias("roles"), F.concat(F.lit('["vcard",[["fn",{},"text","'), name, F.lit('"]]]')).alias("vcardArray"))).alias("entities"),
-    )
-    out = ops.registration(c.select(F.to_json(made).alias("payload")))
-    return out.select("domain", F.col("registered").cast("string").alias("registered"), F.array_join("notable_status", ",").alias("notable_status"), "registrant", "privacy_service")
+    name = F.when(key % 7 == 0, "Domains By Proxy, LLC").otherwise(F.col("c_name"))
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    org = F.when(key % 3 == 0, F.concat(F.lit(',["org",{},"text",["'), name, F.lit('","","Ltd"]]'))).otherwise(F.lit(""))
+    owner = F.concat(F.lit('{"roles":["Registrant"],"vcardArray":["vcard",[["version",{},"text","4.0"],["fn",{"x":[1]},"text",'), quoted(name), F.lit("]"), org, F.lit("]]"), F.when(key % 11 == 0, ',"remarks":[{"title":"REDACTED FOR PRIVACY"}]').otherwise(""), F.lit("}"))
+    seller = F.concat(F.lit('{"roles":["registrar"],"handle":"REG-'), key, F.lit('"'), F.when(key % 5 > 0, F.concat(F.lit(',"vcardArray":["vcard",[["fn",{},"text","Registrar '), "c_mktsegment", F.lit('"],["tel",{},"uri",5]]]'))).otherwise(""))
+    entities = F.when(key % 4 == 0, F.concat(seller, F.lit(',"entities":['), owner, F.lit("]}"))).otherwise(F.concat(seller, F.lit("},"), owner))
+    made = F.concat(
+        F.lit('{"ldhName":"C'), key, F.lit('.example","status":['), F.when(key % 2 == 0, '"Client Hold",').otherwise(""), F.lit('"active"],"events":[{"eventAction":"registration","eventDate":"'), date,
+        F.lit('"}],"nameservers":[{"ldhName":"B.NS.EXAMPLE."},{"ldhName":"a.ns.example"},{"x":1}],"entities":['), entities, F.lit("]}"),
+    )
+    out = ops.registration(c.select(made.alias("payload")))
+    return out.select("domain", F.col("registered").cast("string").alias("registered"), F.array_join("notable_status", ",").alias("notable_status"), F.array_join("nameservers", ",").alias("nameservers"), "registrar", "registrant", "privacy_service")
+
+
+#: Order keys as lines of an import: every seventh isn't JSON, others lack or overrun a field or name an
+#: address that mustn't be fetched.
+_IMPORT_SQL = """CASE WHEN o_orderkey % 7 = 0 THEN '{"target": "x' ELSE '{"target":"c' || o_custkey || '","query":"' || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'q' END || '","url":"' || CASE WHEN o_orderkey % 5 = 0 THEN 'http://10.0.0.' || o_orderkey % 200 WHEN o_orderkey % 3 = 0 THEN 'https://e.example/' || o_orderkey % 50 ELSE 'e.example/' || o_orderkey % 50 END || '","title":"' || CASE WHEN o_orderkey % 13 = 0 THEN repeat('t', 501) ELSE 'T' || o_orderkey % 9 END || '"}' END"""
+
+
+@query("imported_results", """WITH r AS (SELECT o_orderkey AS k, 'c' || o_custkey AS target, CASE WHEN o_orderkey % 7 = 0 THEN 'malformed' WHEN o_orderkey % 11 = 0 THEN 'query missing' WHEN o_orderkey % 13 = 0 THEN 'title too long' WHEN o_orderkey % 5 = 0 THEN 'address: private' END AS refused, 'https://e.example/' || o_orderkey % 50 AS url, 'T' || o_orderkey % 9 AS title FROM orders),
+g AS (SELECT 'manual:' || target || ':' || url AS item, min(title) AS title, count(*) AS n FROM r WHERE refused IS NULL GROUP BY 1)
+SELECT 'finding' AS part, item, title, n FROM g WHERE item NOT IN (SELECT 'manual:c' || c_custkey || ':https://e.example/1' FROM customer) UNION ALL SELECT 'refused', refused, NULL, count(*) FROM r WHERE refused IS NOT NULL GROUP BY 2""")
+def imported_results(spark, d):
+    path = f"{shared_folder(spark)}/imports-{uuid.uuid4().hex}"
+    table(spark, d, "orders").select(F.expr(_IMPORT_SQL).alias("value")).write.text(path)
+    stored = table(spark, d, "customer").select(F.concat(F.lit("manual:c"), "c_custkey", F.lit(":https://e.example/1")).alias("dedupe_key"))
+    made, refused = ops.imported_results(ops.read_imports(spark, path, "json"), stored)
+    made = made.select(F.lit("finding").alias("part"), F.col("dedupe_key").alias("item"), "title", F.col("n_rows").alias("n"))
+    return made.unionByName(refused.groupBy(F.col("refused").alias("item")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("refused").alias("part"), "item", F.lit(None).cast("string").alias("title"), "n"))
 
 
 _CERTS_SQL = "(SELECT lower(n_name) AS base, c_custkey AS id, 'C=US, O=' || c_mktsegment || ', CN=R3' AS issuer_name, lower('*.a' || (c_custkey % 9) || '.' || n_name || chr(10) || n_name || ',x.other') AS name_value, DATE '2020-01-01' + (c_custkey % 700)::INT AS not_before, c_mktsegment AS issuer FROM customer JOIN nation ON c_nationkey = n_nationkey)"

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..operators.tables import shared_folder
 from ..streaming import incremental as ops
 from .registry import query
 
@@ -25,12 +28,37 @@ def stream_case_counters(spark, d):
     return rows.groupBy("user_id").agg(F.max_by("n", "__batch").alias("n"), F.max_by("last_at", "__batch").cast("timestamp_ntz").alias("last_at"))
 
 
-@query("stream_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 120 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
-SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 120 MINUTE AS ended, count(*) AS n FROM s GROUP BY user_id, k""")
+_MARK_SQL = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
+
+
+@query("stream_sessions", f"""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 120 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 120 MINUTE AS ended, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 120 MINUTE <= {_MARK_SQL}""")
 def stream_sessions(spark, d):
-    rows = ops.finished(ops.sessions(events(spark, d), "user_id", "ts", "120 minutes", "60 days"), "sessions", "complete")
-    last = rows.agg(F.max("__batch").alias("__batch"))
-    return rows.join(F.broadcast(last), "__batch").select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")
+    """The sessions that the watermark has passed, a day before the last event."""
+    rows = ops.finished(ops.sessions(events(spark, d), "user_id", "ts", "120 minutes", "1 day"), "sessions")
+    return rows.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")
+
+
+@query("stream_bounded_sessions", f"""WITH RECURSIVE o AS MATERIALIZED (SELECT user_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE epoch_us(ts) // 1000 <= epoch_us({_MARK_SQL}) // 1000),
+r AS (SELECT user_id, ms, k, ms AS opened FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.ms, o.k, CASE WHEN o.ms > r.ms + 172800000 OR o.ms >= r.opened + 432000000 THEN o.ms ELSE r.opened END FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1),
+s AS (SELECT user_id, opened, max(ms) AS last, count(*) AS n FROM r GROUP BY 1, 2), e AS (SELECT *, least(opened + 432000000, last + 172800000) AS ended, opened + 432000000 <= last + 172800000 AS cut FROM s)
+SELECT user_id, make_timestamp(opened * 1000) AS started, make_timestamp(ended * 1000) AS ended, n, CASE WHEN cut THEN 'absolute' ELSE 'idle' END AS reason FROM e
+WHERE ended < epoch_us({_MARK_SQL}) // 1000""")
+def stream_bounded_sessions(spark, d):
+    """Sessions of two idle days, five days at most."""
+    rows = ops.finished(ops.bounded_sessions(events(spark, d), "user_id", "ts", 172_800, 432_000, "1 day"), "bounded-sessions")
+    return rows.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n", "reason")
+
+
+@query("stream_stored_findings", "SELECT user_id, event_type, json_extract_string(props, '$.k') AS k, 1::BIGINT AS n FROM events GROUP BY ALL")
+def stream_stored_findings(spark, d):
+    """The events as files a week each, the latest week first, so that all but one come late."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", F.get_json_object("props", "$.k").alias("k"), F.col("ts").cast("timestamp").alias("ts"))
+    path = f"{shared_folder(spark)}/weeks-{uuid.uuid4().hex}"
+    week = F.floor(F.datediff(F.lit("2100-01-01").cast("date"), F.to_date("ts")) / 7)
+    rows.withColumn("week", week).repartition("week").write.partitionBy("week").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/week=*")
+    return ops.stored_findings(stream, ["user_id", "event_type", "k"], "ts", "2 days").groupBy("user_id", "event_type", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("stream_rate_windows", "SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS opened, count(*) AS n, count(*) <= 1 AS allowed FROM events GROUP BY 1, 2")
@@ -43,7 +71,7 @@ def stream_rate_windows(spark, d):
 r AS (SELECT user_id, event_id, ts, k, ts AS opened, 1 AS n FROM o WHERE k = 1 UNION ALL SELECT o.user_id, o.event_id, o.ts, o.k, CASE WHEN o.ts >= r.opened + INTERVAL 1 DAY THEN o.ts ELSE r.opened END, CASE WHEN o.ts >= r.opened + INTERVAL 1 DAY THEN 1 ELSE r.n + 1 END FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
 SELECT event_id, n <= 2 AS allowed, CASE WHEN n <= 2 THEN 0.0 ELSE round(epoch(opened) + 86400 - epoch(ts), 3) END::DOUBLE AS retry_after FROM r""")
 def stream_throttle(spark, d):
-    rows = ops.finished(ops.throttled(events(spark, d), "user_id", "ts", 86_400, 2), "throttle")
+    rows = ops.finished(ops.throttled(events(spark, d), "user_id", "ts", 86_400, 2, "1 day"), "throttle")
     return rows.select("event_id", "allowed", F.round("retry_after", 3).alias("retry_after"))
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 
-# Statuses worth a note, privacy services' words, security headers, noise hosts of badges.
-NOTABLE_STATUS = ["clienthold", "serverhold", "pendingdelete", "redemptionperiod", "inactive"]
-PRIVACY_WORDS = "(?i)privacy|proxy|redacted|withheld|whoisguard|domains by"
+# Statuses worth a note, dates by event, privacy services' words, security headers.
+NOTABLE_STATUS = ["client hold", "client transfer prohibited", "pending delete", "redemption period", "server hold", "server transfer prohibited"]
+REGISTRATION_DATES = {"registered": "registration", "expires": "expiration", "changed": "last changed", "transferred": "transfer"}
+PRIVACY_WORDS = "(?i)redacted|privacy|not disclosed|data protected|withheld|whoisguard|domains by proxy"
 SECURITY_HEADERS = ["strict-transport-security", "content-security-policy", "x-content-type-options", "x-frame-options", "referrer-policy", "permissions-policy", "cross-origin-opener-policy"]
 REGISTRY: dict[str, object] = {}
 
@@ -55,21 +56,71 @@ def dns(payloads: DataFrame) -> DataFrame:
     )
 
 
+def _items(value: Column, path: str, kind: str = "variant") -> Column:
+    return F.coalesce(F.try_variant_get(value, path, f"array<{kind}>"), F.array().cast(f"array<{kind}>"))
+
+
+def _card_value(card: Column, name: str) -> Column:
+    """The first text of a property in a contact card's list of (name, parameters, type, value), where
+    the value may be a list of parts."""
+
+    def text(entry: Column) -> Column:
+        parts = F.filter(F.transform(F.try_variant_get(entry, "$[3]", "array<variant>"), lambda p: F.try_variant_get(p, "$", "string")), lambda p: p != "")
+        return F.trim(F.coalesce(F.array_join(parts, " "), F.try_variant_get(entry, "$[3]", "string")))
+
+    own = F.filter(card, lambda entry: F.try_variant_get(entry, "$[0]", "string") == name)
+    return F.try_element_at(F.filter(F.transform(own, text), lambda t: t != ""), F.lit(1))
+
+
+def _parties(document: Column) -> Column:
+    """The entities of a document, and those below them, as (roles, name, organisation, handle,
+    redacted)."""
+    top = _items(document, "$.entities")
+    below = lambda some: F.flatten(F.transform(some, lambda e: _items(e, "$.entities")))
+
+    def party(e: Column) -> Column:
+        card = _items(e, "$.vcardArray[1]")
+        remarks = F.transform(_items(e, "$.remarks"), lambda r: F.lower(F.try_variant_get(r, "$.title", "string")))
+        return F.struct(
+            F.transform(_items(e, "$.roles", "string"), F.lower).alias("roles"),
+            _card_value(card, "fn").alias("name"),
+            _card_value(card, "org").alias("organisation"),
+            F.try_variant_get(e, "$.handle", "string").alias("handle"),
+            F.exists(remarks, lambda t: F.coalesce(t.contains("redacted"), F.lit(False))).alias("redacted"),
+        )
+
+    return F.transform(F.concat(top, below(top), below(below(top))), party)
+
+
 @register_normalizer("registration")
 def registration(payloads: DataFrame) -> DataFrame:
-    """Registration data: dates by event, notable statuses, name servers, registrant."""
-    good, _ = quarantine(payloads, "struct<ldhName:string,handle:string,status:array<string>,events:array<struct<eventAction:string,eventDate:string>>,nameservers:array<struct<ldhName:string>>,entities:array<struct<roles:array<string>,vcardArray:string>>>")
-    p = good.select("p.*")
-    event = lambda name: F.to_date(F.try_to_timestamp(F.try_element_at(F.filter("events", lambda e: e["eventAction"] == name), F.lit(1))["eventDate"]))
-    owner = F.try_element_at(F.filter("entities", lambda e: F.array_contains(e["roles"], "registrant")), F.lit(1))["vcardArray"]
-    name = F.nullif(F.regexp_extract(owner, r'\["fn",[^\]]*?,"text","([^"]*)"\]', 1), F.lit(""))
-    plain = F.transform(F.coalesce("status", F.array().cast("array<string>")), lambda s: F.regexp_replace(F.lower(s), "[^a-z]", ""))
-    hidden = F.coalesce(name.rlike(PRIVACY_WORDS), F.lit(False))
-    return p.select(
-        F.lower("ldhName").alias("domain"), event("registration").alias("registered"), event("expiration").alias("expires"), event("last changed").alias("changed"),
-        F.array_sort(F.array_intersect(plain, F.array(*map(F.lit, NOTABLE_STATUS)))).alias("notable_status"),
-        F.array_sort(F.transform("nameservers", lambda n: F.lower(n["ldhName"]))).alias("nameservers"),
-        F.when(~hidden, name).alias("registrant"), hidden.alias("privacy_service"),
+    """Registration data of JSON documents, read as VARIANT: dates by event, statuses, name servers,
+    registrar, and the registrant unless a privacy service or a remark hides it. Of a contact card the
+    name and the organisation are read, nothing else. What is no JSON object makes no row; parts of
+    another type than expected count as missing."""
+    rows = payloads.select(F.try_parse_json("payload").alias("v")).filter(F.try_variant_get("v", "$", "map<string,variant>").isNotNull())
+    v = F.col("v")
+    text = lambda path: F.nullif(F.try_variant_get(v, path, "string"), F.lit(""))
+    status = F.filter(F.transform(_items(v, "$.status", "string"), F.lower), lambda s: s != "")
+    servers = F.transform(_items(v, "$.nameservers"), lambda n: F.regexp_replace(F.lower(F.try_variant_get(n, "$.ldhName", "string")), r"\.+$", ""))
+    rows = rows.select(
+        F.coalesce(text("$.ldhName"), text("$.handle"), text("$.name")).alias("handle"),
+        F.transform(_items(v, "$.events"), lambda e: F.struct(F.lower(F.try_variant_get(e, "$.eventAction", "string")).alias("action"), F.nullif(F.try_variant_get(e, "$.eventDate", "string"), F.lit("")).alias("date"))).alias("events"),
+        status.alias("statuses"), F.array_sort(F.array_distinct(F.filter(servers, lambda n: n != ""))).alias("nameservers"), _parties(v).alias("parties"),
+    )
+    last = lambda test: F.element_at(F.filter("parties", test), -1)
+    has = lambda p, role: F.array_contains(p["roles"], role)
+    stated = lambda p: F.coalesce(p["organisation"], p["name"])
+    hides = lambda p: F.coalesce(stated(p).rlike(PRIVACY_WORDS), F.lit(False))
+    date = lambda action: F.to_date(F.try_to_timestamp(F.try_element_at(F.filter("events", lambda e: (e["action"] == action) & e["date"].isNotNull()), F.lit(-1))["date"]))
+    any_of = lambda test: F.size(F.filter("parties", test)) > 0
+    hidden = any_of(lambda p: p["redacted"] | (has(p, "registrant") & hides(p)))
+    registrar = F.when(any_of(lambda p: has(p, "registrar")), last(lambda p: has(p, "registrar")))
+    owner = F.when(any_of(lambda p: has(p, "registrant") & ~hides(p)), last(lambda p: has(p, "registrant") & ~hides(p)))
+    return rows.select(
+        F.lower("handle").alias("domain"), *(date(action).alias(name) for name, action in REGISTRATION_DATES.items()), "statuses",
+        F.array_sort(F.array_intersect("statuses", F.array(*map(F.lit, NOTABLE_STATUS)))).alias("notable_status"), "nameservers",
+        F.coalesce(registrar["name"], registrar["handle"]).alias("registrar"), F.when(~hidden, stated(owner)).alias("registrant"), hidden.alias("privacy_service"),
     )
 
 
@@ -161,10 +212,45 @@ def search_results(payloads: DataFrame) -> DataFrame:
     return made.filter("url IS NOT NULL AND url <> ''").withColumn("confidence", F.when(F.col("ranked") & (F.col("position") <= 3), 0.5).otherwise(0.4)).drop("ranked")
 
 
-def imported_results(spark, path: str, stored: DataFrame, form: str = "csv") -> DataFrame:
-    """A table of results (target, url, title) that an analyst brings, as findings of confidence 0.2;
-    those whose key is stored are left out."""
-    schema = "target string, url string, title string"
-    rows = spark.read.schema(schema).option("header", True).csv(path) if form == "csv" else spark.read.schema(schema).json(path)
-    made = rows.filter("url IS NOT NULL").withColumn("dedupe_key", F.concat(F.lit("manual:"), "target", F.lit(":"), "url")).withColumn("confidence", F.lit(0.2)).dropDuplicates(["dedupe_key"])
-    return made.join(stored.select("dedupe_key"), "dedupe_key", "left_anti")
+# Fields of a row that an analyst brings, with the most letters of each.
+IMPORT_FIELDS = {"target": 320, "query": 500, "url": 2048, "title": 500, "snippet": 2000, "engine": 100, "organization": 300, "notes": 2000}
+
+
+def read_imports(spark, path: str, form: str = "csv") -> DataFrame:
+    """Rows of CSV (by its header, in any order) or of JSON lines with the columns of `IMPORT_FIELDS`,
+    null where a file has none; `malformed` is the text of a line that isn't a row, else null."""
+    reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed")
+    names = list(IMPORT_FIELDS)
+    if form == "csv":
+        reader = reader.option("header", True)
+        names = [c for c in reader.csv(path).columns if c != "malformed"]
+    schema = ", ".join(f"`{name}` string" for name in [*names, "malformed"])
+    rows = reader.schema(schema).csv(path) if form == "csv" else reader.schema(schema).json(path)
+    return rows.select(*(F.col(f"`{c}`") if c in names else F.lit(None).cast("string").alias(c) for c in IMPORT_FIELDS), "malformed")
+
+
+def judged_imports(rows: DataFrame) -> DataFrame:
+    """Rows of `read_imports` with `url` without its fragment, completed by a scheme where it has none, and `refused`: why a
+    row can't be stored, null where it can. The first reason counts: the line, what is missing, what
+    is too long, then the address, which must be a safe public one."""
+    bare = F.regexp_replace(F.trim("url"), "#.*$", "")
+    url = F.when(bare.contains("://"), bare).otherwise(F.concat(F.lit("https://"), bare))
+    why = F.when(F.col("malformed").isNotNull(), "malformed")
+    for name in ("target", "query", "url"):
+        why = why.when(F.coalesce(F.trim(name), F.lit("")) == "", f"{name} missing")
+    for name, most in IMPORT_FIELDS.items():
+        why = why.when(F.length(name) > most, f"{name} too long")
+    safe = urls.safety(url)
+    return rows.withColumn("refused", why.when(safe != "ok", F.concat(F.lit("address: "), safe))).withColumn("url", F.when(bare != "", url))
+
+
+def imported_results(rows: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Judged rows as findings of kind MANUAL_SEARCH_RESULT and confidence 0.2, one for each target and
+    address, those whose key is in `stored` (dedupe_key) left out; and the refused rows with their
+    reason. Of rows with one key the one with the smallest query, title and snippet is taken."""
+    judged = judged_imports(rows)
+    good = judged.filter("refused IS NULL").withColumn("dedupe_key", F.concat(F.lit("manual:"), F.lower(F.trim("target")), F.lit(":"), "url"))
+    fields = [c for c in IMPORT_FIELDS if c not in ("target", "url")]
+    first = good.groupBy("dedupe_key").agg(F.min("target").alias("target"), F.first("url").alias("url"), F.min(F.struct("query", "title", *[c for c in fields if c not in ("query", "title")])).alias("r"), F.count(F.lit(1)).alias("n_rows"))
+    made = first.select(F.lit("MANUAL_SEARCH_RESULT").alias("kind"), "dedupe_key", "target", "url", *(F.col(f"r.{c}").alias(c) for c in fields), urls.shape(F.col("url")).alias("url_kind"), F.lit(0.2).alias("confidence"), "n_rows")
+    return made.join(stored.select("dedupe_key"), "dedupe_key", "left_anti"), judged.filter("refused IS NOT NULL")
