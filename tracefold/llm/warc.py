@@ -4,7 +4,9 @@ Reading plans partitions of whole files up to `partitionBytes`, takes over equal
 filters on the record type and on header columns, reads a record's headers first, and leaves its
 payload undecoded where a filter refuses it. Each record is a gzip member of its own that
 carries its compressed length, so that the reader skips a refused one without inflating it;
-archives without such lengths are read too. With option `payload` false no payload is decoded.
+archives without such lengths are read too, as are members of several records and files without
+compression. With option `payload` false no payload is decoded. What can't be read ends the job, or
+with option `errors` as `rows` is a row with the reason in `error`.
 
 Writing gives each task files of about `fileBytes`, under temporary names; the driver's commit
 renames the files of the attempts that counted, so tasks that run twice leave nothing.
@@ -24,7 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from .common import materialize, shared_dir
 
-COLUMNS = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, content_length long, payload binary"
+COLUMNS = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, content_length long, error string, payload binary"
 #: Header names of the columns. Fixed values of the format.
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -76,56 +78,195 @@ def _row(head: dict[str, str], block: bytes | None) -> tuple:
         http = head.get("content-type", "").startswith("application/http")
         payload = block[block.find(b"\r\n\r\n") + 4 :] if http else block
     values = {column: head.get(name.lower()) for column, name in HEADERS.items()}
-    return (*values.values(), int(head.get("content-length") or 0), payload)
+    return (*values.values(), int(head.get("content-length") or 0), None, payload)
 
 
-def records(stream, wanted, payloads: bool) -> Iterator[tuple]:
-    """Rows of a stream of gzip members. `wanted(head)` decides before the payload is decoded."""
-    while True:
+class Damaged(ValueError):
+    """A part of an archive that can't be read as records."""
+
+
+class _Plain:
+    """The bytes of a stream that isn't compressed."""
+
+    def __init__(self, stream):
+        self.stream, self.data = stream, b""
+
+    def more(self) -> bool:
+        piece = self.stream.read(1 << 16)
+        self.data += piece
+        return bool(piece)
+
+    def skip(self, n: int) -> None:
+        self.stream.seek(n - 1, 1)
+        if not self.stream.read(1):
+            raise Damaged("truncated record")
+
+    def ended(self) -> bool:
+        self.data = b""
+        return not self.more()
+
+    def close(self) -> None:
+        pass
+
+
+class _Member:
+    """The inflated bytes of a gzip member, and its lengths where a field `SL` states them."""
+
+    def __init__(self, stream):
+        self.stream, self.begin = stream, stream.tell()
         first = stream.read(10)
-        if len(first) < 10:
-            return
-        length, extra = None, b""
+        if len(first) < 10 or first[:3] != b"\x1f\x8b\x08":
+            raise Damaged("no gzip member")
+        self.packed = self.plain = None
         if first[3] & 4:
             size = stream.read(2)
-            extra = size + stream.read(struct.unpack("<H", size)[0])
-            at = 2
+            extra = stream.read(struct.unpack("<H", size)[0]) if len(size) == 2 else b""
+            first, at = first + size + extra, 0
             while at + 4 <= len(extra):
                 n = struct.unpack("<H", extra[at + 2 : at + 4])[0]
                 if extra[at : at + 2] == b"SL" and n == 8:
-                    length = struct.unpack("<I", extra[at + 4 : at + 8])[0]
+                    self.packed, self.plain = struct.unpack("<II", extra[at + 4 : at + 12])
                 at += 4 + n
-        inflate, data, read = zlib.decompressobj(31), b"", len(first) + len(extra)
-        data = inflate.decompress(first + extra)
-        while (found := _head(data)) is None and not inflate.eof:
-            piece = stream.read(min(4096, length - read) if length else 4096)
-            if not piece:
-                return
-            read += len(piece)
-            data += inflate.decompress(piece)
-        if found is None:
+        self.inflate, self.data, self.out = zlib.decompressobj(31), b"", 0
+        self._feed(first)
+
+    def _feed(self, piece: bytes) -> None:
+        try:
+            got = self.inflate.decompress(piece)
+        except zlib.error as e:
+            raise Damaged(f"damaged gzip member: {e}") from None
+        self.data += got
+        self.out += len(got)
+
+    def more(self, n: int = 4096) -> bool:
+        if self.inflate.eof:
+            return False
+        piece = self.stream.read(n)
+        if not piece:
+            raise Damaged("truncated gzip member")
+        self._feed(piece)
+        return True
+
+    def skip(self, n: int) -> None:
+        """Leaves out the next bytes; at once, if they are the rest of the member."""
+        if self.packed and self.out + n + 4 == self.plain and not self.inflate.eof:
+            self.stream.seek(self.begin + self.packed - 1, 0)
+            self.inflate = None
+            if not self.stream.read(1):
+                raise Damaged("truncated gzip member")
             return
+        while n:
+            if not self.data and not self.more(1 << 16):
+                raise Damaged("truncated record")
+            n, self.data = n - min(n, len(self.data)), self.data[n:]
+
+    def ended(self) -> bool:
+        self.data = b""
+        return self.inflate is None or not self.more()
+
+    def close(self) -> None:
+        if self.inflate is not None and self.inflate.unused_data:
+            self.stream.seek(-len(self.inflate.unused_data), 1)
+
+
+#: The longest head of a record.
+LONGEST_HEAD = 1 << 20
+
+
+def _in(source, wanted, payloads: bool) -> Iterator[tuple]:
+    """The records of a source, one after the other."""
+    while True:
+        while not (at_record := source.data.lstrip(b"\r\n")) and not source.ended():
+            pass
+        if not at_record:
+            return
+        source.data = at_record
+        while (found := _head(source.data)) is None and len(source.data) < LONGEST_HEAD and source.more():
+            source.data = source.data.lstrip(b"\r\n")
+        if found is None:
+            if not source.data.strip():
+                return
+            raise Damaged("no head of a record")
+        if not source.data.startswith(b"WARC/"):
+            raise Damaged("no record")
         head, start = found
+        source.data = source.data[start:]
+        if not head.get("content-length", "").isdigit():
+            raise Damaged("a record without its length")
+        length = int(head["content-length"])
         keep = wanted(head)
-        block = None
-        if length and not (keep and payloads):
-            stream.seek(length - read, 1)
+        if keep and payloads:
+            parts, have = [source.data], len(source.data)
+            while have < length:
+                source.data = b""
+                if not source.more():
+                    raise Damaged("truncated record")
+                parts.append(source.data)
+                have += len(source.data)
+            block = b"".join(parts)
+            block, source.data = block[:length], block[length:]
         else:
-            parts = [data[start:]]
-            while not inflate.eof:
-                piece = stream.read(min(1 << 16, length - read) if length else 1 << 16)
-                if not piece:
-                    break
-                read += len(piece)
-                more = inflate.decompress(piece)
-                if keep and payloads:
-                    parts.append(more)
-            if inflate.unused_data:
-                stream.seek(-len(inflate.unused_data), 1)
-            if keep and payloads:
-                block = b"".join(parts)[: int(head.get("content-length") or 0)]
+            block, rest = None, length - len(source.data)
+            source.data = source.data[length:]
+            if rest > 0:
+                source.skip(rest)
         if keep:
             yield _row(head, block)
+        if getattr(source, "inflate", source) is None:
+            return
+
+
+def _next_member(stream, at: int) -> bool:
+    """Moves to the first place from `at` on where a gzip member may begin."""
+    stream.seek(at, 0)
+    held = b""
+    while piece := stream.read(1 << 16):
+        held += piece
+        found = held.find(b"\x1f\x8b\x08")
+        if found >= 0:
+            stream.seek(found - len(held), 1)
+            return True
+        held = held[-2:]
+    return False
+
+
+def records(stream, wanted, payloads: bool, errors: str = "raise") -> Iterator[tuple]:
+    """Rows of a stream of gzip members, each of one record or more, or of records without
+    compression. `wanted(head)` decides before a payload is decoded.
+
+    What can't be read raises `Damaged`; with `errors` as "rows" it gives one row with its reason in
+    `error`, whatever is wanted, and reading goes on at the next gzip member.
+    """
+    start = stream.tell()
+    plain = stream.read(5) == b"WARC/"
+    stream.seek(start, 0)
+    if plain:
+        try:
+            yield from _in(_Plain(stream), wanted, payloads)
+        except Damaged as e:
+            if errors != "rows":
+                raise
+            yield (*[None] * 7, str(e), None)
+        return
+    lost = False
+    while stream.read(1):
+        stream.seek(-1, 1)
+        begin = stream.tell()
+        try:
+            member = _Member(stream)
+            for row in _in(member, wanted, payloads):
+                lost = False
+                yield row
+            member.close()
+            lost = False
+        except Damaged as e:
+            if errors != "rows":
+                raise
+            if not lost:  # a false start on the way to the next member is no further loss
+                yield (*[None] * 7, f"{e} at byte {begin}", None)
+            lost = True
+            if not _next_member(stream, begin + 1):
+                return
 
 
 @dataclass
@@ -137,6 +278,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.payloads = options["path"], str(options.get("payload", "true")).lower() != "false"
         self.most = int(options.get("partitionbytes", options.get("partitionBytes", 64 << 20)))
+        self.errors = str(options.get("errors", "raise")).lower()
         self.tests: list[tuple[str, set]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -151,7 +293,9 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         system, path = _open(self.path)
-        files = [f for f in system.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file and f.path.endswith(".warc.gz")]
+        one = system.get_file_info(path)
+        inside = [one] if one.is_file else system.get_file_info(fs.FileSelector(path, recursive=True))
+        files = [f for f in inside if f.is_file and f.path.endswith((".warc.gz", ".warc"))]
         out, size = [Files([])], 0
         for f in sorted(files, key=lambda f: f.path):
             if out[-1].paths and size + f.size > self.most:
@@ -166,7 +310,7 @@ class WarcReader(DataSourceReader):
         system, _ = _open(self.path)
         for path in partition.paths:
             with system.open_input_file(path) as f:
-                yield from records(_Buffered(f), wanted, self.payloads)
+                yield from records(_Buffered(f), wanted, self.payloads, self.errors)
 
 
 class _Buffered:
@@ -183,11 +327,15 @@ class _Buffered:
         self.at += len(out)
         return out
 
-    def seek(self, n: int, _: int) -> None:
+    def tell(self) -> int:
+        return self.f.tell() + self.at - len(self.data)
+
+    def seek(self, n: int, whence: int) -> None:
+        n = n if whence else n - self.tell()
         if 0 <= self.at + n <= len(self.data):
             self.at += n
         else:
-            self.f.seek(self.f.tell() + self.at + n - len(self.data))
+            self.f.seek(self.tell() + n)
             self.data, self.at = b"", 0
 
 
