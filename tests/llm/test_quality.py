@@ -54,3 +54,13 @@ def test_words_alone_tell_labels_apart(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
     found = quality.classify(docs, quality.train(docs, labels)).filter("doc_id >= 200").collect()
     assert sum((r.score >= 0.5) == r.doc_id % 2 for r in found) >= 195
+
+
+def test_the_bound_holds_for_repeated_ids(spark):
+    rows = [(1, f"good words number {k}") for k in range(3000)] + [(2, "bad " * 20), (2, None), (3, "more good words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    model = quality.train(docs, labels, per_label=1)
+    assert sorted(model.labels.tolist()) == [0, 1]
+    again = quality.train(docs.repartition(5), labels, per_label=1)
+    assert (model.vectors == again.vectors).all()

@@ -9,7 +9,6 @@ them in blocks, exactly, and the `NEIGHBOURS` most alike vote with their similar
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,7 +111,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     for label in (0, 1):
         own = known.filter(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         picked = own if picked is None else picked.unionByName(own)
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # One row an id, of repeated ones that with the least hash of its text, so that the bound holds.
+    text = F.coalesce("text", F.lit(""))
+    sample = docs.select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id")
+    sample = sample.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,9 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
 
     rows = sample.select(F.col("doc_id").cast("long"), "quality", "text").mapInArrow(run, "doc_id long, quality int, terms binary").toArrow()
     ids, values = rows.column("doc_id").to_pylist(), rows.column("quality").to_pylist()
-    many = Counter(ids)
-    # Rows in the order of their ids; of repeated ids, by what they hold.
-    by = sorted(range(len(ids)), key=lambda k: (ids[k], values[k], rows.column("terms")[k].as_py() if many[ids[k]] > 1 else b""))
+    by = sorted(range(len(ids)), key=ids.__getitem__)
     terms = np.empty((len(by), _TERMS), np.float32)
     for place, k in enumerate(by):
         terms[place] = np.frombuffer(rows.column("terms")[k].as_buffer(), np.float32)
