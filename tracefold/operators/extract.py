@@ -57,6 +57,10 @@ for _row in [
     _simple(*_row)
 
 
+def _clean(value: Column) -> Column:
+    return F.lower(F.trim(value))
+
+
 def _also(kind: str, src: tuple[str, str], edge_type: str, dst: tuple[str, str], rule: str) -> None:
     """One more edge, and the entity at its end, of a kind that has an extractor."""
     before = EXTRACTORS[kind]
@@ -64,22 +68,36 @@ def _also(kind: str, src: tuple[str, str], edge_type: str, dst: tuple[str, str],
     @extractor(kind)
     def build(data: Column) -> tuple[Column, Column]:
         nodes, lines = before(data)
-        return F.concat(nodes, F.array(entity(dst[0], data[dst[1]]))), F.concat(lines, F.array(edge(src[0], data[src[1]], edge_type, dst[0], data[dst[1]], rule)))
+        a, b = _clean(data[src[1]]), _clean(data[dst[1]])
+        return F.concat(nodes, F.array(entity(dst[0], b))), F.concat(lines, F.array(edge(src[0], a, edge_type, dst[0], b, rule)))
+
+
+def _each(kind: str, src: tuple[str, str], edge_type: str, dst: tuple[str, str], rule: str, whole: str = "array<string>") -> None:
+    """An edge, and the entity at its end, for each value of a field that holds a JSON list, or for each
+    key of a JSON map; in either direction."""
+    before = EXTRACTORS[kind]
+
+    @extractor(kind)
+    def build(data: Column) -> tuple[Column, Column]:
+        nodes, lines = before(data)
+        many, one, forth = (src, dst, False) if src[1].endswith("*") else (dst, src, True)
+        listed = F.from_json(data[many[1].rstrip("*")], whole)
+        values = F.coalesce(F.map_keys(listed) if whole.startswith("map") else listed, F.array().cast("array<string>"))
+        values = F.array_distinct(F.transform(values, _clean))
+        own = _clean(data[one[1]])
+        more = F.transform(values, lambda v: edge(src[0], own if forth else v, edge_type, dst[0], v if forth else own, rule))
+        return F.concat(nodes, F.transform(values, lambda v: entity(many[0], v))), F.concat(lines, more)
 
 
 _also("CODE_PROFILE", ("SOCIAL_ACCOUNT", "profile_url"), "LINKS_TO", ("WEBSITE", "website"), "site_links_profile")
 _also("REPOSITORY", ("REPOSITORY", "full_name"), "LINKS_TO", ("WEBSITE", "homepage"), "authoritative_record")
 _also("CANDIDATE_RECORD", ("WEBSITE", "url"), "REFERENCED_BY", ("WEBSITE", "found_on"), "search_reference")
-_one_author = EXTRACTORS["COMMIT_ACTIVITY"]
-
-
-@extractor("COMMIT_ACTIVITY")
-def _commits(data: Column) -> tuple[Column, Column]:
-    """The named author, and all of `authors`, a JSON map from author to commits."""
-    nodes, lines = _one_author(data)
-    authors = F.coalesce(F.map_keys(F.from_json(data["authors"], "map<string,string>")), F.array().cast("array<string>"))
-    more = F.transform(authors, lambda a: edge("USERNAME", a, "CONTRIBUTED_TO", "REPOSITORY", data["repository"], "commit_authorship"))
-    return F.concat(nodes, F.transform(authors, lambda a: entity("USERNAME", a))), F.concat(lines, more)
+# Answers of several records, certificates of several names, pages of several profiles, all authors.
+for _kind, _type, _edge, _rule in [("DNS_ADDRESS", "IP_ADDRESS", "RESOLVES_TO", "dns_resolution"), ("DNS_MX", "DOMAIN", "HAS_MX", "dns_resolution"), ("DNS_NS", "DOMAIN", "HOSTED_ON", "shared_infrastructure")]:
+    _each(_kind, ("DOMAIN", "hostname"), _edge, (_type, "records*"), _rule)
+_each("CERTIFICATE", ("CERTIFICATE", "serial"), "ISSUED_FOR", ("DOMAIN", "hostnames*"), "certificate_covers_host")
+_each("HTTP_METADATA", ("WEBSITE", "url"), "LINKS_TO", ("SOCIAL_ACCOUNT", "profile_links*"), "site_links_profile")
+_each("COMMIT_ACTIVITY", ("USERNAME", "authors*"), "CONTRIBUTED_TO", ("REPOSITORY", "repository"), "commit_authorship", "map<string,string>")
 
 
 def extracted(findings: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -84,3 +84,39 @@ def budget(rows: DataFrame, keys: list[str], score: str, seq: str, most: int) ->
 
 def effective_state(state: Column, available: Column) -> Column:
     return F.when((state == "QUEUED") & ~available, "WAITING_FOR_WORKER").otherwise(state)
+
+
+# States of a job that never finished.
+UNFINISHED = ["FAILED", "CANCELLED", "QUEUED", "RUNNING"]
+
+
+def executions(jobs: DataFrame, runs: DataFrame, observed: DataFrame) -> DataFrame:
+    """A row for each job of a case: its runs by outcome and what its ledger says.
+
+    `jobs`: (case_id, job, state, created_at, flagged), where `flagged` tells that the job wrote a
+    ledger; `runs`: (case_id, job, source, status); `observed`: a row (case_id, job, ..) for each
+    subject that a ledger names. `ledger` is `recorded` with observations, `empty` where the job says
+    that it wrote none, `incomplete` for a job that never finished, else `legacy`: older than ledgers.
+    """
+    s = F.col("status")
+    done = runs.filter("job IS NOT NULL").groupBy("case_id", "job").agg(F.count_distinct("source").alias("attempted"), F.count_if(s.isin("SUCCESS", "PARTIAL")).alias("ok"), F.count_if(s == "SKIPPED").alias("skipped"), F.count_if(s.isin("FAILED", "TIMEOUT")).alias("failed"))
+    seen = observed.groupBy("case_id", "job").agg(F.count(F.lit(1)).alias("observations"))
+    out = jobs.join(done, ["case_id", "job"], "left").join(seen, ["case_id", "job"], "left").na.fill(0, ["attempted", "ok", "skipped", "failed", "observations"])
+    says = F.when(F.col("observations") > 0, "recorded").when(F.coalesce("flagged", F.lit(False)), "empty").when(F.col("state").isin(UNFINISHED), "incomplete").otherwise("legacy")
+    return out.withColumn("ledger", says)
+
+
+def case_executions(jobs: DataFrame, runs: DataFrame) -> DataFrame:
+    """(case_id, historical_runs, executions, latest, attempted, ok, skipped, failed) of each case that
+    has a job or a run. Runs without a job count as one execution. The latest job's runs are told; where
+    it has none, those of the newest run's job, which may be no job at all."""
+    s, at = F.col("status"), F.col("started_at")
+    newest = jobs.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_jobs"), F.max_by("job", F.struct("created_at", "job")).alias("latest"))
+    every = runs.groupBy("case_id").agg(F.count(F.lit(1)).alias("historical_runs"), F.bool_or(F.col("job").isNull()).alias("loose"), F.max_by(F.struct("job"), F.struct(at, "job")).alias("newest_run"))
+    by = runs.groupBy("case_id", "job").agg(F.count_distinct("source").alias("attempted"), F.count_if(s.isin("SUCCESS", "PARTIAL")).alias("ok"), F.count_if(s == "SKIPPED").alias("skipped"), F.count_if(s.isin("FAILED", "TIMEOUT")).alias("failed"))
+    both = newest.join(every, "case_id", "full").select("case_id", F.coalesce("historical_runs", F.lit(0)).alias("historical_runs"), (F.coalesce("n_jobs", F.lit(0)) + F.coalesce("loose", F.lit(False)).cast("int")).cast("long").alias("executions"), "latest", "newest_run.job")
+    ran = by.select("case_id", F.col("job").alias("latest")).filter("latest IS NOT NULL").withColumn("has_runs", F.lit(True))
+    told = both.join(ran, ["case_id", "latest"], "left").withColumn("told", F.when(F.col("has_runs"), F.col("latest")).otherwise(F.col("job")))
+    own = by.withColumnRenamed("job", "told").withColumnRenamed("case_id", "c")
+    out = told.join(own, (F.col("case_id") == F.col("c")) & told["told"].eqNullSafe(own["told"]), "left").select("case_id", "historical_runs", "executions", told["told"].alias("latest"), "attempted", "ok", "skipped", "failed")
+    return out.na.fill(0, ["attempted", "ok", "skipped", "failed"])

@@ -44,6 +44,72 @@ def extracted_edges(spark, d):
     return scoring.score_groups(edges, keys, scoring.rules_table(spark)).select(*keys, "score")
 
 
+#: Each kind with its fields, and the edges that it makes: types and ends, of which `*` marks each
+#: value of a list. A kind's first field is `h` and a number of the customer, the others of the order.
+ALL_KINDS = {
+    "DNS_ADDRESS": (["hostname", "record", "records"], [("DOMAIN", "hostname", "RESOLVES_TO", "IP_ADDRESS", "record", "dns_resolution"), ("DOMAIN", "hostname", "RESOLVES_TO", "IP_ADDRESS", "records*", "dns_resolution")]),
+    "DNS_MX": (["hostname", "records"], [("DOMAIN", "hostname", "HAS_MX", "DOMAIN", "records*", "dns_resolution")]),
+    "DNS_NS": (["hostname", "record"], [("DOMAIN", "hostname", "HOSTED_ON", "DOMAIN", "record", "shared_infrastructure")]),
+    "DOMAIN_REGISTRATION": (["registrant", "domain"], [("ORGANIZATION", "registrant", "OWNS_DOMAIN", "DOMAIN", "domain", "authoritative_record")]),
+    "HTTP_METADATA": (["hostname", "url", "profile_links"], [("DOMAIN", "hostname", "LINKS_TO", "WEBSITE", "url", "site_links_profile"), ("WEBSITE", "url", "LINKS_TO", "SOCIAL_ACCOUNT", "profile_links*", "site_links_profile")]),
+    "SUBDOMAIN": (["hostname", "domain"], [("DOMAIN", "hostname", "SUBDOMAIN_OF", "DOMAIN", "domain", "certificate_covers_host")]),
+    "CERTIFICATE": (["serial", "hostname", "hostnames"], [("CERTIFICATE", "serial", "ISSUED_FOR", "DOMAIN", "hostname", "certificate_covers_host"), ("CERTIFICATE", "serial", "ISSUED_FOR", "DOMAIN", "hostnames*", "certificate_covers_host")]),
+    "ARCHIVE_SNAPSHOT": (["url", "archived_url"], [("WEBSITE", "url", "ARCHIVED_AS", "DOCUMENT", "archived_url", "archive_record")]),
+    "CODE_PROFILE": (["profile_url", "login", "website"], [("SOCIAL_ACCOUNT", "profile_url", "USES_USERNAME", "USERNAME", "login", "authoritative_record"), ("SOCIAL_ACCOUNT", "profile_url", "LINKS_TO", "WEBSITE", "website", "site_links_profile")]),
+    "REPOSITORY": (["owner", "full_name", "homepage"], [("USERNAME", "owner", "CONTRIBUTED_TO", "REPOSITORY", "full_name", "commit_authorship"), ("REPOSITORY", "full_name", "LINKS_TO", "WEBSITE", "homepage", "authoritative_record")]),
+    "ORGANIZATION_MEMBERSHIP": (["login", "organization"], [("USERNAME", "login", "MEMBER_OF", "ORGANIZATION", "organization", "self_declared_membership")]),
+    "COMMIT_ACTIVITY": (["author", "repository", "authors"], [("USERNAME", "author", "CONTRIBUTED_TO", "REPOSITORY", "repository", "commit_authorship"), ("USERNAME", "authors*", "CONTRIBUTED_TO", "REPOSITORY", "repository", "commit_authorship")]),
+    "USERNAME_PRESENCE": (["handle", "profile_url"], [("USERNAME", "handle", "SAME_USERNAME", "SOCIAL_ACCOUNT", "profile_url", "same_common_username")]),
+    "EMAIL": (["address", "domain"], [("EMAIL", "address", "REFERENCED_BY", "DOMAIN", "domain", "search_reference")]),
+    "SEARCH_RESULT": (["hostname", "url"], [("DOMAIN", "hostname", "LINKS_TO", "WEBSITE", "url", "search_reference")]),
+    "CANDIDATE_RECORD": (["url", "subject", "found_on"], [("WEBSITE", "url", "POSSIBLY_SAME_ENTITY", "PERSONA", "subject", "weak_name_similarity"), ("WEBSITE", "url", "REFERENCED_BY", "WEBSITE", "found_on", "search_reference")]),
+}
+
+
+def _end_sql(fields: list[str], field: str) -> str:
+    k = fields.index(field.rstrip("*"))
+    if field.endswith("*"):
+        return f"unnest(['l{k}-' || (o_orderkey % 5), 'l{k}-' || (o_orderkey % 7)])"
+    return "'h' || (o_custkey % 70)" if k == 0 else f"'v{k}-' || (o_orderkey % 90)"
+
+
+ALL_EDGES_SQL = " UNION ALL ".join(
+    f"SELECT 'case-' || (o_custkey % 10) AS case_id, '{st}' AS src_type, {_end_sql(fields, a)} AS src, '{edge}' AS type, '{dt}' AS dst_type, {_end_sql(fields, b)} AS dst, '{rule}' AS rule_key FROM orders WHERE o_orderkey % 16 = {k}"
+    for k, (kind, (fields, edges)) in enumerate(ALL_KINDS.items())
+    for st, a, edge, dt, b, rule in edges
+)
+
+
+def all_kinds(spark, d):
+    """Every kind of finding, a sixteenth of the orders each."""
+    key = F.col("o_orderkey")
+    data = F.lit(None).cast("map<string,string>")
+    for k, (kind, (fields, edges)) in enumerate(ALL_KINDS.items()):
+        lists = {f.rstrip("*") for e in edges for f in (e[1], e[4]) if f.endswith("*")}
+        pairs = []
+        for i, field in enumerate(fields):
+            a, b = (F.concat(F.lit(f"L{i}-"), (key % n).cast("string")) for n in (5, 7))
+            many = F.to_json(F.map_from_arrays(F.array_distinct(F.array(a, b)), F.when(a == b, F.array(F.lit("1"))).otherwise(F.array(F.lit("1"), F.lit("2"))))) if field == "authors" else F.to_json(F.array(a, b))
+            one = F.concat(F.lit(" H"), F.col("o_custkey") % 70) if i == 0 else F.concat(F.lit(f"V{i}-"), key % 90, F.lit(" "))
+            pairs += [F.lit(field), many if field in lists else one]
+        data = F.when(key % 16 == k, F.create_map(*pairs)).otherwise(data)
+    names = F.element_at(F.array(*map(F.lit, ALL_KINDS)), (key % 16 + 1).cast("int"))
+    return table(spark, d, "orders").select(F.concat(F.lit("case-"), F.col("o_custkey") % 10).alias("case_id"), key.alias("finding_id"), names.alias("kind"), data.alias("data"))
+
+
+@query("all_extracted_edges", f"""WITH e AS (SELECT DISTINCT * FROM ({ALL_EDGES_SQL}) WHERE NOT (src_type = dst_type AND src = dst)), r(rule_key, score, ceiling) AS (VALUES {scoring.rules_sql()})
+SELECT case_id, src_type, src, type, dst_type, dst, round(least(greatest(1 - product(1 - score), max(score)), max(ceiling)), 4) AS score FROM e JOIN r USING (rule_key) GROUP BY ALL""")
+def all_extracted_edges(spark, d):
+    edges = extract.extracted(all_kinds(spark, d))[1]
+    keys = ["case_id", "src_type", "src", "type", "dst_type", "dst"]
+    return scoring.score_groups(edges, keys, scoring.rules_table(spark)).select(*keys, "score")
+
+
+@query("all_extracted_entities", f"SELECT case_id, type, value FROM (SELECT case_id, src_type AS type, src AS value FROM ({ALL_EDGES_SQL}) UNION SELECT case_id, dst_type, dst FROM ({ALL_EDGES_SQL}))")
+def all_extracted_entities(spark, d):
+    return extract.extracted(all_kinds(spark, d))[0].select("case_id", "type", "value").distinct()
+
+
 @query("merge_entities", """SELECT n_name AS value, arg_max(c_name, (length(c_name), -c_custkey)) AS display_name, arg_min(c_mktsegment, c_custkey) AS attribute, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS aliases, count(*) AS n_findings FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
 def merge_entities(spark, d):
     rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))

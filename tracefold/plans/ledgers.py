@@ -55,6 +55,45 @@ def execution_summary(spark, d):
     return jobs.join(now, "case_id")
 
 
+#: Customers as cases, days of their orders as jobs, orders as runs; every 17th order has no job.
+_JOBS_SQL = """(SELECT c_nationkey AS case_id, strftime(o_orderdate, '%Y-%m') AS job, max(o_orderdate) AS created_at, CASE min(o_orderkey) % 5 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'RUNNING' ELSE 'COMPLETED' END AS state, min(o_orderkey) % 3 = 0 AS flagged FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
+_JOB_RUNS_SQL = """(SELECT c_nationkey AS case_id, CASE WHEN o_orderkey % 17 > 0 THEN strftime(o_orderdate, '%Y-%m') END AS job, o_orderpriority AS source, CASE o_orderkey % 6 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'PARTIAL' WHEN 2 THEN 'SKIPPED' WHEN 3 THEN 'FAILED' WHEN 4 THEN 'TIMEOUT' ELSE 'SUCCESS' END AS status, o_orderdate AS started_at, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE month(o_orderdate) <> 8)"""
+_OUTCOMES_SQL = "count(DISTINCT source) AS attempted, count(*) FILTER (status IN ('SUCCESS', 'PARTIAL')) AS ok, count(*) FILTER (status = 'SKIPPED') AS skipped, count(*) FILTER (status IN ('FAILED', 'TIMEOUT')) AS failed"
+
+
+def _placed(spark, d):
+    t = lambda name: spark.read.parquet(f"{d}/{name}.parquet")
+    return t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("case_id"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", "o_orderdate", "o_orderpriority", "o_totalprice")
+
+
+def case_jobs(spark, d):
+    key = F.min("o_orderkey")
+    state = F.when(key % 5 == 0, "FAILED").when(key % 5 == 1, "RUNNING").otherwise("COMPLETED")
+    return _placed(spark, d).groupBy("case_id", F.col("month").alias("job")).agg(F.max("o_orderdate").alias("created_at"), state.alias("state"), (key % 3 == 0).alias("flagged"))
+
+
+def job_runs(spark, d):
+    key = F.col("o_orderkey")
+    status = F.element_at(F.array(*map(F.lit, ("SUCCESS", "PARTIAL", "SKIPPED", "FAILED", "TIMEOUT", "SUCCESS"))), (key % 6 + 1).cast("int"))
+    rows = _placed(spark, d).filter(F.month("o_orderdate") != 8)
+    return rows.select("case_id", F.when(key % 17 > 0, F.col("month")).alias("job"), F.col("o_orderpriority").alias("source"), status.alias("status"), F.col("o_orderdate").alias("started_at"), "o_orderkey", "o_totalprice")
+
+
+@query("execution_states", f"""WITH d AS (SELECT case_id, job, {_OUTCOMES_SQL} FROM {_JOB_RUNS_SQL} GROUP BY 1, 2), o AS (SELECT c_nationkey AS case_id, strftime(o_orderdate, '%Y-%m') AS job, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 350000 GROUP BY 1, 2)
+SELECT j.case_id, j.job, state, coalesce(attempted, 0) AS attempted, coalesce(ok, 0) AS ok, coalesce(skipped, 0) AS skipped, coalesce(failed, 0) AS failed, coalesce(n, 0) AS observations,
+ CASE WHEN n > 0 THEN 'recorded' WHEN flagged THEN 'empty' WHEN state IN ('FAILED', 'RUNNING') THEN 'incomplete' ELSE 'legacy' END AS ledger FROM {_JOBS_SQL} j LEFT JOIN d USING (case_id, job) LEFT JOIN o USING (case_id, job)""")
+def execution_states(spark, d):
+    observed = _placed(spark, d).filter("o_totalprice > 350000").select("case_id", F.col("month").alias("job"), "o_orderkey")
+    return ops.executions(case_jobs(spark, d), job_runs(spark, d), observed).drop("created_at", "flagged")
+
+
+@query("case_executions", f"""WITH j AS (SELECT case_id, count(*) AS n, arg_max(job, (created_at, job)) AS latest FROM {_JOBS_SQL} GROUP BY 1), r AS (SELECT case_id, count(*) AS historical_runs, bool_or(job IS NULL)::INT AS loose, list(job ORDER BY started_at DESC, job DESC NULLS LAST)[1] AS newest FROM {_JOB_RUNS_SQL} GROUP BY 1),
+d AS (SELECT case_id, job, {_OUTCOMES_SQL} FROM {_JOB_RUNS_SQL} GROUP BY 1, 2), t AS (SELECT j.case_id, coalesce(historical_runs, 0) AS historical_runs, n + coalesce(loose, 0) AS executions, CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.case_id = j.case_id AND d.job = j.latest) THEN j.latest ELSE newest END AS latest FROM j LEFT JOIN r USING (case_id))
+SELECT t.*, coalesce(attempted, 0) AS attempted, coalesce(ok, 0) AS ok, coalesce(skipped, 0) AS skipped, coalesce(failed, 0) AS failed FROM t LEFT JOIN d ON d.case_id = t.case_id AND d.job IS NOT DISTINCT FROM t.latest""")
+def case_executions(spark, d):
+    return ops.case_executions(case_jobs(spark, d), job_runs(spark, d))
+
+
 @query("first_last_seen", """SELECT user_id, event_type, min(ts) AS first_at, max(ts) AS last_at, arg_min(strftime(ts, '%Y-%m-%d'), (ts, event_id)) AS first_job, arg_max(strftime(ts, '%Y-%m-%d'), (ts, event_id)) AS last_job, count(*) AS n FROM events GROUP BY 1, 2""")
 def first_last_seen(spark, d):
     rows = spark.read.parquet(f"{d}/events.parquet").withColumn("job", F.date_format("ts", "yyyy-MM-dd"))
