@@ -57,6 +57,67 @@ def test_only_copies_are_edited_or_lie_in_a_common_half(spark):
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want
 
 
+def plain(docs, bench):
+    """Copies by alignment of every document with every item."""
+    import pyarrow as pa
+
+    def hashed(texts):
+        out = []
+        for w in decontam.words(pa.array([t.lower() if t else "" for t in texts]), ends=decontam._ENDS):
+            out += [w.hash[a:b].astype(np.uint32) for a, b in itertools.pairwise(w.first)]
+        return out
+
+    found = set()
+    items = list(zip([i for i, _ in bench], hashed([t for _, t in bench]), strict=True))
+    for (doc_id, _), passage in zip(docs, hashed([t for _, t in docs]), strict=True):
+        for item_id, item in items:
+            need = decontam._needed(len(item), decontam.THRESHOLD)
+            if len(item) and len(passage) and np.isin(item, passage).sum() * decontam.MATCH >= need and decontam.align(item, passage)[0] >= need:
+                found.add((doc_id, item_id))
+    return found
+
+
+def test_query_against_alignment_of_all_pairs(spark):
+    rows = lambda name: [tuple(r) for r in spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").select(*(("doc_id", "text") if name == "documents" else ("item_id", "text"))).collect()]
+    got = {(r.doc_id, r.item_id) for r in decontam.op10_decontamination(spark, "/root/testdata/sf0.001").collect()}
+    want = plain(rows("documents"), rows("benchmark"))
+    assert got <= want and len(got) >= 0.9 * len(want) and want
+
+
+def test_rare_seeds_lose_no_copy_among_very_many(spark):
+    rng = random.Random(11)
+    common = [" ".join(rng.sample(["one", "of", "the", "and", "in", "to", "a"], 3)) for _ in range(6)]
+    phrase = lambda n: [x for _ in range(n) for x in (word(rng), word(rng), *rng.choice(common).split())]
+    items = [phrase(8) for _ in range(12)]
+    docs = []
+    for k in range(300):  # the first item is copied by very many, whole and edited
+        copy = list(items[0])
+        if k % 3 == 0:
+            copy = [word(rng) if at % 6 == k % 6 else w for at, w in enumerate(copy)]
+        docs.append((k, " ".join(phrase(6) + copy + phrase(6))))
+    for k in range(300, 420):
+        item = items[k % 12]
+        copy = [word(rng) if at % 7 == k % 7 else w for at, w in enumerate(item)] if k % 2 else []
+        docs.append((k, " ".join(phrase(10) + copy + phrase(10))))
+    bench = [(i, " ".join(x)) for i, x in enumerate(items)]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(*tables).collect()}
+    assert got == plain(docs, bench) and len(got) > 300
+    # The frequent phrases are no seeds, but of the item that is about as frequent.
+    runs = decontam._item_runs(tables[1].selectExpr("item_id", "item_id AS item", "text"), 3)
+    seen = decontam._frequencies(tables[0].selectExpr("doc_id", "doc_id AS text_key", "text"), spark.sparkContext.broadcast(decontam._bitmap(runs)), [3])
+    kept = decontam._seeds(runs, seen, 3).join(seen, "run").filter("n_docs > 350")
+    assert {r.item for r in kept.collect()} <= {0} and seen.filter("n_docs > 350").count() > 0
+
+
+def test_parts_of_a_large_benchmark(spark, monkeypatch):
+    bench = [(i, f"alpha{i} beta{i} gamma{i} delta{i} eps{i} zeta{i} eta{i} theta{i} iota{i}") for i in range(20)]
+    docs = [(i, f"before it {t} after it") for i, t in bench if i % 2]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    monkeypatch.setattr(decontam, "MOST_RUNS", 50)
+    assert sorted((r.doc_id, r.item_id, r.score) for r in decontam.contaminated(*tables).collect()) == [(i, i, 1.0) for i, _ in docs]
+
+
 def test_items_of_one_and_two_words(spark):
     docs = [(1, "say Open Sesame now"), (2, "open the sesame"), (3, "xyzzy"), (4, "a b xyzzy, open"), (5, None)]
     found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, "open sesame"), (2, "xyzzy"), (3, "!"), (4, "of three words")], "item_id long, text string"))

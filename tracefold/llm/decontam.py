@@ -1,12 +1,15 @@
 """Training passages that copy test items: rare seeds, then Smith-Waterman alignment.
 
 1. Runs of `SEED` words of the items, or all words of a shorter item, are looked up in all
-   documents; each task sends one count
-   of documents for each run it met. Every run of an item that occurs is a seed, rare or not: an
-   edited copy may hold none of the rarest, and a copied half may be the one that many documents have.
+   documents; each task sends one count of documents for each run it met. Rare runs are seeds: those
+   in `RARE` documents at most, and of the others those that aren't much more frequent than the
+   rarest run of some stretch of `LEAST_WORDS` words around them. So "one of the" ships no text,
+   every stretch of an item keeps a seed, and an edited copy of an item that thousands copy keeps its
+   own, as its runs are about as frequent as those it has lost.
 2. A second pass cuts a passage around the seeds that a document holds. Both passes ask a bitmap
-   of at most `BITMAP` bits first, whatever the size of the benchmark; the exact match is a join
-   of the passages' seeds with the items'.
+   first, `BITS_A_RUN` bits for each run that is looked for, so that one run in so many passes by
+   chance; the exact match is a join of the passages' seeds with the items'. A benchmark of more than
+   `MOST_RUNS` runs is looked for in parts.
 3. Each passage is aligned with each item it shares a seed with, along the diagonals of the
    seeds, unless it has too few of the item's words for the score. A score of `threshold` of the
    item's perfect one is a copy, edited or not, if it is that of `LEAST_WORDS` words at least or of
@@ -15,17 +18,24 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import IS_SPACE, materialize, mix, words
 
 SEED = 3
-BITMAP = 1 << 22
+#: Bits of a bitmap for each run in it: one run in so many passes by chance.
+BITS_A_RUN = 32
+#: Runs of items that one pass over the documents looks for; more items take more passes.
+MOST_RUNS = 1 << 22
+#: Runs in as many documents are seeds wherever they stand; a more frequent one is where no run of its
+#: surroundings is `RARER` times rarer.
+RARE, RARER = 64, 4
 THRESHOLD = 0.5
 #: An alignment scores as many words at least, or all of a shorter item.
 LEAST_WORDS = 8
@@ -74,19 +84,32 @@ def _item_runs(items: DataFrame, size: int) -> DataFrame:
     return items.mapInArrow(run, "item_id long, item long, at long, words long, size long, run long")
 
 
-def _bitmap(runs: DataFrame) -> np.ndarray:
-    """At most `BITMAP` places reach the driver."""
-    places = runs.select(F.pmod("run", F.lit(BITMAP)).alias("place")).distinct().toArrow().column("place").to_numpy()
-    bits = np.zeros(BITMAP, bool)
-    bits[places] = True
-    return np.packbits(bits)
+def _bitmap(runs: DataFrame) -> bytes:
+    """One place a run, of `BITS_A_RUN` times as many; at most `MOST_RUNS` places reach the driver."""
+    size = 1 << max(12, (BITS_A_RUN * max(1, runs.count()) - 1).bit_length())
+    places = runs.select(F.pmod("run", F.lit(size)).alias("place")).distinct().toArrow().column("place").to_numpy()
+    bits = np.zeros(size >> 3, np.uint8)
+    np.bitwise_or.at(bits, places >> 3, (128 >> (places & 7)).astype(np.uint8))
+    return bits.tobytes()
 
 
 def _in(bitmap: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    place = (runs % np.uint64(BITMAP)).astype(np.int64)
+    place = (runs % np.uint64(8 * len(bitmap))).astype(np.int64)
     return (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
 
 
+def _seeds(runs: DataFrame, seen: DataFrame, size: int) -> DataFrame:
+    """Rare runs of each item: (run, item, item_id, at, last). A run that occurs is left out only if
+    each stretch of `LEAST_WORDS` words of the item around it has one that is `RARER` times rarer, so
+    every such stretch keeps its rarest run and those nearly as rare."""
+    around = max(0, LEAST_WORDS - size)
+    order = Window.partitionBy("item", "item_id").orderBy("at")
+    known = runs.join(seen, "run", "left").withColumn("least", F.min("n_docs").over(order.rowsBetween(0, around)))
+    known = known.withColumn("least", F.max("least").over(order.rowsBetween(-around, 0)))
+    rare = known.filter("n_docs IS NOT NULL").filter(F.col("n_docs") <= F.greatest(F.lit(RARE), RARER * F.col("least")))
+    return rare.groupBy("item", "item_id", "run").agg(F.min("at").alias("at"), F.max("at").alias("last")).select("run", "item", "item_id", "at", "last")
+
+
 def _frequencies(docs: DataFrame, sent, sizes: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, met, counts = np.frombuffer(sent.value, np.uint8), np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -224,16 +247,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SEED, thresh
     text = F.coalesce("text", F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.lower(text).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("item_id", text).alias("item"), F.lower(text).alias("text")).distinct()
-    spark = docs.sparkSession
     runs = materialize(_item_runs(items, size), "runs")
+    parts = -(-runs.count() // MOST_RUNS)
+    if parts < 2:
+        return _found(docs, items, runs, size, threshold)
+    # An item and its runs belong to one part.
+    of = lambda rows, k: rows.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == k)
+    return functools.reduce(DataFrame.unionByName, (_found(docs, of(items, k), of(runs, k), size, threshold) for k in range(parts)))
+
+
+def _found(docs: DataFrame, items: DataFrame, runs: DataFrame, size: int, threshold: float) -> DataFrame:
+    spark = docs.sparkSession
     lengths = runs.groupBy("size").agg(F.max("words").alias("words")).collect()
     sizes, reach = sorted(r["size"] for r in lengths) or [size], max((r["words"] for r in lengths), default=0) * 3 // 2 + 8
-    seen = _frequencies(docs, spark.sparkContext.broadcast(_bitmap(runs).tobytes()), sizes)
-
-    places = runs.groupBy("item", "item_id", "run").agg(F.min("at").alias("at"), F.max("at").alias("last"))
-    seeds = materialize(places.join(seen, "run").select("run", "item", "item_id", "at", "last"), "seeds")
+    seen = _frequencies(docs, spark.sparkContext.broadcast(_bitmap(runs)), sizes)
+    seeds = materialize(_seeds(runs, seen, size), "seeds")
 
-    cut = _passages(docs, spark.sparkContext.broadcast(_bitmap(seeds).tobytes()), sizes, reach)
+    cut = _passages(docs, spark.sparkContext.broadcast(_bitmap(seeds)), sizes, reach)
     cut = materialize(cut.withColumn("passage", F.xxhash64("doc_id", "text_key", "start")), "passages")
     hits = cut.select("passage", F.explode("hits").alias("hit")).select("passage", F.col("hit.at").alias("place"), F.col("hit.run").alias("run"))
     low, high = F.min(F.col("place") - F.col("last")), F.max(F.col("place") - F.col("at"))
