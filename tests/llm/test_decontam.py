@@ -103,11 +103,12 @@ def test_rare_seeds_lose_no_copy_among_very_many(spark):
     tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(*tables).collect()}
     assert got == plain(docs, bench) and len(got) > 300
-    # The frequent phrases are no seeds, but of the item that is about as frequent.
+    # The frequent phrases are no seeds of items with rarer runs around them: those that are copied,
+    # but for the one that is about as frequent.
     runs = decontam._item_runs(tables[1].selectExpr("item_id", "item_id AS item", "text"), 3)
     seen = decontam._frequencies(tables[0].selectExpr("doc_id", "doc_id AS text_key", "text"), spark.sparkContext.broadcast(decontam._bitmap(runs)), [3])
     kept = decontam._seeds(runs, seen, 3).join(seen, "run").filter("n_docs > 350")
-    assert {r.item for r in kept.collect()} <= {0} and seen.filter("n_docs > 350").count() > 0
+    assert not {r.item for r in kept.collect()} & {1, 3, 5, 7, 9, 11} and seen.filter("n_docs > 350").count() > 0
 
 
 def test_parts_of_a_large_benchmark(spark, monkeypatch):
