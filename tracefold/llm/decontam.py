@@ -104,7 +104,9 @@ def _seeds(runs: DataFrame, seen: DataFrame, size: int) -> DataFrame:
     every such stretch keeps its rarest run and those nearly as rare."""
     around = max(0, LEAST_WORDS - size)
     order = Window.partitionBy("item", "item_id").orderBy("at")
-    known = runs.join(seen, "run", "left").withColumn("least", F.min("n_docs").over(order.rowsBetween(0, around)))
+    # Whole stretches alone: those that begin so far before the item's end, or a shorter item itself.
+    whole = F.col("at") <= F.greatest(F.col("words") - size - around, F.lit(0))
+    known = runs.join(seen, "run", "left").withColumn("least", F.when(whole, F.min("n_docs").over(order.rowsBetween(0, around))))
     known = known.withColumn("least", F.max("least").over(order.rowsBetween(-around, 0)))
     rare = known.filter("n_docs IS NOT NULL").filter(F.col("n_docs") <= F.greatest(F.lit(RARE), RARER * F.col("least")))
     return rare.groupBy("item", "item_id", "run").agg(F.min("at").alias("at"), F.max("at").alias("last")).select("run", "item", "item_id", "at", "last")
