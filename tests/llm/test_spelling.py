@@ -91,3 +91,12 @@ def test_counts_flush_in_parts(spark):
     rows = [(i, f"word{chr(97 + i % 26) * 2} common common") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(spelling.word_counts(docs, held=3).collect()) == sorted(spelling.word_counts(docs).collect())
+
+
+def test_sql_gives_the_same_rows(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = {r[0]: tuple(r[1:]) for r in con.sql(spelling.OP13_SQL).fetchall()}
+    assert got == plain(con.sql("SELECT doc_id, text FROM documents").fetchall())

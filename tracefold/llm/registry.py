@@ -12,7 +12,7 @@ from .minhash import op2_minhash_near_dedup
 from .packing import op1_packing
 from .quality import op5_quality
 from .runs import op11_periodic_runs
-from .spelling import op13_spelling_variants
+from .spelling import OP13_SQL, op13_spelling_variants
 from .tokenfile import op12_token_files
 from .warc import OP7_SQL, op7_warc
 
@@ -35,4 +35,5 @@ SQL = {
     "op3_exact_dedup": OP3_SQL,
     "op6_line_dedup": OP6_SQL,
     "op7_warc": OP7_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }

@@ -157,3 +157,22 @@ def spelling_variants(docs: DataFrame, count=None, shortest: int = 5, least: int
 
 def op13_spelling_variants(spark, sf_dir: str) -> DataFrame:
     return spelling_variants(spark.read.parquet(f"{sf_dir}/documents.parquet"), count=misspelt)
+
+
+_NEXT = "CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END"
+#: The checksum's table, then words by the deletions that they share.
+OP13_SQL = f"""
+WITH RECURSIVE t AS (SELECT list(c ORDER BY n) AS tab FROM (SELECT n, list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, k: {_NEXT}) AS c FROM range(256) r(n))),
+r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)),
+d AS (SELECT doc_id, w, count(*) AS n FROM r GROUP BY 1, 2),
+b AS (SELECT doc_id, w, n, flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END))::BIGINT[] AS bytes FROM d),
+h AS (SELECT doc_id, w, n, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) END AS h FROM b, t),
+m AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w) + 2)::BIGINT) ELSE w END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+x AS MATERIALIZED (SELECT word, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM v)),
+p AS (SELECT a.word, b.word AS near FROM x a JOIN x b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word UNION SELECT x.word, v.word FROM x JOIN v ON x.rest = v.word UNION SELECT v.word, x.word FROM x JOIN v ON x.rest = v.word),
+f AS MATERIALIZED (SELECT p.word, count(*) AS n_near, arg_min(near, (-v.n, near)) AS best, max(v.n) AS best_n FROM p JOIN v ON v.word = near GROUP BY 1),
+o AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * v.n THEN best END AS form, CASE WHEN best_n >= 2 * v.n THEN best_n END AS form_n FROM v LEFT JOIN f USING (word)),
+c AS (SELECT word, word AS at, form AS next FROM o UNION ALL SELECT c.word, o.word, o.form FROM c JOIN o ON o.word = c.next)
+SELECT o.word, o.form, c.at AS root, o.n, o.n_near, o.form_n FROM o JOIN c ON c.word = o.word AND c.next IS NULL
+"""
