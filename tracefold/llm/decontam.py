@@ -7,9 +7,9 @@
    every stretch of an item keeps a seed, and an edited copy of an item that thousands copy keeps its
    own, as its runs are about as frequent as those it has lost.
 2. A second pass cuts a passage around the seeds that a document holds. Both passes ask a bitmap
-   first, `BITS_A_RUN` bits for each run that is looked for, so that one run in so many passes by
-   chance; the exact match is a join of the passages' seeds with the items'. A benchmark of more than
-   `MOST_RUNS` runs is looked for in parts.
+   first, `BITS_A_RUN` bits for each run that is looked for, which few others pass by chance; the
+   exact match is a join of the passages' seeds with the items'. A benchmark of more than `MOST_RUNS`
+   runs is looked for in parts.
 3. Each passage is aligned with each item it shares a seed with, along the diagonals of the
    seeds, unless it has too few of the item's words for the score. A score of `threshold` of the
    item's perfect one is a copy, edited or not, if it is that of `LEAST_WORDS` words at least or of
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from .common import IS_SPACE, materialize, mix, words
 
 SEED = 3
-#: Bits of a bitmap for each run in it: one run in so many passes by chance.
-BITS_A_RUN = 32
+#: Bits of a bitmap for each run in it, and how many of them a run sets: of the runs that aren't in it
+#: fewer than (PLACES / BITS_A_RUN) ** PLACES, one in 4,000, pass by chance.
+BITS_A_RUN, PLACES = 32, 4
 #: Runs of items that one pass over the documents looks for; more items take more passes.
 MOST_RUNS = 1 << 22
 #: Runs in as many documents are seeds wherever they stand; a more frequent one is where no run of its
@@ -84,18 +85,29 @@ def _item_runs(items: DataFrame, size: int) -> DataFrame:
     return items.mapInArrow(run, "item_id long, item long, at long, words long, size long, run long")
 
 
+def _place(runs: np.ndarray, k: int, size: int) -> np.ndarray:
+    return (mix(runs + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & np.uint64(size - 1)).astype(np.int64)
+
+
 def _bitmap(runs: DataFrame) -> bytes:
-    """One place a run, of `BITS_A_RUN` times as many; at most `MOST_RUNS` places reach the driver."""
-    size = 1 << max(12, (BITS_A_RUN * max(1, runs.count()) - 1).bit_length())
-    places = runs.select(F.pmod("run", F.lit(size)).alias("place")).distinct().toArrow().column("place").to_numpy()
+    """`PLACES` bits a run; at most `MOST_RUNS` runs reach the driver."""
+    own = runs.select("run").distinct().toArrow().column("run").to_numpy().view(np.uint64)
+    size = 1 << max(12, (BITS_A_RUN * max(1, len(own)) - 1).bit_length())
     bits = np.zeros(size >> 3, np.uint8)
-    np.bitwise_or.at(bits, places >> 3, (128 >> (places & 7)).astype(np.uint8))
+    for k in range(PLACES):
+        at = _place(own, k, size)
+        np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
     return bits.tobytes()
 
 
 def _in(bitmap: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    place = (runs % np.uint64(8 * len(bitmap))).astype(np.int64)
-    return (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+    left = np.arange(len(runs))
+    for k in range(PLACES):  # each place is asked of those alone that the ones before let pass
+        at = _place(runs[left], k, 8 * len(bitmap))
+        left = left[(bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+    passed = np.zeros(len(runs), bool)
+    passed[left] = True
+    return passed
 
 
 def _seeds(runs: DataFrame, seen: DataFrame, size: int) -> DataFrame:
