@@ -93,13 +93,27 @@ def latest_certificates(spark, d):
     return ops.certificates(_certificates(spark, d))[0].select("base", "id", F.col("rank").cast("long").alias("rank"))
 
 
+@query("certificate_subdomains", f"SELECT DISTINCT base, 'a' || (id % 9) || '.' || base AS host FROM {_CERTS_SQL}")
+def certificate_subdomains(spark, d):
+    return ops.subdomains(_certificates(spark, d))
+
+
 @query("archive_coverage", """WITH r AS (SELECT 'h' || (o_custkey % 50) AS host, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN date_trunc('day', o_orderdate) WHEN o_orderkey % 3 = 1 THEN date_trunc('month', o_orderdate) ELSE date_trunc('second', o_orderdate) END AS t, 'u' || (o_orderkey % 40) AS original FROM orders)
 SELECT host, min(t)::TIMESTAMP AS first_at, max(t)::TIMESTAMP AS last_at, count(*) AS snapshots, count(DISTINCT original) AS urls, array_to_string(list_sort(list(DISTINCT year(t))), ',') AS years, arg_min(original, (t::TIMESTAMP, original)) AS first_url FROM r GROUP BY 1""")
 def archive_coverage(spark, d):
+    return ops.archive_index(_snapshots(spark, d)).withColumns({"years": F.array_join(F.col("years").cast("array<string>"), ","), "first_at": F.col("first_at").cast("timestamp_ntz"), "last_at": F.col("last_at").cast("timestamp_ntz")})
+
+
+def _snapshots(spark, d):
     o, key = table(spark, d, "orders"), F.col("o_orderkey")
     stamp = F.when(key % 3 == 0, F.date_format("o_orderdate", "yyyyMMdd")).when(key % 3 == 1, F.date_format("o_orderdate", "yyyyMM")).otherwise(F.date_format("o_orderdate", "yyyyMMddHHmmss"))
-    rows = o.select(F.concat(F.lit("h"), F.col("o_custkey") % 50).alias("host"), stamp.alias("stamp"), F.concat(F.lit("u"), key % 40).alias("original"))
-    return ops.archive_index(rows).withColumns({"years": F.array_join(F.col("years").cast("array<string>"), ","), "first_at": F.col("first_at").cast("timestamp_ntz"), "last_at": F.col("last_at").cast("timestamp_ntz")})
+    return o.select(F.concat(F.lit("h"), F.col("o_custkey") % 50).alias("host"), stamp.alias("stamp"), F.concat(F.lit("u"), key % 40).alias("original"))
+
+
+@query("latest_snapshots", """WITH r AS (SELECT 'h' || (o_custkey % 50) AS host, CASE WHEN o_orderkey % 3 = 0 THEN date_trunc('day', o_orderdate) WHEN o_orderkey % 3 = 1 THEN date_trunc('month', o_orderdate) ELSE date_trunc('second', o_orderdate) END::TIMESTAMP AS "at", 'u' || (o_orderkey % 40) AS original FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY "at" DESC, original) AS rank FROM r) SELECT * FROM n WHERE rank <= 5""")
+def latest_snapshots(spark, d):
+    return ops.latest_snapshots(_snapshots(spark, d)).withColumns({"at": F.col("at").cast("timestamp_ntz"), "rank": F.col("rank").cast("long")})
 
 
 @query("security_headers", f"""SELECT url, {HOST_SQL} AS hostname, trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 's')) AS title, CASE WHEN page_id % 2 = 0 THEN 'content-security-policy' ELSE 'strict-transport-security,content-security-policy' END AS present, (CASE WHEN page_id % 2 = 0 THEN 0.14 ELSE 0.29 END)::DOUBLE AS score FROM pages""")

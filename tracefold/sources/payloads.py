@@ -131,6 +131,14 @@ def hostnames(certificates: DataFrame) -> DataFrame:
     return names.filter((F.col("host") == F.col("base")) | F.endswith(F.col("host"), F.concat(F.lit("."), F.col("base")))).distinct()
 
 
+def subdomains(certificates: DataFrame, most: int = 300) -> DataFrame:
+    """(base, host) of the names below a base domain that its certificates cover, the first `most` of
+    each base by name; the base itself is none."""
+    below = hostnames(certificates).filter(F.col("host") != F.col("base"))
+    rank = F.row_number().over(Window.partitionBy("base").orderBy("host"))
+    return below.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+
+
 def issuer_name(dn: Column) -> Column:
     """The organisation of a distinguished name, else its common name."""
     org, name = (F.trim(F.regexp_extract(dn, rf'(?:^|,)\s*{k}=(?:"([^"]*)"|([^,]*))', g)) for k, g in (("O", 2), ("CN", 2)))
@@ -150,14 +158,26 @@ def certificates(rows: DataFrame, most: int = 50) -> tuple[DataFrame, DataFrame]
     return ranked.filter(F.col("rank") <= most), total.join(hosts, "base", "left")
 
 
+def snapshot_times(rows: DataFrame) -> DataFrame:
+    """`rows` (host, stamp of 4 to 14 digits, original) with `at`, the stamp filled up to a time; those
+    without one are left out."""
+    at = F.try_to_timestamp(F.concat("stamp", F.substring(F.lit("00000101000000"), F.length("stamp") + 1, 14)), F.lit("yyyyMMddHHmmss"))
+    return rows.withColumn("at", at).filter("at IS NOT NULL")
+
+
 @register_normalizer("archive_index")
 def archive_index(rows: DataFrame) -> DataFrame:
-    """First snapshot and coverage of each host. `rows`: (host, stamp of 4 to 14 digits, original)."""
-    at = F.try_to_timestamp(F.concat("stamp", F.substring(F.lit("00000101000000"), F.length("stamp") + 1, 14)), F.lit("yyyyMMddHHmmss"))
-    dated = rows.withColumn("at", at).filter("at IS NOT NULL")
+    """First snapshot and coverage of each host. `rows`: as for `snapshot_times`."""
+    dated = snapshot_times(rows)
     return dated.groupBy("host").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("snapshots"), F.count_distinct("original").alias("urls"), F.array_sort(F.collect_set(F.year("at"))).alias("years"), F.min_by("original", F.struct("at", "original")).alias("first_url"))
 
 
+def latest_snapshots(rows: DataFrame, most: int = 5) -> DataFrame:
+    """(host, at, original, rank): the latest snapshots of each host, the newest first."""
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("at"), "original"))
+    return snapshot_times(rows).select("host", "at", "original", rank.alias("rank")).filter(F.col("rank") <= most)
+
+
 @register_normalizer("http")
 def http_metadata(responses: DataFrame) -> DataFrame:
     """Title, description and security headers of responses (url, headers map, html)."""
