@@ -91,6 +91,14 @@ def safety(url: Column) -> Column:
     return ladder.otherwise(F.coalesce(bound(name, addresses.not_public), F.lit("ok")))
 
 
+def public_address(url: Column) -> Column:
+    """The address without its fragment, completed by a scheme where it has none; null unless it is a
+    safe public one."""
+    bare = F.regexp_replace(F.trim(url), "#.*$", "")
+    full = F.when(bare.contains("://"), bare).otherwise(F.concat(F.lit("https://"), bare))
+    return F.when(bare != "", bound(full, lambda whole: F.when(safety(whole) == "ok", whole)))
+
+
 def is_noise(url: Column) -> Column:
     return bare_host(url).isin(NOISE_HOSTS)
 

@@ -50,6 +50,39 @@ def timeline(findings: DataFrame) -> DataFrame:
     return findings.filter("observed_at IS NOT NULL").withColumn("entry", named)
 
 
+# Parts of a payload that an entry of the timeline shows.
+SHOWN = ["hostname", "domain", "handle", "common_name", "issuer", "full_name", "repository", "timestamp", "archived_url", "login", "breach_count"]
+TITLE_CAP = 300
+PREVIEW = 4
+
+
+def shown(data: Column) -> Column:
+    """The parts of a JSON payload that a timeline shows, as a map of texts; inner documents stay JSON.
+    Keys with a null keep it; what isn't an object shows nothing."""
+    parts = F.from_json(data, "map<string,string>")
+    return F.coalesce(F.map_filter(parts, lambda key, _: key.isin(SHOWN)), F.create_map().cast("map<string,string>"))
+
+
+def timeline_entries(findings: DataFrame, kinds: list[str] | None = None) -> DataFrame:
+    """`timeline` of (case_id, finding_id, kind, observed_at, title, data, ..) with titles cut at 300
+    characters and `attributes`, the `shown` parts of `data`; only entries of `kinds` where given."""
+    rows = timeline(findings)
+    if kinds is not None:
+        rows = rows.filter(F.col("entry").isin(kinds))
+    return rows.withColumn("title", F.substring("title", 1, TITLE_CAP)).withColumn("attributes", shown(F.col("data"))).drop("data")
+
+
+def in_order(entries: DataFrame, at: str, seq: str, newest_first: bool = False) -> DataFrame:
+    return entries.orderBy(F.desc(at), F.desc(seq)) if newest_first else entries.orderBy(at, seq)
+
+
+def timeline_preview(entries: DataFrame, keys: list[str], at: str, seq: str, most: int = PREVIEW) -> DataFrame:
+    """The newest `most` entries of each group with their `rank`. Spark drops what ranks lower before
+    it shuffles, so a group of any size costs a few rows a task."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(at), F.desc(seq)))
+    return entries.withColumn("rank", rank).filter(F.col("rank") <= most)
+
+
 def timeline_summary(entries: DataFrame, keys: list[str], at: str, kind: str) -> DataFrame:
     by = entries.groupBy(*keys, kind).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("a"), F.max(at).alias("z"))
     out = by.groupBy(*keys).agg(F.sum("n").alias("count"), F.min("a").alias("first_at"), F.max("z").alias("last_at"), F.array_sort(F.collect_list(F.struct(F.col(kind).alias("kind"), "n"))).alias("kinds"))

@@ -199,15 +199,6 @@ def answered_queries(spark, d):
     return records.answered_queries(answers, planned).select("answer_id", "query", "outcome", "variant")
 
 
-@query("strongest_routes", """WITH r AS (SELECT DISTINCT user_id, event_type, CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN 2 WHEN 'view' THEN 3 WHEN 'click' THEN 4 ELSE 5 END AS rank FROM events) SELECT user_id, arg_min(event_type, rank) AS strongest, array_to_string(list(event_type ORDER BY rank), ',') AS routes FROM r GROUP BY 1""")
-def strongest_routes(spark, d):
-    kind = F.col("event_type")
-    rank = F.when(kind == "signup", 1).when(kind == "purchase", 2).when(kind == "view", 3).when(kind == "click", 4).otherwise(5)
-    routes = F.array_sort(F.collect_set(F.struct(rank.alias("rank"), kind.alias("route"))))
-    out = table(spark, d, "events").groupBy("user_id").agg(routes.alias("r"))
-    return out.select("user_id", F.element_at("r.route", 1).alias("strongest"), F.array_join("r.route", ",").alias("routes"))
-
-
 @query("rescored_as_observed", f"""WITH f AS (SELECT case_id, user_id, rule_key, min(observed_at) AS t FROM {FINDINGS_SQL} GROUP BY 1, 2, 3), r(rule_key, score, ceiling) AS (VALUES {scoring.rules_sql()}), x AS (SELECT * FROM f JOIN r USING (rule_key))
 SELECT a.case_id, a.user_id, a.t AS seen_at, round(least(greatest(1 - product(1 - b.score), max(b.score)), max(b.ceiling)), 4) AS score FROM x a JOIN x b ON a.case_id = b.case_id AND a.user_id = b.user_id AND b.t <= a.t GROUP BY a.case_id, a.user_id, a.rule_key, a.t""")
 def rescored_as_observed(spark, d):
@@ -248,13 +239,6 @@ def decoded_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", findings.decoded(coded).alias("text"))
 
 
-@query("channel_coverage", """SELECT user_id, dayofyear(ts) AS day, CASE WHEN count(*) FILTER (event_type <> 'error') = 0 THEN 'BLOCKED' WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'PARTIAL' WHEN count(*) FILTER (value > 20) > 0 THEN 'FOUND' ELSE 'NO_MATCH_RETURNED' END AS state FROM events GROUP BY 1, 2""")
-def channel_coverage(spark, d):
-    rows = table(spark, d, "events")
-    bad = F.col("event_type") == "error"
-    return rows.groupBy("user_id", F.dayofyear("ts").cast("long").alias("day")).agg(F.when(F.count_if(~bad) == 0, "BLOCKED").when(F.count_if(bad) > 0, "PARTIAL").when(F.count_if(F.col("value") > 20) > 0, "FOUND").otherwise("NO_MATCH_RETURNED").alias("state"))
-
-
 @query("capability_groups", "SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_type) FILTER (p_size > 40)), ',') AS large, array_to_string(list_sort(list(DISTINCT p_type) FILTER (p_retailprice > 1500)), ',') AS dear FROM part GROUP BY 1")
 def capability_groups(spark, d):
     names_of = lambda flag: F.nullif(F.array_join(F.array_sort(F.collect_set(F.when(flag, F.col("p_type")))), ","), F.lit(""))
