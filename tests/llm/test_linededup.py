@@ -83,3 +83,20 @@ def test_sql_gives_the_same(spark, tmp_path):
     want = con.sql(linededup.OP6_SQL).fetchall()
     got = linededup.line_dedup(docs).select("doc_id", "text", "n_lines", "n_dropped")
     assert rows(got) == sorted(want, key=str)
+
+
+def test_what_counts_as_a_long_line_is_a_parameter(spark):
+    docs = spark.createDataFrame([(1, "one two three four five"), (2, "one two three four five")], "doc_id long, text string")
+    assert {r.n_dropped for r in linededup.line_dedup(docs, long=6).collect()} == {0}
+    assert {r.doc_id: r.n_dropped for r in linededup.line_dedup(docs, long=5).collect()} == {1: 0, 2: 1}
+
+
+def test_many_dropped_lines_of_one_text(spark):
+    # 60,000 lines, every second one dropped: lines times dropped lines would be 1.8e9 comparisons.
+    word = lambda k: "".join(chr(97 + int(x)) for x in str(k))
+    shared = [f"shared {word(k)}" for k in range(30000)]
+    mixed = "\n".join(line for k, s in enumerate(shared) for line in (s, f"own {word(k)}"))
+    docs = spark.createDataFrame([(1, "\n".join(shared)), (2, "\n".join(shared)), (3, mixed)], "doc_id long, text string")
+    got = {r.doc_id: r for r in linededup.line_dedup(docs).collect()}
+    assert (got[1].n_dropped, got[2].n_dropped, got[3].n_dropped, got[3].n_lines) == (0, 30000, 30000, 60000)
+    assert got[2].text == "" and got[3].text == "\n".join(f"own {word(k)}" for k in range(30000))

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bound import bound
 from .common import fresh, materialize
 
 MIN_DOCS = 3
@@ -37,23 +38,23 @@ def _lines(named: DataFrame) -> DataFrame:
     return lines.withColumn("n", n).withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", LEAD)))
 
 
-def _needed(min_docs: int) -> Column:
-    return F.when(F.col("n") >= LONG, F.least(F.lit(2), F.lit(min_docs))).otherwise(min_docs)
+def _needed(min_docs: int, long: int) -> Column:
+    return F.when(F.col("n") >= long, F.least(F.lit(2), F.lit(min_docs))).otherwise(min_docs)
 
 
-def _recurring(members: DataFrame, key: str, min_docs: int) -> DataFrame:
+def _recurring(members: DataFrame, key: str, min_docs: int, long: int) -> DataFrame:
     """(doc, pos) of lines whose `key` occurs in enough documents, apart from the first of them."""
     docs = members.groupBy(key, "doc").agg(F.first("n").alias("n")).groupBy(key).agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("keeper"))
     # A table of its own, so that Spark may split a template of very many lines when it joins them.
-    often = materialize(docs.filter(F.col("n_docs") >= _needed(min_docs)).select(key, "keeper"), "templates")
+    often = materialize(docs.filter(F.col("n_docs") >= _needed(min_docs, long)).select(key, "keeper"), "templates")
     return members.join(often, key).filter("doc <> keeper").select("doc", "pos")
 
 
-def _templates(lines: DataFrame, refs: DataFrame, min_docs: int) -> DataFrame:
+def _templates(lines: DataFrame, refs: DataFrame, min_docs: int, long: int) -> DataFrame:
     """doc, pos, n, leaf of the lines that have all fixed tokens of their leaf's template."""
     docs = refs.groupBy("leaf", "doc").agg(F.first("n").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most"))
     leaves = docs.groupBy("leaf").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("n_docs"), F.min("least").alias("least"), F.max("most").alias("most"))
-    varied = materialize(leaves.filter((F.col("n_docs") >= _needed(min_docs)) & (F.col("least") != F.col("most"))).select("leaf"), "leaves")
+    varied = materialize(leaves.filter((F.col("n_docs") >= _needed(min_docs, long)) & (F.col("least") != F.col("most"))).select("leaf"), "leaves")
 
     members = materialize(lines.join(varied, "leaf").select("leaf", "doc", "pos", "n", F.split("line", " ").alias("tokens")), "varied")
     tokens = members.select("leaf", "n", F.posexplode("tokens").alias("place", "token")).filter(F.col("place") >= LEAD)
@@ -68,7 +69,7 @@ def _templates(lines: DataFrame, refs: DataFrame, min_docs: int) -> DataFrame:
     return members.join(shapes, "leaf").filter(fits).select("doc", "pos", "n", "leaf")
 
 
-def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS, long: int = LONG) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): row (a struct of its columns), text without
     the dropped lines, n_lines, n_dropped.
 
@@ -82,10 +83,12 @@ def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     named = docs.select(doc, row)
     lines = _lines(named)
     refs = materialize(lines.select("doc", "pos", "n", "leaf", F.xxhash64("n", "line").alias("whole")), "lines")
-    gone = _recurring(refs, "whole", min_docs).unionByName(_recurring(_templates(lines, refs, min_docs), "leaf", min_docs))
+    gone = _recurring(refs, "whole", min_docs, long).unionByName(_recurring(_templates(lines, refs, min_docs, long), "leaf", min_docs, long))
     gone = gone.groupBy("doc").agg(F.collect_set("pos").alias("gone"))
     parts = named.join(gone, "doc", "left")
-    left = F.array_join(F.filter(F.split("row.text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
+    # By a hash set of places, so that a text of many lines, most of them dropped, stays linear.
+    kept = lambda all_: F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("gone"))
+    left = bound(F.split("row.text", "\n"), lambda all_: F.array_join(F.transform(kept(all_), lambda i: F.get(all_, i)), "\n"))
     return parts.select(
         "row",
         F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left).alias("text"),
@@ -94,11 +97,11 @@ def cleaned(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     )
 
 
-def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, keep: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, keep: bool = False, long: int = LONG) -> DataFrame:
     """doc_id, text, n_lines, n_dropped of each row of `cleaned`. With `keep`, the columns of
     `docs`, text changed, and the number of dropped lines under the first free name of
     `__n_dropped`, `___n_dropped` and so on."""
-    parts = cleaned(docs, min_docs)
+    parts = cleaned(docs, min_docs, long)
     if keep:
         own = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
         return parts.select(*own, F.col("n_dropped").alias(fresh("__n_dropped", docs.columns)))
@@ -109,9 +112,9 @@ def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def cleaned_sql(table: str, min_docs: int = MIN_DOCS) -> str:
+def cleaned_sql(table: str, min_docs: int = MIN_DOCS, long: int = LONG) -> str:
     """DuckDB SQL for doc_id, text, n_lines, n_dropped over a table of (doc_id, text)."""
-    needed = f"CASE WHEN any_value(n) >= {LONG} THEN least(2, {min_docs}) ELSE {min_docs} END"
+    needed = f"CASE WHEN any_value(n) >= {long} THEN least(2, {min_docs}) ELSE {min_docs} END"
     return rf"""
 WITH ln AS (
   SELECT doc_id, pos, trim(line) AS line FROM (
