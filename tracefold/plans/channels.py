@@ -15,11 +15,11 @@ _EARLIER, _NOW = "event_id % 3 = 0", "event_id % 3 > 0"
 _NOISE = urls.NOISE_HOSTS[0]
 #: Forms in which a result may give its address; the third to fifth can't be stored.
 _FORMS = ["base", "regexp_replace(base, '^https?://', '') || '#part'", "regexp_replace(base, '^https?', 'ftp')", "'http://127.0.0.1/' || page_id", f"'https://www.{_NOISE}/' || page_id", "' ' || base || '#x'"]
-SEARCHES_SQL = "(SELECT 'case-' || (user_id % 20) AS case_id, strftime(ts, '%Y-%m-%d') AS run, event_id, ts, json_extract_string(props, '$.k') AS query, event_type = 'error' AS failed FROM events)"
+SEARCHES_SQL = "(SELECT 'case-' || (user_id % 3) AS case_id, strftime(ts, '%Y-%m-%d') AS run, event_id, ts, json_extract_string(props, '$.k') AS query, event_type = 'error' AS failed FROM events)"
 CHANNEL_RUNS_SQL = f"(SELECT case_id, run, 'web' AS provider, min(event_id) % 7 > 0 AS configured, count(*) + min(event_id) % 3 AS planned, CASE min(event_id) % 5 WHEN 0 THEN 'budget_exhausted' WHEN 1 THEN 'rate_limited' ELSE 'ok' END AS outcome FROM {SEARCHES_SQL} GROUP BY 1, 2)"
 #: What became of each result, from the form that its address was given.
 JUDGED_SQL = f"""(WITH b AS (SELECT s.*, regexp_extract(url, '^https?://[^/]+/') AS base FROM {SEARCHES_SQL} s JOIN pages ON page_id = event_id WHERE NOT failed),
-k AS (SELECT *, CASE event_id % 6 WHEN 0 THEN base WHEN 5 THEN base WHEN 1 THEN 'https://' || regexp_replace(base, '^https?://', '') END AS key, CASE WHEN event_id % 4 > 0 THEN 'about ' || event_id END AS snippet FROM b),
+k AS (SELECT *, CASE (event_id // 3) % 6 WHEN 0 THEN base WHEN 5 THEN base WHEN 1 THEN 'https://' || regexp_replace(base, '^https?://', '') END AS key, CASE WHEN event_id % 4 > 0 THEN 'about ' || event_id END AS snippet FROM b),
 old AS (SELECT DISTINCT case_id, key FROM k WHERE {_EARLIER} AND key IS NOT NULL), n AS (SELECT *, min(event_id) OVER (PARTITION BY case_id, key) AS first FROM k WHERE {_NOW})
 SELECT n.case_id, n.run, n.event_id, n.key, n.snippet, CASE WHEN n.key IS NULL THEN 'rejected' WHEN old.key IS NOT NULL THEN 'seen' WHEN event_id = first THEN 'stored' ELSE 'duplicate' END AS disposition FROM n LEFT JOIN old ON old.case_id = n.case_id AND old.key = n.key)"""
 ACCOUNTS_SQL = f"""(WITH s AS (SELECT case_id, run, count(*) FILTER (NOT failed) AS queries_run, count(DISTINCT query) FILTER (NOT failed) AS distinct_queries, count(*) FILTER (failed) AS failures FROM {SEARCHES_SQL} WHERE {_NOW} GROUP BY 1, 2),
@@ -29,7 +29,7 @@ FROM {CHANNEL_RUNS_SQL} r LEFT JOIN s USING (case_id, run) LEFT JOIN g USING (ca
 
 
 def searches(spark, d):
-    case, run = F.concat(F.lit("case-"), F.col("user_id") % 20), F.date_format("ts", "yyyy-MM-dd")
+    case, run = F.concat(F.lit("case-"), F.col("user_id") % 3), F.date_format("ts", "yyyy-MM-dd")
     return table(spark, d, "events").select(case.alias("case_id"), run.alias("run"), "event_id", "ts", F.get_json_object("props", "$.k").alias("query"), (F.col("event_type") == "error").alias("failed"))
 
 
@@ -43,7 +43,7 @@ def judged(spark, d):
     """Results of this execution, held against those that their case had before."""
     base = F.regexp_extract("url", "^https?://[^/]+/", 0)
     found = searches(spark, d).filter("NOT failed").join(table(spark, d, "pages").select("page_id", base.alias("base")), F.col("event_id") == F.col("page_id"))
-    form = F.element_at(F.array(*map(F.expr, _FORMS)), (F.col("event_id") % 6 + 1).cast("int"))
+    form = F.element_at(F.array(*map(F.expr, _FORMS)), (F.floor(F.col("event_id") / 3) % 6 + 1).cast("int"))
     rows = found.select("case_id", "run", "event_id", "ts", F.col("event_id").alias("seq"), form.alias("url"), F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("about "), "event_id")).alias("snippet"))
     none = spark.createDataFrame([], "case_id string, key string")
     before = ops.judged(rows.filter(_EARLIER), none).filter("disposition = 'stored'")
