@@ -72,6 +72,6 @@ def documents(sections: dict[str, DataFrame], key: str) -> DataFrame:
 
 
 def also_seen(rows: DataFrame, keys: list[str], source: str, seq: str) -> DataFrame:
-    """The first source owns a row; later distinct ones are listed."""
-    out = rows.groupBy(*keys).agg(F.min_by(source, seq).alias(source), F.collect_set(source).alias("__all"))
+    """The first source owns a row, of equally early ones the smallest; the other ones are listed."""
+    out = rows.groupBy(*keys).agg(F.min_by(source, F.struct(seq, source)).alias(source), F.collect_set(source).alias("__all"))
     return out.withColumn("also_seen_in", F.array_sort(F.array_except("__all", F.array(source)))).drop("__all")

@@ -66,7 +66,7 @@ def report_documents(spark, d):
     return made.groupBy("case_id", "section").agg(F.count("item").alias("n"))
 
 
-@query("contact_owners", """WITH o AS (SELECT l_partkey, arg_min(l_suppkey, (l_orderkey, l_linenumber)) AS l_suppkey, list(DISTINCT l_suppkey) AS a FROM lineitem GROUP BY 1)
+@query("contact_owners", """WITH o AS (SELECT l_partkey, arg_min(l_suppkey, (l_orderkey, l_linenumber, l_suppkey)) AS l_suppkey, list(DISTINCT l_suppkey) AS a FROM lineitem GROUP BY 1)
 SELECT l_partkey, l_suppkey, array_to_string(list_sort(list_filter(a, lambda x: x <> l_suppkey)), ',') AS also_seen_in FROM o""")
 def contact_owners(spark, d):
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey", "l_suppkey", F.struct("l_orderkey", "l_linenumber").alias("seq"))
