@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tracefold.operators import report
+from tracefold.operators import linkage, report
 
 
 def test_owner_of_equally_early_rows_is_the_smallest_source(spark):
@@ -11,3 +11,10 @@ def test_owner_of_equally_early_rows_is_the_smallest_source(spark):
         table = spark.createDataFrame(order, "k int, source int, seq int").coalesce(1)
         got = {r.k: (r.source, r.also_seen_in) for r in report.also_seen(table, ["k"], "source", "seq").collect()}
         assert got == {1: (3, [7, 9]), 2: (3, [1])}
+
+
+def test_all_words_of_a_place_stand_in_one_text(spark):
+    stated = spark.createDataFrame([(1, "New houses"), (1, "city of York"), (2, "in New York City"), (3, "york, new"), (4, ""), (5, None)], "a int, stated string")
+    places = spark.createDataFrame([("New York",), ("New City",), ("City",), ("New York",), ("--",), ("Newton",)], "place string")
+    got = sorted(map(tuple, linkage.places_matched(stated, places).collect()))
+    assert got == [(1, "City"), (2, "City"), (2, "New City"), (2, "New York"), (3, "New York")]

@@ -47,11 +47,15 @@ def organisations_matched(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def places_matched(stated: DataFrame, places: DataFrame) -> DataFrame:
     """Pairs (a, place) where the text states all words of the place. `stated`: (a, stated),
-    `places`: (place). Both sides meet on single words; a place is held where as many of its words
-    met as it has, so no pair without a common word is made."""
-    words = places.distinct().select("place", names.words(F.col("place")).alias("w")).select("place", F.size("w").alias("n"), F.explode("w").alias("word"))
-    said = stated.select("a", F.explode(names.words(F.col("stated"))).alias("word"))
-    return said.join(words, "word").groupBy("a", "place").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("met")).filter("met = n").select("a", "place")
+    `places`: (place). A place is looked up by its rarest word alone, the one that the fewest places
+    have; its other words are held against the text within the row, so nothing is grouped by pair and
+    a word that all places share makes no rows."""
+    known = places.distinct().select("place", names.words(F.col("place")).alias("needed"))
+    words = known.select("place", "needed", F.explode("needed").alias("word"))
+    spread = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = words.join(spread, "word").groupBy("place").agg(F.min(F.struct("n", "word", "needed")).alias("r")).select("place", F.col("r.word").alias("word"), F.col("r.needed").alias("needed"))
+    said = stated.select("a", names.words(F.col("stated")).alias("said")).select("a", "said", F.explode("said").alias("word"))
+    return said.join(rarest, "word").filter(names.holds(F.col("said"), F.col("needed"))).select("a", "place")
 
 
 def assessed(observed: DataFrame, anchors: DataFrame, name_rules: DataFrame, rules: DataFrame) -> DataFrame:
