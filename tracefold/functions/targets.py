@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import addresses, urls
+from .bound import bound
 
 _HAS_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*://"
 _LABEL = r"[a-z0-9_]([a-z0-9_-]{0,61}[a-z0-9_])?"
@@ -83,7 +84,7 @@ def repository(text: Column) -> Column:
     named = F.when(t.rlike(ssh), F.struct(F.lower(F.regexp_extract(t, ssh, 1)).alias("host"), F.regexp_extract(t, ssh, 2).alias("owner"), F.regexp_extract(t, ssh, 3).alias("name")))
     named = named.when(is_web & (F.size(parts) >= 2), F.struct(urls.bare_host(web).alias("host"), F.try_element_at(parts, F.lit(1)).alias("owner"), F.try_element_at(parts, F.lit(2)).alias("name")))
     named = named.when(~is_web & t.rlike(short), F.struct(F.lit("github.com").alias("host"), F.regexp_extract(t, short, 1).alias("owner"), F.regexp_extract(t, short, 2).alias("name")))
-    return F.concat(_platform(named["host"]), F.lit(":"), F.lower(named["owner"]), F.lit("/"), F.regexp_replace(F.lower(named["name"]), r"\.git$", ""))
+    return bound(named, lambda n: F.concat(_platform(n["host"]), F.lit(":"), F.lower(n["owner"]), F.lit("/"), F.regexp_replace(F.lower(n["name"]), r"\.git$", "")))
 
 
 def profile(text: Column) -> Column:

@@ -110,24 +110,31 @@ def drawable(url: Column) -> Column:
 
 def handle(url: Column) -> Column:
     """The account a profile-shaped address names, else null; deeper paths address content."""
-    parts, out = segments(url), F.lit(None).cast("string")
-    first = F.lower(F.try_element_at(parts, F.lit(1)))
-    for hosts, prefixes, reserved in PLATFORMS.values():
-        free = ~F.arrays_overlap(F.transform(parts, F.lower), F.array(*map(F.lit, reserved))) if reserved else F.lit(True)
-        after = F.when(first.isin(prefixes), F.when(F.size(parts) == 2, F.try_element_at(parts, F.lit(2)))) if prefixes else None
-        own = F.when(F.size(parts) == 1, F.try_element_at(parts, F.lit(1)))
-        if hosts == ["orcid.org"]:
-            own = F.when(F.upper(own).rlike(ORCID), own)
-        found = after.otherwise(own) if after is not None else own
-        out = F.when(bare_host(url).isin(hosts) & free, F.nullif(F.ltrim(found, F.lit("@")), F.lit(""))).otherwise(out)
-    return out
+
+    def of(at: Column) -> Column:
+        parts, out = at["parts"], F.lit(None).cast("string")
+        first = F.lower(F.try_element_at(parts, F.lit(1)))
+        for hosts, prefixes, reserved in PLATFORMS.values():
+            free = ~F.arrays_overlap(F.transform(parts, F.lower), F.array(*map(F.lit, reserved))) if reserved else F.lit(True)
+            after = F.when(first.isin(prefixes), F.when(F.size(parts) == 2, F.try_element_at(parts, F.lit(2)))) if prefixes else None
+            own = F.when(F.size(parts) == 1, F.try_element_at(parts, F.lit(1)))
+            if hosts == ["orcid.org"]:
+                own = F.when(F.upper(own).rlike(ORCID), own)
+            found = after.otherwise(own) if after is not None else own
+            out = F.when(at["host"].isin(hosts) & free, F.nullif(F.ltrim(found, F.lit("@")), F.lit(""))).otherwise(out)
+        return out
+
+    return bound(F.struct(bare_host(url).alias("host"), segments(url).alias("parts")), of)
 
 
 def platform(url: Column) -> Column:
-    ladder = None
-    for name, (hosts, _, _) in PLATFORMS.items():
-        ladder = F.when(bare_host(url).isin(hosts), name) if ladder is None else ladder.when(bare_host(url).isin(hosts), name)
-    return ladder.otherwise(bare_host(url))
+    def of(name: Column) -> Column:
+        out = name
+        for platform_name, (hosts, _, _) in reversed(PLATFORMS.items()):
+            out = F.when(name.isin(hosts), platform_name).otherwise(out)
+        return out
+
+    return bound(bare_host(url), of)
 
 
 def shape(url: Column) -> Column:
@@ -145,7 +152,7 @@ def identifier_type(text: Column) -> Column:
     """The type that an identifier's own shape tells; `ambiguous` for free text, null for none."""
     t = F.trim(text)
     web = F.when(t.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), t).when(t.rlike(r"^(?i)([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}/"), F.concat(F.lit("https://"), t))
-    address = F.when(bare_host(web).isin(FORGES) & (F.size(segments(web)) >= 2), "REPOSITORY").when(shape(web) == "social", "SOCIAL_PROFILE").otherwise("URL")
+    address = bound(web, lambda w: F.when(bare_host(w).isin(FORGES) & (F.size(segments(w)) >= 2), "REPOSITORY").when(shape(w) == "social", "SOCIAL_PROFILE").otherwise("URL"))
     domain = r"^(?i)([a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}\.?$"
     return (
         F.when(t.isNull() | (t == ""), F.lit(None))

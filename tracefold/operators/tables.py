@@ -27,3 +27,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` dealt over `spark.sql.shuffle.partitions` tasks, for work that costs far more than reading:
+    a small file is one partition, however long its rows take. The number is given, so that AQE doesn't
+    join them again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))

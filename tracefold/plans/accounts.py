@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import targets, urls
 from ..operators import accounts as ops
 from ..operators import payloads, report
+from ..operators.tables import spread
 from .registry import query
 
 
@@ -22,7 +23,7 @@ def canonical_targets(spark, d):
     k, b = F.col("c_custkey").cast("string"), (F.col("c_custkey") % 256).cast("string")
     forms = [("@User_", k, ".X"), ("WWW.Shop-", k, ".Example.COM."), ("Mail.", k, "@Example.ORG"), ("10.0.", b, ".7"), ("git@GitHub.com:Owner", k, "/Repo.git"), ("github.com/Owner", k, "/Repo"), ("https://GitHub.com/owner", k, "/repo/issues"), ("https://www.reddit.com/u/Name_", k, "/")]
     said = [F.concat(F.lit(x), mid, F.lit(y)) for x, mid, y in forms] + [F.concat(F.lit("HTTPS://Example.com:443/A/"), k, F.lit("?q="), k, F.lit("#top"))]
-    rows = table(spark, d, "customer").select("c_custkey", F.explode(F.array(*said)).alias("text")).withColumn("kind", urls.identifier_type(F.col("text")))
+    rows = spread(table(spark, d, "customer").select("c_custkey")).select("c_custkey", F.explode(F.array(*said)).alias("text")).withColumn("kind", urls.identifier_type(F.col("text")))
     return rows.groupBy("c_custkey", "kind", targets.canonical(F.col("kind"), F.col("text")).alias("value")).agg(F.count(F.lit(1)).alias("spellings"))
 
 
@@ -43,7 +44,7 @@ _NOTE_SQL = f"CASE WHEN c_acctbal < 0 THEN 'key ghp_{'a1B2' * 9}' WHEN c_acctbal
 @query("payload_privacy", f"""SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 3 ELSE 2 END AS level, 'contact.work.lines[0].phone,contact.work.lines[1].phone' || CASE WHEN c_acctbal < 0 THEN ',note' ELSE '' END AS redacted,
 CASE WHEN c_acctbal < 0 THEN 'key [REDACTED SECRET]' WHEN length({_NOTE_SQL}) > 4000 THEN substr({_NOTE_SQL}, 1, 4000) || '…[truncated]' ELSE {_NOTE_SQL} END AS note, c_custkey::VARCHAR AS size, 'flat' AS flat, c_name AS label, 6 AS leaves FROM customer""")
 def payload_privacy(spark, d):
-    found = payloads.walked(_payloads(spark, d), "payload")
+    found = payloads.walked(spread(_payloads(spark, d)), "payload")
     leaf = lambda path: F.col("data")[path]
     return found.select("c_custkey", "level", F.array_join("redacted", ",").alias("redacted"), leaf("note").alias("note"), leaf("a.b.c.size").alias("size"), leaf(r"a\.b").alias("flat"), leaf("contact.work.label").alias("label"), F.size("data").alias("leaves"))
 
