@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import privacy
+from ..functions.bound import bound
 
 DEEPEST = 12
 TOO_DEEP = "[TRUNCATED: structure too deep]"
@@ -42,21 +43,27 @@ def leaves(payload: Column) -> Column:
     """Array of (path, name, value) of the scalars of a VARIANT, such as `contact.phone[0]` with the
     name `phone`. Each value deeper than 12 levels is a marker. Empty containers have no leaves; null
     gives an empty array."""
-    nodes = F.array(F.struct(F.lit("").alias("path"), F.lit("").alias("name"), payload.alias("value")))
-    node = lambda path, name, value: F.struct(path.alias("path"), name.alias("name"), value.alias("value"))
+    node = lambda path, name, value, leaf: F.struct(path.alias("path"), name.alias("name"), value.alias("value"), F.lit(leaf).alias("leaf"))
+    same = lambda x: x
 
     def opened(end):
         def of(e: Column) -> Column:
-            keys = F.transform(_object(e["value"]), lambda kv: node(_key_path(e["path"], kv["key"]), _name(kv["key"]), end(kv["value"])))
-            items = F.transform(_list(e["value"]), lambda x, k: node(F.concat(e["path"], F.lit("["), k, F.lit("]")), e["name"], end(x)))
-            return F.coalesce(keys, items, F.array(node(e["path"], e["name"], e["value"] if end is same else F.try_variant_get(e["value"], "$", "string"))))
+            keys = F.transform(_object(e["value"]), lambda kv: node(_key_path(e["path"], kv["key"]), _name(kv["key"]), end(kv["value"]), False))
+            items = F.transform(_list(e["value"]), lambda x, k: node(F.concat(e["path"], F.lit("["), k, F.lit("]")), e["name"], end(x), False))
+            own = F.array(node(e["path"], e["name"], e["value"] if end is same else F.try_variant_get(e["value"], "$", "string"), True))
+            return F.when(e["leaf"], own).otherwise(F.coalesce(keys, items, own))
 
         return of
 
-    same = lambda x: x
+    def level(nodes: Column) -> Column:
+        """A level less, unless all are leaves."""
+        return F.when(F.forall(nodes, lambda e: e["leaf"]), nodes).otherwise(F.flatten(F.transform(nodes, opened(same))))
+
+    nodes = F.array(node(F.lit(""), F.lit(""), payload, False))
     for _ in range(DEEPEST):
-        nodes = F.flatten(F.transform(nodes, opened(same)))
+        nodes = bound(nodes, level)
     nodes = F.flatten(F.transform(nodes, opened(lambda _: F.lit(TOO_DEEP))))
+    nodes = F.transform(nodes, lambda e: F.struct(e["path"].alias("path"), e["name"].alias("name"), e["value"].alias("value")))
     return F.coalesce(F.when(payload.isNotNull(), nodes), F.array().cast(_LEAVES))
 
 
