@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from html import unescape
+from html.entities import html5
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -107,7 +110,29 @@ _PAGE_SQL = rf"""(SELECT page_id, url, html, nullif(substr(trim(regexp_replace({
   regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS hrefs FROM pages)"""
 
 
-@query("page_metadata", f"SELECT page_id, title, lang, len(hrefs) AS n_links, NULL::VARCHAR AS canonical FROM {_PAGE_SQL}")
+def _references_sql(text: str) -> str:
+    """SQL of `text` with its character references decoded as the HTML standard says, as
+    `html.unescape` does: by name, the old names also without a semicolon, and by number."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    table = lambda keys, values: f"MAP {{{', '.join(f'{k}: {v}' for k, v in zip(keys, values, strict=True))}}}"
+    named = table([quoted(k) for k in html5], [quoted(v) for v in html5.values()])
+    odd = [n for n in (*range(160), *range(0xFDD0, 0xFDF0), *(p * 0x10000 + k for p in range(17) for k in (0xFFFE, 0xFFFF))) if unescape(f"&#{n};") != chr(n)]
+    numbered = table(odd, [quoted(unescape(f"&#{n};")) for n in odd])
+    old = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+    number = "CASE WHEN s[2] IN ('x', 'X') THEN try_cast('0x' || rtrim(s[3:], ';') AS BIGINT) ELSE try_cast(rtrim(s[2:], ';') AS BIGINT) END"
+    char = f"list_transform([{number}], lambda n: CASE WHEN n IS NULL OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN chr(65533) WHEN map_contains({numbered}, n::INT) THEN {numbered}[n::INT] ELSE chr(n::INT) END)[1]"
+    one = f"""CASE WHEN s = '' THEN '&' || p WHEN s = 'amp;' THEN '&' || p[5:] WHEN s[1] = '#' THEN {char} || p[length(s) + 1:] WHEN map_contains({named}, s) THEN {named}[s] || p[length(s) + 1:]
+ WHEN regexp_matches(s, '^({old})') THEN {named}[regexp_extract(s, '^({old})')] || p[length(regexp_extract(s, '^({old})')) + 1:] ELSE '&' || p END"""
+    found = r"regexp_extract(p, '^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)')"
+    return f"array_to_string(list_transform(string_split({text}, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE list_transform([{found}], lambda s: {one})[1] END), '')"
+
+
+#: White space as `str.split` reads it, a no-break space included.
+_LINE_SQL = lambda x: rf"trim(regexp_replace({x}, '[\t-\r\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
+_TITLE_SQL = f"""nullif(substr({_LINE_SQL(_references_sql("regexp_extract(html, '<title>(.*?)</title>', 1, 's')"))}, 1, 300), '')"""
+
+
+@query("page_metadata", f"SELECT m.page_id, {_TITLE_SQL} AS title, lang, len(hrefs) AS n_links, NULL::VARCHAR AS canonical FROM {_PAGE_SQL} m")
 def page_metadata(spark, d):
     found = page_ops.scanned(pages(spark, d), ["page_id"])
     return found.select("page_id", "title", "lang", F.size("links").cast("long").alias("n_links"), "canonical")
