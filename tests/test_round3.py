@@ -42,7 +42,7 @@ def sql_rows(query, table, rows):
 REFERENCES = ["a&amp", "a&ampb &lt;&gt", "x&#65;&#x1F600;&#128;&#0;", "&#xD800;&#99999999999999999999;", "&notit; &notin; &foo; & &", "a&nbsp;b\x85c&eacute", "&amp;quot;&#", ""]
 
 
-@pytest.mark.parametrize("name", ["page_metadata"])
+@pytest.mark.parametrize("name", ["page_metadata", "page_visible_text"])
 def test_sql_of_pages_decodes_references_as_the_query_does(spark, tmp_path, name):
     rows = [(k, f"https://h{k}.example/", f'<html lang="en"><head><title>{x}</title></head><body><p>{x}</p>{x} <b>&amp</b></body></html>') for k, x in enumerate(REFERENCES)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")

@@ -138,7 +138,7 @@ def page_metadata(spark, d):
     return found.select("page_id", "title", "lang", F.size("links").cast("long").alias("n_links"), "canonical")
 
 
-@query("page_visible_text", rf"SELECT page_id, trim(regexp_replace({DECODED_SQL(f"regexp_replace({VISIBLE_SQL}, '<[^>]*>', ' ', 'g')")}, '[ \t\n\r]+', ' ', 'g')) AS visible FROM pages")
+@query("page_visible_text", f"SELECT page_id, {_LINE_SQL(_references_sql(f"regexp_replace({VISIBLE_SQL}, '<[^>]*>', ' ', 'g')"))} AS visible FROM pages")
 def page_visible_text(spark, d):
     return page_ops.scanned(pages(spark, d), ["page_id"]).select("page_id", "visible")
 
