@@ -103,6 +103,30 @@ def sessions(stream: DataFrame, key: str, at: str, gap: str, delay: str) -> Data
     return stream.withWatermark(at, delay).groupBy(key, window.alias("session")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("session.start").alias("started"), F.col("session.end").alias("ended"), "n")
 
 
+def closed_sessions(stream: DataFrame, key: str, at: str, gap: str, delay: str) -> DataFrame:
+    """All sessions of what there is now, those too that the watermark hasn't passed: when the stream
+    has been read, one row of a far later time and no key, in a folder of its own that was empty until
+    then, moves the watermark past every end. That row's own session stays open."""
+    spark = stream.sparkSession
+    base = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    mark = spark.range(1).select(F.lit(None).cast(stream.schema[key].dataType).alias(key), F.lit("9999-01-01").cast("timestamp").alias(at))
+    mark.limit(0).write.parquet(f"{base}/mark")
+    marks = spark.readStream.schema(mark.schema).parquet(f"{base}/mark")
+    found = sessions(stream.select(key, at).unionByName(marks), key, at, gap, delay)
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/rows/part={batch}")
+
+    def run() -> None:
+        query = found.writeStream.foreachBatch(keep).outputMode("append").option("checkpointLocation", f"{base}/state")
+        query.trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    mark.write.mode("append").parquet(f"{base}/mark")
+    run()
+    return spark.read.schema(found.schema).parquet(f"{base}/rows/part=*")
+
+
 def bounded_sessions(stream: DataFrame, key: str, at: str, idle: float, longest: float, delay: str) -> DataFrame:
     """Sessions (key, started, ended, n, reason) that end `idle` seconds after their last hit, or
     `longest` seconds after their first one, whichever is sooner; the next hit begins another.
