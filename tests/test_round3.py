@@ -87,3 +87,10 @@ def test_sessions_that_are_open_at_the_end_are_given_too(spark, tmp_path):
     rows = incremental.closed_sessions(stream, "k", "ts", "30 minutes", "60 days").collect()
     got = sorted((str(r.k), round((r.started - day).total_seconds() / 60), round((r.ended - day).total_seconds() / 60), r.n) for r in rows)
     assert got == [("None", 7, 37, 1), ("a", 0, 50, 3), ("a", 100, 130, 1), ("b", 3000, 3030, 1), ("c", 5000, 5040, 2)]
+
+
+def test_short_trees_need_no_components_and_ids_may_be_numbers(spark, monkeypatch):
+    monkeypatch.setattr(graph, "components", None)
+    lines = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "src long, dst long")
+    ends = spark.createDataFrame([(1, 3), (1, 8)], "origin long, target long")
+    assert [tuple(r) for r in graph.paths(lines, ends).collect()] == [(1, 3, [1, 2, 3])]
