@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-from tracefold.operators import graph, linkage, report
+from tracefold.operators import graph, infer, linkage, report
 from tracefold.streaming import incremental
 
 
@@ -94,3 +94,26 @@ def test_short_trees_need_no_components_and_ids_may_be_numbers(spark, monkeypatc
     lines = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "src long, dst long")
     ends = spark.createDataFrame([(1, 3), (1, 8)], "origin long, target long")
     assert [tuple(r) for r in graph.paths(lines, ends).collect()] == [(1, 3, [1, 2, 3])]
+
+
+def test_sites_are_linked_in_one_sort_and_large_ones_by_classes(spark):
+    rng = random.Random(8)
+    handle = {f"a{k}": rng.choice([None, "ann", "bob", "cy"]) for k in range(50)}
+    own = {("c", f"s{rng.randrange(8)}", f"a{rng.randrange(50)}") for _ in range(120)} | {("d", "s1", f"a{k}") for k in range(30)} | {("d", "s2", "a1")}
+    want = []
+    for c, s, b in own:
+        of = {x for k, t, x in own if (k, t) == (c, s)}
+        first = min(x for x in of if x == b or handle[b] is not None and handle[x] == handle[b])
+        want += [(c, s, first, b, "same_username_shared_website")] if first != b else [(c, s, min(of), b, "shared_infrastructure")] if min(of) != b else []
+    members = spark.createDataFrame([(*m, handle[m[2]]) for m in own], "case_id string, site string, account string, handle string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for rows in batches:
+            calls.add(len(rows))
+            yield rows
+
+    for whole in (0, 20, 100):
+        before = calls.value
+        assert sorted(map(tuple, infer.site_links(members.mapInPandas(seen, members.schema), whole).collect())) == sorted(want)
+        assert calls.value - before == len(own)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from .tables import materialize
 
 # Source, identifier, authoritative, what it ingests.
 LINEAGE = [
@@ -65,9 +66,13 @@ def site_members(links: DataFrame, accounts: DataFrame) -> DataFrame:
     """(case_id, site, account, handle): each account that links a site, or that a site links, once,
     with its handle in lower case. `links`: (case_id, src, dst) of accounts and sites; `accounts`:
     (case_id, account, handle), where handles may be null."""
-    ends = links.select("case_id", F.explode(F.array(F.struct(F.col("src").alias("account"), F.col("dst").alias("site")), F.struct(F.col("dst").alias("account"), F.col("src").alias("site")))).alias("e")).select("case_id", "e.account", "e.site").distinct()
-    named = accounts.groupBy("case_id", "account").agg(F.min(F.nullif(F.lower(F.trim("handle")), F.lit(""))).alias("handle"))
-    return ends.join(named, ["case_id", "account"]).select("case_id", "site", "account", "handle")
+    ends = links.select("case_id", F.explode(F.array(F.struct(F.col("src").alias("account"), F.col("dst").alias("site")), F.struct(F.col("dst").alias("account"), F.col("src").alias("site")))).alias("e")).select("case_id", "e.account", "e.site")
+    # Repeats go by hash, and ahead of the least handle, which Spark finds by a sort.
+    handles = accounts.select("case_id", "account", F.nullif(F.lower(F.trim("handle")), F.lit("")).alias("handle")).distinct().repartition("case_id", "account")
+    named = handles.groupBy("case_id", "account").agg(F.min("handle").alias("handle"))
+    # Ends that are no account go before repeats do. What is left is dealt by site and account, so that
+    # the join may split an account of very many sites, and no site comes into one task.
+    return ends.join(named.hint("shuffle_hash"), ["case_id", "account"]).select("case_id", "site", "account", "handle").repartition("case_id", "site", "account").distinct()
 
 
 def _classes(members: DataFrame) -> DataFrame:
@@ -86,12 +91,31 @@ def site_groups(members: DataFrame) -> DataFrame:
     return by.filter("accounts > 1").select("case_id", "site", "accounts", "classes", pairs(F.col("squares") - F.col("accounts")).alias("same_pairs"), pairs(F.col("accounts") * F.col("accounts") - F.col("squares")).alias("other_pairs"))
 
 
-def site_links(members: DataFrame) -> DataFrame:
+def site_links(members: DataFrame, whole: int = 100_000) -> DataFrame:
     """Representative edges of those pairs: (case_id, site, a, b, rule_key). Each account is linked
     to the first one of its class, each class's first to the first one of the site; with the
-    membership they tell all pairs, and there are no more of them than members."""
-    classes = _classes(members)
+    membership they tell all pairs, and there are no more of them than members.
+
+    A site of at most `whole` members is sorted once, within one task; those of more go by way of
+    their classes, so that no site passes through one task."""
+    keys = ["case_id", "site"]
+    members = materialize(members, "members")  # read to count, then to link
+    large = materialize(members.groupBy(*keys).count().filter(F.col("count") > whole).select(*keys), "large-sites")
+    return _links_by_sort(members.join(F.broadcast(large), keys, "left_anti")).unionByName(_links_by_class(members.join(F.broadcast(large), keys, "left_semi")))
+
+
+def _links_by_sort(members: DataFrame) -> DataFrame:
+    # Both windows take one order; sites come first in it, as their first bytes tell most rows apart.
+    site, own = Window.partitionBy("site", "case_id"), Window.partitionBy("site", "case_id", "handle").orderBy("account")
+    rows = members.repartition("site", "case_id").withColumn("first", F.first("account").over(own)).withColumn("top", F.min("account").over(site))
+    alike = F.col("handle").isNotNull() & (F.col("account") != F.col("first"))
+    links = rows.select("case_id", "site", F.when(alike, F.col("first")).otherwise(F.col("top")).alias("a"), F.col("account").alias("b"), F.when(alike, "same_username_shared_website").otherwise("shared_infrastructure").alias("rule_key"))
+    return links.filter("a <> b")
+
+
+def _links_by_class(members: DataFrame) -> DataFrame:
     keys = ["case_id", "site"]
+    classes = _classes(members)
     alike = members.filter("handle IS NOT NULL").join(classes.filter("n > 1").select(*keys, "handle", "first"), [*keys, "handle"]).filter("account <> first")
     alike = alike.select(*keys, F.col("first").alias("a"), F.col("account").alias("b"), F.lit("same_username_shared_website").alias("rule_key"))
     top = classes.groupBy(*keys).agg(F.min("first").alias("a"))
