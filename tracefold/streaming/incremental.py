@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tables import materialize, shared_folder
+from ..operators.tables import shared_folder
 
 
 def stream_of(spark: SparkSession, path: str, files_a_batch: int = 4) -> DataFrame:
@@ -65,7 +65,7 @@ def stored_findings(stream: DataFrame, keys: list[str], at: str, delay: str, bas
         first = rows.dropDuplicates(keys)
         if _exists(spark, f"{base}/rows"):
             first = first.join(table(tier, batch).select(*keys), keys, "left_anti")
-        materialize(first.select(*stream.columns), "batch").write.mode("overwrite").parquet(path)
+        first.select(*stream.columns).write.mode("overwrite").parquet(path)  # its own part isn't read
 
     def late(rows: DataFrame, batch: int) -> None:
         """Rows at or before the watermark that the batches before this one make."""
