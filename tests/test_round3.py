@@ -106,6 +106,7 @@ def test_sites_are_linked_in_one_sort_and_large_ones_by_classes(spark):
         of = {x for k, t, x in own if (k, t) == (c, s)}
         first = min(x for x in of if x == b or handle[b] is not None and handle[x] == handle[b])
         want += [(c, s, first, b, "same_username_shared_website")] if first != b else [(c, s, min(of), b, "shared_infrastructure")] if min(of) != b else []
+    own |= {("c", None, "a1"), ("c", None, "a2"), (None, "s1", "a1"), (None, "s1", "a2")}  # link nothing
     members = spark.createDataFrame([(*m, handle[m[2]]) for m in own], "case_id string, site string, account string, handle string")
     calls = spark.sparkContext.accumulator(0)
 

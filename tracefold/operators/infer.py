@@ -99,7 +99,8 @@ def site_links(members: DataFrame, whole: int = 100_000) -> DataFrame:
     A site of at most `whole` members is sorted once, within one task; those of more go by way of
     their classes, so that no site passes through one task."""
     keys = ["case_id", "site"]
-    members = materialize(members, "members")  # read to count, then to link
+    known = members.dropna(subset=[*keys, "account"])  # what is null joins nothing, so no sort may link it
+    members = materialize(known, "members")  # read to count, then to link
     large = materialize(members.groupBy(*keys).count().filter(F.col("count") > whole).select(*keys), "large-sites")
     return _links_by_sort(members.join(F.broadcast(large), keys, "left_anti")).unionByName(_links_by_class(members.join(F.broadcast(large), keys, "left_semi")))
 
